@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, packing, suffix
+from pairlab.llm import bpe, minhash, packing, suffix
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,10 +37,16 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group documents whose shingle sets are alike to 85 %."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_pack_sequences": op3_pack_sequences,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
