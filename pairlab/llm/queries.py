@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, minhash, packing, suffix
+from pairlab.llm import bpe, minhash, packing, quality, suffix
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,12 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by its rule statistics."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.STATS, "base_failed", "kept", "score")
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the bytes of 50-byte strings that also start in a smaller document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +51,7 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_pack_sequences": op3_pack_sequences,
+    "op4_quality_rules": op4_quality_rules,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
 }
