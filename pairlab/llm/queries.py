@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, minhash, packing, quality, suffix
+from pairlab.llm import bpe, fingerprints, minhash, packing, quality, suffix, url_filter
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,21 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of op2: hosts and paths, and what becomes of them.
+URL_RULES = [
+    ("com/en/", "block"),
+    ("example.com/en/7", "allow"),
+    ("net/de/", "allow"),
+    ("example.net/de/8", "block"),
+    ("org/es/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url by rules, and by the links between hosts where none fits."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
@@ -48,12 +63,33 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every text, and its edited text, whose last third comes from the next document."""
+    docs = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("tie", F.xxhash64("text"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = fingerprints.with_next(docs, "doc_id", ["text", "sketch"], "tie", parts)
+    cut_off = F.floor(F.col("n_chars") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut_off), F.substring("next_text", F.lit(1), cut_off))
+    sketched = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited")).withColumn("own", F.struct("edited", fingerprints.sketch(F.col("edited")).alias("sketch")))
+    return sketched.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("own.sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("own.sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_url_filter": op2_url_filter,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_quality_rules": op4_quality_rules,
     "op7_suffix_repeats": op7_suffix_repeats,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
