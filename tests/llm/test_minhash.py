@@ -52,5 +52,10 @@ def test_matches_brute_force(spark):
     assert got == sorted(((d, len(shingles(t)), want.get(d), d is None or want[d] == d) for d, t in rows), key=str)
 
 
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    test_matches_brute_force(spark)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
