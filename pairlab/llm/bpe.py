@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters handled at a time, and pre-tokens remembered, by one Python worker.
-CHUNK_CHARS = 16_000_000
-CACHE_WORDS = 500_000
+CHUNK_CHARS = 4_000_000
+CACHE_WORDS = 250_000
 #: Up to so many positions, plain Python is quicker than array operations.
 SMALL = 24
 
@@ -164,16 +164,7 @@ class PairIndexBPE:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; strings of special tokens in a text become those tokens."""
-        out: list[np.ndarray] = []
-        chunk: list[str] = []
-        chars = 0
-        for text in texts:
-            chunk.append(text)
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                out += self._encode(chunk)
-                chunk, chars = [], 0
-        return out + self._encode(chunk)
+        return [ids for part in chunks(texts) for ids in self._encode(part)]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
@@ -214,6 +205,19 @@ class PairIndexBPE:
         return b"".join(map(self.id_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in parts of about CHUNK_CHARS characters."""
+    chunk: list[str] = []
+    chars = 0
+    for text in texts:
+        chunk.append(text)
+        chars += len(text)
+        if chars >= CHUNK_CHARS:
+            yield chunk
+            chunk, chars = [], 0
+    yield chunk
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> PairIndexBPE:
     """The vocabulary at path, read once in each Python worker."""
@@ -233,10 +237,14 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            ids = bpe.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*names, ids_col])
+            at = 0
+            for texts in chunks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
+                ids = bpe.encode(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                carried = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*carried, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*names, ids_col])
+                at += len(texts)
 
     return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, schema)
 
