@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, suffix, url_filter
+from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, suffix, token_store, url_filter
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,6 +100,13 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of every document to token files and read them back."""
+    path = token_store.store_folder(spark)
+    token_store.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, path)
+    return token_store.read_tokens(spark, path)
+
+
 def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group documents whose shingle sets are alike to 85 %."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op8_token_files": op8_token_files,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
 }
