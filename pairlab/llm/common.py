@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["StorageLevel", "cut", "table", "words_native"]
-
 #: Separators of words: space and the control characters 0x09 to 0x0D.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
@@ -19,16 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and go on from there, so that no lineage is left behind.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary folder is taken.
+    release lets the driver drop what it no longer refers to, with which Spark removes the shuffle files of df's plan.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    schema = df.schema
+    if release:
+        del df
+        for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+    return spark.read.schema(schema).parquet(path)
 
 
 def words_native(text: Column) -> Column:

@@ -1,14 +1,15 @@
 """Near-duplicate documents by MinHash.
 
 Each document's set of word shingles gives a signature of universal-hash minima. Documents of equal sets form a class,
-of which the least id goes on. Bands of the signatures deal the classes into buckets; pairs of a bucket are first
+of which the least id goes on. Bands of the signatures deal the classes into buckets; pairs are first
 compared by signature, then confirmed on their full sets, and confirmed links become components by alternating
 large-star and small-star steps.
 
-Buckets may be large, so their pairs are not all made. In each round every bucket compares all its members with one of
-them, drawn anew, that is not yet in their component; what is linked needs no further comparison. Once the pairs that
-remain between different components are few against the number of classes, or rounds no longer help, all of them are
-compared: that last step leaves out none.
+Buckets may be large and overlap, so their pairs are not made. Classes that share buckets, directly or through others,
+form loose groups, each class in one of them; its full set is sent there once. A task compares the documents of a group
+and gives just enough confirmed links to join all that belong together; pairs joined already are not looked at. A group
+beyond ``BLOCK`` documents is compared block with block, so that none is left out and no task holds more than two
+blocks.
 
 Words are what lies between space and the control characters 0x09 to 0x0D, with A-Z lower-cased. A document with fewer
 words than a shingle has one shingle of all of them. Defined cases: a null or blank text has no shingles and is linked
@@ -33,8 +34,8 @@ from pairlab.llm.components import connected_components
 U = np.uint64
 #: Bands and minima in each: at a similarity of 0.85 a pair shares no band with a probability of 4e-7, at 0.8 of 4e-5.
 BANDS, ROWS = 25, 5
-#: Rounds with one drawn member for each bucket before what remains is compared in full.
-ROUNDS = 6
+#: Documents of a group that are compared at a time.
+BLOCK = 1000
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -99,71 +100,90 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def _likely(least: float):
-    """Of rows (a, b, signature_a, signature_b), the pairs (a, b) whose signatures agree in a share of at least least."""
-
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-                ok = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                sets = [shingle_set(t.as_py() or b"", words).tobytes() for t in part.column(1)]
+                keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "shingles"])
 
     return run
 
 
-def _confirmed(percent: int):
-    """Of rows (a, b, set_a, set_b), the pairs (a, b) whose sets are alike enough."""
+def confirmed_links(reps: np.ndarray, block: np.ndarray, minima: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among documents, enough of them to join all that are alike; with two blocks, those between the blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+    A pair that is joined already is not looked at. Others are compared by signature and then on their full sets, one
+    document with all its candidates at a time.
+    """
+    share = percent / 100
+    # Five standard deviations of the signature's estimate below the threshold.
+    least = (share - 5 * (share * (1 - share) / minima.shape[1]) ** 0.5) * minima.shape[1]
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(lengths)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    present = np.zeros(len(codes), bool)
+    cross = block.min() != block.max()
+    _, label = np.unique(reps, return_inverse=True)
+    links = []
+    for x in range(len(sets) - 1):
+        near = label[x + 1 :] != label[x]
+        if cross:
+            near &= block[x + 1 :] != block[x]
+        near = x + 1 + np.flatnonzero(near)
+        near = near[(minima[near] == minima[x]).sum(axis=1) >= least]
+        if not len(near):
+            continue
+        own = codes[ends[x] - lengths[x] : ends[x]]
+        present[own] = True
+        if len(near) < 32:
+            both = np.array([present[codes[ends[y] - lengths[y] : ends[y]]].sum() for y in near])
+        else:
+            hits = np.concatenate([[0], np.cumsum(present[codes[ends[x] :]])])
+            both = hits[ends[near] - ends[x]] - hits[ends[near] - lengths[near] - ends[x]]
+        present[own] = False
+        for y in near[100 * both >= percent * (lengths[x] + lengths[near] - both)].tolist():
+            if label[y] != label[x]:
+                links.append((int(reps[x]), int(reps[y])))
+                label[label == label[y]] = label[x]
+    return links
 
-    return run
 
+def _confirmed(percent: int):
+    """Links from rows (group, i, j, own, rep, signature, shingles) in order of their groups."""
 
-def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group = None
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                minima = np.frombuffer(b"".join(r[2] for r in held), "<u4").reshape(len(held), -1)
+                sets = [np.frombuffer(r[3], U) for r in held]
+                found.extend(confirmed_links(np.array([r[1] for r in held]), np.array([r[0] for r in held]), minima, sets, percent))
+            held.clear()
+
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py() or b"", words).tobytes() for t in part.column(1)], pa.binary())], names=["doc_id", "shingles"])
+                columns = [c.to_pylist() for c in batch.slice(i, 1000).columns]
+                for *key, own, rep, minima, shingles in zip(*columns, strict=True):
+                    if key != group:
+                        close()
+                        group = key
+                    held.append((own, rep, minima, shingles))
+                links = np.array(found, np.int64).reshape(-1, 2)
+                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        close()
+        links = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
 
 
-class _Links:
-    """Confirms pairs of classes."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, words: int):
-        self.docs, self.classes, self.percent, self.words = docs, classes, percent, words
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        minima = self.classes.select("rep", "signature")
-        both = (
-            pairs.join(minima.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
-            .join(minima.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
-        )
-        # Five standard deviations of the estimate below the threshold.
-        share = self.percent / 100
-        likely = cut(both.mapInArrow(_likely(share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5), "a long, b long"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # A class is known by the least id that has its set, and by the set's digest where rows repeat an id.
-        texts = self.docs.join(wanted, "doc_id", "left_semi")
-        sets = cut(texts.mapInArrow(_sets(self.words), "doc_id long, shingles binary").groupBy("doc_id", F.md5("shingles").alias("k")).agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles"))
-        return cut(
-            likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-            .mapInArrow(_confirmed(self.percent), "a long, b long").distinct()
-        )
-
-
 def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id and kept.
 
@@ -172,40 +192,25 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"))
     rows = cut(signatures(docs, words))
     known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), release=True)
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * ROWS + 1, F.lit(4 * ROWS)))))
-    spread = classes.select("rep", bands.alias("bucket")).distinct()
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(spread.join(shared.select("bucket"), "bucket"))
-    links = _Links(docs.where("doc_id IS NOT NULL"), classes, percent, words)
-    # Rows that repeat an id join the classes of their texts.
-    found = known.join(classes.select("set_key", "rep"), "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    confirmed = None
-    total = classes.count()
-    for round_number in range(ROUNDS + 1):
-        if confirmed is None:
-            now = members.withColumn("comp", F.col("rep"))
-        else:
-            parts = connected_components(confirmed)
-            now = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        now = cut(now)
-        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        open_pairs = sizes.select(((F.col("n") * F.col("n") - F.col("s")) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if not open_pairs:
-            break
-        last = open_pairs <= 4 * total or round_number == ROUNDS
-        if last:
-            other = now.select("bucket", F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-            pairs = now.join(other, "bucket").where("comp < c2").select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
-        else:
-            drawn = now.groupBy("bucket").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(round_number))).alias("d"), F.count_distinct("comp").alias("n")).where("n > 1")
-            pairs = now.join(drawn.select("bucket", F.col("d.rep").alias("r2"), F.col("d.comp").alias("c2")), "bucket").where("comp != c2").select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
-        more = links.confirm(pairs)
-        confirmed = more if confirmed is None else confirmed.unionByName(more)
-        if last:
-            break
-    edges = found if confirmed is None else found.unionByName(confirmed)
-    parts = connected_components(edges)
-    joined = rows.join(parts, rows.doc_id == parts.node, "left")
+    spread = classes.select("rep", bands.alias("bucket"))
+    leaders = spread.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader < other")
+    loose = connected_components(cut(spread.join(leaders, "bucket").select("rep", "leader").where("rep != leader").distinct(), release=True), "rep", "leader")
+    loose = cut(loose)
+    # Groups beyond BLOCK are compared block by block.
+    parts = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = loose.join(parts, "component").select("component", F.col("node").alias("rep"), "parts").withColumn("own", own)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    texts = docs.where("doc_id IS NOT NULL").join(loose.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(words), "rep long, set_key binary, shingles binary").join(classes, ["rep", "set_key"]).dropDuplicates(["rep", "set_key"])
+    work = sets.join(dealt, "rep").withColumn("p", F.explode(pairs)).select("component", "p.i", "p.j", "own", "rep", "signature", "shingles")
+    keys = ["component", "i", "j"]
+    confirmed = cut(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(percent), "a long, b long"), release=True)
+    # Rows that repeat an id join the classes of all their texts.
+    same = known.join(classes.select("set_key", "rep"), "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    joined = connected_components(same.unionByName(confirmed))
+    result = rows.join(joined, rows.doc_id == joined.node, "left")
     component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
