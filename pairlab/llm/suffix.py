@@ -155,10 +155,9 @@ def _contested_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for doc, text, mark, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for doc, text, mark, digits, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
-                digits, places = (items.values.field(i).to_numpy() for i in (0, 1))
-                for digit, place in zip(digits.tolist(), places.tolist(), strict=True):
+                for digit, place in zip(digits.values.to_pylist(), places.values.to_pylist(), strict=True):
                     if place >> 47 == mark:
                         start = place >> 16 & 0x7FFFFFFF
                         for column, value in zip(rows, (digit, doc, place, bytes(raw[start : start + (place & 255) + width])), strict=True):
@@ -217,10 +216,11 @@ def _sort_contested(width: int):
             # Neighbouring windows of one row become one span.
             order = np.lexsort((place, doc))
             doc, place = doc[order], place[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) >> 16 > 1)) if len(doc) else np.zeros(0, bool)
+            window = place >> 16
+            new = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(window) > 1) | (np.diff(window // 200) > 0)) if len(doc) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-            return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(place[first]), pa.array((place[last] - place[first] >> 16) + width)], names=["doc_id", "place", "length"])
+            return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(place[first] | window[last] - window[first])], names=["doc_id", "place"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -242,7 +242,7 @@ def _sort_contested(width: int):
     return run
 
 
-def _removed():
+def _removed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
@@ -255,12 +255,12 @@ def _removed():
                     kept.append(data.tobytes())
                     spans.append([])
                     continue
-                place, length = (items.values.field(i).to_numpy() for i in (0, 1))
-                own = place >> 47 == mark
-                start = place[own] >> 16 & 0x7FFFFFFF
+                place = items.values.to_numpy()
+                place = place[place >> 47 == mark]
+                start = place >> 16 & 0x7FFFFFFF
                 depth = np.zeros(len(data) + 1, np.int64)
                 np.add.at(depth, start, 1)
-                np.add.at(depth, start + length[own], -1)
+                np.add.at(depth, start + (place & 255) + width, -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 n_removed.append(int(gone.sum()))
@@ -286,21 +286,24 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"), *(F.col(c).alias(f"__{c}") for c in keep))
     mark = F.pmod(F.xxhash64("__text"), F.lit(65536)).alias("__mark")
     named = docs.where("doc_id IS NOT NULL")
-    found = named.select("doc_id", "__text", mark).mapInArrow(_all_runs(width), RUNS)
-    settled = cut(found.repartition("digit").sortWithinPartitions("digit", "content", "doc_id").mapInArrow(_settle, "digit long, doc_id long, place long"))
+    settled = cut(
+        named.select("doc_id", "__text", mark).mapInArrow(_all_runs(width), RUNS)
+        .repartition("digit").sortWithinPartitions("digit", "content", "doc_id").mapInArrow(_settle, "digit long, doc_id long, place long"),
+        release=True,
+    )
     mine = named.select("doc_id", "__text", *(f"__{c}" for c in keep)).repartition("doc_id")
-    contested = settled.where("digit IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("digit", "place")).alias("__items"))
+    contested = settled.where("digit IS NOT NULL").groupBy("doc_id").agg(F.collect_list("digit").alias("__digits"), F.collect_list("place").alias("__places"))
     windows = (
-        mine.join(contested.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__items").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
-        .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long, length long")
+        mine.join(contested.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__digits", "__places").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
+        .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long")
     )
-    whole = settled.where("digit IS NULL").select("doc_id", "place", (F.col("place").bitwiseAND(255) + width).alias("length"))
-    spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("place", "length")).alias("__items"))
-    result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn("__items", F.lit(None).cast("array<struct<place:long,length:long>>"))
+    whole = settled.where("digit IS NULL").select("doc_id", "place")
+    spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list("place").alias("__items"))
+    result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn("__items", F.lit(None).cast("array<long>"))
     joined = mine.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "__text", *(f"__{c}" for c in keep), "__items").unionByName(result)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, spans array<struct<start:long,end:long>>"
     schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.select("doc_id", "__text", mark, "__items", *(F.col(f"__{c}").alias(c) for c in keep)).mapInArrow(_removed(), schema)
+    return joined.select("doc_id", "__text", mark, "__items", *(F.col(f"__{c}").alias(c) for c in keep)).mapInArrow(_removed(width), schema)
 
 
 def kept_text(df: DataFrame, out_col: str = "text") -> DataFrame:
