@@ -1 +1,204 @@
-"""To be filled."""
+"""Queries of feature separability over embeddings: entries below zero count as zero, arms are one label against the rest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pairlab.operators import features as fx
+from pairlab.registry import query, table
+
+LONG = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS f FROM embeddings),
+cat AS (SELECT unnest(range(3)) AS category),
+d AS (SELECT category, vec_id, f AS feature_id, label = category AS u, CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v FROM e, cat),
+z AS (SELECT category, count(*) FILTER (label = category) AS nu, count(*) FILTER (label <> category) AS ns FROM embeddings, cat GROUP BY 1)
+"""
+
+
+def long(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.posexplode("embedding").alias("feature_id", "value")).where("value > 0")
+    arms = vectors.select("*", F.explode(F.expr("sequence(0L, 2L)")).alias("category"))
+    return arms.select("category", "sample_id", F.col("feature_id").cast("long").alias("feature_id"), F.col("value").cast("double").alias("value"), F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
+
+
+def sizes(spark, sf):
+    labels = table(spark, sf, "embeddings").select("label", F.explode(F.expr("sequence(0L, 2L)")).alias("category"))
+    return labels.groupBy("category").agg(F.count_if(F.col("label") == F.col("category")).alias("n_unsafe"), F.count_if(F.col("label") != F.col("category")).alias("n_safe"))
+
+
+def rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 8) for c in cols})
+
+
+KEYS = ["category"]
+X1 = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS f FROM embeddings), a AS (SELECT label, vec_id, count(*) FILTER (x > 0) AS a FROM e GROUP BY ALL), p AS (SELECT label, count(*) AS n_samples, round(avg(a), 8) AS active_mean, round(stddev_samp(a), 8) AS active_sd, round(1 - avg(a) / 64, 8) AS sparsity FROM a GROUP BY 1), m AS (SELECT label, round(avg(CAST(x AS DOUBLE)), 8) AS magnitude_mean, round(stddev_samp(CAST(x AS DOUBLE)), 8) AS magnitude_sd, CAST(max(x) AS DOUBLE) AS magnitude_max, count(DISTINCT f) AS features_ever_active FROM e WHERE x > 0 GROUP BY 1)"
+
+
+def stats(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("sample_id"), "embedding")
+    active = vectors.select("label", "sample_id", F.posexplode("embedding").alias("feature_id", "value")).where("value > 0").withColumn("value", F.col("value").cast("double"))
+    return fx.activation_stats(active, vectors.select("label", "sample_id"), ["label"], 64)
+
+
+@query("x1_activation_stats", X1 + " SELECT * FROM p JOIN m USING (label)")
+def x1(spark, sf):
+    return rounded(stats(spark, sf)[0], "active_mean", "active_sd", "sparsity", "magnitude_mean", "magnitude_sd")
+
+
+@query("x1_top_features", X1 + ", t AS (SELECT label, CAST(f AS INTEGER) AS feature_id, count(*) AS n_active FROM e WHERE x > 0 GROUP BY ALL) SELECT label, feature_id, n_active, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n_active DESC, feature_id) AS r FROM t) WHERE r <= 20")
+def x1_top(spark, sf):
+    return stats(spark, sf)[1]
+
+
+@query("x2_feature_freq", LONG + "SELECT category, feature_id, count(*) FILTER (u AND v > 0.05) / max(nu) AS freq_unsafe, count(*) FILTER (NOT u AND v > 0.05) / max(ns) AS freq_safe, round(avg(v) FILTER (u AND v > 0.05), 8) AS magnitude_unsafe, round(avg(v) FILTER (NOT u AND v > 0.05), 8) AS magnitude_safe FROM d JOIN z USING (category) GROUP BY ALL")
+def x2(spark, sf):
+    return rounded(fx.feature_freq(long(spark, sf), sizes(spark, sf), KEYS, 0.05), "magnitude_unsafe", "magnitude_safe")
+
+
+HIST = """, r AS (SELECT category, feature_id, min(v) AS lo, max(v) AS hi FROM d GROUP BY ALL),
+b AS (SELECT category, feature_id, least(floor((v - lo) / (hi - lo) * 20), 19) AS bin, count(*) FILTER (u) AS cu, count(*) FILTER (NOT u) AS cs FROM d JOIN r USING (category, feature_id) GROUP BY ALL),
+h AS (SELECT category, feature_id, 1 - sum(least(cu / nu, cs / ns)) AS hist_dist FROM b JOIN z USING (category) GROUP BY ALL),
+mu AS (SELECT category, feature_id, abs(coalesce(sum(v) FILTER (u), 0) / max(nu) - coalesce(sum(v) FILTER (NOT u), 0) / max(ns)) AS delta_mu FROM d JOIN z USING (category) GROUP BY ALL),
+c AS (SELECT category, feature_id, v, count(*) FILTER (u) AS cu, count(*) FILTER (NOT u) AS cs FROM d GROUP BY ALL),
+k AS (SELECT category, feature_id, max(abs(fu / nu - fs / ns)) AS ks_stat FROM (SELECT category, feature_id, sum(cu) OVER w AS fu, sum(cs) OVER w AS fs FROM c WINDOW w AS (PARTITION BY category, feature_id ORDER BY v)) JOIN z USING (category) GROUP BY ALL)
+"""
+
+
+@query("x3_hist_distance", LONG + HIST + "SELECT category, feature_id, round(hist_dist, 8) AS hist_dist FROM h")
+def x3(spark, sf):
+    return rounded(fx.hist_distance(long(spark, sf), sizes(spark, sf), KEYS), "hist_dist")
+
+
+@query("x4_mean_diff", LONG + HIST + "SELECT category, feature_id, round(delta_mu, 8) AS delta_mu FROM mu")
+def x4(spark, sf):
+    return rounded(fx.mean_diff(long(spark, sf), sizes(spark, sf), KEYS), "delta_mu")
+
+
+@query("x5_ks_stat", LONG + HIST + "SELECT category, feature_id, round(ks_stat, 8) AS ks_stat FROM k")
+def x5(spark, sf):
+    return rounded(fx.ks_stat(long(spark, sf), sizes(spark, sf), KEYS), "ks_stat")
+
+
+RANKED = LONG + HIST + """, p AS (SELECT *, 0.4 * hist_dist + 0.4 * delta_mu AS partial FROM h JOIN mu USING (category, feature_id)), q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(partial, 10) DESC, feature_id) AS r FROM p) WHERE r <= 30),
+s AS (SELECT q.category, q.feature_id, hist_dist, delta_mu, ks_stat, round(partial + 0.2 * ks_stat, 8) AS score FROM q JOIN k USING (category, feature_id)) """
+
+
+def ranked(spark, sf):
+    return fx.rank_features(long(spark, sf), sizes(spark, sf), KEYS, preselect=30, keep=15)
+
+
+@query("x6_rank_features", RANKED + "SELECT category, feature_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, feature_id) AS r FROM s) WHERE r <= 15")
+def x6(spark, sf):
+    return rounded(ranked(spark, sf), "score").select("category", "feature_id", "score", "rank")
+
+
+PRUNED = LONG + HIST + """, q AS (SELECT category, feature_id, count(*) FILTER (u AND v > 0) / max(nu) AS fu, count(*) FILTER (NOT u AND v > 0) / max(ns) AS fs FROM d JOIN z USING (category) GROUP BY ALL), t AS (SELECT q.*, delta_mu FROM q JOIN mu USING (category, feature_id)),
+w AS (SELECT category, feature_id, concat_ws(';', CASE WHEN delta_mu < 0.01 THEN 'weak' END, CASE WHEN fu > 0.5 AND fs > 0.5 THEN 'frequent' END) AS reasons_and, concat_ws(';', CASE WHEN delta_mu < 0.01 THEN 'weak' END, CASE WHEN fu > 0.5 OR fs > 0.5 THEN 'frequent' END) AS reasons_or FROM t) """
+
+
+@query("x7_prune", PRUNED + "SELECT *, reasons_and = '' AS keep_and, reasons_or = '' AS keep_or FROM w")
+def x7(spark, sf):
+    l, z = long(spark, sf), sizes(spark, sf)
+    both = fx.feature_freq(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), ["category", "feature_id"])
+    first = fx.prune(both, {"weak": F.col("delta_mu") < 0.01, "frequent": fx.high_frequency(0.5, False)}).withColumnsRenamed({"reasons": "reasons_and", "keep": "keep_and"})
+    second = fx.prune(first, {"weak": F.col("delta_mu") < 0.01, "frequent": fx.high_frequency(0.5, True)}).withColumnsRenamed({"reasons": "reasons_or", "keep": "keep_or"})
+    return second.select("category", "feature_id", "reasons_and", "keep_and", "reasons_or", "keep_or")
+
+
+@query("x8_weight_sensitivity", LONG + HIST + """, w AS (SELECT * FROM (VALUES ('W1', 0.4, 0.4, 0.2), ('W2', 1.0, 0.0, 0.0), ('W3', 0.0, 1.0, 0.0), ('W4', 0.0, 0.0, 1.0), ('W5', 0.2, 0.2, 0.6)) v(weight_id, a, b, c)),
+s AS (SELECT weight_id, category, feature_id, round(a * round(hist_dist, 8) + b * round(delta_mu, 8) + c * round(ks_stat, 8), 9) AS x FROM h JOIN mu USING (category, feature_id) JOIN k USING (category, feature_id), w)
+SELECT weight_id, category, feature_id, CAST(row_number() OVER (PARTITION BY weight_id, category ORDER BY x DESC, feature_id) AS INTEGER) AS rank FROM s""")
+def x8(spark, sf):
+    l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
+    scores = rounded(fx.hist_distance(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(fx.ks_stat(l, z, KEYS), by), "hist_dist", "delta_mu", "ks_stat")
+    weights = spark.createDataFrame([("W1", 0.4, 0.4, 0.2), ("W2", 1.0, 0.0, 0.0), ("W3", 0.0, 1.0, 0.0), ("W4", 0.0, 0.0, 1.0), ("W5", 0.2, 0.2, 0.6)], "weight_id string, w_hist double, w_mu double, w_ks double")
+    return fx.weight_sensitivity(scores, weights, KEYS).select("weight_id", "category", "feature_id", "rank")
+
+
+AUC = LONG + HIST + ", au AS (SELECT category, feature_id, sum(cu * (coalesce(below, 0) + cs / 2)) / max(nu * ns) AS auc FROM (SELECT *, sum(cs) OVER (PARTITION BY category, feature_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM c) JOIN z USING (category) GROUP BY ALL) "
+
+
+@query("x9_auc", AUC + "SELECT category, feature_id, round(auc, 8) AS auc FROM au")
+def x9(spark, sf):
+    return rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc")
+
+
+@query("x10_mutual_info", LONG + """, a AS (SELECT category, feature_id, min(v) AS lo, max(v) AS hi FROM d WHERE v > 0 GROUP BY ALL),
+b AS (SELECT category, feature_id, CASE WHEN v > 0 THEN CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 10), 9) ELSE 0 END ELSE -1 END AS bin, count(*) FILTER (u) AS cu, count(*) FILTER (NOT u) AS cs FROM d JOIN a USING (category, feature_id) GROUP BY ALL)
+SELECT category, feature_id, round(sum(CASE WHEN cu > 0 THEN cu / (nu + ns) * ln(cu * (nu + ns) / ((cu + cs) * nu)) ELSE 0 END + CASE WHEN cs > 0 THEN cs / (nu + ns) * ln(cs * (nu + ns) / ((cu + cs) * ns)) ELSE 0 END), 8) AS mi FROM b JOIN z USING (category) GROUP BY ALL""")
+def x10(spark, sf):
+    return rounded(fx.mutual_info(long(spark, sf), sizes(spark, sf), KEYS), "mi")
+
+
+SEM = AUC + """, n AS (SELECT feature_id, CAST(feature_id % 3 AS VARCHAR) AS validated, arg_max(CAST(category AS VARCHAR), (auc, CAST(category AS VARCHAR))) AS primary_category, max(auc) AS primary_auc FROM (SELECT category, feature_id, round(auc, 8) AS auc FROM au) GROUP BY ALL),
+sem AS (SELECT n.*, primary_category = validated AS category_match, CASE WHEN primary_auc >= 0.55 THEN primary_category ELSE validated END AS assigned_category, (feature_id * 37 % 100) / 100 AS repair_rate, (feature_id * 13 % 40) / 100 AS corrupt_rate,
+  coalesce((SELECT string_agg(CAST(category AS VARCHAR), ',' ORDER BY category) FROM au WHERE au.feature_id = n.feature_id AND round(auc, 8) >= 0.55 AND CAST(category AS VARCHAR) <> primary_category), '') AS cross_categories FROM n) """
+
+
+def semantics(spark, sf):
+    aucs = rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc").select("feature_id", F.col("category").cast("string").alias("category"), "auc", (F.col("feature_id") % 3).cast("string").alias("validated"))
+    tags = aucs.select("category").distinct().withColumn("tags", F.array(F.concat(F.lit("tag"), "category"), F.lit("all")))
+    sem = fx.assign_semantics(aucs, ["feature_id"], tags, "validated")
+    return sem.withColumns({"repair_rate": (F.col("feature_id") * 37 % 100) / 100, "corrupt_rate": (F.col("feature_id") * 13 % 40) / 100})
+
+
+@query("x11_assign_semantics", SEM + "SELECT feature_id, validated, primary_category, primary_auc, category_match, assigned_category, cross_categories, 'tag' || assigned_category || ',all' AS tags FROM sem")
+def x11(spark, sf):
+    return semantics(spark, sf).select("feature_id", "validated", "primary_category", "primary_auc", "category_match", "assigned_category", F.array_join("cross_categories", ",").alias("cross_categories"), F.array_join("assigned_tags", ",").alias("tags"))
+
+
+@query("x12_build_groups", SEM + """, t AS (SELECT 'B' AS group_type, *, row_number() OVER (PARTITION BY validated ORDER BY primary_auc DESC, feature_id) AS r FROM sem WHERE category_match UNION ALL SELECT 'C', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem WHERE repair_rate >= 0.7 AND corrupt_rate <= 0.1 UNION ALL SELECT 'A', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem)
+SELECT validated || '-' || group_type AS group_id, string_agg(CAST(feature_id AS VARCHAR), ',' ORDER BY r) AS feature_ids, round(avg(repair_rate), 8) AS repair_rate, round(avg(corrupt_rate), 8) AS corruption_rate, avg(CAST(category_match AS INT)) AS semantic_purity, round(avg(primary_auc), 7) AS avg_auc, array_to_string(list_sort(list_distinct(flatten(list(['tag' || assigned_category, 'all'])))), ',') AS tags FROM t WHERE r <= 5 GROUP BY validated, group_type""")
+def x12(spark, sf):
+    g = fx.build_groups(semantics(spark, sf), ["validated"])
+    return g.select("group_id", F.array_join("feature_ids", ",").alias("feature_ids"), F.round("repair_rate", 8).alias("repair_rate"), F.round("corruption_rate", 8).alias("corruption_rate"), "semantic_purity", F.round("avg_auc", 7).alias("avg_auc"), F.array_join("tags", ",").alias("tags"))
+
+
+def groups(spark, sf):
+    return sizes(spark, sf).select("category").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g")).select(F.concat_ws("-", F.col("category").cast("string"), F.col("g").cast("string")).alias("group_id"), "category", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i * 3 + F.col("g") * 20).cast("long")).alias("feature_ids"))
+
+
+@query("x13_repair_proxy", LONG + """, g AS (SELECT category, k, category || '-' || k AS group_id, i * 3 + k * 20 AS feature_id FROM cat, (SELECT unnest([0, 1]) AS k), (SELECT unnest(range(5)) AS i)),
+t AS (SELECT category, feature_id, avg(v) FILTER (NOT u) + stddev_samp(v) FILTER (NOT u) AS t FROM d GROUP BY ALL), s AS (SELECT d.category, d.feature_id, avg(CAST(v > t AS INT)) AS share FROM d JOIN t USING (category, feature_id) WHERE u GROUP BY ALL)
+SELECT group_id, round(avg(share), 8) AS repair_proxy FROM g JOIN s USING (category, feature_id) GROUP BY 1""")
+def x13(spark, sf):
+    return rounded(fx.repair_proxy(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)), "repair_proxy")
+
+
+@query("x14_group_stability")
+def x14(spark, sf):
+    members = groups(spark, sf).select("group_id", "category", F.explode("feature_ids").alias("feature_id"))
+    return fx.group_stability(long(spark, sf).join(members, ["category", "feature_id"]).select("group_id", "sample_id", "arm", "feature_id", "value"))
+
+
+@query("x15_direction_vectors", LONG.replace("CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v", "CAST(x AS DOUBLE) AS v") + """, f AS (SELECT category, feature_id, avg(v) FILTER (u) - avg(v) FILTER (NOT u) AS q FROM d GROUP BY ALL), n AS (SELECT category, sqrt(sum(q * q)) AS norm FROM f GROUP BY 1)
+SELECT category, CAST(feature_id AS INTEGER) AS dim, round(q / norm * (SELECT avg(norm) FROM n), 8) AS direction, round(norm, 8) AS norm FROM f JOIN n USING (category)""")
+def x15(spark, sf):
+    samples = table(spark, sf, "embeddings").select("embedding", "label", F.explode(F.expr("sequence(0L, 2L)")).alias("category")).select("category", F.lit(1).alias("layer"), "embedding", F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
+    return rounded(fx.direction_vectors(samples, ["layer", "category"], "layer", "embedding"), "direction", "norm").drop("layer")
+
+
+@query("x16_build_states")
+def x16(spark, sf):
+    return fx.build_states(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", [str(i) for i in range(10)], [[0, 1, 2], [10, 20, 30, 40]], 32)
+
+
+RECON = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, list_transform(embedding, lambda v: CASE WHEN CAST(v AS DOUBLE) > 0.05 THEN round(CAST(v AS DOUBLE), 1) ELSE 0.0 END) AS y FROM embeddings), q AS (SELECT vec_id, label, x, y, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS er, list_sum(list_transform(x, lambda v: v * v)) AS xx, list_sum(list_transform(y, lambda v: v * v)) AS yy, list_sum(list_transform(list_zip(x, y), lambda p: p[1] * p[2])) AS xy, len(list_filter(y, lambda v: v <> 0)) AS l0 FROM e) "
+
+
+def recon(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.transform("embedding", lambda v: F.when(v.cast("double") > 0.05, F.round(v.cast("double"), 1)).otherwise(0.0)).alias("y"))
+
+
+@query("x17_reconstruction_metrics", RECON + "SELECT vec_id, round(sqrt(er) / nullif(sqrt(xx), 0), 8) AS relative_l2, round(er / 64, 8) AS mse, CAST(l0 AS INTEGER) AS l0, l0 / 64 AS active_fraction, round(xy / nullif(sqrt(xx) * sqrt(yy), 0), 8) AS cosine FROM q")
+def x17(spark, sf):
+    return rounded(fx.reconstruction_metrics(recon(spark, sf), "x", "y"), "relative_l2", "mse", "cosine").drop("x", "y", "label")
+
+
+@query("x17_reconstruction_summary", RECON + "SELECT label, count(*) AS n, round(avg(m), 8) AS mean, round(quantile_cont(m, 0.5), 8) AS median, round(stddev_pop(m), 8) AS sd, round(min(m), 8) AS min, round(max(m), 8) AS max, avg(m) <= 0.7 AS viable FROM (SELECT *, sqrt(er) / sqrt(xx) AS m FROM q) GROUP BY 1")
+def x17_summary(spark, sf):
+    return rounded(fx.reconstruction_summary(fx.reconstruction_metrics(recon(spark, sf), "x", "y"), ["label"], 0.7), "mean", "median", "sd", "min", "max")
+
+
+@query("x18_fidelity_global", RECON + ", l AS (SELECT label, unnest(x) AS a, unnest(y) AS b, unnest(range(64)) AS dim FROM e), p AS (SELECT label, dim, sum((a - b) * (a - b)) AS sse, sum(a) AS s1, sum(a * a) AS s2, count(*) AS n, count(*) FILTER (b <> 0) AS active FROM l GROUP BY ALL) SELECT label, round(sum(sse), 7) AS sse, round(sum(s2), 7) AS sum_squares, round(sum(s2 - s1 * s1 / n), 7) AS centred, CAST(sum(active) AS BIGINT) AS active, round(1 - sum(sse) / sum(s2 - s1 * s1 / n), 7) AS explained_variance FROM p GROUP BY 1")
+def x18(spark, sf):
+    return fx.fidelity_global(recon(spark, sf), ["label"], "x", "y").withColumns({c: F.round(c, 7) for c in ("sse", "sum_squares", "centred", "explained_variance")})
