@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Language aliases.
 LANGUAGES = {"c++": "C++", "cpp": "C++", "c": "C", "c#": "C#", "csharp": "C#", "js": "JavaScript", "javascript": "JavaScript", "java": "Java", "py": "Python", "python": "Python", "php": "PHP", "rust": "Rust"}
@@ -192,7 +193,7 @@ def choice_letter(col: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.upper(column(col)), "[ABCD]", 0), F.lit("")), F.lit("X"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def py_syntax_ok(codes: pd.Series) -> pd.Series:
     """Whether a text parses as Python; null and blank texts don't count as valid."""
 
@@ -205,7 +206,7 @@ def py_syntax_ok(codes: pd.Series) -> pd.Series:
     return codes.map(ok).astype(bool)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff without its header."""
     return pd.Series(["\n".join(list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), lineterm="", n=0))[2:]) for x, y in zip(a, b, strict=True)])

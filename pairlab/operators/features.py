@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-U, S = F.col("arm") == "unsafe", F.col("arm") == "safe"
+def in_arm(arm: str) -> Column:
+    return F.col("arm") == arm
 
 
 def activation_stats(long: DataFrame, samples: DataFrame, keys: list[str], dims: int, top: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -31,12 +32,12 @@ def activation_stats(long: DataFrame, samples: DataFrame, keys: list[str], dims:
 def feature_freq(long: DataFrame, sizes: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
     """Share of samples above threshold and mean of those entries, in each arm."""
     on = F.col("value") > threshold
-    sums = long.groupBy(*keys, "feature_id").agg(F.count_if(on & U).alias("u"), F.count_if(on & S).alias("s"), F.avg(F.when(on & U, F.col("value"))).alias("magnitude_unsafe"), F.avg(F.when(on & S, F.col("value"))).alias("magnitude_safe"))
+    sums = long.groupBy(*keys, "feature_id").agg(F.count_if(on & in_arm("unsafe")).alias("u"), F.count_if(on & in_arm("safe")).alias("s"), F.avg(F.when(on & in_arm("unsafe"), F.col("value"))).alias("magnitude_unsafe"), F.avg(F.when(on & in_arm("safe"), F.col("value"))).alias("magnitude_safe"))
     return sums.join(F.broadcast(sizes), keys).select(*keys, "feature_id", F.try_divide("u", "n_unsafe").alias("freq_unsafe"), F.try_divide("s", "n_safe").alias("freq_safe"), "magnitude_unsafe", "magnitude_safe")
 
 
 def mean_diff(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    sums = long.groupBy(*keys, "feature_id").agg(F.sum(F.when(U, F.col("value")).otherwise(0.0)).alias("u"), F.sum(F.when(S, F.col("value")).otherwise(0.0)).alias("s"))
+    sums = long.groupBy(*keys, "feature_id").agg(F.sum(F.when(in_arm("unsafe"), F.col("value")).otherwise(0.0)).alias("u"), F.sum(F.when(in_arm("safe"), F.col("value")).otherwise(0.0)).alias("s"))
     return sums.join(F.broadcast(sizes), keys).select(*keys, "feature_id", F.abs(F.try_divide("u", "n_unsafe") - F.try_divide("s", "n_safe")).alias("delta_mu"))
 
 
@@ -44,12 +45,12 @@ def hist_distance(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int
     """1 less the overlap of the arms' histograms over equal bins of the pooled range (last bin closed); 0 for ranges
     below 1e-8. Zeros that aren't rows widen the range and fill their bin."""
     by = [*keys, "feature_id"]
-    total = long.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(U).alias("u"), F.count_if(S).alias("s")).join(F.broadcast(sizes), keys)
+    total = long.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys)
     absent = (F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))
     total = total.withColumns({"lo": F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")), "hi": F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))})
     place = lambda v: F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     wide = total.where("hi - lo >= 1e-8")
-    filled = long.join(wide.select(*by, "lo", "hi"), by).groupBy(*by, place(F.col("value")).alias("bin")).agg(F.count_if(U).alias("cu"), F.count_if(S).alias("cs"))
+    filled = long.join(wide.select(*by, "lo", "hi"), by).groupBy(*by, place(F.col("value")).alias("bin")).agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
     zeros = wide.where((F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))).select(*by, place(F.lit(0.0)).alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
     counts = filled.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs")).join(F.broadcast(sizes), keys)
     overlap = counts.groupBy(*by).agg((1 - F.sum(F.least(F.try_divide("cu", "n_unsafe"), F.try_divide("cs", "n_safe")))).alias("d"))
@@ -59,8 +60,8 @@ def hist_distance(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int
 def weighted_values(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature_id, value, cu, cs): distinct values with their counts in each arm, zero being one of them."""
     by = [*keys, "feature_id"]
-    counts = long.groupBy(*by, "value").agg(F.count_if(U).alias("cu"), F.count_if(S).alias("cs"))
-    zeros = long.groupBy(*by).agg(F.count_if(U).alias("u"), F.count_if(S).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(0.0).cast(long.schema["value"].dataType).alias("value"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs")).where("cu + cs > 0")
+    counts = long.groupBy(*by, "value").agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
+    zeros = long.groupBy(*by).agg(F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(0.0).cast(long.schema["value"].dataType).alias("value"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs")).where("cu + cs > 0")
     return counts.unionByName(zeros)
 
 
@@ -117,8 +118,8 @@ def mutual_info(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int =
     by = [*keys, "feature_id"]
     reach = long.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    active = long.join(reach, by).groupBy(*by, place.alias("bin")).agg(F.count_if(U).alias("cu"), F.count_if(S).alias("cs"))
-    zeros = long.groupBy(*by).agg(F.count_if(U).alias("u"), F.count_if(S).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(-1).cast("long").alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
+    active = long.join(reach, by).groupBy(*by, place.alias("bin")).agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
+    zeros = long.groupBy(*by).agg(F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(-1).cast("long").alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
     counts = active.unionByName(zeros).join(F.broadcast(sizes), keys)
     n = F.col("n_unsafe") + F.col("n_safe")
     part = lambda c, m: F.when(F.col(c) > 0, F.col(c) / n * F.log(F.col(c) * n / ((F.col("cu") + F.col("cs")) * F.col(m)))).otherwise(0.0)
@@ -159,9 +160,9 @@ def repair_proxy(long: DataFrame, sizes: DataFrame, keys: list[str], groups: Dat
     members = groups.select("group_id", *keys, F.explode("feature_ids").alias("feature_id"))
     own = long.join(members.select(*by).distinct(), by, "left_semi")
     v = F.col("value")
-    sums = own.groupBy(*by).agg(F.sum(F.when(S, v).otherwise(0.0)).alias("s1"), F.sum(F.when(S, v * v).otherwise(0.0)).alias("s2"), F.count_if(U).alias("u")).join(F.broadcast(sizes), keys)
+    sums = own.groupBy(*by).agg(F.sum(F.when(in_arm("safe"), v).otherwise(0.0)).alias("s1"), F.sum(F.when(in_arm("safe"), v * v).otherwise(0.0)).alias("s2"), F.count_if(in_arm("unsafe")).alias("u")).join(F.broadcast(sizes), keys)
     limit = sums.withColumn("m", F.col("s1") / F.col("n_safe")).withColumn("t", F.col("m") + F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("n_safe") * F.col("m") * F.col("m")) / (F.col("n_safe") - 1))))
-    above = own.where(U).join(limit.select(*by, "t"), by).groupBy(*by).agg(F.count_if(v > F.col("t")).alias("k"))
+    above = own.where(in_arm("unsafe")).join(limit.select(*by, "t"), by).groupBy(*by).agg(F.count_if(v > F.col("t")).alias("k"))
     share = limit.join(above, by, "left").select(*by, ((F.coalesce("k", F.lit(0)) + F.when(F.col("t") < 0, F.col("n_unsafe") - F.col("u")).otherwise(0)) / F.col("n_unsafe")).alias("share"))
     return members.join(share, by, "left").groupBy("group_id").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"))
 
@@ -196,7 +197,7 @@ def group_stability(long: DataFrame, replicates: int = 50, k: int = 3, seed: int
 def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: str) -> DataFrame:
     """The unsafe mean less the safe mean in each dimension, scaled to the mean norm over its layer's keys."""
     long = samples.select(*keys, "arm", F.posexplode(vector).alias("dim", "value"))
-    diff = long.groupBy(*keys, "dim").agg((F.avg(F.when(U, F.col("value"))) - F.avg(F.when(S, F.col("value")))).alias("d"))
+    diff = long.groupBy(*keys, "dim").agg((F.avg(F.when(in_arm("unsafe"), F.col("value"))) - F.avg(F.when(in_arm("safe"), F.col("value")))).alias("d"))
     norm = diff.groupBy(*keys).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
     mean = norm.withColumn("layer_norm", F.avg("norm").over(Window.partitionBy(layer)))
     return diff.join(F.broadcast(mean), keys).select(*keys, "dim", (F.col("d") / F.nullif("norm", F.lit(0.0)) * F.col("layer_norm")).alias("direction"), "norm")

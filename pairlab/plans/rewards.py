@@ -13,7 +13,6 @@ ROLL = PAIRED + """, ro AS (SELECT prompt_id, method - 1 AS action_id, method =
 sc AS (SELECT *, CASE WHEN NOT valid THEN -1.0 ELSE CASE WHEN repaired THEN 1.0 + CASE WHEN bonus THEN 0.25 ELSE 0 END WHEN corrupted THEN -1.5 ELSE 0 END - CASE WHEN is_noop THEN 0 ELSE 0.05 * level END END :: DOUBLE AS reward FROM ro),
 rg AS (SELECT *, max(reward) OVER w AS best_reward, round(reward - max(reward) OVER w, 9) AS regret FROM sc WINDOW w AS (PARTITION BY prompt_id)), bs AS (SELECT *, abs(regret) <= 1e-6 AS is_best, best_reward > 0 AS actionable FROM rg),
 ju AS (SELECT *, min(CASE WHEN is_best THEN action_id END) OVER (PARTITION BY prompt_id) AS representative FROM bs) """
-BONUS = F.expr("category < '3'")
 
 
 def rollouts(spark, sf):
