@@ -22,10 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers.pre_tokenizers import ByteLevel
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of which Unicode tables of different ages say different things; texts with them are split by tokenizers.
+UNSETTLED = regex.compile("[\U00010000-\U0001EFFF\U0001FB00-\U0010FFFF]")
+
 #: Characters handled at a time, and pre-tokens remembered, by one Python worker.
 CHUNK_CHARS = 4_000_000
 CACHE_WORDS = 250_000
@@ -80,6 +84,7 @@ class PairIndexBPE:
         for token, i in self.special.items():
             self.id_bytes[i] = token.encode()
         self.words = regex.compile(PATTERN)
+        self.split = ByteLevel(add_prefix_space=False)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._forget()
 
@@ -169,9 +174,10 @@ class PairIndexBPE:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        find, place, old = self.words.findall, self.known.__getitem__, len(self.known)
+        place, old = self.known.__getitem__, len(self.known)
         pieces: list[np.ndarray] = []
         for text in texts:
+            find = self._library_words if UNSETTLED.search(text) else self.words.findall
             if self.cut and self.cut.search(text):
                 at, found = 0, []
                 for m in self.cut.finditer(text):
@@ -193,6 +199,9 @@ class PairIndexBPE:
             out.append(self.flat[np.repeat(self.starts[piece] - ends + counts, counts) + np.arange(total)])
         return out
 
+    def _library_words(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.split.pre_tokenize_str(text)]
+
     def _forget(self) -> None:
         """Start again with the special tokens alone."""
         self.known = Places(zip(self.special, range(len(self.special)), strict=False))
