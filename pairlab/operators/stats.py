@@ -115,12 +115,15 @@ def cluster_bootstrap(df: DataFrame, cluster: list[str], numerator: Column, deno
     return ratio_bootstrap(df, cluster, [("r", numerator, denominator)], {"ratio": (["r"], [])}, replicates, seed)
 
 
-def hashed_bootstrap(units: DataFrame, rank: str, n: int, values: list[str], replicates: int, seed: int) -> DataFrame:
-    """(replicate, sum of each value) where draw i of replicate r is the unit whose rank is a hash of (seed, r, i) modulo n.
-    A small exact variant that SQL can repeat; units have ranks 0 to n - 1."""
-    draws = units.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    pick = draws.select("replicate", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % n).alias(rank))
-    return pick.join(F.broadcast(units), rank).groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
+def hashed_bootstrap(units: DataFrame, order: str, draws: int, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, sum of each value) where draw i of replicate r is the unit whose place by order is a hash of (seed, r, i)
+    modulo their number. A small exact variant that SQL can repeat; units are few and numbered in one task."""
+    placed = units.withColumn("__k", F.row_number().over(Window.orderBy(order)) - 1)
+    size = units.agg(F.count("*").alias("__n"))
+    drawn = units.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
+    pick = drawn.crossJoin(F.broadcast(size)).select("replicate", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("__n")).cast("int").alias("__k"))
+    return pick.join(F.broadcast(placed), "__k").groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
 
 
 def admissible(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
