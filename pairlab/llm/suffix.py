@@ -308,4 +308,4 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
 def kept_text(df: DataFrame, out_col: str = "text") -> DataFrame:
     """Add out_col with kept_bytes as text; bytes of characters cut apart become U+FFFD."""
-    return df.withColumn(out_col, F.decode("kept_bytes", "UTF-8"))
+    return df.withColumn(out_col, F.make_valid_utf8(F.col("kept_bytes").cast("string")))

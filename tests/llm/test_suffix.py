@@ -47,5 +47,15 @@ def test_matches_brute_force(spark, seed):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_cut_characters(spark):
+    passage = "é" * 40
+    df = spark.createDataFrame([(1, "x" + passage), (2, "yz" + "é" * 25 + "è" * 3), (3, "plain")], "doc_id long, text string")
+    kept = {r.doc_id: (bytes(r.kept_bytes), r.text) for r in suffix.kept_text(suffix.remove_repeats(df)).collect()}
+    assert all(text == raw.decode("utf-8", "replace") for raw, text in kept.values())
+    assert kept[2][0] != ("yz" + "é" * 25 + "è" * 3).encode() and kept[3][1] == "plain"
+    half = spark.createDataFrame([(b"a\xc3",), (b"\xa9b",)], "kept_bytes binary")
+    assert [r.text for r in suffix.kept_text(half).collect()] == ["a\ufffd", "\ufffdb"]
+
+
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
