@@ -293,9 +293,10 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     )
     mine = named.select("doc_id", "__text", *(f"__{c}" for c in keep)).repartition("doc_id")
     contested = settled.where("digit IS NOT NULL").groupBy("doc_id").agg(F.collect_list("digit").alias("__digits"), F.collect_list("place").alias("__places"))
-    windows = (
+    windows = cut(
         mine.join(contested.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__digits", "__places").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
-        .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long")
+        .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long"),
+        release=True,
     )
     whole = settled.where("digit IS NULL").select("doc_id", "place")
     spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list("place").alias("__items"))
