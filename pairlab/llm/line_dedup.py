@@ -1,14 +1,14 @@
 """Removal of lines that resemble an earlier line, by an exact set-similarity join in built-in functions only.
 
-A line's set is its distinct lower-cased words (between space and the characters 0x09 to 0x0D). A line goes when an
+A line's set is its distinct words (between space and the characters 0x09 to 0x0D). A line goes when an
 earlier line, in order of document and line number, has a Jaccard similarity of ``share`` (0.8) or more with it,
 whether or not that line stays itself. Lines without words stay.
 
 Words are coded as 64-bit integers whose upper byte grows with the word's frequency, so that sorting a set puts its
-rare words first. Frequencies are counted over all lines in 2**16 hashed classes; any order of words gives the same
+rare words first. Frequencies are counted over all lines in 2**18 hashed classes; any order of words gives the same
 result, only the work differs. Equal sets are one class, known by its first line. Classes meet on the words of their
-prefixes (all but so many that two similar sets must share one), are filtered by length and by the words that can still
-match from that position on, and are verified on the full sets of their lines.
+prefixes (so many that two similar sets must share two there), are filtered by length and by the words that can still
+match from a position on, and are verified on the full sets of their lines.
 
 Defined cases: a null text has one empty line; a row with a null id is left as it is and is no source; of rows that
 repeat an id, each is a text of its own, ordered by the hash of its text, and exact copies keep the same lines; an empty
@@ -20,16 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import cut, words_native
+from pairlab.llm.common import SEPARATORS, cut
 from pairlab.llm.fingerprints import let
 
 #: Hashed classes in which the frequencies of words are counted.
-CLASSES = 65536
+CLASSES = 1 << 18
+#: Words of their prefixes that similar sets must share. Different sets with a Jaccard similarity of 0.8 share four at least.
+SHARED = 2
 
 
 def hashed_words(line: Column) -> Column:
-    """The distinct words of a line, as hashes."""
-    return F.array_distinct(F.transform(words_native(F.lower(line)), lambda w: F.xxhash64(w)))
+    """The words of a line, as hashes."""
+    words = F.array_remove(F.split(line, SEPARATORS), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -37,53 +40,75 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def word_classes(lines: DataFrame) -> Column:
+def word_classes(texts: DataFrame) -> Column:
     """An array with a frequency class from 0 to 63 for each hashed class of words."""
-    words = lines.select(F.explode(F.transform(hashed_words(F.col("line")), lambda h: F.pmod(h, F.lit(CLASSES)))).alias("c"))
-    counts = {r.c: r["count"] for r in words.groupBy("c").count().collect()}  # at most CLASSES rows
-    levels = ",".join(str(counts.get(i, 0).bit_length()) for i in range(CLASSES))
-    return F.split(F.lit(levels), ",").cast("array<bigint>")
+    words = texts.select(F.explode(hashed_words(F.col("text"))).alias("h"))
+    counts = words.groupBy(F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").alias("n")).toPandas()  # at most CLASSES rows
+    levels = [0] * CLASSES
+    for c, n in zip(counts["c"].tolist(), counts["n"].tolist(), strict=True):
+        levels[c] = n.bit_length()
+    # Spark folds this into one constant, as it would not with a lambda function in it.
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def coded(line: Column, classes: Column) -> Column:
     """The set of a line in order of rarity: frequency class in the upper byte, then the word's hash."""
-    return F.sort_array(F.transform(hashed_words(line), lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(CLASSES)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    distinct = F.array_distinct(hashed_words(line))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(CLASSES - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def similar_sets(sets: DataFrame, tenths: int) -> DataFrame:
-    """Pairs (a, b) of ids whose sets may be similar, from (id, n, prefix): those that pass all filters."""
-    entries = sets.select("id", "n", F.posexplode("prefix").alias("pos", "word"))
+    """Pairs (a, b) of ids whose sets may be similar, from (id, n, prefix): those that pass all filters.
+
+    Ids are 32-bit hashes, so that a pair is one integer while it is counted. Sets that share an id are a pair too, and
+    whoever verifies a pair takes all sets of either id, so ids that meet by chance lose nothing.
+    """
+    entries = sets.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
     other = entries.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "word")
-    rest = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb"))
+    # What can still match from here on, with the words that may have matched before.
+    rest = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) + (SHARED - 1)
     alike = (F.col("id") < F.col("b")) & (10 * F.least("n", "nb") >= tenths * F.greatest("n", "nb")) & ((10 + tenths) * rest >= tenths * (F.col("n") + F.col("nb")))
-    return entries.join(other, "word").where(alike).select(F.col("id").alias("a"), "b").distinct()
+    pair = F.shiftleft(F.col("id").cast("long"), 32).bitwiseOR(F.col("b").cast("long").bitwiseAND(0xFFFFFFFF))
+    met = entries.join(other, "word").where(alike).select(pair.alias("p")).groupBy("p").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
+    same = sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return met.select(F.shiftright("p", 32).cast("int").alias("a"), F.shiftright(F.shiftleft("p", 32), 32).cast("int").alias("b")).unionByName(same)
 
 
 def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed of every row, and the columns of keep."""
+    if not 8 <= tenths <= 10:
+        raise ValueError("the similarity must be from 0.8 to 1")
     keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_lines", "n_removed", id_col, text_col))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    lines = lines_of(named)
-    classes = word_classes(lines)
-    place = F.struct("doc_id", "text_hash", "line_no")
-    described = lines.select(place.alias("id"), coded(F.col("line"), classes).alias("set")).select(
-        "id", F.size("set").alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), F.slice("set", F.lit(1), F.size("set") - F.floor((tenths * F.size("set") + 9) / 10).cast("int") + 1).alias("prefix")
-    ).where("n > 0")
-    # Each line's class, and each class's first line.
-    every = cut(described.select("id", "n", "h1", "h2", "prefix"), release=True)
-    sets = cut(every.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("id", "prefix"), "id").alias("first"), F.count("*").alias("copies")).select("h1", "h2", "n", "first.id", "first.prefix", "copies"), release=True)
-    pairs = cut(similar_sets(sets, tenths), release=True)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.*").groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("lines"))
-    texts = named.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    words = texts.select("doc_id", "text_hash", F.explode(let(F.split("text", "\n"), lambda every_line: F.transform("lines", lambda i: F.struct(i.alias("line_no"), F.get(every_line, i).alias("line"))))).alias("l"))
-    full = cut(words.select(F.struct("doc_id", "text_hash", "l.line_no").alias("id"), hashed_words(F.col("l.line")).alias("set")), release=True)
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    verified = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t")).where((10 + tenths) * F.col("o") >= tenths * F.col("t"))
-    earliest = verified.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("match"))
-    known = sets.join(earliest, "id", "left").where("copies > 1 OR match IS NOT NULL").select("h1", "h2", "n", F.least("id", F.coalesce("match", "id")).alias("earliest"))
-    gone = every.select("id", "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where("earliest < id").select("id.*")
-    removed = cut(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")), release=True)
+    classes = word_classes(named)
+    n = F.size("set")
+    reach = n - F.floor((tenths * n + 9) / 10).cast("int") + SHARED
+    # Words in prefixes are told apart by 32 bits, which only adds candidates.
+    prefix = F.transform(F.slice("set", F.lit(1), reach), lambda w: F.shiftrightunsigned(w, 56).bitwiseXOR(w).bitwiseAND(0x7FFFFFFF).cast("int"))
+    described = lines_of(named).select("doc_id", "text_hash", "line_no", coded(F.col("line"), classes).alias("set"))
+    every = cut(described.select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), prefix.alias("prefix"))).where("n > 0")
+    # Each class of equal sets, with its first line.
+    first = F.min_by(F.struct("doc_id", "text_hash", "line_no", "prefix"), F.struct("doc_id", "text_hash", "line_no"))
+    sets = cut(every.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies"), release=True)
+    pairs = cut(similar_sets(sets.where("n >= 4").select(F.col("h2").alias("id"), "n", "prefix"), tenths), release=True)
+    place = ["doc_id", "text_hash", "line_no"]
+    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("h2")).distinct(), "h2").select("h1", "h2", "n", *place)
+    by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "h1", "h2", "n")).alias("lines"))
+    texts = named.withColumn("text_hash", F.xxhash64("text")).join(by_text.hint("shuffle_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    found = texts.select("doc_id", "text_hash", F.explode(let(F.split("text", "\n"), lambda x: F.transform("lines", lambda i: F.struct(i.alias("i"), F.get(x, i.line_no).alias("line"))))).alias("l"))
+    full = cut(found.select(F.struct("doc_id", "text_hash", "l.i.line_no").alias("id"), "l.i.h1", "l.i.h2", "l.i.n", F.array_distinct(hashed_words(F.col("l.line"))).alias("set")), release=True)
+    sides = [full.select(F.col("h2").alias(x), F.struct("h1", "h2", "n", "id", "set").alias(f"s{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.size(F.array_intersect("sa.set", "sb.set"))
+    # Each similar pair seen from either side; the other side's first line counts.
+    alike = both.where((10 + tenths) * shared >= tenths * (F.col("sa.n") + F.col("sb.n")))
+    views = F.explode(F.array(F.struct("sa.h1", "sa.h2", "sa.n", F.col("sb.id").alias("other")), F.struct("sb.h1", "sb.h2", "sb.n", F.col("sa.id").alias("other"))))
+    earliest = alike.select(views.alias("v")).select("v.*").groupBy("h1", "h2", "n").agg(F.min("other").alias("match"))
+    own = F.struct(*place)
+    known = sets.select("h1", "h2", "n", own.alias("id"), "copies").join(earliest, ["h1", "h2", "n"], "left").where("copies > 1 OR match IS NOT NULL").select("h1", "h2", "n", F.least("id", F.coalesce("match", "id")).alias("earliest"))
+    gone = every.select(*place, "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where(F.col("earliest") < own).select(*place)
+    removed = cut(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")))
     all_lines = F.split("text", "\n")
     left = let(all_lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
     joined = docs.withColumn("text_hash", F.xxhash64("text")).join(removed.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
