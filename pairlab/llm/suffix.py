@@ -12,7 +12,8 @@ Most-significant-digit passes over all suffixes at once:
 2. The next digit is the hash of the whole run. Runs equal in both are repeats through and through, and all but those
    of the smallest document are settled.
 3. For digits that are left with different runs, one run for each document and content is sorted once more, for every
-   place of the first digit in the window, by the window's remaining bytes.
+   place of the first digit in the window, by the window's remaining bytes. Digits with more than MOST such runs are not
+   sorted in a task: each of their windows becomes a row, whose first document is found by its key's hash.
 
 Documents stay rows throughout; settled spans go back to their document by id and the bytes are removed there. Digits
 are 64-bit hashes, and a window is compared by two or more of them.
@@ -37,6 +38,8 @@ from pairlab.llm.common import cut
 
 #: Bytes of a gram, the unit of the first digit.
 GRAM = 16
+#: Contested runs of one digit that a task sorts; the windows of digits with more are dealt one by one.
+MOST = 50_000
 U = np.uint64
 RUNS = "digit long, content long, doc_id long, place long"
 
@@ -170,8 +173,8 @@ def _contested_bytes(width: int):
     return run
 
 
-def _windows_covered(digit: np.ndarray, doc: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of whole digit groups, the windows that start in a smaller document too: document and place of each."""
+def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every place of the first digit in the window: rows that have such a window, its key and its place."""
     reach = width - GRAM
     lengths = np.fromiter(map(len, held), np.int64, len(held))
     left, start, mark = place >> 8 & 255, place >> 16 & 0x7FFFFFFF, place >> 47
@@ -186,25 +189,43 @@ def _windows_covered(digit: np.ndarray, doc: np.ndarray, place: np.ndarray, held
     while step < GRAM:
         h = (h[:, :-step] ^ (h[:, :-step] >> U(29))) * U(0xD6E8FEB86659FD93) + (h[:, step:] ^ (h[:, step:] >> U(32))) * U(0xA0761D6478BD642F)
         step *= 2
-    docs, places = [], []
     for i in range(reach + 1):
         at = np.flatnonzero((i <= left) & (left - i <= lengths - width))
-        if len(at) < 2:
+        if not len(at):
             continue
         key, c = mixed(digit[at].view(np.uint64)), reach - i
         for x in (*range(c, c + width - GRAM, GRAM), c + width - GRAM):
             key = mixed(key ^ h[at, x]) + h[at, x]
+        yield at, key, mark[at] << 47 | (start[at] + left[at] - i) << 16
+
+
+def _windows_covered(digit: np.ndarray, doc: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole digit groups, the windows that start in a smaller document too: document and place of each."""
+    docs, places = [], []
+    for at, key, window in _window_keys(digit, place, held, width):
         order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
+        own, key = doc[at][order], key[order]
         bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        least = np.repeat(np.minimum.reduceat(doc[at], bounds), np.diff(np.append(bounds, len(at))))
-        at = at[doc[at] > least]
-        docs.append(doc[at])
-        places.append(mark[at] << 47 | (start[at] + left[at] - i) << 16)
+        later = own > np.repeat(np.minimum.reduceat(own, bounds), np.diff(np.append(bounds, len(own))))
+        docs.append(own[later])
+        places.append(window[order][later])
     none = np.zeros(0, np.int64)
     return (np.concatenate(docs), np.concatenate(places)) if docs else (none, none)
 
 
+def _all_windows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(low, 20_000)
+                digit, doc, place = (batch.column(i).to_numpy() for i in range(3))
+                for at, key, window in _window_keys(digit, place, batch.column(3).to_pylist(), width):
+                    # The place of the digit in the window is part of what a key stands for.
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((place[at] >> 16 & 0x7FFFFFFF) + (place[at] >> 8 & 255) - (window >> 16 & 0x7FFFFFFF)), pa.array(doc[at]), pa.array(window)], names=["key", "lead", "doc_id", "place"])
+
+    return run
+
+
 def _sort_contested(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -292,12 +313,24 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         release=True,
     )
     mine = named.select("doc_id", "__text", *(f"__{c}" for c in keep)).repartition("doc_id")
-    contested = settled.where("digit IS NOT NULL").groupBy("doc_id").agg(F.collect_list("digit").alias("__digits"), F.collect_list("place").alias("__places"))
+
+    def contested(runs: DataFrame) -> DataFrame:
+        """The bytes of runs (digit, doc_id, place)."""
+        own = runs.groupBy("doc_id").agg(F.collect_list("digit").alias("__digits"), F.collect_list("place").alias("__places"))
+        return mine.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__digits", "__places").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
+
+    left = settled.where("digit IS NOT NULL")
+    hot = cut(left.groupBy("digit").count().where(F.col("count") > MOST).select("digit"))
+    some = not hot.isEmpty()
     windows = cut(
-        mine.join(contested.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__digits", "__places").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
+        contested(left.join(hot, "digit", "left_anti") if some else left)
         .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long"),
         release=True,
     )
+    if some:
+        each = cut(contested(left.join(hot, "digit", "left_semi")).mapInArrow(_all_windows(width), "key long, lead long, doc_id long, place long"), release=True)
+        least = each.groupBy("key", "lead").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        windows = windows.unionByName(each.join(least, ["key", "lead"]).where("doc_id > least").select("doc_id", "place"))
     whole = settled.where("digit IS NULL").select("doc_id", "place")
     spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list("place").alias("__items"))
     result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn("__items", F.lit(None).cast("array<long>"))

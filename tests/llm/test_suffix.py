@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -47,6 +48,31 @@ def test_matches_brute_force(spark, seed):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_hot_digits_are_not_held(spark, monkeypatch):
+    rng = random.Random(4)
+    around = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase, tails = "Licensed under the terms of it", [around(40) for _ in range(4)]
+    rows = [(i, around(rng.randrange(50)) + phrase + rng.choice([*tails, around(40)]) + around(60)) for i in range(80)]
+    sort = suffix._sort_contested
+
+    def bounded(width):
+        run = sort(width)
+
+        def counted(batches):
+            seen = Counter()
+            for batch in batches:
+                seen.update(batch.column(0).to_pylist())
+                assert not seen or max(seen.values()) <= 10
+                yield batch
+
+        return lambda batches: run(counted(batches))
+
+    monkeypatch.setattr(suffix, "MOST", 10, raising=False)
+    monkeypatch.setattr(suffix, "_sort_contested", bounded)
+    got = [(r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert sorted(got, key=str) == brute(rows) and any(r[2] for r in got)
+
+
 def test_cut_characters(spark):
     passage = "é" * 40
     df = spark.createDataFrame([(1, "x" + passage), (2, "yz" + "é" * 25 + "è" * 3), (3, "plain")], "doc_id long, text string")
