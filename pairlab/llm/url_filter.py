@@ -3,7 +3,9 @@
 The longest rule that fits decides. Hosts without one are judged by two walks over the links between hosts: trust runs
 along links from hosts that allow rules fit (personalised PageRank), distrust runs against them from hosts that block
 rules fit, to those that link there. Seeds are weighted by their pages and each walk's seeds add up to one; a host is
-blocked when its distrust exceeds its trust times ``ratio``.
+blocked when its distrust exceeds its trust times ``ratio`` (by more than a millionth of it). Both walks go on until
+they change no host's score relatively, and scores are not rounded, so that verdicts depend neither on the number of
+hosts nor on how far a host is from a seed.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, fits no rule and is allowed; a null html
 has no links; links of a host to itself (as relative ones are) do not count; hosts without links keep their seeds'
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Scores that differ by less, relatively, are equal: sums differ by their order, and walks end at a tolerance.
+TIE = 1e-6
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -64,22 +68,26 @@ def host_links(pages: DataFrame) -> DataFrame:
     return named.where("dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust), each adding up to one, over links (src, dst, n)."""
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, trust, distrust), each adding up to one, over links (src, dst, n).
+
+    Scores are sums of positive terms, one for each number of links walked. Terms are added until none is above
+    tolerance times the score of its host, so that each host that a seed reaches has a score, however far it is.
+    """
     if links.isEmpty():
         return seeds
     forward = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = forward.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     steps = cut(forward.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("p")))
-    start = cut(seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "s")).where("s > 0"))
-    now = start.select("kind", "host", F.col("s").alias("r"))
-    for i in range(rounds):
-        moved = now.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("r") * F.col("p")).alias("r"))
-        kept = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"))
-        now = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % 3 == 2:
-            now = cut(now)
-    score = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0)), 12)
+    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "s")).where("s > 0")
+    now = cut(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"), ((1 - damping) * F.col("s")).alias("d")))
+    while not now.where(F.col("d") > tolerance * F.col("r")).isEmpty():
+        for _ in range(3):
+            moved = now.where("d > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("d") * F.col("p")).alias("d"))
+            both = moved.select("kind", "host", F.col("d").alias("r"), "d").unionByName(now.select("kind", "host", "r", F.lit(0.0).alias("d")))
+            now = both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
+        now = cut(now)
+    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0))
     return now.groupBy("host").agg(score("trust").alias("trust"), score("distrust").alias("distrust"))
 
 
@@ -98,5 +106,5 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, rati
     scores = propagate(seeds, cut(host_links(parsed)))
     joined = judged.join(scores, "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    verdict = F.coalesce("verdict", F.when(distrust > trust * ratio, "block").otherwise("allow"))
+    verdict = F.coalesce("verdict", F.when(distrust > trust * ratio * (1 + TIE), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairlab.llm import url_filter as uf
@@ -51,6 +52,29 @@ def test_propagation(spark):
         assert abs(got.get(n, (0, 0))[0] - trust[n]) < 1e-9 and abs(got.get(n, (0, 0))[1] - distrust[n]) < 1e-9
 
 
+def test_small_and_far_scores(spark):
+    # A chain of 16 links to a blocked host, and a host that one of 10**14 links into a blocked host comes from.
+    chain = [(f"c{i}", f"c{i + 1}", 1) for i in range(15)] + [("c15", "bad", 1)]
+    links = [*chain, ("tiny", "bad", 1), ("big", "bad", 10**14), ("loop", "big", 1), ("big", "loop", 1)]
+    df = spark.createDataFrame([("bad", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r.distrust for r in uf.propagate(df, spark.createDataFrame(links, "src string, dst string, n long")).collect()}
+    nodes = sorted({n for a, b, _ in links for n in (a, b)})
+    at, steps = {n: i for i, n in enumerate(nodes)}, np.zeros((len(nodes), len(nodes)))
+    for a, b, n in links:
+        steps[at[b], at[a]] = n
+    steps /= np.maximum(steps.sum(axis=1, keepdims=True), 1)
+    exact = np.linalg.solve(np.eye(len(nodes)) - 0.85 * steps.T, 0.15 * np.eye(len(nodes))[at["bad"]])
+    assert all(got[n] > 0 and abs(got[n] / exact[at[n]] - 1) < 1e-5 for n in nodes)
+
+
+def test_verdicts_far_from_seeds(spark):
+    page = lambda i, host, *to: (i, f"http://{host}/", "".join(f'<a href="http://{t}/">x</a>' for t in to))
+    pages = [page(i, f"h{i}", f"h{i + 1}") for i in range(14)] + [page(14, "h14", "bad.com"), page(15, "bad.com"), page(16, "good.com")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in uf.filter_urls(df, [("bad.com", "block"), ("good.com", "allow")]).collect()}
+    assert got == {f"h{i}": "block" for i in range(15)} | {"bad.com": "block", "good.com": "allow"}
+
+
 def test_links(spark):
     html = '<a href="http://B.org/x">1</a><a class=c href=\'//c.net?q\'>2</a><a href=/rel>3</a><a href="http://b.org">4</a><a href=http://a.com/self>5</a>'
     pages = spark.createDataFrame([("a.com", html), ("", html), ("d.com", None)], "host string, html string")
