@@ -167,21 +167,91 @@ def repair_proxy(long: DataFrame, sizes: DataFrame, keys: list[str], groups: Dat
     return members.join(share, by, "left").groupBy("group_id").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"))
 
 
-def group_stability(long: DataFrame, replicates: int = 50, k: int = 3, seed: int = 42, jaccard: float = 0.6) -> DataFrame:
-    """For each group: AUCs of its few features over resamples of its samples, the mean pairwise overlap of their top k
-    and rank correlation, and whether the group is stable. long has group_id, sample_id, arm, feature_id, value."""
+def _group_counts(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
+    """(group_id, v, cu, cs): samples of each group collapsed to distinct vectors of its features, with those of zeros."""
+    members = groups.select("group_id", *keys, F.explode("feature_ids").alias("feature_id"))
+    items = long.join(members, [*keys, "feature_id"]).groupBy("group_id", "sample_id", "arm").agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("items"))
+    value = lambda f: F.coalesce(F.get(F.filter("items", lambda x: x.feature_id == f), F.lit(0)).value.cast("double"), F.lit(0.0))
+    named = items.join(groups.select("group_id", "feature_ids"), "group_id").select("group_id", "arm", F.transform("feature_ids", value).alias("v"))
+    active = named.groupBy("group_id", "v").agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
+    found = active.groupBy("group_id").agg(F.sum("cu").alias("u"), F.sum("cs").alias("s"))
+    rest = lambda n, c: (F.col(n) - F.coalesce(c, F.lit(0))).alias(f"c{c}")
+    zeros = groups.join(F.broadcast(sizes), keys).join(found, "group_id", "left").select("group_id", F.transform("feature_ids", lambda f: F.lit(0.0)).alias("v"), rest("n_unsafe", "u"), rest("n_safe", "s"))
+    return active.unionByName(zeros).groupBy("group_id", "v").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs"))
+
+
+def _multinomial(rng: np.random.Generator, totals: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each of totals, as many draws from counts: one row each."""
+    n = counts.sum()
+    return rng.multinomial(totals, counts / n) if n else np.zeros((len(totals), len(counts)), np.int64)
+
+
+def _running_aucs(replicates: int):
+    """Each group's and feature's AUC in every replicate, from rows in order of group, feature and value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zero = np.zeros(replicates)
+        now, value, cu, cs, below, won, nu = None, None, zero, zero, zero, zero, zero
+
+        def finished() -> pd.DataFrame:
+            total, n0 = won + cu * (below + cs / 2), below + cs
+            return pd.DataFrame({"group_id": [now[0]], "at": [now[1]], "aucs": [(total / np.maximum(1, (nu + cu) * n0)).tolist()]})
+
+        for batch in batches:
+            for group, at, x, wu, ws in batch.itertuples(index=False):
+                if (group, at) != now:
+                    if now is not None:
+                        yield finished()
+                    now, value, cu, cs, below, won, nu = (group, at), x, zero, zero, zero, zero, zero
+                elif x != value:
+                    won, nu, below, value = won + cu * (below + cs / 2), nu + cu, below + cs, x
+                    cu, cs = zero, zero
+                cu, cs = cu + wu, cs + ws
+        if now is not None:
+            yield finished()
+
+    return run
+
+
+def group_stability(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int = 50, k: int = 3, seed: int = 42, jaccard: float = 0.6, rows: int = 50_000) -> DataFrame:
+    """For each group (group_id, keys, feature_ids): AUCs of its few features over resamples of its samples, the mean
+    pairwise overlap of their top k and rank correlation, and whether the group is stable.
+
+    Resamples are multinomial counts of distinct vectors. Vectors are dealt to buckets of about `rows`; first the draws of
+    each bucket are drawn, then those of its vectors, which is one multinomial in all, and no task holds a group.
+    """
+    counts = _group_counts(long, sizes, keys, groups)
+    buckets = int(-(-max([r["count"] for r in counts.groupBy("group_id").count().orderBy(F.desc("count")).limit(1).collect()], default=1) // rows))
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("long"))
+
+    def of_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        rng = np.random.default_rng([seed, *str(pdf["group_id"].iloc[0]).encode()])
+        drawn = [_multinomial(rng, np.full(replicates, pdf[c].sum()), pdf[c].to_numpy(np.int64)).T.tolist() for c in ("cu", "cs")]
+        return pd.DataFrame({"group_id": pdf["group_id"], "bucket": pdf["bucket"], "tu": drawn[0], "ts": drawn[1]})
+
+    totals = dealt.groupBy("group_id", "bucket").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs")).groupBy("group_id").applyInPandas(of_buckets, "group_id string, bucket long, tu array<long>, ts array<long>")
+
+    def of_vectors(own: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(own["v"].tolist(), float)
+        order = np.lexsort(v.T)
+        v, group, bucket = v[order], own["group_id"].iloc[0], int(own["bucket"].iloc[0])
+        rng = np.random.default_rng([seed, bucket, *str(group).encode()])
+        drawn = [_multinomial(rng, np.array(total[t].iloc[0], np.int64), own[c].to_numpy(np.int64)[order]).T for t, c in (("tu", "cu"), ("ts", "cs"))]
+        parts = []
+        for at in range(v.shape[1]):
+            values, place = np.unique(v[:, at], return_inverse=True)
+            sums = [np.zeros((len(values), replicates), np.int64) for _ in drawn]
+            for x, d in zip(sums, drawn, strict=True):
+                np.add.at(x, place, d)
+            parts.append(pd.DataFrame({"group_id": group, "at": at, "value": values, "wu": list(sums[0]), "ws": list(sums[1])}))
+        return pd.concat(parts)
+
+    drawn = dealt.groupBy("group_id", "bucket").cogroup(totals.groupBy("group_id", "bucket")).applyInPandas(of_vectors, "group_id string, at int, value double, wu array<long>, ws array<long>")
+    aucs = drawn.repartition("group_id", "at").sortWithinPartitions("group_id", "at", "value").mapInPandas(_running_aucs(replicates), "group_id string, at int, aucs array<double>")
 
     def stable(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=["sample_id", "arm"], columns="feature_id", values="value", aggfunc="first", fill_value=0.0).sort_index()
-        unsafe = wide.index.get_level_values("arm").to_numpy() == "unsafe"
-        x, rng = wide.to_numpy(float), np.random.default_rng(seed)
-        ranks = []
-        for _ in range(replicates):
-            pick = np.concatenate([rng.choice(np.flatnonzero(g), g.sum()) for g in (unsafe, ~unsafe)])
-            n1, n0 = int(unsafe.sum()), int((~unsafe).sum())
-            order = pd.DataFrame(x[pick]).rank().to_numpy()
-            ranks.append((order[:n1].sum(axis=0) - n1 * (n1 + 1) / 2) / max(1, n1 * n0))
-        a = np.array(ranks)
+        a = np.array(pdf.sort_values("at")["aucs"].tolist()).T
         top = [set(np.argsort(-r, kind="stable")[:k]) for r in a]
         pairs = [(i, j) for i in range(len(a)) for j in range(i)]
         overlap = float(np.mean([len(top[i] & top[j]) / len(top[i] | top[j]) for i, j in pairs]))
@@ -191,7 +261,7 @@ def group_stability(long: DataFrame, replicates: int = 50, k: int = 3, seed: int
         corr = [float(places[i] @ places[j] / (norm[i] * norm[j])) for i, j in pairs if norm[i] > 0 and norm[j] > 0]
         return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "auc_mean": [float(a.mean())], "jaccard": [overlap], "rank_corr": [float(np.mean(corr)) if corr else 1.0], "deployable": [overlap >= jaccard]})
 
-    return long.groupBy("group_id").applyInPandas(stable, "group_id string, auc_mean double, jaccard double, rank_corr double, deployable boolean")
+    return aucs.groupBy("group_id").applyInPandas(stable, "group_id string, auc_mean double, jaccard double, rank_corr double, deployable boolean")
 
 
 def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: str) -> DataFrame:

@@ -166,8 +166,7 @@ def x13(spark, sf):
 
 @query("x14_group_stability")
 def x14(spark, sf):
-    members = groups(spark, sf).select("group_id", "category", F.explode("feature_ids").alias("feature_id"))
-    return fx.group_stability(long(spark, sf).join(members, ["category", "feature_id"]).select("group_id", "sample_id", "arm", "feature_id", "value"))
+    return fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf))
 
 
 @query("x15_direction_vectors", LONG.replace("CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v", "CAST(x AS DOUBLE) AS v") + """, f AS (SELECT category, feature_id, avg(v) FILTER (u) - avg(v) FILTER (NOT u) AS q FROM d GROUP BY ALL), n AS (SELECT category, sqrt(sum(q * q)) AS norm FROM f GROUP BY 1)
