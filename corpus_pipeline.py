@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm import line_dedup, minhash, packing, quality, suffix
-from pairlab.llm.common import shared_folder, table
+from pairlab.llm.common import cut, shared_folder, table
 from pairlab.llm.queries import BYTE_BPE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,11 +36,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near duplicates (similarity 0.8 or more); rows of one id become one."""
-    judged = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(judged, "doc_id", "left_semi")
-    once = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
-    return once.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Keep the row of the smallest id of each group of near duplicates (similarity 0.8 or more).
+
+    Each row is a node of its own: rows that repeat an id with different texts are judged one by one, and become one only
+    where their texts are alike or, if they have no words, equal. Rows without an id stay.
+    """
+    rows = cut(docs.where("doc_id IS NOT NULL").select(*COLUMNS, F.monotonically_increasing_id().alias("__node")))
+    judged = minhash.near_duplicates(rows, percent=80, id_col="__node").select(F.col("doc_id").alias("__node"), "n_shingles", "component_id")
+    named = rows.select("__node", "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), F.xxhash64("text").alias("same")).join(judged, "__node")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.struct("doc_id", "same"))]
+    first = named.groupBy(*group).agg(F.min(F.struct("doc_id", "hash", "__node")).alias("f")).select("f.__node")
+    return rows.join(first, "__node", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

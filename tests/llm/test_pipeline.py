@@ -31,3 +31,13 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert {p.doc_id for p in pieces} == set(passages)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
+def test_repeated_ids_are_judged_by_row(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (2, c), (3, c), (4, d), (4, d), (5, ""), (5, ""), (5, None), (6, ""), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_first(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (2, c), (4, d), (5, ""), (5, None), (6, ""), (None, a), (None, a)], key=str)
