@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,30 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
+#: Tells Spark to remove the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and go on from there, so that no lineage is left behind.
 
-    release lets the driver drop what it no longer refers to, with which Spark removes the shuffle files of df's plan.
+    What the write shuffled is removed when it has ended, as nothing refers to it any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    if release:
-        del df
-        for _ in range(2):  # what the first round frees in Python, the second frees in the JVM
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_native(text: Column) -> Column:

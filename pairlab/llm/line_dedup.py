@@ -1,14 +1,18 @@
 """Removal of lines that resemble an earlier line, by an exact set-similarity join in built-in functions only.
 
 A line's set is its distinct words (between space and the characters 0x09 to 0x0D). A line goes when an
-earlier line, in order of document and line number, has a Jaccard similarity of ``share`` (0.8) or more with it,
+earlier line, in order of document and line number, has a Jaccard similarity of ``tenths`` tenths (8) or more with it,
 whether or not that line stays itself. Lines without words stay.
 
 Words are coded as 64-bit integers whose upper byte grows with the word's frequency, so that sorting a set puts its
-rare words first. Frequencies are counted over all lines in 2**18 hashed classes; any order of words gives the same
-result, only the work differs. Equal sets are one class, known by its first line. Classes meet on the words of their
-prefixes (so many that two similar sets must share two there), are filtered by length and by the words that can still
-match from a position on, and are verified on the full sets of their lines.
+rare words first. Frequencies are counted over all lines in a count-min sketch; any order of words gives the same
+result, only the work differs. Equal sets are one class, known by its first line and numbered in order of first lines.
+
+Classes meet on the words of their prefixes (so many that two similar sets must share two there), are filtered by length
+and by the words that can still match from a position on, and are verified on the full sets of their lines. A class
+needs only one earlier match, so this is done in two steps: each class first meets the leaders of its words (the first
+class with a word); only classes for which no leader is a match meet all earlier ones. Groups of many variants of a line
+are settled by their leaders, so that candidates don't grow with the square of such a group.
 
 Defined cases: a null text has one empty line; a row with a null id is left as it is and is no source; of rows that
 repeat an id, each is a text of its own, ordered by the hash of its text, and exact copies keep the same lines; an empty
@@ -17,61 +21,105 @@ table gives an empty result; extra columns are carried by name, and the operator
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import SEPARATORS, cut
+from pairlab.llm.common import cut
 from pairlab.llm.fingerprints import let
 
-#: Hashed classes in which the frequencies of words are counted.
-CLASSES = 1 << 18
+#: Width of each of the two rows of the sketch in which the frequencies of words are counted.
+WIDTH = 1 << 18
 #: Words of their prefixes that similar sets must share. Different sets with a Jaccard similarity of 0.8 share four at least.
 SHARED = 2
+#: Separators of words besides the space; a line break only ends lines.
+BLANKS = "\t\x0b\x0c\r"
+
+
+def spaced(text: Column) -> Column:
+    """The text with a space for every separator of words. Splitting at one character needs no regular expression."""
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in BLANKS])
+    return F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
 
 
 def hashed_words(line: Column) -> Column:
-    """The words of a line, as hashes."""
-    words = F.array_remove(F.split(line, SEPARATORS), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """The words of a line of a spaced text, as hashes; an empty word gives one too."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
+def distinct_words(line: Column) -> Column:
+    """The distinct words of a line of a spaced text, as hashes."""
+    return F.array_remove(F.array_distinct(hashed_words(line)), F.xxhash64(F.lit("")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of documents (doc_id, text)."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+
+
+def places(h: Column) -> list[Column]:
+    """Where the rows of the sketch count a hash."""
+    return [h.bitwiseAND(WIDTH - 1).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(WIDTH - 1).cast("int")]
+
 
+def word_levels(texts: DataFrame) -> list[Column]:
+    """For each row of the sketch an array with the frequency level from 0 to 63 at every place.
 
-def word_classes(texts: DataFrame) -> Column:
-    """An array with a frequency class from 0 to 63 for each hashed class of words."""
-    words = texts.select(F.explode(hashed_words(F.col("text"))).alias("h"))
-    counts = words.groupBy(F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").alias("n")).toPandas()  # at most CLASSES rows
-    levels = [0] * CLASSES
+    A word's level is the least of its places: never below that of its own frequency, and above it only where it shares
+    both places with words more frequent.
+    """
+    words = texts.select(F.explode(F.split(F.translate(spaced(F.col("text")), "\n", " "), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").alias("h"))
+    first, second = places(F.col("h"))
+    counts = words.select(F.explode(F.array(first, second + WIDTH)).alias("c")).groupBy("c").agg(F.count("*").alias("n")).toPandas()  # at most two WIDTHs
+    levels = [0] * (2 * WIDTH)
     for c, n in zip(counts["c"].tolist(), counts["n"].tolist(), strict=True):
         levels[c] = n.bit_length()
-    # Spark folds this into one constant, as it would not with a lambda function in it.
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    # Spark folds these into constants, as it would not with a lambda function in them.
+    return [F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>") for own in (levels[:WIDTH], levels[WIDTH:])]
 
 
-def coded(line: Column, classes: Column) -> Column:
-    """The set of a line in order of rarity: frequency class in the upper byte, then the word's hash."""
-    distinct = F.array_distinct(hashed_words(line))
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(CLASSES - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+def coded(line: Column, levels: list[Column]) -> Column:
+    """The set of a line in order of rarity: frequency level in the upper byte, then the word's hash."""
 
+    def code(h: Column) -> Column:
+        level = F.least(*(F.get(own, at) for own, at in zip(levels, places(h), strict=True)))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def similar_sets(sets: DataFrame, tenths: int) -> DataFrame:
-    """Pairs (a, b) of ids whose sets may be similar, from (id, n, prefix): those that pass all filters.
+    return F.sort_array(F.transform(distinct_words(line), code))
 
-    Ids are 32-bit hashes, so that a pair is one integer while it is counted. Sets that share an id are a pair too, and
-    whoever verifies a pair takes all sets of either id, so ids that meet by chance lose nothing.
-    """
-    entries = sets.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
-    other = entries.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "word")
-    # What can still match from here on, with the words that may have matched before.
-    rest = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) + (SHARED - 1)
-    alike = (F.col("id") < F.col("b")) & (10 * F.least("n", "nb") >= tenths * F.greatest("n", "nb")) & ((10 + tenths) * rest >= tenths * (F.col("n") + F.col("nb")))
-    pair = F.shiftleft(F.col("id").cast("long"), 32).bitwiseOR(F.col("b").cast("long").bitwiseAND(0xFFFFFFFF))
-    met = entries.join(other, "word").where(alike).select(pair.alias("p")).groupBy("p").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
-    same = sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return met.select(F.shiftright("p", 32).cast("int").alias("a"), F.shiftright(F.shiftleft("p", 32), 32).cast("int").alias("b")).unionByName(same)
+
+def may_match(tenths: int) -> Column:
+    """Whether two sets (n, pos; m, at) that share the words at these positions may be similar: by length, and by what can
+    still match from here on, with the words that may have matched before."""
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) + (SHARED - 1)
+    return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & ((10 + tenths) * rest >= tenths * (F.col("n") + F.col("m")))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
+    """The classes x of pairs (x, y) whose sets are similar, from the lines themselves. Each x is given once."""
+    pairs = cut(pairs)
+    wanted = classes.join(pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct(), "ord").select("ord", "doc_id", "text_hash", "line_no")
+    by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "ord")).alias("lines"))
+    held = texts.withColumn("text_hash", F.xxhash64("text")).join(by_text.hint("shuffle_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    picked = let(F.split(spaced(F.col("text")), "\n"), lambda x: F.transform("lines", lambda i: F.struct(i.ord.alias("ord"), F.get(x, i.line_no).alias("line"))))
+    full = cut(held.select(F.explode(picked).alias("l")).select("l.ord", distinct_words(F.col("l.line")).alias("set")))
+    both = pairs.join(full.select(F.col("ord").alias("x"), F.col("set").alias("sx")), "x").join(full.select(F.col("ord").alias("y"), F.col("set").alias("sy")), "y")
+    alike = (10 + tenths) * F.size(F.array_intersect("sx", "sy")) >= tenths * (F.size("sx") + F.size("sy"))
+    return cut(both.where(alike).select("x").distinct())
+
+
+def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
+    """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, prefix)."""
+    entries = classes.select("ord", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
+    leaders = entries.groupBy("word").agg(F.min("ord").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = cut(entries.join(leaders.hint("shuffle_hash"), "word"))  # words of one class alone lead nowhere
+    often = lambda df: df.groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("x", "y")
+    led = verified(often(met.where("leader < ord").select(F.col("ord").alias("x"), F.col("leader").alias("y"))), classes, texts, tenths)
+    rest = met.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti").select(F.col("ord").alias("x"), "n", "pos", "word")
+    earlier = met.select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), "word")
+    left = verified(often(rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths))), classes, texts, tenths)
+    return led.unionByName(left).withColumnRenamed("x", "ord")
 
 
 def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -81,33 +129,22 @@ def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col
     keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_lines", "n_removed", id_col, text_col))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    classes = word_classes(named)
+    levels = word_levels(named)
+    place = ["doc_id", "text_hash", "line_no"]
     n = F.size("set")
     reach = n - F.floor((tenths * n + 9) / 10).cast("int") + SHARED
-    # Words in prefixes are told apart by 32 bits, which only adds candidates.
-    prefix = F.transform(F.slice("set", F.lit(1), reach), lambda w: F.shiftrightunsigned(w, 56).bitwiseXOR(w).bitwiseAND(0x7FFFFFFF).cast("int"))
-    described = lines_of(named).select("doc_id", "text_hash", "line_no", coded(F.col("line"), classes).alias("set"))
-    every = cut(described.select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), prefix.alias("prefix"))).where("n > 0")
-    # Each class of equal sets, with its first line.
-    first = F.min_by(F.struct("doc_id", "text_hash", "line_no", "prefix"), F.struct("doc_id", "text_hash", "line_no"))
-    sets = cut(every.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies"), release=True)
-    pairs = cut(similar_sets(sets.where("n >= 4").select(F.col("h2").alias("id"), "n", "prefix"), tenths), release=True)
-    place = ["doc_id", "text_hash", "line_no"]
-    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("h2")).distinct(), "h2").select("h1", "h2", "n", *place)
-    by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "h1", "h2", "n")).alias("lines"))
-    texts = named.withColumn("text_hash", F.xxhash64("text")).join(by_text.hint("shuffle_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    found = texts.select("doc_id", "text_hash", F.explode(let(F.split("text", "\n"), lambda x: F.transform("lines", lambda i: F.struct(i.alias("i"), F.get(x, i.line_no).alias("line"))))).alias("l"))
-    full = cut(found.select(F.struct("doc_id", "text_hash", "l.i.line_no").alias("id"), "l.i.h1", "l.i.h2", "l.i.n", F.array_distinct(hashed_words(F.col("l.line"))).alias("set")), release=True)
-    sides = [full.select(F.col("h2").alias(x), F.struct("h1", "h2", "n", "id", "set").alias(f"s{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    shared = F.size(F.array_intersect("sa.set", "sb.set"))
-    # Each similar pair seen from either side; the other side's first line counts.
-    alike = both.where((10 + tenths) * shared >= tenths * (F.col("sa.n") + F.col("sb.n")))
-    views = F.explode(F.array(F.struct("sa.h1", "sa.h2", "sa.n", F.col("sb.id").alias("other")), F.struct("sb.h1", "sb.h2", "sb.n", F.col("sa.id").alias("other"))))
-    earliest = alike.select(views.alias("v")).select("v.*").groupBy("h1", "h2", "n").agg(F.min("other").alias("match"))
-    own = F.struct(*place)
-    known = sets.select("h1", "h2", "n", own.alias("id"), "copies").join(earliest, ["h1", "h2", "n"], "left").where("copies > 1 OR match IS NOT NULL").select("h1", "h2", "n", F.least("id", F.coalesce("match", "id")).alias("earliest"))
-    gone = every.select(*place, "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where(F.col("earliest") < own).select(*place)
+    prefix = F.slice("set", F.lit(1), reach)
+    described = lines_of(named).select(*place, coded(F.col("line"), levels).alias("set"))
+    every = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), F.when(n >= 4, prefix).alias("prefix"))).where("n > 0")
+    # Each class of equal sets with its first line. Sets of fewer than four words have no similar ones but equal ones.
+    first = F.min_by(F.struct(*place, "prefix"), F.struct(*place))
+    sets = cut(every.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies"))
+    order = sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id())
+    classes = cut(order)
+    matched = matched_classes(classes.where("n >= 4"), named, tenths)
+    known = classes.join(matched.withColumn("matched", F.lit(True)), "ord", "left").where("copies > 1 OR matched")
+    known = known.select("h1", "h2", "n", F.struct(*place).alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    gone = every.select(*place, "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where(F.col("matched") | (F.struct(*place) > F.col("first"))).select(*place)
     removed = cut(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")))
     all_lines = F.split("text", "\n")
     left = let(all_lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))

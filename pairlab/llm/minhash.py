@@ -192,11 +192,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"))
     rows = cut(signatures(docs, words))
     known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), release=True)
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * ROWS + 1, F.lit(4 * ROWS)))))
     spread = classes.select("rep", bands.alias("bucket"))
     leaders = spread.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader < other")
-    loose = connected_components(cut(spread.join(leaders, "bucket").select("rep", "leader").where("rep != leader").distinct(), release=True), "rep", "leader")
+    loose = connected_components(cut(spread.join(leaders, "bucket").select("rep", "leader").where("rep != leader").distinct()), "rep", "leader")
     loose = cut(loose)
     # Groups beyond BLOCK are compared block by block.
     parts = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -207,7 +207,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     sets = texts.mapInArrow(_sets(words), "rep long, set_key binary, shingles binary").join(classes, ["rep", "set_key"]).dropDuplicates(["rep", "set_key"])
     work = sets.join(dealt, "rep").withColumn("p", F.explode(pairs)).select("component", "p.i", "p.j", "own", "rep", "signature", "shingles")
     keys = ["component", "i", "j"]
-    confirmed = cut(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(percent), "a long, b long"), release=True)
+    confirmed = cut(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(percent), "a long, b long"))
     # Rows that repeat an id join the classes of all their texts.
     same = known.join(classes.select("set_key", "rep"), "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     joined = connected_components(same.unionByName(confirmed))

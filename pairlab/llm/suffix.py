@@ -310,7 +310,6 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     settled = cut(
         named.select("doc_id", "__text", mark).mapInArrow(_all_runs(width), RUNS)
         .repartition("digit").sortWithinPartitions("digit", "content", "doc_id").mapInArrow(_settle, "digit long, doc_id long, place long"),
-        release=True,
     )
     mine = named.select("doc_id", "__text", *(f"__{c}" for c in keep)).repartition("doc_id")
 
@@ -325,10 +324,9 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     windows = cut(
         contested(left.join(hot, "digit", "left_anti") if some else left)
         .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long"),
-        release=True,
     )
     if some:
-        each = cut(contested(left.join(hot, "digit", "left_semi")).mapInArrow(_all_windows(width), "key long, lead long, doc_id long, place long"), release=True)
+        each = cut(contested(left.join(hot, "digit", "left_semi")).mapInArrow(_all_windows(width), "key long, lead long, doc_id long, place long"))
         least = each.groupBy("key", "lead").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         windows = windows.unionByName(each.join(least, ["key", "lead"]).where("doc_id > least").select("doc_id", "place"))
     whole = settled.where("digit IS NULL").select("doc_id", "place")
