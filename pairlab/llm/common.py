@@ -32,13 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def new_place(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and go on from there, so that no lineage is left behind.
 
     What the write shuffled is removed when it has ended, as nothing refers to it any more.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, path or new_place(df.sparkSession)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -48,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame, path: str) -> None:
+    """Empty a table that cut has written, once nothing is read from it any more."""
+    table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def words_native(text: Column) -> Column:
     """The words of a text, as an array without empty entries; null text gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")

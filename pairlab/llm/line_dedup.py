@@ -10,9 +10,9 @@ result, only the work differs. Equal sets are one class, known by its first line
 
 Classes meet on the words of their prefixes (so many that two similar sets must share two there), are filtered by length
 and by the words that can still match from a position on, and are verified on the full sets of their lines. A class
-needs only one earlier match, so this is done in two steps: each class first meets the leaders of its words (the first
-class with a word); only classes for which no leader is a match meet all earlier ones. Groups of many variants of a line
-are settled by their leaders, so that candidates don't grow with the square of such a group.
+needs only one earlier match, so this is done in two steps: each class first meets the leaders of a few of its words (the
+first class that chose the same); only classes for which no leader is a match meet all earlier ones. Groups of many
+variants of a line are settled by their leaders, so that candidates don't grow with the square of such a group.
 
 Defined cases: a null text has one empty line; a row with a null id is left as it is and is no source; of rows that
 repeat an id, each is a text of its own, ordered by the hash of its text, and exact copies keep the same lines; an empty
@@ -26,13 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import cut
+from pairlab.llm.common import cut, discard, new_place
 from pairlab.llm.fingerprints import let
 
 #: Width of each of the two rows of the sketch in which the frequencies of words are counted.
 WIDTH = 1 << 18
 #: Words of their prefixes that similar sets must share. Different sets with a Jaccard similarity of 0.8 share four at least.
 SHARED = 2
+#: Words by which a class looks for its leader.
+FEW = 4
 #: Separators of words besides the space; a line break only ends lines.
 BLANKS = "\t\x0b\x0c\r"
 
@@ -111,13 +113,15 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int
 
 def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
     """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, prefix)."""
-    entries = classes.select("ord", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
-    leaders = entries.groupBy("word").agg(F.min("ord").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = cut(entries.join(leaders.hint("shuffle_hash"), "word"))  # words of one class alone lead nowhere
     often = lambda df: df.groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("x", "y")
-    led = verified(often(met.where("leader < ord").select(F.col("ord").alias("x"), F.col("leader").alias("y"))), classes, texts, tenths)
-    rest = met.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti").select(F.col("ord").alias("x"), "n", "pos", "word")
-    earlier = met.select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), "word")
+    # A few words of each prefix, chosen by hash, so that variants of a line mostly choose the same.
+    few = F.slice(F.array_sort(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)
+    chosen = classes.select("ord", F.explode(few).alias("word"))
+    leaders = chosen.groupBy("word").agg(F.min("ord").alias("y"), F.max("ord").alias("last")).where("y < last").select("word", "y")
+    led = verified(often(chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x")), classes, texts, tenths)
+    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
+    rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
+    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), "word")
     left = verified(often(rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths))), classes, texts, tenths)
     return led.unionByName(left).withColumnRenamed("x", "ord")
 
@@ -135,12 +139,14 @@ def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col
     reach = n - F.floor((tenths * n + 9) / 10).cast("int") + SHARED
     prefix = F.slice("set", F.lit(1), reach)
     described = lines_of(named).select(*place, coded(F.col("line"), levels).alias("set"))
-    every = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), F.when(n >= 4, prefix).alias("prefix"))).where("n > 0")
+    lines_at = new_place(df.sparkSession)
+    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), F.when(n >= 4, prefix).alias("prefix")).where("n > 0"), lines_at)
     # Each class of equal sets with its first line. Sets of fewer than four words have no similar ones but equal ones.
     first = F.min_by(F.struct(*place, "prefix"), F.struct(*place))
-    sets = cut(every.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies"))
-    order = sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id())
-    classes = cut(order)
+    sets = lines.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies")
+    classes = cut(sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id()))
+    every = cut(lines.drop("prefix"))
+    discard(lines, lines_at)
     matched = matched_classes(classes.where("n >= 4"), named, tenths)
     known = classes.join(matched.withColumn("matched", F.lit(True)), "ord", "left").where("copies > 1 OR matched")
     known = known.select("h1", "h2", "n", F.struct(*place).alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
