@@ -12,7 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Language aliases.
-LANGUAGES = {"c++": "C++", "cpp": "C++", "c": "C", "c#": "C#", "csharp": "C#", "js": "JavaScript", "javascript": "JavaScript", "java": "Java", "py": "Python", "python": "Python", "php": "PHP", "rust": "Rust"}
+LANGUAGES = {"c": "C", "c++": "C++", "cpp": "C++", "python": "Python", "java": "Java", "javascript": "JavaScript", "js": "JavaScript"}
+
+# Words that speak for a security patch.
+SECURITY_WORDS = [
+    "cve-", "vulnerability", "vuln", "security", "exploit", "overflow",
+    "injection", "xss", "csrf", "rce", "sqli", "buffer", "heap", "stack",
+    "uaf", "use-after-free", "null deref", "null pointer", "integer overflow",
+    "out-of-bounds", "oob", "memory corruption", "privilege escalation",
+    "arbitrary code", "denial of service", "dos", "authentication bypass",
+    "insecure", "crypto", "cipher", "hash", "random", "entropy", "prng",
+    "deserialization", "path traversal", "directory traversal", "fix",
+    "patch", "sanitize", "validate", "hardening",
+]
+
+# Words that speak against one.
+OTHER_WORDS = [
+    "refactor", "reformat", "style", "typo", "whitespace", "indent",
+    "comment", "doc", "documentation", "test", "unittest", "benchmark",
+    "performance", "optimize", "cleanup", "clean up", "rename", "move file",
+    "add feature", "new feature", "release", "version bump", "changelog",
+    "merge branch", "revert",
+]
 
 
 def column(c: Column | str) -> Column:
@@ -29,9 +50,11 @@ def keep_categories(df: DataFrame, col: str, categories: list[str]) -> DataFrame
 
 
 def normalize_language(col: Column | str, aliases: dict[str, str] = LANGUAGES) -> Column:
-    """The common name of a language; blank or null is Unknown, other names get a capital."""
-    name = F.trim(column(col))
-    return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(F.coalesce(mapped(F.lower(name), aliases), F.initcap(F.lower(name))))
+    """The common name of a language by aliases (lower case); blank or null is Unknown, other names get one capital, at
+    their start."""
+    name = F.lower(F.trim(column(col)))
+    capital = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(F.coalesce(mapped(name, aliases), capital))
 
 
 def standardize_pairs(df: DataFrame, defaults: dict[str, object], own: str, augmented: str, seed: str) -> DataFrame:
@@ -79,7 +102,7 @@ def filter_funnel(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataF
 def tag_role(df: DataFrame, col: str, roles: DataFrame) -> DataFrame:
     """Add the role of a category from a taxonomy (category, role); others are unassigned."""
     known = roles.select(F.col("category").alias("__c"), "role")
-    return df.join(F.broadcast(known), F.col(col) == F.col("__c"), "left").drop("__c").withColumn("role", F.coalesce("role", F.lit("unassigned")))
+    return df.join(known, F.col(col) == F.col("__c"), "left").drop("__c").withColumn("role", F.coalesce("role", F.lit("unassigned")))
 
 
 def emptiness(col: Column | str) -> Column:
@@ -87,17 +110,22 @@ def emptiness(col: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), "empty").when(~c.rlike(r"\S"), "whitespace_only").otherwise("non_empty")
 
 
-def failure_class(status: Column, fallback: Column, text: Column) -> Column:
-    """hook, generation, malformed, other or fallback; null for a sound generation."""
-    return (
-        F.when(status == "hook_error", "hook").when(status == "generation_error", "generation").when(~not_blank(text), "malformed")
-        .when(F.coalesce(status, F.lit("ok")) != "ok", "other").when(F.coalesce(fallback, F.lit("none")) != "none", "fallback")
-    )
+# Statuses of a generation.
+SOUND = ["SUCCESS", "WHITESPACE_ONLY"]
+FAILURES = {"hook": "HOOK_EXCEPTION", "generation": "GENERATION_EXCEPTION", "malformed": "MALFORMED_GENERATION"}
 
 
-def failure_counts(df: DataFrame, keys: list[str], cls: Column) -> DataFrame:
-    names = ["hook", "generation", "malformed", "other", "fallback"]
-    return df.withColumn("__f", cls).groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(F.col("__f") == x).alias(f"n_{x}") for x in names))
+def failure_class(status: Column) -> Column:
+    """hook, generation, malformed or other (any status that isn't known, null too); null for a sound generation."""
+    known = reduce(lambda acc, f: acc.when(status == f[1], f[0]), FAILURES.items(), F.when(status.isin(SOUND), F.lit(None).cast("string")))
+    return known.otherwise("other")
+
+
+def failure_counts(df: DataFrame, keys: list[str], status: Column, fallback: Column) -> DataFrame:
+    """Failed generations by class and, apart from them, fallbacks: every row whose fallback is not NONE, null too."""
+    marked = df.withColumns({"__f": failure_class(status), "__b": ~F.coalesce(fallback == "NONE", F.lit(False))})
+    classes = [F.count_if(F.col("__f") == x).alias(f"n_{x}") for x in (*FAILURES, "other")]
+    return marked.groupBy(*keys).agg(F.count("*").alias("n"), *classes, F.count_if("__b").alias("n_fallback"))
 
 
 def looks_like_code(col: Column | str, tokens: list[str], least: int = 10) -> tuple[Column, Column, Column]:
@@ -126,14 +154,23 @@ def export_metadata(df: DataFrame, texts: list[str], order: str) -> DataFrame:
     return out.withColumnRenamed(order, "source_order").drop(*texts)
 
 
-def classify_patch(msg: Column | str, linked: Column, security: list[str], bugfix: list[str]) -> tuple[Column, Column]:
-    """Decision and source for a commit message: security, bugfix or other, and whether pattern, keywords or link decided."""
-    low = F.lower(F.coalesce(column(msg), F.lit("")))
-    hits = lambda words: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
-    named = low.rlike(r"cve-\d{4}-\d+")
-    decision = F.when(named | (hits(security) >= 2), "security").when(linked & (hits(security) >= 1), "security").when(hits(bugfix) >= 1, "bugfix").otherwise("other")
-    source = F.when(named, "pattern").when(hits(security) >= 2, "keywords").when(linked & (hits(security) >= 1), "linked_keyword").when(hits(bugfix) >= 1, "keywords").otherwise("none")
-    return decision, source
+def classify_patch(msg: Column | str, linked: Column, security: list[str] = SECURITY_WORDS, other: list[str] = OTHER_WORDS) -> Column:
+    """security_patch, non_security_patch or undecidable, for a commit message and whether the commit is linked to a
+    vulnerability, by how many words of either list the message holds. A missing or empty message is decided by the link."""
+    low, tied = F.lower(column(msg)), F.coalesce(linked, F.lit(False))
+    hits = lambda words: F.size(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(low, w)))
+
+    def by_hits(counts: Column) -> Column:
+        own, rest = counts.own, counts.rest
+        return (
+            F.when(low.rlike(r"cve-\d{4}-\d+") | (tied & (own > 0)), "security_patch")
+            .when(tied & (own == 0) & (rest > own), "undecidable")
+            .when(~tied & (rest > 0) & (own == 0), "non_security_patch")
+            .when(own > rest, "security_patch").when(rest > own, "non_security_patch").otherwise("undecidable")
+        )
+
+    counted = F.transform(F.array(F.struct(hits(security).alias("own"), hits(other).alias("rest"))), by_hits)
+    return F.when(F.coalesce(low, F.lit("")) == "", F.when(tied, "security_patch").otherwise("undecidable")).otherwise(F.get(counted, F.lit(0)))
 
 
 def hunk_id(key: Column, path: Column, code: Column, chars: int = 200) -> Column:
@@ -156,7 +193,7 @@ def ordered_digest(df: DataFrame, keys: list[str], ident: str, order: str, per:
 def augment_by_substitution(df: DataFrame, subs: DataFrame, language: str, text: str, ident: str, templates: DataFrame | None = None) -> DataFrame:
     """Pairs made by replacing literals: rows with the insecure literal give (row, secured), rows with the secure one
     (weakened, row). subs has language, insecure, secure; templates, a table of the same columns, is unioned in."""
-    rules = F.broadcast(subs.select(F.col("language").alias("__l"), "insecure", "secure"))
+    rules = subs.select(F.col("language").alias("__l"), "insecure", "secure")
     hit = df.join(rules, F.col(language) == F.col("__l"))
     forward = hit.where(F.contains(text, "insecure")).withColumns({"vulnerable_text": F.col(text), "fixed_text": F.replace(F.col(text), F.col("insecure"), F.col("secure")), "direction": F.lit("secured")})
     back = hit.where(F.contains(text, "secure")).withColumns({"vulnerable_text": F.replace(F.col(text), F.col("secure"), F.col("insecure")), "fixed_text": F.col(text), "direction": F.lit("weakened")})
@@ -165,11 +202,16 @@ def augment_by_substitution(df: DataFrame, subs: DataFrame, language: str, text:
     return (made.unionByName(templates, allowMissingColumns=True) if templates is not None else made).dropDuplicates(["pair_id"])
 
 
+# A fenced block, and a line that only names a role.
+FENCED = r"(?s)```[^\r\n]*\r?\n(.*?)(?:\r?\n```|```)"
+ROLE_LINE = r"(?im)^\s*(?:<\|)?(?:assistant|system|user)(?:\|>)?\s*:?\s*$"
+
+
 def extract_fenced(col: Column | str, mode: str = "first") -> Column:
     """Code inside fences of three backticks: the first complete block, or the lines of all blocks; without a fence the text."""
     c = F.coalesce(column(col), F.lit(""))
     if mode == "first":
-        return F.when(c.rlike(r"(?s)```[^\n]*\n.*?```"), F.regexp_extract(c, r"(?s)```[^\n]*\n(.*?)```", 1)).otherwise(c)
+        return F.when(c.rlike(FENCED), F.regexp_extract(c, FENCED, 1)).otherwise(c)
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
     step = lambda a, x: F.when(F.startswith(F.ltrim(x), F.lit("```")), F.struct((~a.inside).alias("inside"), a.lines.alias("lines"))).otherwise(
         F.struct(a.inside.alias("inside"), F.when(a.inside, F.concat(a.lines, F.array(x))).otherwise(a.lines).alias("lines")))
@@ -177,11 +219,18 @@ def extract_fenced(col: Column | str, mode: str = "first") -> Column:
 
 
 def content_flags(col: Column | str, starts: list[str]) -> dict[str, Column]:
-    """What interface content a text has."""
+    """What interface content a text has: a fence, a role marker (``<|`` anywhere, or a line that only names a role), no
+    visible character, a first line with text that starts with one of starts without indent, and a block to extract."""
     c = F.coalesce(column(col), F.lit(""))
-    first = F.coalesce(F.get(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"\S")), F.lit(0)), F.lit(""))
-    begins = reduce(lambda a, b: a | b, [F.startswith(F.ltrim(first), F.lit(s)) for s in starts])
-    return {"has_fence": F.contains(c, F.lit("```")), "has_role_marker": c.rlike(r"(?i)(^|\n)\s*(user|assistant|system)\s*:"), "is_blank": ~c.rlike(r"\S"), "starts_with_token": begins, "changed_by_extraction": extract_fenced(c) != c}
+    first = F.coalesce(F.get(F.filter(F.split(c, r"\r?\n"), lambda x: x.rlike(r"\S")), F.lit(0)), F.lit(""))
+    begins = reduce(lambda a, b: a | b, [F.startswith(first, F.lit(s)) for s in starts])
+    return {
+        "has_fence": F.contains(c, F.lit("```")),
+        "has_role_marker": F.contains(c, F.lit("<|")) | c.rlike(ROLE_LINE),
+        "is_blank": ~c.rlike(r"\S"),
+        "starts_with_token": begins,
+        "changed_by_extraction": extract_fenced(c) != c,
+    }
 
 
 def content_audit(df: DataFrame, keys: list[str], col: str, starts: list[str]) -> DataFrame:
@@ -222,6 +271,8 @@ def rate_text(col: Column | str, digits: int = 6) -> Column:
     return F.format_string(f"%.{digits}f", column(col).cast("double"))
 
 
-def secret_scan(df: DataFrame, ident: str, col: str, patterns: DataFrame) -> DataFrame:
-    """One row for each record and pattern (name, pattern) found in it."""
-    return df.select(ident, col).join(F.broadcast(patterns), F.expr(f"rlike({col}, pattern)")).select(ident, "name")
+def secret_scan(df: DataFrame, ident: str, col: str, patterns: list[tuple[str, str]]) -> DataFrame:
+    """One row for each record and pattern (name, pattern) found in it. Patterns are constants, so each is compiled once
+    and every text is read in one pass without a join."""
+    found = F.array_compact(F.array(*(F.when(F.col(col).rlike(p), F.lit(n)) for n, p in patterns)))
+    return df.select(ident, F.explode(found).alias("name"))

@@ -17,12 +17,13 @@ def link_commits(commits: DataFrame, fixes: DataFrame, classes: DataFrame, files
     return both.join(files.select("hash", "language").distinct(), "hash", "left").distinct()
 
 
-def classify_with_registry(df: DataFrame, ident: str, verified: DataFrame, decision: Column, source: Column) -> DataFrame:
-    """Verified ids (id) count as security whatever the heuristic says; source says which of the two decided."""
-    known = F.broadcast(verified.select(F.lower(F.trim("id")).alias("__id")).distinct())
+def classify_with_registry(df: DataFrame, ident: str, verified: DataFrame, decision: Column) -> DataFrame:
+    """Verified ids (id) count as security patches whatever the heuristic says; decided_by says which of the two decided.
+    A row without an id is left to the heuristic."""
+    known = verified.select(F.lower(F.trim("id")).alias("__id")).distinct()
     out = df.join(known, F.lower(F.trim(F.col(ident))) == F.col("__id"), "left")
     hit = F.col("__id").isNotNull()
-    return out.withColumns({"decision": F.when(hit, "security").otherwise(decision), "decided_by": F.when(hit, "registry").otherwise(source)}).drop("__id")
+    return out.withColumns({"decision": F.when(hit, "security_patch").otherwise(decision), "decided_by": F.when(hit, "registry").otherwise("heuristic")}).drop("__id")
 
 
 def build_candidate_pairs(files: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
@@ -33,7 +34,7 @@ def build_candidate_pairs(files: DataFrame, accepted: DataFrame, key: str) -> Da
 
 def method_rows(methods: DataFrame, files: DataFrame, fixes: DataFrame, seeds: DataFrame, languages: list[str]) -> DataFrame:
     """Methods (file_id, ...) of files (file_id, hash, language) in given languages whose commit fixes (hash, vuln_id) a seed (vuln_id)."""
-    wanted = fixes.join(F.broadcast(seeds.select("vuln_id").distinct()), "vuln_id", "left_semi")
+    wanted = fixes.join(seeds.select("vuln_id").distinct(), "vuln_id", "left_semi")
     return methods.join(files.where(F.col("language").isin(languages)), "file_id").join(wanted, "hash")
 
 
@@ -101,7 +102,7 @@ def cross_split_leakage(df: DataFrame, split: str, key: Column) -> DataFrame:
 
 def build_worklist(population: DataFrame, routes: DataFrame, seeds: DataFrame, category: str, ident: str) -> DataFrame:
     """Each record of the population with its category's route and every seed, under a record id."""
-    routed = population.join(F.broadcast(routes), category).crossJoin(F.broadcast(seeds))
+    routed = population.join(routes, category).crossJoin(seeds)
     return routed.withColumn("record_id", F.concat_ws(":", F.col(category), F.col("seed").cast("string"), F.col(ident).cast("string")))
 
 

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.operators.sampling import group_rank
+
+
 def in_arm(arm: str) -> Column:
     return F.col("arm") == arm
 
@@ -100,6 +103,20 @@ def prune(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return named.withColumn("keep", F.col("reasons") == "")
 
 
+def prune_rules(least_frequency: float = 0.02, both_frequency: float = 0.95, least_score: float | Column = 0.15, most_magnitude: float = 1e4, either: bool = False) -> dict[str, Column]:
+    """The rules for ranked features with freq_unsafe, freq_safe, score and mean_magnitude: rare among unsafe samples, so
+    frequent in both arms (or in either) that they tell nothing apart, of low score, of a score that is no number, or of a
+    magnitude that is none or extreme."""
+    finite = lambda c: ~(F.isnan(c) | (F.abs(c) == float("inf")))
+    return {
+        "freq_unsafe": F.col("freq_unsafe") < least_frequency,
+        "both_high": high_frequency(both_frequency, either),
+        "score": F.col("score") < least_score,
+        "nan_inf_score": ~finite(F.col("score")),
+        "extreme_magnitude": ~finite(F.col("mean_magnitude")) | (F.col("mean_magnitude") > most_magnitude),
+    }
+
+
 def high_frequency(limit: float, either: bool) -> Column:
     """Both arms active above limit, or either."""
     a, b = F.col("freq_unsafe") > limit, F.col("freq_safe") > limit
@@ -140,10 +157,10 @@ def assign_semantics(aucs: DataFrame, keys: list[str], tags: DataFrame, validate
     return named.join(known, "assigned_category", "left")
 
 
-def build_groups(sem: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
-    """Groups of features per key: B (matching, by AUC), C (repairs much, corrupts little), A (by repair), each of at
+def build_groups(sem: DataFrame, keys: list[str], most: int = 5, least: float = 0.55) -> DataFrame:
+    """Groups of features per key: B (matching and of at least the least AUC, by AUC), C (repairs much, corrupts little), A (by repair), each of at
     most `most` features, with mean rates, purity and the union of tags."""
-    kinds = [("B", F.col("category_match"), "primary_auc"), ("C", (F.col("repair_rate") >= 0.7) & (F.col("corrupt_rate") <= 0.1), "repair_rate"), ("A", F.lit(True), "repair_rate")]
+    kinds = [("B", F.col("category_match") & (F.col("primary_auc") >= least), "primary_auc"), ("C", (F.col("repair_rate") >= 0.7) & (F.col("corrupt_rate") <= 0.1), "repair_rate"), ("A", F.lit(True), "repair_rate")]
     out = None
     for kind, gate, order in kinds:
         ranked = sem.where(gate).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.asc("feature_id")))).where(F.col("__r") <= most)
@@ -167,101 +184,59 @@ def repair_proxy(long: DataFrame, sizes: DataFrame, keys: list[str], groups: Dat
     return members.join(share, by, "left").groupBy("group_id").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"))
 
 
-def _group_counts(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
-    """(group_id, v, cu, cs): samples of each group collapsed to distinct vectors of its features, with those of zeros."""
-    members = groups.select("group_id", *keys, F.explode("feature_ids").alias("feature_id"))
-    items = long.join(members, [*keys, "feature_id"]).groupBy("group_id", "sample_id", "arm").agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("items"))
-    value = lambda f: F.coalesce(F.get(F.filter("items", lambda x: x.feature_id == f), F.lit(0)).value.cast("double"), F.lit(0.0))
-    named = items.join(groups.select("group_id", "feature_ids"), "group_id").select("group_id", "arm", F.transform("feature_ids", value).alias("v"))
-    active = named.groupBy("group_id", "v").agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
-    found = active.groupBy("group_id").agg(F.sum("cu").alias("u"), F.sum("cs").alias("s"))
-    rest = lambda n, c: (F.col(n) - F.coalesce(c, F.lit(0))).alias(f"c{c}")
-    zeros = groups.join(F.broadcast(sizes), keys).join(found, "group_id", "left").select("group_id", F.transform("feature_ids", lambda f: F.lit(0.0)).alias("v"), rest("n_unsafe", "u"), rest("n_safe", "s"))
-    return active.unionByName(zeros).groupBy("group_id", "v").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs"))
-
-
-def _multinomial(rng: np.random.Generator, totals: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each of totals, as many draws from counts: one row each."""
-    n = counts.sum()
-    return rng.multinomial(totals, counts / n) if n else np.zeros((len(totals), len(counts)), np.int64)
+def group_aucs(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int, share: float, seed: int) -> DataFrame:
+    """(group_id, n_unsafe, replicate, aucs): the AUC of every feature of each group in resamples of the unsafe samples.
 
-
-def _running_aucs(replicates: int):
-    """Each group's and feature's AUC in every replicate, from rows in order of group, feature and value."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = np.zeros(replicates)
-        now, value, cu, cs, below, won, nu = None, None, zero, zero, zero, zero, zero
-
-        def finished() -> pd.DataFrame:
-            total, n0 = won + cu * (below + cs / 2), below + cs
-            return pd.DataFrame({"group_id": [now[0]], "at": [now[1]], "aucs": [(total / np.maximum(1, (nu + cu) * n0)).tolist()]})
-
-        for batch in batches:
-            for group, at, x, wu, ws in batch.itertuples(index=False):
-                if (group, at) != now:
-                    if now is not None:
-                        yield finished()
-                    now, value, cu, cs, below, won, nu = (group, at), x, zero, zero, zero, zero, zero
-                elif x != value:
-                    won, nu, below, value = won + cu * (below + cs / 2), nu + cu, below + cs, x
-                    cu, cs = zero, zero
-                cu, cs = cu + wu, cs + ws
-        if now is not None:
-            yield finished()
-
-    return run
-
-
-def group_stability(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int = 50, k: int = 3, seed: int = 42, jaccard: float = 0.6, rows: int = 50_000) -> DataFrame:
-    """For each group (group_id, keys, feature_ids): AUCs of its few features over resamples of its samples, the mean
-    pairwise overlap of their top k and rank correlation, and whether the group is stable.
-
-    Resamples are multinomial counts of distinct vectors. Vectors are dealt to buckets of about `rows`; first the draws of
-    each bucket are drawn, then those of its vectors, which is one multinomial in all, and no task holds a group.
+    A replicate draws max(2, n_unsafe * share) of the key's unsafe samples with replacement, the same for all its groups;
+    safe samples stay as they are. Draw i of replicate r is the sample whose place is a hash of (seed, r, i) modulo their
+    number, samples that are active anywhere first, by hash. A drawn sample wins against the safe values below its own and
+    half of equal ones, so an AUC is a sum over draws, and silent samples add what value 0 wins.
     """
-    counts = _group_counts(long, sizes, keys, groups)
-    buckets = int(-(-max([r["count"] for r in counts.groupBy("group_id").count().orderBy(F.desc("count")).limit(1).collect()], default=1) // rows))
-    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("long"))
-
-    def of_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        rng = np.random.default_rng([seed, *str(pdf["group_id"].iloc[0]).encode()])
-        drawn = [_multinomial(rng, np.full(replicates, pdf[c].sum()), pdf[c].to_numpy(np.int64)).T.tolist() for c in ("cu", "cs")]
-        return pd.DataFrame({"group_id": pdf["group_id"], "bucket": pdf["bucket"], "tu": drawn[0], "ts": drawn[1]})
-
-    totals = dealt.groupBy("group_id", "bucket").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs")).groupBy("group_id").applyInPandas(of_buckets, "group_id string, bucket long, tu array<long>, ts array<long>")
-
-    def of_vectors(own: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(own["v"].tolist(), float)
-        order = np.lexsort(v.T)
-        v, group, bucket = v[order], own["group_id"].iloc[0], int(own["bucket"].iloc[0])
-        rng = np.random.default_rng([seed, bucket, *str(group).encode()])
-        drawn = [_multinomial(rng, np.array(total[t].iloc[0], np.int64), own[c].to_numpy(np.int64)[order]).T for t, c in (("tu", "cu"), ("ts", "cs"))]
-        parts = []
-        for at in range(v.shape[1]):
-            values, place = np.unique(v[:, at], return_inverse=True)
-            sums = [np.zeros((len(values), replicates), np.int64) for _ in drawn]
-            for x, d in zip(sums, drawn, strict=True):
-                np.add.at(x, place, d)
-            parts.append(pd.DataFrame({"group_id": group, "at": at, "value": values, "wu": list(sums[0]), "ws": list(sums[1])}))
-        return pd.concat(parts)
-
-    drawn = dealt.groupBy("group_id", "bucket").cogroup(totals.groupBy("group_id", "bucket")).applyInPandas(of_vectors, "group_id string, at int, value double, wu array<long>, ws array<long>")
-    aucs = drawn.repartition("group_id", "at").sortWithinPartitions("group_id", "at", "value").mapInPandas(_running_aucs(replicates), "group_id string, at int, aucs array<double>")
-
-    def stable(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.array(pdf.sort_values("at")["aucs"].tolist()).T
-        top = [set(np.argsort(-r, kind="stable")[:k]) for r in a]
-        pairs = [(i, j) for i in range(len(a)) for j in range(i)]
-        overlap = float(np.mean([len(top[i] & top[j]) / len(top[i] | top[j]) for i, j in pairs]))
-        places = pd.DataFrame(a.T).rank().to_numpy().T
-        places -= places.mean(axis=1, keepdims=True)
-        norm = np.sqrt((places**2).sum(axis=1))
-        corr = [float(places[i] @ places[j] / (norm[i] * norm[j])) for i, j in pairs if norm[i] > 0 and norm[j] > 0]
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "auc_mean": [float(a.mean())], "jaccard": [overlap], "rank_corr": [float(np.mean(corr)) if corr else 1.0], "deployable": [overlap >= jaccard]})
-
-    return aucs.groupBy("group_id").applyInPandas(stable, "group_id string, auc_mean double, jaccard double, rank_corr double, deployable boolean")
+    members = groups.select("group_id", *keys, F.posexplode("feature_ids").alias("at", "feature_id"))
+    by = [*keys, "feature_id"]
+    own = long.join(members.select(*by).distinct(), by, "left_semi")
+    values = weighted_values(own, sizes, keys)
+    before = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    wins = values.withColumn("wins", 2 * F.coalesce(F.sum("cs").over(before), F.lit(0)) + F.col("cs"))
+    # What a value of 0 wins: all safe values below it, and half of the zeros.
+    zero = own.where(in_arm("safe")).groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(F.col("value") < 0).alias("low"))
+    samples = long.where(in_arm("unsafe")).select(*keys, "sample_id").distinct()
+    placed = group_rank(samples, keys, "sample_id", seed).select(*keys, "sample_id", (F.col("__r") - 1).alias("i"))
+    drawn_n = F.greatest(F.lit(2), F.floor(F.col("n_unsafe") * F.lit(share)))
+    draws = sizes.where("n_unsafe >= 2").select(*keys, "n_unsafe", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), drawn_n.alias("m"))
+    draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("d"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("d").cast("string")))
+    picked = draws.select(*keys, "replicate", (F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.col("n_unsafe")).alias("i"))
+    times = picked.groupBy(*keys, "replicate", "i").agg(F.count("*").alias("times")).join(placed, [*keys, "i"])
+    base = 2 * F.coalesce("low", F.lit(0)) + F.col("n_safe") - F.coalesce("seen", F.lit(0))
+    entries = own.where(in_arm("unsafe")).join(wins.select(*by, "value", "wins"), [*by, "value"])
+    gained = entries.join(times, [*keys, "sample_id"]).groupBy(*by, "replicate").agg(F.sum(F.col("times") * F.col("wins")).alias("won"), F.sum("times").alias("active"))
+    frame = members.join(sizes, keys).join(zero, by, "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(gained, [*by, "replicate"], "left")
+    total = F.coalesce("won", F.lit(0)) + (drawn_n - F.coalesce("active", F.lit(0))) * base
+    auc = F.coalesce(F.try_divide(total, 2 * F.col("n_safe") * drawn_n), F.lit(0.5))
+    return frame.groupBy("group_id", "n_unsafe", "replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", auc.alias("auc")))), lambda x: x.auc).alias("aucs"))
+
+
+def group_stability(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int = 50, share: float = 0.8, seed: int = 42, jaccard: float = 0.5, rank_corr: float = 0.5, compared: int = 20) -> DataFrame:
+    """For each group (group_id, keys, feature_ids; few features): AUCs over resamples of its unsafe samples, and over all
+    pairs of the first `compared` resamples the mean overlap of their top features (share of the group, one at least; of
+    equal ones the last) and the mean rank correlation (0.5 where it is never defined), and whether both are high enough.
+    With fewer than two unsafe samples both are 0.5."""
+    aucs = group_aucs(long, sizes, keys, groups, replicates, share, seed)
+    n = F.size("aucs")
+    by_auc = F.reverse(F.array_sort(F.transform("aucs", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    top = F.transform(F.slice(by_auc, F.lit(1), F.greatest(F.lit(1), F.floor(n * F.lit(share)).cast("int"))), lambda e: e.i)
+    centred = F.transform("aucs", lambda x: F.size(F.filter("aucs", lambda y: y < x)) + (F.size(F.filter("aucs", lambda y: y == x)) + 1) / 2 - (n + 1) / 2)
+    first = F.when(F.col("replicate") < compared, F.struct("replicate", top.alias("top"), centred.alias("ranks")))
+    # At most `compared` entries for each group, each of a few features.
+    held = aucs.groupBy("group_id", "n_unsafe").agg(F.array_sort(F.collect_list(first)).alias("r"), F.avg(F.aggregate("aucs", F.lit(0.0), lambda a, x: a + x) / n).alias("auc_mean"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b.replicate > a.replicate), lambda b: F.struct(
+        (F.size(F.array_intersect(a.top, b.top)) / F.size(F.array_union(a.top, b.top))).alias("j"), F.try_divide(dot(a.ranks, b.ranks), F.sqrt(dot(a.ranks, a.ranks) * dot(b.ranks, b.ranks))).alias("c")))))
+    mean = lambda v: F.when((F.size(v) > 0) & (F.col("n_unsafe") >= 2), F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).otherwise(0.5)
+    paired = held.withColumn("p", pairs)
+    out = paired.select("group_id", "auc_mean", mean(F.transform("p", lambda x: x.j)).alias("jaccard"), mean(F.array_compact(F.transform("p", lambda x: x.c))).alias("rank_corr"))
+    return out.withColumn("deployable", (F.round("jaccard", 9) >= jaccard) & (F.round("rank_corr", 9) >= rank_corr))
 
 
 def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: str) -> DataFrame:
@@ -270,7 +245,7 @@ def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: s
     diff = long.groupBy(*keys, "dim").agg((F.avg(F.when(in_arm("unsafe"), F.col("value"))) - F.avg(F.when(in_arm("safe"), F.col("value")))).alias("d"))
     norm = diff.groupBy(*keys).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
     mean = norm.withColumn("layer_norm", F.avg("norm").over(Window.partitionBy(layer)))
-    return diff.join(F.broadcast(mean), keys).select(*keys, "dim", (F.col("d") / F.nullif("norm", F.lit(0.0)) * F.col("layer_norm")).alias("direction"), "norm")
+    return diff.join(mean, keys).select(*keys, "dim", (F.col("d") / F.nullif("norm", F.lit(0.0)) * F.col("layer_norm")).alias("direction"), "norm")
 
 
 def build_states(latents: DataFrame, ident: str, vector: str, category: str, categories: list[str], groups: list[list[int]], size: int = 64, seed: int = 42) -> DataFrame:

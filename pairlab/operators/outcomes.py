@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.functions.text import column
+from pairlab.functions.text import column, emptiness
 
 
 def pair_conditions(baseline: DataFrame, methods: DataFrame, keys: list[str], outputs: DataFrame | None = None) -> DataFrame:
@@ -39,27 +39,62 @@ CORRUPTION = {
 }
 
 
-def method_metrics(paired: DataFrame, keys: list[str]) -> DataFrame:
-    """First definition: skipped baselines count as safe, and empty outputs of vulnerable baselines are added back."""
+def method_metrics(paired: DataFrame, keys: list[str], targets: list[str] | None = None) -> DataFrame:
+    """First definition: vrr is 1 less the method's vulnerable records over the baseline's, wherever they are, so new
+    findings lower it. Skipped baselines count as safe. corrected_vrr adds back as vulnerable the invalid outputs of
+    vulnerable baselines, of the categories in targets (all if None)."""
     safe = "NOT b0_vulnerable"
+    counts = F.lit(True) if targets is None else F.col("category").isin(targets)
     counted = paired.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if("b0_vulnerable").alias("n_vulnerable"), F.count_if(F.expr(safe)).alias("n_safe"),
-        F.count_if(F.expr("b0_vulnerable AND NOT is_vulnerable")).alias("n_removed"), F.count_if(F.expr(f"{safe} AND is_vulnerable")).alias("n_corrupted"),
-        F.count_if("valid").alias("n_valid"), F.count_if(F.expr("b0_vulnerable AND NOT valid AND NOT is_vulnerable")).alias("n_empty_vulnerable"),
+        F.count_if("is_vulnerable").alias("n_method_vulnerable"), F.count_if("skipped").alias("n_skipped"),
+        F.count_if(F.expr(f"{safe} AND is_vulnerable")).alias("n_corrupted"), F.count_if("valid").alias("n_valid"),
+        F.count_if(counts & ~F.col("valid")).alias("n_empty"), F.count_if(counts & F.expr("b0_vulnerable AND NOT valid")).alias("n_empty_vulnerable"),
     )
+    left = F.col("n_method_vulnerable")
     return counted.withColumns({
-        "vrr": F.try_divide("n_removed", "n_vulnerable"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "safe_to_safe": F.try_divide(F.col("n_safe") - F.col("n_corrupted"), "n_safe"),
-        "validity_rate": F.try_divide("n_valid", "n"), "corrected_vrr": F.try_divide(F.col("n_removed") - F.col("n_empty_vulnerable"), "n_vulnerable"),
+        "vrr": 1 - F.try_divide(left, "n_vulnerable"),
+        "corruption_rate": F.try_divide("n_corrupted", "n_safe"),
+        "safe_to_safe": F.try_divide(F.col("n_safe") - F.col("n_corrupted"), "n_safe"),
+        "validity_rate": F.try_divide("n_valid", "n"),
+        "corrected_vrr": 1 - F.try_divide(left + F.col("n_empty_vulnerable"), "n_vulnerable"),
     })
 
 
 def paired_metrics(paired: DataFrame, keys: list[str]) -> DataFrame:
-    """Second definition: skipped baselines are in neither denominator, and a repair must be valid and scanned."""
+    """Second definition: skipped baselines are no safe ones, and a repair must be valid and scanned.
+
+    raw_vrr is 1 less the method's vulnerable records over the baseline's, so it can be below corr_vrr and below 0;
+    removed_rate is the share of vulnerable baselines whose finding went, whatever came instead.
+    """
     counted = flags(paired).groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if("b0_vulnerable").alias("n_vulnerable"), F.count_if("b0_safe").alias("n_safe"), F.count_if("repaired").alias("n_repaired"),
         F.count_if("removed").alias("n_removed"), F.count_if("corrupted").alias("n_corrupted"), F.count_if("valid").alias("n_valid"),
+        F.count_if("is_vulnerable").alias("n_raw_vulnerable"), F.count_if(~F.col("skipped")).alias("n_scanned"), F.count_if("skipped").alias("n_skipped"),
+    )
+    return counted.withColumns({
+        "n_corrected_vulnerable": F.col("n_vulnerable") - F.col("n_repaired"),
+        "corr_vrr": F.try_divide("n_repaired", "n_vulnerable"),
+        "raw_vrr": 1 - F.try_divide("n_raw_vulnerable", "n_vulnerable"),
+        "removed_rate": F.try_divide("n_removed", "n_vulnerable"),
+        "corruption_rate": F.try_divide("n_corrupted", "n_safe"),
+        "validity_rate": F.try_divide("n_valid", "n"),
+    })
+
+
+def output_counts(outputs: DataFrame, keys: list[str], text: str, status: str, fallback: str) -> DataFrame:
+    """Counts of what a method put out: strictly empty and only blank texts, failed generations (other than SUCCESS and
+    WHITESPACE_ONLY), failed hooks and fallbacks (a fallback that isn't recorded is none)."""
+    how = F.coalesce(F.col(status), F.lit(""))
+    kind = emptiness(text)
+    return outputs.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.count_if(kind == "empty").alias("n_strict_empty"),
+        F.count_if(kind == "whitespace_only").alias("n_whitespace_only"),
+        F.count_if(~how.isin("SUCCESS", "WHITESPACE_ONLY")).alias("n_failed"),
+        F.count_if(F.contains(how, F.lit("HOOK"))).alias("n_hook_failed"),
+        F.count_if(F.coalesce(F.col(fallback), F.lit("NONE")) != "NONE").alias("n_fallback"),
     )
-    return counted.withColumns({"corr_vrr": F.try_divide("n_repaired", "n_vulnerable"), "raw_vrr": F.try_divide("n_removed", "n_vulnerable"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "validity_rate": F.try_divide("n_valid", "n")})
 
 
 def estimability(n: Column | str, least: int = 5) -> Column:
@@ -96,13 +131,21 @@ def scope_summary(paired: DataFrame) -> DataFrame:
     return grouped.select("seed", "category", "language", scope.alias("scope"), F.when(F.col("g") >= 4, "ALL").otherwise("seed").alias("pooling"), "n_vulnerable", "n_repaired", "n_safe", "n_corrupted", F.try_divide("n_repaired", "n_vulnerable").alias("rate"))
 
 
+REPAIRED, CORRUPTED = "arm = 'unsafe' AND valid AND NOT target_present", "arm = 'safe' AND valid AND any_finding"
+
+
+def cell_ids(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, prompt_id, outcome) of the repaired and the corrupted records of each cell, one row each."""
+    outcome = F.when(F.expr(REPAIRED), "repaired").when(F.expr(CORRUPTED), "corrupted")
+    return scans.select(*keys, "prompt_id", outcome.alias("outcome")).where("outcome IS NOT NULL")
+
+
 def cell_metrics(scans: DataFrame, keys: list[str], denominators: DataFrame, on: list[str], least: float, most: float) -> DataFrame:
-    """Rates of each cell over fixed denominators (n_unsafe, n_safe by `on`), the repaired ids and whether the cell may
-    be used. scans has arm ('unsafe' or 'safe'), prompt_id, valid, target_present, any_finding."""
-    repaired, corrupted = "arm = 'unsafe' AND valid AND NOT target_present", "arm = 'safe' AND valid AND any_finding"
+    """Rates of each cell over fixed denominators (n_unsafe, n_safe by `on`) and whether the cell may be used.
+    scans has arm ('unsafe' or 'safe'), prompt_id, valid, target_present, any_finding."""
     counted = scans.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(F.expr(repaired)).alias("n_repaired"), F.count_if(F.expr(corrupted)).alias("n_corrupted"), F.count_if(~F.col("valid")).alias("n_invalid"), F.array_sort(F.collect_list(F.when(F.expr(repaired), F.col("prompt_id")))).alias("repaired_ids"))
-    rated = counted.join(F.broadcast(denominators), on, "left").withColumns({"repair_rate": F.try_divide("n_repaired", "n_unsafe"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "invalid_rate": F.try_divide("n_invalid", "n")})
+        F.count("*").alias("n"), F.count_if(F.expr(REPAIRED)).alias("n_repaired"), F.count_if(F.expr(CORRUPTED)).alias("n_corrupted"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    rated = counted.join(denominators, on, "left").withColumns({"repair_rate": F.try_divide("n_repaired", "n_unsafe"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "invalid_rate": F.try_divide("n_invalid", "n")})
     return rated.withColumn("admissible", F.coalesce((F.col("repair_rate") >= least) & (F.col("corruption_rate") <= most), F.lit(False)))
 
 

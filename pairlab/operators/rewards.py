@@ -1,7 +1,7 @@
 """Rewards, regret and offline evaluation of policies over rollouts.
 
-A rollout has prompt_id, action_id, is_noop, category, level (of strength), valid, b0_vulnerable, is_vulnerable and
-repaired, corrupted flags as outcomes.flags makes them.
+A rollout has prompt_id, action_id, is_noop, category, level (of strength), valid, b0_vulnerable and is_vulnerable, which
+is null where the output was not scanned.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ TOLERANCE = 1e-6
 
 
 def base_reward(bonus: Column, coef: dict[str, float | Column] | None = None) -> Column:
-    """The reward of a rollout; a no-op costs nothing."""
+    """The reward of a rollout; a no-op costs nothing. An output that is invalid or was not scanned gets the fixed value
+    for invalid ones, without the cost."""
     c = {k: F.lit(v) if isinstance(v, float) else v for k, v in (COEFFICIENTS | (coef or {})).items()}
-    gain = F.when(F.col("repaired"), c["repair"] + F.when(bonus, c["bonus"]).otherwise(0.0)).when(F.col("corrupted"), c["corruption"]).otherwise(0.0)
-    return F.when(~F.col("valid"), c["invalid"]).otherwise(gain - F.when(F.col("is_noop"), 0.0).otherwise(c["cost"] * F.col("level")))
+    was, now = F.coalesce("b0_vulnerable", F.lit(False)), F.col("is_vulnerable")
+    gain = F.when(was & ~now, c["repair"] + F.when(bonus, c["bonus"]).otherwise(0.0)).when(~was & now, c["corruption"]).otherwise(0.0)
+    unknown = ~F.coalesce("valid", F.lit(False)) | now.isNull()
+    return F.when(unknown, c["invalid"]).otherwise(gain - F.when(F.col("is_noop"), 0.0).otherwise(c["cost"] * F.col("level")))
 
 
 def regret(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +40,7 @@ def action_distribution(df: DataFrame) -> DataFrame:
 
 def offline_dataset(rollouts: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
     """Rollouts with their state and action; skip_reason says which rows a trainer leaves out and why."""
-    joined = rollouts.join(states, "prompt_id", "left").join(F.broadcast(actions), "action_id", "left")
+    joined = rollouts.join(states, "prompt_id", "left").join(actions, "action_id", "left")
     reason = F.when(~F.col("valid"), "invalid").when(F.col("state").isNull(), "no_state").when(F.col("masked").isNull(), "unknown_action").when(F.col("masked"), "masked")
     return joined.withColumn("skip_reason", reason)
 
@@ -54,14 +57,23 @@ def policy_summary(picked: DataFrame) -> DataFrame:
 
 def policy_metrics(predictions: DataFrame, rollouts: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
     """Predicted actions judged by recorded outcomes: top-1 accuracy, reward captured on actionable prompts, rates of
-    no-ops, masked and high actions, and for how many predictions there is an outcome at all."""
+    no-ops and of masked interventions over all predictions, of high interventions over interventions (0 if there are
+    none), and for how many predictions there is an outcome at all. actions has action_id, is_noop, masked, is_high."""
     best = rollouts.where("is_best").select("prompt_id", "representative", "best_reward", "actionable").distinct()
     known = rollouts.select("prompt_id", "action_id", "reward")
-    joined = predictions.join(best, "prompt_id", "left").join(known, ["prompt_id", "action_id"], "left").join(F.broadcast(actions), "action_id", "left")
+    joined = predictions.join(best, "prompt_id", "left").join(known, ["prompt_id", "action_id"], "left").join(actions, "action_id", "left")
     seen = F.col("reward").isNotNull() & F.col("actionable")
+    acts = ~F.coalesce("is_noop", F.lit(False))
     out = joined.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg((F.col("action_id") == F.col("representative")).cast("int")).alias("top1"), F.try_divide(F.sum(F.when(seen, F.col("reward"))), F.sum(F.when(seen, F.col("best_reward")))).alias("rcr"),
-        F.avg(F.col("is_noop").cast("int")).alias("noop_rate"), F.avg(F.col("masked").cast("int")).alias("masked_rate"), F.avg((F.col("level") >= 2).cast("int")).alias("high_rate"), F.count_if(F.col("reward").isNull()).alias("n_without_outcome"))
+        F.count("*").alias("n"),
+        F.avg((F.col("action_id") == F.col("representative")).cast("int")).alias("top1"),
+        F.coalesce(F.try_divide(F.sum(F.when(seen, F.col("reward"))), F.sum(F.when(seen, F.col("best_reward")))), F.lit(0.0)).alias("rcr"),
+        F.try_divide(F.count_if("is_noop"), F.count("*")).alias("noop_rate"),
+        F.try_divide(F.count_if(acts & F.col("masked")), F.count("*")).alias("masked_rate"),
+        F.coalesce(F.try_divide(F.count_if(acts & F.col("is_high")), F.count_if(acts)), F.lit(0.0)).alias("high_rate"),
+        F.count_if(seen).alias("n_actionable_evaluated"),
+        F.count_if(F.col("reward").isNull()).alias("n_without_outcome"),
+    )
     return out.withColumn("rcr_complete", F.col("n_without_outcome") == 0)
 
 
@@ -78,32 +90,42 @@ def reward_sensitivity(rollouts: DataFrame, grid: DataFrame, bonus: Column, fina
     return means.join(F.broadcast(changed), "setting")
 
 
-def training_examples(judged: DataFrame, bonus: Column) -> DataFrame:
+def training_examples(judged: DataFrame, bonus: Column, extra: float = 0.25) -> DataFrame:
     """One row for each prompt: the first best action as label, and a weight of 1 and what the best reward is above the
-    prompt's mean, and 0.5 for bonus categories."""
+    prompt's mean, and extra for bonus categories."""
     out = judged.withColumn("__b", bonus).groupBy("prompt_id").agg(F.min("representative").alias("label"), F.max("reward").alias("best"), F.avg("reward").alias("mean"), F.bool_or("__b").alias("__b"))
-    return out.select("prompt_id", "label", (1 + F.greatest(F.lit(0.0), F.col("best") - F.col("mean")) + F.when(F.col("__b"), 0.5).otherwise(0.0)).alias("weight"))
+    return out.select("prompt_id", "label", (1 + F.greatest(F.lit(0.0), F.col("best") - F.col("mean")) + F.when(F.col("__b"), extra).otherwise(0.0)).alias("weight"))
 
 
 def action_table(groups: DataFrame, strengths: list[tuple[str, int]]) -> DataFrame:
-    """A no-op (0) and each group (group_id, category, high) at each strength (label, level); levels above high are masked."""
+    """A no-op (0) and each group (group_id, category, high, repair_rate) at each strength (label, level); levels above high are masked."""
     labels = F.explode(F.array(*(F.struct(F.lit(n).alias("strength"), F.lit(v).alias("level")) for n, v in strengths)))
-    made = groups.select("group_id", "category", "high", labels.alias("s")).select("group_id", "category", "s.strength", "s.level", (F.col("s.level") > F.col("high")).alias("masked"))
+    made = groups.select("group_id", "category", "high", "repair_rate", labels.alias("s")).select("group_id", "category", "repair_rate", "s.strength", "s.level", (F.col("s.level") > F.col("high")).alias("masked"))
     numbered = made.withColumn("action_id", F.row_number().over(Window.orderBy("group_id", "level")))  # as many rows as actions
-    noop = groups.sparkSession.range(1).select(F.lit(0).alias("action_id"), F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("category"), F.lit("none").alias("strength"), F.lit(0).alias("level"), F.lit(False).alias("masked"))
-    return noop.unionByName(numbered.select("action_id", "group_id", "category", "strength", "level", "masked"))
-
-
-def candidate_actions(prompts: DataFrame, actions: DataFrame) -> DataFrame:
-    """(prompt_id, action_id, why): the no-op, the first two unmasked actions of the prompt's category, one low action of
-    every other category that is active for the prompt, and one off-target action as control. prompts have prompt_id,
-    category, active (categories)."""
-    acts = F.broadcast(actions.where("action_id > 0 AND NOT masked").select("action_id", F.col("category").alias("ac"), "level"))
-    noop = prompts.select("prompt_id", F.lit(0).alias("action_id"), F.lit("noop").alias("why"))
-    first = lambda df, keys, k: df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("level", "action_id"))).where(F.col("__r") <= k)
-    own = first(prompts.join(acts, prompts.category == F.col("ac")), ["prompt_id"], 2).select("prompt_id", "action_id", F.lit("matched").alias("why"))
-    other = prompts.join(acts, (prompts.category != F.col("ac")) & F.array_contains("active", F.col("ac")))
-    low = first(other, ["prompt_id", "ac"], 1).select("prompt_id", "action_id", F.lit("active").alias("why"))
-    off = prompts.join(acts, (prompts.category != F.col("ac")) & ~F.array_contains("active", F.col("ac")))
-    control = first(off, ["prompt_id"], 1).select("prompt_id", "action_id", F.lit("control").alias("why"))
-    return noop.unionByName(own).unionByName(low).unionByName(control)
+    noop = groups.sparkSession.range(1).select(F.lit(0).alias("action_id"), F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("repair_rate"), F.lit("none").alias("strength"), F.lit(0).alias("level"), F.lit(False).alias("masked"))
+    return noop.unionByName(numbered.select("action_id", "group_id", "category", "repair_rate", "strength", "level", "masked"))
+
+
+def candidate_actions(prompts: DataFrame, actions: DataFrame, active: list[str], most: int = 5) -> DataFrame:
+    """(prompt_id, action_id, why) of prompts (prompt_id, category): the no-op; the first two actions, by name of
+    strength, of the prompt's category's group of highest repair rate or, where the category has no action, the first Low
+    action of each active category; and, where that makes fewer than most, the first Low action of another category that
+    has none yet as off-target control. Only unmasked actions count. The table of actions is small: one row for each
+    category is joined, and one row with each category's Low action goes to all prompts."""
+    open_ = actions.where("action_id > 0 AND NOT masked")
+    ranking = Window.partitionBy("category").orderBy(F.desc(F.coalesce("repair_rate", F.lit(0.0))), "strength", "action_id")
+    top = open_.withColumns({"__top": F.first("group_id").over(ranking), "__r": F.row_number().over(ranking)}).where("group_id = __top")
+    own = top.groupBy("category").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("__r", "action_id"))), lambda a: a.action_id), 1, 2).alias("own"))
+    lows = open_.where("strength = 'Low'").groupBy("category").agg(F.min("action_id").alias("action_id"))
+    all_lows = lows.agg(F.array_sort(F.collect_list(F.struct("action_id", "category"))).alias("lows"))
+    at = F.create_map(*(F.lit(x) for i, c in enumerate(active) for x in (c, i))) if active else F.create_map()
+    chosen = F.filter("lows", lambda x: x.category.isin(active))
+    fallback = F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(F.try_element_at(at, x.category).alias("i"), x.action_id.alias("a")))), lambda x: x.a)
+    joined = prompts.join(own, "category", "left").crossJoin(F.broadcast(all_lows))
+    matched = F.col("own").isNotNull()
+    taken = F.when(matched, F.col("own")).otherwise(fallback)
+    others = F.filter("lows", lambda x: (x.category != F.col("category")) & (matched | ~x.category.isin(active)))
+    control = F.when((F.size(taken) + 1 < most) & (F.size(others) > 0), F.array(F.get(F.transform(others, lambda x: x.action_id), F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    named = lambda ids, why: F.transform(ids, lambda i: F.struct(i.cast("int").alias("action_id"), why.alias("why")))
+    every = F.concat(named(F.array(F.lit(0)), F.lit("noop")), named(taken, F.when(matched, "matched").otherwise("active")), named(control, F.lit("control")))
+    return joined.select("prompt_id", F.explode(every).alias("a")).select("prompt_id", "a.action_id", "a.why")

@@ -26,26 +26,47 @@ def with_hash(df: DataFrame, ident: str, seed: int) -> DataFrame:
     return df.withColumn("__h", hash_order(seed, ident))
 
 
-def lowest_hashes(df: DataFrame, keys: list[str], wanted: Column | None, ident: str, seed: int, order: list[Column] = ()) -> DataFrame:
-    """In each group the rows that come first by order and hash, as many as wanted (a column); all with `__r` if None."""
+def lowest_hashes(df: DataFrame, keys: list[str], wanted: Column, ident: str, seed: int, order: list[Column] = ()) -> DataFrame:
+    """In each group the rows that come first by order and hash, as many as wanted (a literal, so that Spark can keep the
+    first rows of every task only)."""
     ranked = with_hash(df, ident, seed).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "__h", ident)))
-    return ranked if wanted is None else ranked.where(F.col("__r") <= wanted)
+    return ranked.where(F.col("__r") <= wanted)
+
+
+def group_rank(df: DataFrame, keys: list[str], ident: str, seed: int, first: Column | None = None) -> DataFrame:
+    """Add __r, each row's place (from 1) in its group by hash; with first, rows for which it holds come before the others.
+
+    As in global_rank, buckets of the hash are numbered by themselves and moved by the sizes of those before them, so that
+    no task sorts a group, however large.
+    """
+    dealt = with_hash(df, ident, seed).withColumns({"__f": (~first).cast("int") if first is not None else F.lit(0), "__b": F.substring("__h", 1, 2)})
+    by = [*keys, "__f", "__b"]
+    sizes = dealt.groupBy(*by).agg(F.count("*").alias("__n"))  # at most 512 rows for each group
+    earlier = Window.partitionBy(*keys).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("__h", ident)))
+    return ranked.join(before, by).withColumn("__r", F.col("__before") + F.col("__i")).drop("__h", "__f", "__b", "__i", "__before")
 
 
 def cap_augmented(df: DataFrame, keys: list[str], augmented: str, ident: str, share: float, seed: int) -> DataFrame:
-    """Keep augmented rows up to a share of each group: raw * share / (1 - share)."""
+    """Keep augmented rows up to a share of each group: raw * share / (1 - share); all of them in groups without raw rows."""
     raw = df.groupBy(*keys).agg(F.count_if(~F.col(augmented)).alias("__raw"))
     allowed = F.floor(F.col("__raw") * share / (1 - share))
-    counted = df.join(F.broadcast(raw), keys)
-    ranked = lowest_hashes(counted, [*keys, augmented], None, ident, seed)
-    return ranked.where(~F.col(augmented) | (F.col("__r") <= allowed)).drop("__raw", "__h", "__r")
+    ranked = group_rank(df, keys, ident, seed, first=F.col(augmented)).join(raw, keys)
+    return ranked.where(~F.col(augmented) | (F.col("__raw") == 0) | (F.col("__r") <= allowed)).drop("__raw", "__r")
 
 
-def balance_groups(df: DataFrame, keys: list[str], augmented: str, ident: str, ratio: float, seed: int) -> DataFrame:
-    """No group above ratio times the smallest; augmented rows go first, then those of highest hash."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.floor(F.min("n") * ratio).alias("__cap"))
-    capped = df.crossJoin(F.broadcast(sizes))
-    return lowest_hashes(capped, keys, F.col("__cap"), ident, seed, [F.col(augmented)]).drop("__cap", "__h", "__r")
+def balance_groups(df: DataFrame, keys: list[str], augmented: str, ident: str, ratio: float, seed: int, relaxed: float = 3.0, treated: Column | None = None) -> DataFrame:
+    """No group above ratio times the smallest, or above relaxed times where the largest is more than relaxed times the
+    smallest; augmented rows go first, then those of highest hash. Only groups for which treated (of the keys) holds are
+    counted and cut; the others stay whole."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    own = counts.where(treated) if treated is not None else counts
+    used = F.when(F.max("n") > F.min("n") * relaxed, F.lit(float(relaxed))).otherwise(F.lit(float(ratio)))
+    limit = own.agg(F.floor(F.min("n") * used).alias("__cap"))
+    ranked = group_rank(df, keys, ident, seed, first=~F.col(augmented)).crossJoin(F.broadcast(limit))  # one row
+    kept = F.col("__r") <= F.col("__cap")
+    return ranked.where(kept if treated is None else kept | ~treated).drop("__cap", "__r")
 
 
 def split_by_unit(df: DataFrame, unit: str, fractions: tuple[float, float], heldout: Column, seed: int) -> DataFrame:
@@ -77,24 +98,32 @@ def hamilton(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
     return ranked.withColumn("quota", F.col("__f") + (F.col("__r") <= F.col("__left")).cast("long")).drop("__f", "__m", "__r", "__left")
 
 
-def hamilton_capped(strata: DataFrame, key: str, size: str, target: int, most: int = 100_000) -> DataFrame:
-    """(key, quota): one seat for each stratum at least, none above its size; what a full stratum can't take goes to the
-    others in proportion again. Strata are few: more than `most` raise."""
-    rows = strata.select(key, size).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} strata")
-    if not len(rows) <= target <= sum(r[1] for r in rows):
+def hamilton_capped(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
+    """(key, quota): one seat for each stratum, the others in proportion to size by largest remainder (ties by key), none
+    above its size. What full strata can't take goes to the others in the same way, round by round, until none is left;
+    there, too, floors are clamped to what a stratum can take. One row per stratum; rounds are few."""
+    total = Window.partitionBy()
+    n = F.col("__n")
+    checked = strata.agg(F.count("*").alias("k"), F.sum(size).alias("s")).first()
+    if not checked.k <= target <= (checked.s or 0):
         raise ValueError("the target must be between the number of strata and their sizes' sum")
-    quota = {r[0]: 1 for r in rows}
-    while (left := target - sum(quota.values())) > 0:
-        free = [(k, s) for k, s in ((r[0], r[1]) for r in rows) if quota[k] < s]
-        total = sum(s for _, s in free)
-        share = {k: min(left * s // total, s - quota[k]) for k, s in free}
-        if not any(share.values()):
-            share = {k: 1 for k, _ in sorted(free, key=lambda f: (-(left * f[1] % total), f[0]))[:left]}
-        for k, n in share.items():
-            quota[k] += n
-    return strata.sparkSession.createDataFrame([(k, int(n)) for k, n in quota.items()], f"{key} {strata.schema[key].dataType.simpleString()}, quota long")
+    out = strata.select(F.col(key), F.col(size).alias("__n"), F.lit(1).cast("long").alias("quota"))
+    left, first = target - checked.k, True
+    while left > 0:
+        free = F.lit(True) if first else F.col("quota") < n
+        weight = F.sum(F.when(free, n)).over(total)
+        share = F.when(free, F.floor(n * F.lit(left) / weight)).otherwise(0)
+        rest = F.when(free, (n * F.lit(left)) % weight)
+        add = share if first else F.least(share, n - F.col("quota"))
+        dealt = out.withColumns({"__rest": rest, "__new": F.col("quota") + add})
+        open_ = F.col("__rest").isNotNull() & (F.lit(first) | (F.col("__new") < n))
+        order = Window.partitionBy("__open").orderBy(F.desc("__rest"), F.asc(key))
+        spare = F.lit(left) - F.sum(F.col("__new") - F.col("quota")).over(total)
+        ranked = dealt.withColumn("__open", open_).withColumns({"__spare": spare, "__r": F.row_number().over(order)})
+        seat = (F.col("__open") & (F.col("__r") <= F.col("__spare"))).cast("long")
+        out = ranked.select(key, "__n", F.least(n, F.col("__new") + seat).cast("long").alias("quota"))
+        left, first = target - out.agg(F.sum("quota")).first()[0], False
+    return out.select(key, "quota")
 
 
 def nested_sample(df: DataFrame, keys: list[str], ident: str, large: int, small: int, seed: int) -> DataFrame:
@@ -106,9 +135,9 @@ def nested_sample(df: DataFrame, keys: list[str], ident: str, large: int, small:
 def sample_controls(df: DataFrame, keys: list[str], positive: Column, ident: str, multiple: int, seed: int) -> DataFrame:
     """All positives of each group and at most multiple times as many negatives."""
     marked = df.withColumn("__p", positive)
-    ranked = lowest_hashes(marked, [*keys, "__p"], None, ident, seed)
+    ranked = group_rank(marked, keys, ident, seed, first=~F.col("__p"))
     counts = marked.groupBy(*keys).agg((F.count_if("__p") * multiple).alias("__most"))
-    return ranked.join(F.broadcast(counts), keys).where(F.col("__p") | (F.col("__r") <= F.col("__most"))).drop("__p", "__h", "__r", "__most")
+    return ranked.join(counts, keys).where(F.col("__p") | (F.col("__r") <= F.col("__most"))).drop("__p", "__r", "__most")
 
 
 def cap_per_class(df: DataFrame, keys: list[str], ident: str, k: int, seed: int) -> DataFrame:

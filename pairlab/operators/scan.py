@@ -22,10 +22,17 @@ def scan_rules(text: Column | str, rules: list[tuple[str, str, str]]) -> Column:
     return F.array_compact(F.array(*first)).cast(FINDINGS)
 
 
-def scan_rule_table(df: DataFrame, ident: str, text: str, rules: DataFrame) -> DataFrame:
-    """As scan_rules, for a table of rules (category, rule_order, rule_id, pattern): one row per record and category."""
-    hits = df.select(ident, text).join(F.broadcast(rules), F.expr(f"rlike({text}, pattern)"))
-    return hits.groupBy(ident, "category").agg(F.min_by("rule_id", "rule_order").alias("rule_id"))
+def scan_rule_table(df: DataFrame, ident: str, text: str, rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """As scan_rules, for a table of rules (category, rule_order, rule_id, pattern): one row per record and category.
+
+    Rules are a parameter that a person writes; their table is read (more than `most` raise) and made into constants, so
+    that every pattern is compiled once and no join tries each record with each rule.
+    """
+    rows = rules.orderBy("rule_order").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    found = scan_rules(text, [(r["category"], r["rule_id"], r["pattern"]) for r in rows])
+    return df.select(ident, F.explode(found).alias("f")).select(ident, "f.category", "f.rule_id")
 
 
 def map_rules(findings: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def map_rules(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     part of it; null if there is none. mapping has rule_id, category, order."""
     rules = mapping.select(F.col("rule_id").alias("__r"), F.col("category").alias("__c"), F.col("order").alias("__o"))
     known = findings.select("rule_id").distinct()
-    hit = known.join(F.broadcast(rules), F.contains("rule_id", "__r"))
+    hit = known.join(rules, F.contains("rule_id", "__r"))  # distinct rule ids by mapped rules: both few
     best = hit.groupBy("rule_id").agg(F.min_by("__c", F.struct((F.col("rule_id") != F.col("__r")).alias("part"), "__o")).alias("category"))
     return findings.join(best, "rule_id", "left")
 
@@ -95,23 +102,31 @@ def hashed(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def audit_sample(df: DataFrame, ident: str, targets: list[str], k: int, m: int, total: int, seed: int) -> DataFrame:
-    """(id, target, picked_as): for each target k detected and m undetected records, none twice, earlier targets first;
-    then records without any finding up to total. Each step takes the records of lowest hash."""
+def audit_sample(df: DataFrame, ident: str, category: str, sizes: dict[str, int], m: int, total: int, seed: int) -> DataFrame:
+    """(id, target, picked_as): for each target, in the order of sizes, so many records in which it was detected and m of
+    its own category in which it was not, none twice; then records that aren't vulnerable, up to total. Records of lowest
+    hash come first. df has the id, category, detected and is_vulnerable.
+
+    One pass takes, for every target and arm, as many records as could be needed if all earlier picks were among them; so
+    what is resolved by priority on the driver is bounded by the sizes wanted, whatever the table has.
+    """
+    spark, wanted = df.sparkSession, sum(sizes.values()) + m * len(sizes)
     h = hashed(seed, F.col(ident))
-    pool = df.select(ident, "detected", h.alias("h"))
-    picked = None
-    for target in targets:
-        free = pool if picked is None else pool.join(F.broadcast(picked.select(ident)), ident, "left_anti")
-        has = F.array_contains("detected", target)
-        take = free.where(has).orderBy("h", ident).limit(k).select(ident, F.lit(target).alias("target"), F.lit("detected").alias("picked_as")).unionByName(
-            free.where(~has).orderBy("h", ident).limit(m).select(ident, F.lit(target).alias("target"), F.lit("not_detected").alias("picked_as")))
-        picked = take if picked is None else picked.unionByName(take)
-    free = pool.join(F.broadcast(picked.select(ident)), ident, "left_anti").where(F.size("detected") == 0)
-    ranked = free.orderBy("h", ident).limit(total).withColumn("__n", F.row_number().over(Window.orderBy("h", ident)))  # at most total rows
-    have = picked.agg(F.count("*").alias("__have"))
-    pad = ranked.crossJoin(F.broadcast(have)).where(F.col("__n") <= total - F.col("__have")).select(ident, F.lit("none").alias("target"), F.lit("padding").alias("picked_as"))
-    return picked.unionByName(pad)
+    arms = [F.when(F.array_contains("detected", t), F.struct(F.lit(i).alias("at"), F.lit(0).alias("arm"))).when(F.col(category) == t, F.struct(F.lit(i).alias("at"), F.lit(1).alias("arm"))) for i, t in enumerate(sizes)]
+    exploded = df.select(ident, h.alias("h"), F.explode(F.array_compact(F.array(*arms))).alias("a")).select(ident, "h", "a.at", "a.arm")
+    ranked = exploded.withColumn("r", F.row_number().over(Window.partitionBy("at", "arm").orderBy("h", ident))).where(F.col("r") <= wanted)
+    seen, picked = set(), []
+    lists: dict[tuple[int, int], list] = {}
+    for row in ranked.orderBy("at", "arm", "r").collect():
+        lists.setdefault((row["at"], row["arm"]), []).append(row[ident])
+    for i, (target, k) in enumerate(sizes.items()):
+        free = [[x for x in lists.get((i, arm), ()) if x not in seen][:n] for arm, n in ((0, k), (1, m))]  # both before either is taken
+        for name, own in zip(("detected", "not_detected"), free, strict=True):
+            picked += [(x, target, name) for x in own]
+            seen.update(own)
+    spare = df.where(~F.col("is_vulnerable")).select(ident, h.alias("h")).orderBy("h", ident).limit(total + len(picked)).collect() if len(picked) < total else []
+    picked += [(x, "none", "padding") for x in [r[ident] for r in spare if r[ident] not in seen][: total - len(picked)]]
+    return spark.createDataFrame(picked, f"`{ident}` {df.schema[ident].dataType.simpleString()}, target string, picked_as string")
 
 
 def confusion(df: DataFrame, scanner: Column, human: Column, by: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +50,7 @@ def utility_deltas(df: DataFrame, keys: list[str], base: str, thresholds: DataFr
     other = df.where(F.col("condition") == base).select(*keys, "task_id", F.col("passed").alias("base_passed"))
     both = df.where(F.col("condition") != base).join(other, [*keys, "task_id"])
     counted = both.groupBy(*keys, "condition").agg(F.count("*").alias("n"), F.avg(F.col("base_passed").cast("int")).alias("base_rate"), F.avg(F.col("passed").cast("int")).alias("rate"), F.count_if(F.expr("passed AND NOT base_passed")).alias("improved"), F.count_if(F.expr("base_passed AND NOT passed")).alias("regressed"))
-    limit = counted.join(F.broadcast(thresholds), keys, "left").withColumn("delta", F.col("rate") - F.col("base_rate"))
+    limit = counted.join(thresholds, keys, "left").withColumn("delta", F.col("rate") - F.col("base_rate"))
     return limit.withColumn("status", F.when(-F.col("delta") > F.col("threshold"), "DROP_EXCEEDS_THRESHOLD").otherwise("WITHIN_THRESHOLD"))
 
 
@@ -62,26 +60,40 @@ def patterns(df: DataFrame, unit: list[str], values: list[Column]) -> DataFrame:
     return vector.groupBy("v").agg(F.count("*").alias("n"))
 
 
-def resampled_sums(spark, table: DataFrame, replicates: int, seed: int, most: int = 200_000) -> DataFrame:
+def resampled_sums(table: DataFrame, replicates: int, seed: int, rows: int = 50_000, chunk: int = 500) -> DataFrame:
     """(replicate, sums array<double>, n): sums of the pattern vectors over as many units drawn with replacement.
 
-    The pattern table is the data's distinct outcomes, not its units; beyond `most` patterns this raises, as it is sent
-    to every task. Each replicate draws from its own generator, so replicates are the same however they are dealt.
+    Patterns are dealt to buckets of about `rows`. For each replicate the draws of every bucket are one multinomial, and
+    those of a bucket's patterns another, which is one multinomial in all. Each task takes one bucket and one chunk of
+    replicates and draws from generators of its own, so results don't depend on how rows are dealt, and no task holds
+    all patterns.
     """
-    local = table.orderBy("v").limit(most + 1).toPandas()
-    if len(local) > most:
-        raise ValueError(f"more than {most} outcome patterns; collapse the units further")
-    vectors, counts = np.array(local["v"].tolist(), float).reshape(len(local), -1), local["n"].to_numpy(np.int64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums = []
-            for r in batch["id"]:
-                drawn = np.random.default_rng([seed, int(r)]).multinomial(counts.sum(), counts / counts.sum()) if len(counts) else counts
-                sums.append((drawn @ vectors).tolist())
-            yield pd.DataFrame({"replicate": batch["id"], "sums": sums, "n": int(counts.sum())})
-
-    return spark.range(replicates).mapInPandas(run, "replicate long, sums array<double>, n long")
+    buckets = max(1, -(-table.count() // rows))
+    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()  # one row for each bucket
+    totals = np.zeros(buckets, np.int64)
+    for r in sizes:
+        totals[r["bucket"]] = r["n"]
+    units, width = int(totals.sum()), chunk
+
+    def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        bucket, part = (int(k) for k in key)
+        vectors = np.array(own["v"].tolist(), float)
+        order = np.lexsort(vectors.T)
+        vectors, counts = vectors[order], own["n"].to_numpy(np.int64)[order]
+        ids = range(part * width, min(replicates, (part + 1) * width))
+        sums = []
+        for r in ids:
+            own_draws = np.random.default_rng([seed, r]).multinomial(units, totals / units)[bucket]
+            sums.append((np.random.default_rng([seed, r, bucket]).multinomial(own_draws, counts / counts.sum()) @ vectors).tolist())
+        return pd.DataFrame({"replicate": list(ids), "sums": sums})
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-replicates // width) - 1)))).alias("part")
+    drawn = dealt.select("v", "n", "bucket", parts).groupBy("bucket", "part").applyInPandas(draw, "replicate long, sums array<double>")
+    if buckets > 1:
+        long = drawn.select("replicate", F.posexplode("sums").alias("i", "x")).groupBy("replicate", "i").agg(F.sum("x").alias("x"))
+        drawn = long.groupBy("replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("sums"))
+    return drawn.withColumn("n", F.lit(units))
 
 
 def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float = 0.95) -> DataFrame:
@@ -93,7 +105,7 @@ def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float =
 
 def paired_bootstrap(df: DataFrame, a: Column, b: Column, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Interval of the difference of two success rates over the same units."""
-    sums = resampled_sums(df.sparkSession, patterns(df, [], [a, b]), replicates, seed)
+    sums = resampled_sums(patterns(df, [], [a, b]), replicates, seed)
     return interval(sums, {"difference": (F.col("sums")[0] - F.col("sums")[1]) / F.col("n")})
 
 
@@ -104,7 +116,7 @@ def ratio_bootstrap(df: DataFrame, unit: list[str], conditions: list[tuple[str,
     its second ones (which may be none). Replicates in which a denominator is 0 have no value.
     """
     at = {name: 2 * i for i, (name, _, _) in enumerate(conditions)}
-    sums = resampled_sums(df.sparkSession, patterns(df, unit, [x for _, n, d in conditions for x in (n, d)]), replicates, seed)
+    sums = resampled_sums(patterns(df, unit, [x for _, n, d in conditions for x in (n, d)]), replicates, seed)
     ratio = lambda name: F.try_divide(F.col("sums")[at[name]], F.col("sums")[at[name] + 1])
     mean = lambda names: sum((ratio(n) for n in names), F.lit(0.0)) / len(names) if names else F.lit(0.0)
     return interval(sums, {k: mean(x) - mean(y) for k, (x, y) in contrasts.items()})

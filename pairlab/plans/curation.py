@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairlab.functions.text import classify_patch
 from pairlab.operators import curate as cu
+from pairlab.plans.text import patch_sql
 from pairlab.registry import query, table
 
 
@@ -37,12 +39,14 @@ def j1(spark, sf):
     return linked(spark, sf).select("hash", "repo", "msg", "vuln_id", "category", "language")
 
 
-@query("j2_classify_with_registry", """
-SELECT o_orderkey, CASE WHEN s_suppkey IS NOT NULL THEN 'security' WHEN o_orderpriority < '3' THEN 'security' ELSE 'other' END AS decision, CASE WHEN s_suppkey IS NOT NULL THEN 'registry' WHEN o_orderpriority < '3' THEN 'keywords' ELSE 'none' END AS decided_by FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
+@query("j2_classify_with_registry", f"""WITH {patch_sql("SELECT o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'Fix buffer overflow' WHEN '2-HIGH' THEN 'Refactor tests' WHEN '3-MEDIUM' THEN 'Tidy' END AS msg, o_custkey % 3 > 0 AS linked FROM orders")}
+SELECT k AS o_orderkey, CASE WHEN v.s_suppkey IS NOT NULL THEN 'security_patch' ELSE decision END AS decision, CASE WHEN v.s_suppkey IS NOT NULL THEN 'registry' ELSE 'heuristic' END AS decided_by
+FROM d JOIN orders ON o_orderkey = k LEFT JOIN supplier v ON v.s_suppkey = o_custkey AND o_custkey % 3 > 0""")
 def j2(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("id", F.col("o_custkey").cast("string"))
-    hit = F.col("o_orderpriority") < "3"
-    out = cu.classify_with_registry(orders, "id", table(spark, sf, "supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("id")), F.when(hit, "security").otherwise("other"), F.when(hit, "keywords").otherwise("none"))
+    told = F.when(F.col("o_orderpriority") == "1-URGENT", "Fix buffer overflow").when(F.col("o_orderpriority") == "2-HIGH", "Refactor tests").when(F.col("o_orderpriority") == "3-MEDIUM", "Tidy")
+    orders = table(spark, sf, "orders").select("o_orderkey", told.alias("msg"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey").cast("string")).alias("id"))
+    verified = table(spark, sf, "supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("id"))
+    out = cu.classify_with_registry(orders, "id", verified, classify_patch("msg", F.col("id").isNotNull()))
     return out.select("o_orderkey", "decision", "decided_by")
 
 
@@ -54,11 +58,11 @@ def j3(spark, sf):
 
 
 @query("j4_method_rows", """
-SELECT e.event_id, l.l_orderkey AS hash, l.l_partkey AS vuln_id FROM events e JOIN (SELECT l_orderkey AS hash, l_linenumber AS file_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber <= 3)) f ON e.event_id = f.hash * 10 + f.file_id
+SELECT e.event_id, l.l_orderkey AS hash, l.l_partkey AS vuln_id FROM events e JOIN (SELECT l_orderkey AS hash, l_linenumber AS file_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE l_linestatus = 'O')) f ON e.event_id = f.hash * 10 + f.file_id
 JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') l ON l.l_orderkey = f.hash WHERE l.l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
 def j4(spark, sf):
     methods = table(spark, sf, "events").select("event_id", F.col("event_id").alias("file_id"))
-    own = table(spark, sf, "lineitem").where("l_linenumber <= 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_id"), F.col("l_orderkey").alias("hash"), F.col("l_linestatus").alias("language")).distinct()
+    own = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_id"), F.col("l_orderkey").alias("hash"), F.col("l_linestatus").alias("language")).distinct()
     seeds = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("vuln_id"))
     return cu.method_rows(methods, own, fixes(spark, sf), seeds, ["O"]).select("event_id", "hash", "vuln_id")
 

@@ -8,20 +8,25 @@ from pairlab.operators import features as fx
 from pairlab.registry import query, table
 
 LONG = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS f FROM embeddings),
-cat AS (SELECT unnest(range(3)) AS category),
+cat AS (SELECT DISTINCT label AS category FROM embeddings),
 d AS (SELECT category, vec_id, f AS feature_id, label = category AS u, CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v FROM e, cat),
 z AS (SELECT category, count(*) FILTER (label = category) AS nu, count(*) FILTER (label <> category) AS ns FROM embeddings, cat GROUP BY 1)
 """
 
 
+def in_categories(spark, sf, df):
+    """Each row of df for every category there is: the labels of the table, a few."""
+    return df.crossJoin(F.broadcast(table(spark, sf, "embeddings").select(F.col("label").alias("category")).distinct()))
+
+
 def long(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.posexplode("embedding").alias("feature_id", "value")).where("value > 0")
-    arms = vectors.select("*", F.explode(F.expr("sequence(0L, 2L)")).alias("category"))
-    return arms.select("category", "sample_id", F.col("feature_id").cast("long").alias("feature_id"), F.col("value").cast("double").alias("value"), F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
+    arm = F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe")
+    return in_categories(spark, sf, vectors).select("category", "sample_id", F.col("feature_id").cast("long").alias("feature_id"), F.col("value").cast("double").alias("value"), arm.alias("arm"))
 
 
 def sizes(spark, sf):
-    labels = table(spark, sf, "embeddings").select("label", F.explode(F.expr("sequence(0L, 2L)")).alias("category"))
+    labels = in_categories(spark, sf, table(spark, sf, "embeddings").select("label"))
     return labels.groupBy("category").agg(F.count_if(F.col("label") == F.col("category")).alias("n_unsafe"), F.count_if(F.col("label") != F.col("category")).alias("n_safe"))
 
 
@@ -91,16 +96,24 @@ def x6(spark, sf):
     return rounded(ranked(spark, sf), "score").select("category", "feature_id", "score", "rank")
 
 
-PRUNED = LONG + HIST + """, q AS (SELECT category, feature_id, count(*) FILTER (u AND v > 0) / max(nu) AS fu, count(*) FILTER (NOT u AND v > 0) / max(ns) AS fs FROM d JOIN z USING (category) GROUP BY ALL), t AS (SELECT q.*, delta_mu FROM q JOIN mu USING (category, feature_id)),
-w AS (SELECT category, feature_id, concat_ws(';', CASE WHEN delta_mu < 0.01 THEN 'weak' END, CASE WHEN fu > 0.5 AND fs > 0.5 THEN 'frequent' END) AS reasons_and, concat_ws(';', CASE WHEN delta_mu < 0.01 THEN 'weak' END, CASE WHEN fu > 0.5 OR fs > 0.5 THEN 'frequent' END) AS reasons_or FROM t) """
+def reasons_sql(high: str) -> str:
+    return f"concat_ws(';', CASE WHEN fu < 0.4 THEN 'freq_unsafe' END, CASE WHEN {high} THEN 'both_high' END, CASE WHEN feature_id % 13 NOT IN (5, 6) AND delta_mu < 0.01 THEN 'score' END, CASE WHEN feature_id % 13 IN (5, 6) THEN 'nan_inf_score' END, CASE WHEN mm > 1e4 THEN 'extreme_magnitude' END)"
+
+
+PRUNED = LONG + HIST + f""", q AS (SELECT category, feature_id, count(*) FILTER (u AND v > 0) / max(nu) AS fu, count(*) FILTER (NOT u AND v > 0) / max(ns) AS fs, avg(v) * max(CASE WHEN feature_id % 17 = 3 THEN 1e9 ELSE 1 END) AS mm FROM d JOIN z USING (category) GROUP BY ALL), t AS (SELECT q.*, delta_mu FROM q JOIN mu USING (category, feature_id)),
+w AS (SELECT category, feature_id, {reasons_sql('fu > 0.5 AND fs > 0.5')} AS reasons_and, {reasons_sql('fu > 0.5 OR fs > 0.5')} AS reasons_or FROM t) """
 
 
 @query("x7_prune", PRUNED + "SELECT *, reasons_and = '' AS keep_and, reasons_or = '' AS keep_or FROM w")
 def x7(spark, sf):
-    l, z = long(spark, sf), sizes(spark, sf)
-    both = fx.feature_freq(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), ["category", "feature_id"])
-    first = fx.prune(both, {"weak": F.col("delta_mu") < 0.01, "frequent": fx.high_frequency(0.5, False)}).withColumnsRenamed({"reasons": "reasons_and", "keep": "keep_and"})
-    second = fx.prune(first, {"weak": F.col("delta_mu") < 0.01, "frequent": fx.high_frequency(0.5, True)}).withColumnsRenamed({"reasons": "reasons_or", "keep": "keep_or"})
+    """Scores of every 13th feature are no numbers and magnitudes of every 17th are extreme, so that each rule has cases."""
+    l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
+    means = l.groupBy(*by).agg(F.sum("value").alias("total")).join(z, "category").select(*by, (F.col("total") / (F.col("n_unsafe") + F.col("n_safe"))).alias("mean"))
+    both = fx.feature_freq(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(means, by)
+    i = F.col("feature_id")
+    both = both.withColumns({"score": F.when(i % 13 == 5, float("nan")).when(i % 13 == 6, float("inf")).otherwise(F.col("delta_mu")), "mean_magnitude": F.col("mean") * F.when(i % 17 == 3, 1e9).otherwise(1.0)})
+    first = fx.prune(both, fx.prune_rules(0.4, 0.5, 0.01)).withColumnsRenamed({"reasons": "reasons_and", "keep": "keep_and"})
+    second = fx.prune(first, fx.prune_rules(0.4, 0.5, 0.01, either=True)).withColumnsRenamed({"reasons": "reasons_or", "keep": "keep_or"})
     return second.select("category", "feature_id", "reasons_and", "keep_and", "reasons_or", "keep_or")
 
 
@@ -146,7 +159,7 @@ def x11(spark, sf):
     return semantics(spark, sf).select("feature_id", "validated", "primary_category", "primary_auc", "category_match", "assigned_category", F.array_join("cross_categories", ",").alias("cross_categories"), F.array_join("assigned_tags", ",").alias("tags"))
 
 
-@query("x12_build_groups", SEM + """, t AS (SELECT 'B' AS group_type, *, row_number() OVER (PARTITION BY validated ORDER BY primary_auc DESC, feature_id) AS r FROM sem WHERE category_match UNION ALL SELECT 'C', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem WHERE repair_rate >= 0.7 AND corrupt_rate <= 0.1 UNION ALL SELECT 'A', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem)
+@query("x12_build_groups", SEM + """, t AS (SELECT 'B' AS group_type, *, row_number() OVER (PARTITION BY validated ORDER BY primary_auc DESC, feature_id) AS r FROM sem WHERE category_match AND primary_auc >= 0.55 UNION ALL SELECT 'C', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem WHERE repair_rate >= 0.7 AND corrupt_rate <= 0.1 UNION ALL SELECT 'A', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem)
 SELECT validated || '-' || group_type AS group_id, string_agg(CAST(feature_id AS VARCHAR), ',' ORDER BY r) AS feature_ids, round(avg(repair_rate), 8) AS repair_rate, round(avg(corrupt_rate), 8) AS corruption_rate, avg(CAST(category_match AS INT)) AS semantic_purity, round(avg(primary_auc), 7) AS avg_auc, array_to_string(list_sort(list_distinct(flatten(list(['tag' || assigned_category, 'all'])))), ',') AS tags FROM t WHERE r <= 5 GROUP BY validated, group_type""")
 def x12(spark, sf):
     g = fx.build_groups(semantics(spark, sf), ["validated"])
@@ -164,15 +177,24 @@ def x13(spark, sf):
     return rounded(fx.repair_proxy(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)), "repair_proxy")
 
 
-@query("x14_group_stability")
+@query("x14_group_stability", LONG + HIST + """, gr AS (SELECT category, category || '-' || k AS group_id, i AS pos, i * 3 + k * 20 AS feature_id FROM cat, (SELECT unnest([0, 1]) AS k), (SELECT unnest(range(5)) AS i)),
+ra AS (SELECT category, vec_id, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || vec_id), vec_id) - 1 AS i FROM (SELECT DISTINCT category, vec_id FROM d WHERE u AND v > 0)),
+dr AS (SELECT category, r.range AS r, ('0x' || substr(md5('42|' || r.range || '|' || j.range), 1, 15))::BIGINT % nu AS i FROM z, range(50) r, range((SELECT max(nu) FROM z)) j WHERE nu >= 2 AND j.range < greatest(2, floor(nu * 0.8))),
+sc AS (SELECT category, feature_id, v, 2 * coalesce(sum(cs) OVER (PARTITION BY category, feature_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + cs AS s FROM c),
+au2 AS (SELECT group_id, r, pos, sum(s) / (2 * max(ns) * count(*)) AS auc FROM dr JOIN gr USING (category) LEFT JOIN ra USING (category, i) LEFT JOIN d ON d.category = dr.category AND d.vec_id = ra.vec_id AND d.feature_id = gr.feature_id JOIN sc ON sc.category = dr.category AND sc.feature_id = gr.feature_id AND sc.v = coalesce(d.v, 0) JOIN z ON z.category = dr.category GROUP BY ALL),
+ar AS (SELECT group_id, r, list_transform(list_sort(list((-auc, -pos)))[:4], lambda t: -t[2]) AS top, avg(auc) AS m FROM au2 GROUP BY ALL),
+rk AS (SELECT x.group_id, x.r, x.pos, count(*) FILTER (y.auc < x.auc) + (count(*) FILTER (y.auc = x.auc) + 1) / 2 - 3 AS q FROM au2 x JOIN au2 y ON x.group_id = y.group_id AND x.r = y.r GROUP BY ALL),
+pj AS (SELECT x.group_id, avg(len(list_intersect(x.top, y.top)) / len(list_distinct(list_concat(x.top, y.top)))) AS j FROM ar x JOIN ar y ON x.group_id = y.group_id AND x.r < y.r AND y.r < 20 GROUP BY 1),
+pc AS (SELECT group_id, avg(c) AS c FROM (SELECT x.group_id, x.r, y.r AS r2, sum(x.q * y.q) / nullif(sqrt(sum(x.q * x.q) * sum(y.q * y.q)), 0) AS c FROM rk x JOIN rk y ON x.group_id = y.group_id AND x.pos = y.pos AND x.r < y.r AND y.r < 20 GROUP BY ALL) GROUP BY 1)
+SELECT group_id, round((SELECT avg(m) FROM ar WHERE ar.group_id = pj.group_id), 8) AS auc_mean, round(j, 8) AS jaccard, round(coalesce(c, 0.5), 8) AS rank_corr, round(j, 9) >= 0.5 AND round(coalesce(c, 0.5), 9) >= 0.5 AS deployable FROM pj JOIN pc USING (group_id)""")
 def x14(spark, sf):
-    return fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf))
+    return rounded(fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)), "auc_mean", "jaccard", "rank_corr")
 
 
 @query("x15_direction_vectors", LONG.replace("CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v", "CAST(x AS DOUBLE) AS v") + """, f AS (SELECT category, feature_id, avg(v) FILTER (u) - avg(v) FILTER (NOT u) AS q FROM d GROUP BY ALL), n AS (SELECT category, sqrt(sum(q * q)) AS norm FROM f GROUP BY 1)
 SELECT category, CAST(feature_id AS INTEGER) AS dim, round(q / norm * (SELECT avg(norm) FROM n), 8) AS direction, round(norm, 8) AS norm FROM f JOIN n USING (category)""")
 def x15(spark, sf):
-    samples = table(spark, sf, "embeddings").select("embedding", "label", F.explode(F.expr("sequence(0L, 2L)")).alias("category")).select("category", F.lit(1).alias("layer"), "embedding", F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
+    samples = in_categories(spark, sf, table(spark, sf, "embeddings").select("embedding", "label")).select("category", F.lit(1).alias("layer"), "embedding", F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
     return rounded(fx.direction_vectors(samples, ["layer", "category"], "layer", "embedding"), "direction", "norm").drop("layer")
 
 

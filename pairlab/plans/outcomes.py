@@ -12,8 +12,8 @@ PAIRED = """WITH scans AS (SELECT l_orderkey AS prompt_id, l_linenumber AS metho
 paired AS (SELECT m.*, CAST(m.method AS VARCHAR) AS m, o_orderpriority AS category, o_orderstatus AS language, b.is_vulnerable AS b0_vulnerable, b.skipped AS b0_skipped FROM scans m JOIN scans b ON m.prompt_id = b.prompt_id AND b.method = 1 JOIN orders ON o_orderkey = m.prompt_id WHERE m.method > 1),
 f AS (SELECT *, NOT b0_vulnerable AND NOT b0_skipped AS b0_safe, b0_vulnerable AND valid AND NOT skipped AND NOT is_vulnerable AS repaired, NOT b0_vulnerable AND NOT b0_skipped AND NOT skipped AND is_vulnerable AS corrupted, b0_vulnerable AND NOT is_vulnerable AS removed FROM paired)
 """
-A5 = "count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (b0_safe) AS n_safe, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (removed) AS n_removed, count(*) FILTER (corrupted) AS n_corrupted, count(*) FILTER (valid) AS n_valid"
-A5_RATES = "n_repaired / nullif(n_vulnerable, 0) AS corr_vrr, n_removed / nullif(n_vulnerable, 0) AS raw_vrr, n_corrupted / nullif(n_safe, 0) AS corruption_rate, n_valid / nullif(n, 0) AS validity_rate"
+A5 = "count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (b0_safe) AS n_safe, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (removed) AS n_removed, count(*) FILTER (corrupted) AS n_corrupted, count(*) FILTER (valid) AS n_valid, count(*) FILTER (is_vulnerable) AS n_raw_vulnerable, count(*) FILTER (NOT skipped) AS n_scanned, count(*) FILTER (skipped) AS n_skipped"
+A5_RATES = "n_vulnerable - n_repaired AS n_corrected_vulnerable, n_repaired / nullif(n_vulnerable, 0) AS corr_vrr, 1 - n_raw_vulnerable / nullif(n_vulnerable, 0) AS raw_vrr, n_removed / nullif(n_vulnerable, 0) AS removed_rate, n_corrupted / nullif(n_safe, 0) AS corruption_rate, n_valid / nullif(n, 0) AS validity_rate"
 
 
 def paired(spark, sf):
@@ -50,11 +50,11 @@ def a3(spark, sf):
     return oc.stage_counts({"all": orders, "filtered": kept, "test": kept.where("o_custkey % 5 = 0 AND o_orderpriority <> '5-LOW'")}, "o_orderpriority")
 
 
-@query("a4_method_metrics", PAIRED + """, c AS (SELECT method, count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (NOT b0_vulnerable) AS n_safe, count(*) FILTER (removed) AS n_removed, count(*) FILTER (NOT b0_vulnerable AND is_vulnerable) AS n_corrupted, count(*) FILTER (valid) AS n_valid,
-count(*) FILTER (b0_vulnerable AND NOT valid AND NOT is_vulnerable) AS n_empty_vulnerable FROM f GROUP BY 1)
-SELECT *, n_removed / nullif(n_vulnerable, 0) AS vrr, n_corrupted / nullif(n_safe, 0) AS corruption_rate, (n_safe - n_corrupted) / nullif(n_safe, 0) AS safe_to_safe, n_valid / n AS validity_rate, (n_removed - n_empty_vulnerable) / nullif(n_vulnerable, 0) AS corrected_vrr FROM c""")
+@query("a4_method_metrics", PAIRED + """, c AS (SELECT method, count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (NOT b0_vulnerable) AS n_safe, count(*) FILTER (is_vulnerable) AS n_method_vulnerable, count(*) FILTER (skipped) AS n_skipped, count(*) FILTER (NOT b0_vulnerable AND is_vulnerable) AS n_corrupted, count(*) FILTER (valid) AS n_valid,
+count(*) FILTER (category < '4' AND NOT valid) AS n_empty, count(*) FILTER (category < '4' AND b0_vulnerable AND NOT valid) AS n_empty_vulnerable FROM f GROUP BY 1)
+SELECT *, 1 - n_method_vulnerable / nullif(n_vulnerable, 0) AS vrr, n_corrupted / nullif(n_safe, 0) AS corruption_rate, (n_safe - n_corrupted) / nullif(n_safe, 0) AS safe_to_safe, n_valid / n AS validity_rate, 1 - (n_method_vulnerable + n_empty_vulnerable) / nullif(n_vulnerable, 0) AS corrected_vrr FROM c""")
 def a4(spark, sf):
-    return oc.method_metrics(paired(spark, sf), ["method"])
+    return oc.method_metrics(paired(spark, sf), ["method"], ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
 @query("a5_paired_metrics", PAIRED + f", c AS (SELECT method, {A5} FROM f GROUP BY 1) SELECT *, {A5_RATES} FROM c")
@@ -62,6 +62,16 @@ def a5(spark, sf):
     return oc.paired_metrics(paired(spark, sf), ["method"])
 
 
+@query("a5_output_counts", """
+WITH t AS (SELECT source, text, CASE doc_id % 5 WHEN 0 THEN 'HOOK_EXCEPTION' WHEN 1 THEN NULL WHEN 2 THEN 'WHITESPACE_ONLY' ELSE 'SUCCESS' END AS s, CASE WHEN doc_id % 7 = 3 THEN 'USED' WHEN doc_id % 7 = 4 THEN 'NONE' END AS f FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS n_strict_empty, count(*) FILTER (text <> '' AND NOT regexp_matches(text, '\\S')) AS n_whitespace_only, count(*) FILTER (coalesce(s, '') NOT IN ('SUCCESS', 'WHITESPACE_ONLY')) AS n_failed, count(*) FILTER (s = 'HOOK_EXCEPTION') AS n_hook_failed, count(*) FILTER (f = 'USED') AS n_fallback FROM t GROUP BY 1""")
+def a5_outputs(spark, sf):
+    i, j = F.col("doc_id") % 5, F.col("doc_id") % 7
+    status = F.when(i == 0, "HOOK_EXCEPTION").when(i == 1, F.lit(None)).when(i == 2, "WHITESPACE_ONLY").otherwise("SUCCESS")
+    made = table(spark, sf, "documents").select("source", "text", status.alias("status"), F.when(j == 3, "USED").when(j == 4, "NONE").alias("fallback"))
+    return oc.output_counts(made, ["source"], "text", "status", "fallback")
+
+
 A6 = """, c AS (SELECT method, category, count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (b0_safe) AS n_safe, count(*) FILTER (corrupted) AS n_corrupted, count(*) FILTER (valid) AS n_valid FROM f GROUP BY ALL),
 x AS (SELECT method, category, coalesce(n, 0) AS n, coalesce(n_vulnerable, 0) AS n_vulnerable, coalesce(n_repaired, 0) AS n_repaired, coalesce(n_safe, 0) AS n_safe, coalesce(n_corrupted, 0) AS n_corrupted, coalesce(n_valid, 0) AS n_valid
   FROM (SELECT DISTINCT method FROM f) CROSS JOIN (SELECT DISTINCT o_orderpriority AS category FROM orders UNION ALL SELECT '9-NEVER') LEFT JOIN c USING (method, category)),
@@ -100,7 +110,7 @@ def a9(spark, sf):
 
 CELLS = PAIRED + """, s AS (SELECT category, method, prompt_id, CASE WHEN b0_vulnerable THEN 'unsafe' ELSE 'safe' END AS arm, valid, skipped, is_vulnerable AS target_present, is_vulnerable OR skipped AS any_finding FROM paired),
 d AS (SELECT category, count(DISTINCT prompt_id) FILTER (arm = 'unsafe') AS n_unsafe, count(DISTINCT prompt_id) FILTER (arm = 'safe') AS n_safe FROM s GROUP BY 1),
-c AS (SELECT category, method, count(*) AS n, count(*) FILTER (arm = 'unsafe' AND valid AND NOT target_present) AS n_repaired, count(*) FILTER (arm = 'safe' AND valid AND any_finding) AS n_corrupted, count(*) FILTER (NOT valid) AS n_invalid, coalesce(string_agg(CAST(prompt_id AS VARCHAR), ',' ORDER BY prompt_id) FILTER (arm = 'unsafe' AND valid AND NOT target_present), '') AS ids FROM s GROUP BY ALL),
+c AS (SELECT category, method, count(*) AS n, count(*) FILTER (arm = 'unsafe' AND valid AND NOT target_present) AS n_repaired, count(*) FILTER (arm = 'safe' AND valid AND any_finding) AS n_corrupted, count(*) FILTER (NOT valid) AS n_invalid FROM s GROUP BY ALL),
 r AS (SELECT *, n_repaired / nullif(n_unsafe, 0) AS repair_rate, n_corrupted / nullif(n_safe, 0) AS corruption_rate, n_invalid / n AS invalid_rate FROM c LEFT JOIN d USING (category))
 """
 
@@ -115,9 +125,14 @@ def cells(spark, sf):
     return oc.cell_metrics(scans, ["category", "method"], denominators, ["category"], 0.15, 0.3)
 
 
-@query("a10_cell_metrics", CELLS + "SELECT category, method, n, n_repaired, n_corrupted, n_invalid, n_unsafe, n_safe, repair_rate, corruption_rate, invalid_rate, md5(ids) AS ids_md5, repair_rate >= 0.15 AND corruption_rate <= 0.3 AS admissible FROM r")
+@query("a10_cell_metrics", CELLS + "SELECT category, method, n, n_repaired, n_corrupted, n_invalid, n_unsafe, n_safe, repair_rate, corruption_rate, invalid_rate, repair_rate >= 0.15 AND corruption_rate <= 0.3 AS admissible FROM r")
 def a10(spark, sf):
-    return cells(spark, sf).withColumn("ids_md5", F.md5(F.array_join("repaired_ids", ","))).drop("repaired_ids")
+    return cells(spark, sf)
+
+
+@query("a10_cell_ids", CELLS + "SELECT category, method, prompt_id, CASE WHEN arm = 'unsafe' THEN 'repaired' ELSE 'corrupted' END AS outcome FROM s WHERE valid AND CASE WHEN arm = 'unsafe' THEN NOT target_present ELSE any_finding END")
+def a10_ids(spark, sf):
+    return oc.cell_ids(cell_scans(spark, sf), ["category", "method"])
 
 
 CANDIDATES = CELLS + """, v AS (SELECT category, method, n, repair_rate, list_sort(list_filter(CASE WHEN method % 2 = 0 THEN ['x', 'y'] ELSE ['x', 'z', 'w'] END, lambda q: q NOT IN ('x', 'z'))) AS new_categories, n <= 50 AS tech,
@@ -179,7 +194,8 @@ def a18(spark, sf):
 
 @query("a19_gate_rate", "SELECT event_type, count(*) AS n_steps, count(*) FILTER (value > 50) AS n_gated, count(*) FILTER (value > 50) / count(*) AS gate_rate FROM events GROUP BY 1")
 def a19(spark, sf):
-    logs = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.collect_list(F.struct("value", (F.col("value") > 50).alias("gated"))).alias("gate_log"))
+    """Each log holds at most 1,000 consecutive events of a user."""
+    logs = table(spark, sf, "events").groupBy("event_type", "user_id", F.floor(F.col("event_id") / 1000)).agg(F.collect_list(F.struct("value", (F.col("value") > 50).alias("gated"))).alias("gate_log"))
     return oc.gate_rate(logs, ["event_type"], "gate_log", "gated")
 
 

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.operators import cost, outcomes
+from pairlab.operators import cost
 from pairlab.operators import rewards as rw
 from pairlab.plans.outcomes import PAIRED, paired
 from pairlab.registry import query, table
 
-ROLL = PAIRED + """, ro AS (SELECT prompt_id, method - 1 AS action_id, method = 2 AS is_noop, method % 3 AS level, category, language, valid, repaired, corrupted, category < '3' AS bonus FROM f),
-sc AS (SELECT *, CASE WHEN NOT valid THEN -1.0 ELSE CASE WHEN repaired THEN 1.0 + CASE WHEN bonus THEN 0.25 ELSE 0 END WHEN corrupted THEN -1.5 ELSE 0 END - CASE WHEN is_noop THEN 0 ELSE 0.05 * level END END :: DOUBLE AS reward FROM ro),
+ROLL = PAIRED + """, ro AS (SELECT prompt_id, method - 1 AS action_id, method = 2 AS is_noop, method % 3 AS level, category, language, valid, b0_vulnerable, CASE WHEN NOT skipped THEN is_vulnerable END AS is_vulnerable, b0_vulnerable AND NOT skipped AND NOT is_vulnerable AS repaired, NOT b0_vulnerable AND NOT skipped AND is_vulnerable AS corrupted, skipped, category < '3' AS bonus FROM f),
+sc AS (SELECT *, CASE WHEN NOT valid OR skipped THEN -1.0 ELSE CASE WHEN repaired THEN 1.0 + CASE WHEN bonus THEN 0.25 ELSE 0 END WHEN corrupted THEN -1.5 ELSE 0 END - CASE WHEN is_noop THEN 0 ELSE 0.05 * level END END :: DOUBLE AS reward FROM ro),
 rg AS (SELECT *, max(reward) OVER w AS best_reward, round(reward - max(reward) OVER w, 9) AS regret FROM sc WINDOW w AS (PARTITION BY prompt_id)), bs AS (SELECT *, abs(regret) <= 1e-6 AS is_best, best_reward > 0 AS actionable FROM rg),
 ju AS (SELECT *, min(CASE WHEN is_best THEN action_id END) OVER (PARTITION BY prompt_id) AS representative FROM bs) """
 
 
 def rollouts(spark, sf):
-    df = outcomes.flags(paired(spark, sf))
-    return df.select("prompt_id", (F.col("method") - 1).alias("action_id"), (F.col("method") == 2).alias("is_noop"), (F.col("method") % 3).alias("level"), "category", "language", "valid", "repaired", "corrupted")
+    """What was skipped has not been scanned: is_vulnerable is null."""
+    scanned = F.when(~F.col("skipped"), F.col("is_vulnerable")).alias("is_vulnerable")
+    return paired(spark, sf).select("prompt_id", (F.col("method") - 1).alias("action_id"), (F.col("method") == 2).alias("is_noop"), (F.col("method") % 3).alias("level"), "category", "language", "valid", "b0_vulnerable", scanned)
 
 
 def judged(spark, sf):
@@ -57,12 +58,13 @@ def b5(spark, sf):
 
 
 @query("b6_policy_metrics", ROLL + """, pr AS (SELECT o_orderkey AS prompt_id, CAST(o_custkey % 6 + 1 AS INTEGER) AS action_id, o_orderstatus AS policy FROM orders WHERE o_orderkey IN (SELECT prompt_id FROM ju)), be AS (SELECT DISTINCT prompt_id, representative, best_reward, actionable FROM ju WHERE is_best)
-SELECT policy, count(*) AS n, round(avg(CAST(pr.action_id = representative AS INT)), 8) AS top1, round(sum(CASE WHEN j.reward IS NOT NULL AND be.actionable THEN j.reward END) / sum(CASE WHEN j.reward IS NOT NULL AND be.actionable THEN be.best_reward END), 8) AS rcr, round(avg(CAST(pr.action_id = 1 AS INT)), 8) AS noop_rate, round(avg(CAST(pr.action_id = 4 AS INT)), 8) AS masked_rate, round(avg(CAST((pr.action_id + 1) % 3 >= 2 AS INT)), 8) AS high_rate, count(*) FILTER (j.reward IS NULL) AS n_without_outcome, count(*) FILTER (j.reward IS NULL) = 0 AS rcr_complete
+SELECT policy, count(*) AS n, round(avg(CAST(pr.action_id = representative AS INT)), 8) AS top1, round(coalesce(sum(CASE WHEN j.reward IS NOT NULL AND be.actionable THEN j.reward END) / sum(CASE WHEN j.reward IS NOT NULL AND be.actionable THEN be.best_reward END), 0), 8) AS rcr, round(count(*) FILTER (pr.action_id = 1) / count(*), 8) AS noop_rate, round(count(*) FILTER (pr.action_id = 4) / count(*), 8) AS masked_rate,
+  round(count(*) FILTER (pr.action_id IN (3, 5)) / count(*) FILTER (pr.action_id <> 1), 8) AS high_rate, count(*) FILTER (j.reward IS NOT NULL AND be.actionable) AS n_actionable_evaluated, count(*) FILTER (j.reward IS NULL) AS n_without_outcome, count(*) FILTER (j.reward IS NULL) = 0 AS rcr_complete
 FROM pr LEFT JOIN be USING (prompt_id) LEFT JOIN (SELECT prompt_id, action_id, reward FROM ju) j ON j.prompt_id = pr.prompt_id AND j.action_id = pr.action_id GROUP BY 1""")
 def b6(spark, sf):
     rolled = judged(spark, sf)
     predictions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), (F.col("o_custkey") % 6 + 1).cast("int").alias("action_id"), F.col("o_orderstatus").alias("policy")).join(rolled.select("prompt_id").distinct(), "prompt_id", "left_semi")
-    actions = spark.range(1, 7).select(F.col("id").cast("int").alias("action_id"), (F.col("id") == 1).alias("is_noop"), (F.col("id") == 4).alias("masked"), ((F.col("id") + 1) % 3).alias("level"))
+    actions = spark.range(1, 7).select(F.col("id").cast("int").alias("action_id"), (F.col("id") == 1).alias("is_noop"), (F.col("id") == 4).alias("masked"), F.col("id").isin(3, 5).alias("is_high"))
     return near(rw.policy_metrics(predictions, rolled.drop("is_noop", "level"), actions, ["policy"]), "top1", "rcr", "noop_rate", "masked_rate", "high_rate")
 
 
@@ -70,7 +72,7 @@ GRID = [("final", -1.0, 1.0, 0.25, -1.5, 0.05), ("cost_0", -1.0, 1.0, 0.25, -1.5
 
 
 @query("b7_reward_sensitivity", ROLL + ", g AS (SELECT * FROM (VALUES " + ", ".join(str(g) for g in GRID) + """) v(setting, ci, cr, cb, cc, ck)),
-s7 AS (SELECT setting, prompt_id, action_id, CAST(CASE WHEN NOT valid THEN ci ELSE CASE WHEN repaired THEN cr + CASE WHEN bonus THEN cb ELSE 0 END WHEN corrupted THEN cc ELSE 0 END - CASE WHEN is_noop THEN 0 ELSE ck * level END END AS DOUBLE) AS reward FROM ro, g),
+s7 AS (SELECT setting, prompt_id, action_id, CAST(CASE WHEN NOT valid OR skipped THEN ci ELSE CASE WHEN repaired THEN cr + CASE WHEN bonus THEN cb ELSE 0 END WHEN corrupted THEN cc ELSE 0 END - CASE WHEN is_noop THEN 0 ELSE ck * level END END AS DOUBLE) AS reward FROM ro, g),
 t7 AS (SELECT *, reward - max(reward) OVER (PARTITION BY setting, prompt_id) AS regret FROM s7), u7 AS (SELECT setting, prompt_id, string_agg(CAST(action_id AS VARCHAR), ',' ORDER BY action_id) FILTER (abs(regret) <= 1e-6) AS best FROM t7 GROUP BY ALL),
 c7 AS (SELECT u7.setting, avg(CAST(u7.best <> z.best AS INT)) AS changed_share FROM u7 JOIN u7 z ON z.setting = 'final' AND z.prompt_id = u7.prompt_id GROUP BY 1)
 SELECT setting, round(avg(reward), 8) AS mean_reward, round(avg(regret), 8) AS mean_regret, count(*) FILTER (abs(regret) <= 1e-6) AS n_best, round(max(changed_share), 8) AS changed_share FROM t7 JOIN c7 USING (setting) GROUP BY 1""")
@@ -79,18 +81,19 @@ def b7(spark, sf):
     return near(rw.reward_sensitivity(rollouts(spark, sf), grid, F.col("category") < "3", "final"), "mean_reward", "mean_regret", "changed_share")
 
 
-@query("b8_training_examples", ROLL + "SELECT prompt_id, min(representative) AS label, round(1 + greatest(0, max(reward) - avg(reward)) + CASE WHEN bool_or(bonus) THEN 0.5 ELSE 0 END, 8) AS weight FROM ju GROUP BY 1")
+@query("b8_training_examples", ROLL + "SELECT prompt_id, min(representative) AS label, round(1 + greatest(0, max(reward) - avg(reward)) + CASE WHEN bool_or(bonus) THEN 0.25 ELSE 0 END, 8) AS weight FROM ju GROUP BY 1")
 def b8(spark, sf):
     return near(rw.training_examples(judged(spark, sf), F.col("category") < "3"), "weight")
 
 
-ACTIONS = """acts AS (SELECT 0 AS action_id, NULL AS group_id, NULL AS category, 'none' AS strength, 0 AS level, false AS masked UNION ALL
-  SELECT CAST(row_number() OVER (ORDER BY n_name, level) AS INTEGER), n_name, CAST(n_regionkey AS VARCHAR), strength, level, level > 1 + n_nationkey % 3 FROM nation, (SELECT * FROM (VALUES ('Low', 1), ('Medium', 2), ('High', 3)) v(strength, level)))"""
+ACTIONS = """acts AS (SELECT 0 AS action_id, NULL AS group_id, NULL AS category, CAST(NULL AS DOUBLE) AS repair_rate, 'none' AS strength, 0 AS level, false AS masked UNION ALL
+  SELECT CAST(row_number() OVER (ORDER BY n_name, level) AS INTEGER), n_name, CAST(n_nationkey % 7 AS VARCHAR), (n_nationkey * 37 % 10) / 10, strength, level, level > 1 + n_nationkey % 3 FROM nation, (SELECT * FROM (VALUES ('Low', 1), ('Med', 2), ('High', 3)) v(strength, level)))"""
+ACTIVE = ["4", "1", "3"]
 
 
 def actions(spark, sf):
-    groups = table(spark, sf, "nation").select(F.col("n_name").alias("group_id"), F.col("n_regionkey").cast("string").alias("category"), (1 + F.col("n_nationkey") % 3).alias("high"))
-    return rw.action_table(groups, [("Low", 1), ("Medium", 2), ("High", 3)])
+    groups = table(spark, sf, "nation").select(F.col("n_name").alias("group_id"), (F.col("n_nationkey") % 7).cast("string").alias("category"), (1 + F.col("n_nationkey") % 3).alias("high"), (F.col("n_nationkey") * 37 % 10 / 10).alias("repair_rate"))
+    return rw.action_table(groups, [("Low", 1), ("Med", 2), ("High", 3)])
 
 
 @query("j10_action_table", f"WITH {ACTIONS} SELECT * FROM acts")
@@ -98,13 +101,17 @@ def j10_table(spark, sf):
     return actions(spark, sf)
 
 
-@query("j10_candidate_actions", f"""WITH {ACTIONS}, p AS (SELECT c_custkey AS prompt_id, CAST(c_custkey % 5 AS VARCHAR) AS category, [CAST(c_custkey % 5 AS VARCHAR), CAST(c_nationkey % 5 AS VARCHAR)] AS active FROM customer), a AS (SELECT * FROM acts WHERE action_id > 0 AND NOT masked),
-m AS (SELECT prompt_id, action_id, row_number() OVER (PARTITION BY prompt_id ORDER BY level, action_id) AS r FROM p JOIN a USING (category)), o AS (SELECT prompt_id, action_id, row_number() OVER (PARTITION BY prompt_id, a.category ORDER BY level, action_id) AS r FROM p JOIN a ON a.category <> p.category AND list_contains(active, a.category)),
-x AS (SELECT prompt_id, action_id, row_number() OVER (PARTITION BY prompt_id ORDER BY level, action_id) AS r FROM p JOIN a ON a.category <> p.category AND NOT list_contains(active, a.category))
-SELECT prompt_id, 0 AS action_id, 'noop' AS why FROM p UNION ALL SELECT prompt_id, action_id, 'matched' FROM m WHERE r <= 2 UNION ALL SELECT prompt_id, action_id, 'active' FROM o WHERE r = 1 UNION ALL SELECT prompt_id, action_id, 'control' FROM x WHERE r = 1""")
+@query("j10_candidate_actions", f"""WITH {ACTIONS}, p AS (SELECT c_custkey AS prompt_id, CAST(c_custkey % 9 AS VARCHAR) AS category FROM customer), a AS (SELECT * FROM acts WHERE action_id > 0 AND NOT masked),
+r AS (SELECT *, first_value(group_id) OVER w AS top, row_number() OVER w AS r FROM a WINDOW w AS (PARTITION BY category ORDER BY repair_rate DESC, strength, action_id)),
+o AS (SELECT category, action_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY r) AS k FROM r WHERE group_id = top) WHERE k <= 2),
+l AS (SELECT category, min(action_id) AS action_id FROM a WHERE strength = 'Low' GROUP BY 1), q AS (SELECT *, category IN (SELECT category FROM a) AS matched FROM p),
+t AS (SELECT prompt_id, o.action_id, 'matched' AS why FROM q JOIN o USING (category) UNION ALL SELECT prompt_id, l.action_id, 'active' FROM q, l WHERE NOT matched AND l.category IN ('4', '1', '3')),
+n AS (SELECT q.*, (SELECT count(*) FROM t WHERE t.prompt_id = q.prompt_id) AS k FROM q),
+x AS (SELECT prompt_id, min(l.action_id) AS action_id FROM n JOIN l ON l.category <> n.category AND (matched OR l.category NOT IN ('4', '1', '3')) WHERE k + 1 < 5 GROUP BY 1)
+SELECT prompt_id, 0 AS action_id, 'noop' AS why FROM p UNION ALL SELECT * FROM t UNION ALL SELECT prompt_id, action_id, 'control' FROM x""")
 def j10(spark, sf):
-    prompts = table(spark, sf, "customer").select(F.col("c_custkey").alias("prompt_id"), (F.col("c_custkey") % 5).cast("string").alias("category"), F.array((F.col("c_custkey") % 5).cast("string"), (F.col("c_nationkey") % 5).cast("string")).alias("active"))
-    return rw.candidate_actions(prompts, actions(spark, sf))
+    prompts = table(spark, sf, "customer").select(F.col("c_custkey").alias("prompt_id"), (F.col("c_custkey") % 9).cast("string").alias("category"))
+    return rw.candidate_actions(prompts, actions(spark, sf), ACTIVE)
 
 
 TIMED = "WITH t AS (SELECT event_type AS method, dayofmonth(ts) % 3 AS repetition, value, user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events) "

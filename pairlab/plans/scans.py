@@ -97,15 +97,16 @@ def d9(spark, sf):
     return scan.partition_ids(scanned(spark, sf), "doc_id", TAXONOMY)
 
 
-@query("d10_audit_sample", FLAGS + """, h AS (SELECT doc_id, detected, md5('42|' || doc_id) AS h FROM flags),
-a AS (SELECT doc_id, 'mail' AS target, 'detected' AS picked_as FROM (SELECT * FROM h WHERE list_contains(detected, 'mail') ORDER BY h LIMIT 5) UNION ALL SELECT doc_id, 'mail', 'not_detected' FROM (SELECT * FROM h WHERE NOT list_contains(detected, 'mail') ORDER BY h LIMIT 3)),
+@query("d10_audit_sample", FLAGS + """, h AS (SELECT doc_id, detected, is_vulnerable, CASE WHEN source < 'src3' THEN 'license' WHEN source < 'src6' THEN 'mail' ELSE 'words' END AS category, md5('42|' || doc_id) AS h FROM flags),
+a AS (SELECT doc_id, 'mail' AS target, 'detected' AS picked_as FROM (SELECT * FROM h WHERE list_contains(detected, 'mail') ORDER BY h LIMIT 5) UNION ALL SELECT doc_id, 'mail', 'not_detected' FROM (SELECT * FROM h WHERE category = 'mail' AND NOT list_contains(detected, 'mail') ORDER BY h LIMIT 3)),
 r AS (SELECT * FROM h WHERE doc_id NOT IN (SELECT doc_id FROM a)),
-b AS (SELECT doc_id, 'license' AS target, 'detected' AS picked_as FROM (SELECT * FROM r WHERE list_contains(detected, 'license') ORDER BY h LIMIT 5) UNION ALL SELECT doc_id, 'license', 'not_detected' FROM (SELECT * FROM r WHERE NOT list_contains(detected, 'license') ORDER BY h LIMIT 3)),
+b AS (SELECT doc_id, 'license' AS target, 'detected' AS picked_as FROM (SELECT * FROM r WHERE list_contains(detected, 'license') ORDER BY h LIMIT 8) UNION ALL SELECT doc_id, 'license', 'not_detected' FROM (SELECT * FROM r WHERE category = 'license' AND NOT list_contains(detected, 'license') ORDER BY h LIMIT 3)),
 p AS (SELECT * FROM a UNION ALL SELECT * FROM b),
-q AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS n FROM h WHERE len(detected) = 0 AND doc_id NOT IN (SELECT doc_id FROM p))
+q AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS n FROM h WHERE NOT is_vulnerable AND doc_id NOT IN (SELECT doc_id FROM p))
 SELECT * FROM p UNION ALL SELECT doc_id, 'none', 'padding' FROM q WHERE n <= 30 - (SELECT count(*) FROM p)""")
 def d10(spark, sf):
-    return scan.audit_sample(scanned(spark, sf), "doc_id", ["mail", "license"], 5, 3, 30, 42)
+    category = F.when(F.col("source") < "src3", "license").when(F.col("source") < "src6", "mail").otherwise("words")
+    return scan.audit_sample(scanned(spark, sf).withColumn("category", category), "doc_id", "category", {"mail": 5, "license": 8}, 3, 30, 42)
 
 
 @query("d11_confusion", FLAGS + """, j AS (SELECT source, list_contains(detected, 'symbols') AS p, quality = 0 AS t FROM flags JOIN labels USING (doc_id))

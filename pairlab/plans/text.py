@@ -77,15 +77,14 @@ def p9(spark, sf):
 
 
 @query("p10_failure_counts", """
-WITH t AS (SELECT source, CASE doc_id % 5 WHEN 0 THEN 'hook_error' WHEN 1 THEN 'generation_error' WHEN 2 THEN 'odd' ELSE 'ok' END AS s, CASE WHEN doc_id % 10 = 3 THEN 'used' ELSE 'none' END AS f, lang = 'fr' AS bad FROM documents),
-c AS (SELECT source, CASE WHEN s = 'hook_error' THEN 'hook' WHEN s = 'generation_error' THEN 'generation' WHEN bad THEN 'malformed' WHEN s <> 'ok' THEN 'other' WHEN f <> 'none' THEN 'fallback' END AS k FROM t)
-SELECT source, count(*) AS n, count(*) FILTER (k = 'hook') AS n_hook, count(*) FILTER (k = 'generation') AS n_generation, count(*) FILTER (k = 'malformed') AS n_malformed,
-  count(*) FILTER (k = 'other') AS n_other, count(*) FILTER (k = 'fallback') AS n_fallback FROM c GROUP BY source""")
+WITH t AS (SELECT source, CASE doc_id % 7 WHEN 0 THEN 'HOOK_EXCEPTION' WHEN 1 THEN 'GENERATION_EXCEPTION' WHEN 2 THEN 'MALFORMED_GENERATION' WHEN 3 THEN 'WHITESPACE_ONLY' WHEN 4 THEN 'odd' WHEN 5 THEN 'SUCCESS' END AS s, CASE WHEN doc_id % 10 < 8 THEN 'NONE' WHEN doc_id % 10 = 8 THEN 'USED' END AS f FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (s = 'HOOK_EXCEPTION') AS n_hook, count(*) FILTER (s = 'GENERATION_EXCEPTION') AS n_generation, count(*) FILTER (s = 'MALFORMED_GENERATION') AS n_malformed,
+  count(*) FILTER (s IS NULL OR s = 'odd') AS n_other, count(*) FILTER (f IS DISTINCT FROM 'NONE') AS n_fallback FROM t GROUP BY source""")
 def p10(spark, sf):
-    i = F.col("doc_id") % 5
-    status = F.when(i == 0, "hook_error").when(i == 1, "generation_error").when(i == 2, "odd").otherwise("ok")
-    cls = tx.failure_class(status, F.when(F.col("doc_id") % 10 == 3, "used").otherwise("none"), F.when(F.col("lang") == "fr", "").otherwise(F.col("text")))
-    return tx.failure_counts(docs(spark, sf), ["source"], cls)
+    i, j = F.col("doc_id") % 7, F.col("doc_id") % 10
+    names = ["HOOK_EXCEPTION", "GENERATION_EXCEPTION", "MALFORMED_GENERATION", "WHITESPACE_ONLY", "odd", "SUCCESS"]
+    status = F.get(F.array(*(F.lit(x) for x in names)), i.cast("int"))
+    return tx.failure_counts(docs(spark, sf), ["source"], status, F.when(j < 8, "NONE").when(j == 8, "USED"))
 
 
 @query("p11_looks_like_code", """
@@ -113,17 +112,21 @@ def p14(spark, sf):
     return tx.export_metadata(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), ["role", "text"], "turn")
 
 
-SECURITY, BUGFIX = ["icense", "token", "example.com"], ["the", "der"]
+def hits_sql(words: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains(x, '{w}') AS INT)" for w in words) + ")"
 
 
-@query("f1_classify_patch", """
-WITH t AS (SELECT doc_id, lower(text) AS x, source = 'src1' AS linked FROM documents),
-h AS (SELECT doc_id, linked, regexp_matches(x, 'cve-\\d{4}-\\d+') AS named, CAST(contains(x, 'icense') AS INT) + CAST(contains(x, 'token') AS INT) + CAST(contains(x, 'example.com') AS INT) AS s, CAST(contains(x, 'the') AS INT) + CAST(contains(x, 'der') AS INT) AS b FROM t)
-SELECT doc_id, CASE WHEN named OR s >= 2 OR (linked AND s >= 1) THEN 'security' WHEN b >= 1 THEN 'bugfix' ELSE 'other' END AS decision,
-  CASE WHEN named THEN 'pattern' WHEN s >= 2 THEN 'keywords' WHEN linked AND s >= 1 THEN 'linked_keyword' WHEN b >= 1 THEN 'keywords' ELSE 'none' END AS decided_by FROM h""")
+def patch_sql(source: str) -> str:
+    """CTE d (k, x, linked, decision) from a query of (k, msg, linked)."""
+    return f"""t AS (SELECT k, lower(msg) AS x, linked FROM ({source})), h AS (SELECT *, {hits_sql(tx.SECURITY_WORDS)} AS s, {hits_sql(tx.OTHER_WORDS)} AS o FROM t),
+d AS (SELECT *, CASE WHEN coalesce(x, '') = '' THEN CASE WHEN linked THEN 'security_patch' ELSE 'undecidable' END WHEN regexp_matches(x, 'cve-\\d{{4}}-\\d+') OR (linked AND s > 0) THEN 'security_patch' WHEN linked AND o > 0 THEN 'undecidable'
+  WHEN NOT linked AND o > 0 AND s = 0 THEN 'non_security_patch' WHEN s > o THEN 'security_patch' WHEN o > s THEN 'non_security_patch' ELSE 'undecidable' END AS decision FROM h)"""
+
+
+@query("f1_classify_patch", f"WITH {patch_sql("SELECT doc_id AS k, CASE WHEN doc_id % 11 > 0 THEN text END AS msg, source = 'src1' AS linked FROM documents")} SELECT k AS doc_id, decision FROM d")
 def f1(spark, sf):
-    decision, source = tx.classify_patch("text", F.col("source") == "src1", SECURITY, BUGFIX)
-    return docs(spark, sf).select("doc_id", decision.alias("decision"), source.alias("decided_by"))
+    msg = F.when(F.col("doc_id") % 11 > 0, F.col("text"))
+    return docs(spark, sf).select("doc_id", tx.classify_patch(msg, F.col("source") == "src1").alias("decision"))
 
 
 @query("f2_hunk_id", "SELECT doc_id, md5(concat_ws('|', source, lang, substr(text, 1, 200))) AS hunk_id FROM documents")
@@ -153,26 +156,27 @@ def f5(spark, sf):
     return tx.augment_by_substitution(docs(spark, sf), subs, "lang", "text", "doc_id").select("seed_id", "language", "pair_id")
 
 
-FENCED = "CASE WHEN doc_id % 3 = 0 THEN 'say' || chr(10) || '```py' || chr(10) || substr(text, 1, 300) || chr(10) || '```' || chr(10) || 'end' ELSE substr(text, 1, 300) END"
+FENCED = "CASE doc_id % 3 WHEN 0 THEN 'say' || chr(10) || '```py' || chr(10) || text || chr(10) || '```' || chr(10) || 'end' WHEN 1 THEN 'Assistant:' || chr(10) || text ELSE text END"
+BLOCK = r"(?s)```[^\r\n]*\r?\n(.*?)(?:\r?\n```|```)"
 
 
 def fenced_docs(spark, sf):
-    head = F.substring("text", 1, 300)
-    made = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("say\n```py\n"), head, F.lit("\n```\nend"))).otherwise(head)
-    return docs(spark, sf).select("doc_id", "source", made.alias("reply"), head.alias("head"))
+    kind, text = F.col("doc_id") % 3, F.col("text")
+    made = F.when(kind == 0, F.concat(F.lit("say\n```py\n"), text, F.lit("\n```\nend"))).when(kind == 1, F.concat(F.lit("Assistant:\n"), text)).otherwise(text)
+    return docs(spark, sf).select("doc_id", "source", made.alias("reply"))
 
 
 @query("f7_extract_fenced", f"""
-WITH t AS (SELECT doc_id, {FENCED} AS reply, substr(text, 1, 300) AS h FROM documents)
-SELECT doc_id, md5(CASE WHEN contains(reply, '```') THEN regexp_extract(reply, '(?s)```[^\\n]*\\n(.*?)```', 1) ELSE reply END) AS first_md5, md5(CASE WHEN contains(reply, '```') THEN h ELSE reply END) AS all_md5 FROM t""")
+WITH t AS (SELECT doc_id, text, {FENCED} AS reply FROM documents)
+SELECT doc_id, md5(CASE WHEN regexp_matches(reply, '{BLOCK}') THEN regexp_extract(reply, '{BLOCK}', 1) ELSE reply END) AS first_md5, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE reply END) AS all_md5 FROM t""")
 def f7(spark, sf):
     return fenced_docs(spark, sf).select("doc_id", F.md5(tx.extract_fenced("reply")).alias("first_md5"), F.md5(tx.extract_fenced("reply", "all")).alias("all_md5"))
 
 
 @query("f8_content_audit", f"""
-WITH t AS (SELECT source, {FENCED} AS c FROM documents), g AS (SELECT source, c, coalesce(list_filter(string_split(c, chr(10)), lambda x: regexp_matches(x, '\\S'))[1], '') AS l FROM t)
-SELECT source, count(*) AS n, count(*) FILTER (contains(c, '```')) AS n_has_fence, count(*) FILTER (regexp_matches(c, '(?i)(^|\\n)\\s*(user|assistant|system)\\s*:')) AS n_has_role_marker,
-  count(*) FILTER (NOT regexp_matches(c, '\\S')) AS n_is_blank, count(*) FILTER (starts_with(ltrim(l), 'The') OR starts_with(ltrim(l), 'say')) AS n_starts_with_token, count(*) FILTER (contains(c, '```')) AS n_changed_by_extraction FROM g GROUP BY source""")
+WITH t AS (SELECT source, {FENCED} AS c FROM documents), g AS (SELECT source, c, coalesce(list_filter(string_split_regex(c, '\\r?\\n'), lambda x: regexp_matches(x, '\\S'))[1], '') AS l FROM t)
+SELECT source, count(*) AS n, count(*) FILTER (contains(c, '```')) AS n_has_fence, count(*) FILTER (contains(c, '<|') OR regexp_matches(c, '(?im)^\\s*(?:<\\|)?(?:assistant|system|user)(?:\\|>)?\\s*:?\\s*$')) AS n_has_role_marker,
+  count(*) FILTER (NOT regexp_matches(c, '\\S')) AS n_is_blank, count(*) FILTER (starts_with(l, 'The') OR starts_with(l, 'say')) AS n_starts_with_token, count(*) FILTER (regexp_matches(c, '{BLOCK}')) AS n_changed_by_extraction FROM g GROUP BY source""")
 def f8(spark, sf):
     return tx.content_audit(fenced_docs(spark, sf), ["source"], "reply", ["The", "say"])
 
@@ -204,5 +208,5 @@ def f12(spark, sf):
 WITH p AS (SELECT * FROM (VALUES ('mail', '@[a-z0-9]+\\.example\\.com'), ('address', '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b'), ('license', '[Ll]icense')) v(name, pattern))
 SELECT doc_id, name FROM documents, p WHERE regexp_matches(text, pattern)""")
 def f13(spark, sf):
-    patterns = spark.createDataFrame([("mail", r"@[a-z0-9]+\.example\.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", "[Ll]icense")], "name string, pattern string")
+    patterns = [("mail", r"@[a-z0-9]+\.example\.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", "[Ll]icense")]
     return tx.secret_scan(docs(spark, sf), "doc_id", "text", patterns)

@@ -68,6 +68,11 @@ def write_table(df: DataFrame, path: str, columns: list[str], sort: list[str] |
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder the cluster names in spark.checkpoint.dir, or else in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new place in the shared folder the cluster names in spark.checkpoint.dir; where that is unset, in a temporary
+    folder, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,31 +1,45 @@
+import hashlib
+
 import numpy as np
 
 from pairlab.operators import features as fx
 
 
-def dense_aucs(unsafe, safe, replicates, rng):
-    """AUCs of every feature over resamples of dense arms."""
+def by_hand(unsafe, safe, places, replicates, share, seed):
+    """AUCs of every feature over resamples of the unsafe arm, drawn by hash; places are the rows in order of drawing."""
+    n = len(unsafe)
     out = []
-    for _ in range(replicates):
-        u, s = (x[rng.integers(0, len(x), len(x))] for x in (unsafe, safe))
-        out.append([((u[:, None, i] > s[None, :, i]).mean() + (u[:, None, i] == s[None, :, i]).mean() / 2) for i in range(u.shape[1])])
+    for r in range(replicates):
+        draws = [int(hashlib.md5(f"{seed}|{r}|{d}".encode()).hexdigest()[:15], 16) % n for d in range(max(2, int(n * share)))]
+        u = unsafe[[places[i] for i in draws]]
+        out.append([((u[:, None, i] > safe[None, :, i]).mean() + (u[:, None, i] == safe[None, :, i]).mean() / 2) for i in range(unsafe.shape[1])])
     return np.array(out)
 
 
-def test_group_stability_counts_zero_samples(spark):
+def ranks(x):
+    return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+
+def test_group_stability_against_dense_arms(spark):
     rng = np.random.default_rng(3)
     x = np.where(rng.random((240, 3)) < [0.1, 0.05, 0.2], rng.integers(1, 4, (240, 3)), 0).astype(float)
     unsafe = np.arange(240) < 60
     x[unsafe, 0] = np.where(rng.random(60) < 0.5, 2.0, 0.0)
-    assert (x.sum(axis=1) == 0).sum() > 100
+    assert (x.sum(axis=1) == 0).sum() > 100  # most samples are silent, and count
     rows = [(1, "unsafe" if unsafe[i] else "safe", int(i), int(f), float(x[i, f])) for i, f in zip(*np.nonzero(x))]
+    rows += [(3, "unsafe", i, 0, 1.0) for i in range(5)]  # five active unsafe samples against silent safe ones
     long = spark.createDataFrame(rows, "category long, arm string, sample_id long, feature_id long, value double")
-    sizes = spark.createDataFrame([(1, 60, 180), (2, 5, 7)], "category long, n_unsafe long, n_safe long")
-    groups = spark.createDataFrame([("a", 1, [0, 1, 2]), ("none", 2, [0, 1])], "group_id string, category long, feature_ids array<long>")
-    got = {n: {r.group_id: r for r in fx.group_stability(long, sizes, ["category"], groups, replicates=200, k=1, rows=n).collect()} for n in (5, 50_000)}
-    dense = dense_aucs(x[unsafe], x[~unsafe], 200, rng)
-    top = dense.argmax(axis=1)
-    overlap = np.mean([top[i] == top[j] for i in range(200) for j in range(i)])
-    for r in got.values():
-        assert abs(r["a"].auc_mean - dense.mean()) < 0.01 and abs(r["a"].jaccard - overlap) < 0.05
-        assert r["none"].auc_mean == 0.5 and r["none"].jaccard == 1.0
+    sizes = spark.createDataFrame([(1, 60, 180), (2, 5, 7), (3, 5, 9), (4, 1, 9)], "category long, n_unsafe long, n_safe long")
+    groups = spark.createDataFrame([("a", 1, [0, 1, 2]), ("none", 2, [0, 1]), ("sure", 3, [0]), ("one", 4, [0])], "group_id string, category long, feature_ids array<long>")
+    got = {r.group_id: r for r in fx.group_stability(long, sizes, ["category"], groups, replicates=30).collect()}
+    active = sorted((i for i in range(60) if x[i].any()), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    aucs = by_hand(x[unsafe], x[~unsafe], active + [i for i in range(60) if not x[i].any()], 30, 0.8, 42)
+    pairs = [(i, j) for i in range(20) for j in range(i)]
+    top = [set(sorted(range(3), key=lambda k: (-round(r[k], 12), -k))[:2]) for r in aucs]
+    corr = [np.corrcoef(ranks(aucs[i].round(12)), ranks(aucs[j].round(12)))[0, 1] for i, j in pairs]
+    assert abs(got["a"].auc_mean - aucs.mean()) < 1e-9
+    assert abs(got["a"].jaccard - np.mean([len(top[i] & top[j]) / len(top[i] | top[j]) for i, j in pairs])) < 1e-9
+    assert abs(got["a"].rank_corr - np.nanmean(corr)) < 1e-9
+    assert got["none"].auc_mean == 0.5 and got["none"].jaccard == 1.0 and got["none"].rank_corr == 0.5
+    assert got["sure"].auc_mean == 1.0
+    assert (got["one"].jaccard, got["one"].rank_corr, got["one"].auc_mean) == (0.5, 0.5, 0.5)

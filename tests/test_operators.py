@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as tx
-from pairlab.operators import curate, outcomes, quality, sampling, scan, stats
+from pairlab.operators import curate, features, outcomes, quality, rewards, sampling, scan, stats
 from pairlab.sources import io
 from pairlab.streaming.scan_stream import scan_stream
 
@@ -42,17 +42,57 @@ def test_bootstrap_brackets_the_point(spark):
     assert ratio.low < sum(a for _, a, _ in rows) / 300 < ratio.high
 
 
+def capped_by_hand(sizes, target):
+    """One seat each, largest remainders of what is left, then overflow to those with room until none is left."""
+    quota = {k: 1 for k in sizes}
+    left, free = target - len(sizes), dict(sizes)
+    first = True
+    while left:
+        weight = sum(free.values())
+        room = {k: math.inf if first else sizes[k] - quota[k] for k in free}
+        add = {k: min(left * n // weight, room[k]) for k, n in free.items()}
+        spare = left - sum(add.values())
+        for k in sorted(free, key=lambda k: (-(left * free[k] % weight), k)):
+            if spare and add[k] < room[k]:
+                add[k], spare = add[k] + 1, spare - 1
+        for k, n in add.items():
+            quota[k] = min(sizes[k], quota[k] + n)
+        left, first = target - sum(quota.values()), False
+        free = {k: n for k, n in sizes.items() if quota[k] < n}
+    return quota
+
+
 def test_hamilton(spark):
     rng = random.Random(4)
+    cases = [({0: 50, 1: 11}, 35)]
     for _ in range(6):
-        sizes = [(i, rng.randrange(1, 30)) for i in range(rng.randrange(2, 9))]
-        target = rng.randrange(len(sizes), sum(n for _, n in sizes) + 1)
-        df = spark.createDataFrame(sizes, "k int, n long")
+        sizes = {i: rng.choice([1, 1, 2, rng.randrange(1, 30)]) for i in range(rng.randrange(2, 9))}
+        cases.append((sizes, rng.randrange(len(sizes), sum(sizes.values()) + 1)))
+    for sizes, target in cases:
+        df = spark.createDataFrame(list(sizes.items()), "k int, n long")
         assert sum(r.quota for r in sampling.hamilton(df, "k", "n", target).collect()) == target
-        capped = {r.k: r.quota for r in sampling.hamilton_capped(df, "k", "n", target).collect()}
-        assert sum(capped.values()) == target and all(1 <= capped[k] <= n for k, n in sizes)
+        assert {r.k: r.quota for r in sampling.hamilton_capped(df, "k", "n", target).collect()} == capped_by_hand(sizes, target)
+    assert capped_by_hand(*cases[0]) == {0: 28, 1: 7}
     with pytest.raises(ValueError):
-        sampling.hamilton_capped(df, "k", "n", 1)
+        sampling.hamilton_capped(df, "k", "n", 0)
+
+
+def test_caps_and_balance(spark):
+    rows = [("a", i, False) for i in range(8)] + [("a", 100 + i, True) for i in range(9)] + [("b", 200 + i, True) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, id int, aug boolean")
+    out = sampling.cap_augmented(df, ["k"], "aug", "id", 0.2, 1).collect()
+    assert sum(r.k == "a" and r.aug for r in out) == 2 and sum(r.k == "a" for r in out) == 10
+    assert sum(r.k == "b" for r in out) == 3  # no raw rows: all stay
+    cut = sampling.balance_groups(df, ["k"], "aug", "id", 2.0, 1).collect()
+    assert sum(r.k == "a" for r in cut) == 9 and sum(r.k == "a" and not r.aug for r in cut) == 8  # 17 of 3: relaxed to 3 times
+    free = sampling.balance_groups(df, ["k"], "aug", "id", 2.0, 1, treated=F.col("k") != "b").collect()
+    assert len(free) == 20
+    close = sampling.balance_groups(df.where("k = 'b' OR id < 7"), ["k"], "aug", "id", 2.0, 1).collect()
+    assert sum(r.k == "a" for r in close) == 6
+    ranked = sampling.group_rank(df, ["k"], "id", 1, first=F.col("aug")).collect()
+    assert sorted(r["__r"] for r in ranked if r.k == "a") == list(range(1, 18)) and max(r["__r"] for r in ranked if r.k == "a" and r.aug) == 9
+    controls = sampling.sample_controls(df, ["k"], F.col("id") == 0, "id", 5, 1).collect()
+    assert sum(r.k == "a" for r in controls) == 6 and not any(r.k == "b" for r in controls)
 
 
 def test_splits_are_exact_and_disjoint(spark):
@@ -72,19 +112,106 @@ def test_text_edges(spark):
     out = spark.createDataFrame(rows, "t string").select(tx.emptiness("t"), tx.nonblank_lines("t"), F.size(F.split(tx.truncate_lines("t"), "\n"))).collect()
     assert [r[0] for r in out] == ["empty", "empty", "whitespace_only", "non_empty", "non_empty", "non_empty"]
     assert [r[1] for r in out] == [0, 0, 0, 40, 41, 2] and [r[2] for r in out][3:5] == [40, 41]
-    names = spark.createDataFrame([("cpp",), (" JS ",), (None,), ("",), ("go",)], "l string").select(tx.normalize_language("l")).collect()
-    assert [r[0] for r in names] == ["C++", "JavaScript", "Unknown", "Unknown", "Go"]
+    names = spark.createDataFrame([("cpp",), (" JS ",), (None,), ("",), ("go",), ("visual BASIC",)], "l string").select(tx.normalize_language("l")).collect()
+    assert [r[0] for r in names] == ["C++", "JavaScript", "Unknown", "Unknown", "Go", "Visual basic"]
     code = spark.createDataFrame([("```py\nx = 1\n```\nmid\n```\ny\n```",), ("no",), ("```py\nx",), (None,)], "c string")
-    assert [tuple(r) for r in code.select(tx.extract_fenced("c"), tx.extract_fenced("c", "all")).collect()] == [("x = 1\n", "x = 1\ny"), ("no", "no"), ("```py\nx", "x"), ("", "")]
+    assert [tuple(r) for r in code.select(tx.extract_fenced("c"), tx.extract_fenced("c", "all")).collect()] == [("x = 1", "x = 1\ny"), ("no", "no"), ("```py\nx", "x"), ("", "")]
     ok = spark.createDataFrame([("x = 1",), ("x =",), (None,), ("  ",)], "c string").select(tx.py_syntax_ok("c")).collect()
     assert [r[0] for r in ok] == [True, False, False, False]
 
 
 def test_patch_classes(spark):
-    rows = [("Fix CVE-2020-1234", False), ("buffer overflow exploit", False), ("overflow", True), ("overflow", False), ("fix typo", False), (None, True)]
-    decision, source = tx.classify_patch("m", F.col("l"), ["overflow", "exploit"], ["fix"])
-    out = spark.createDataFrame(rows, "m string, l boolean").select(decision, source).collect()
-    assert [tuple(r) for r in out] == [("security", "pattern"), ("security", "keywords"), ("security", "linked_keyword"), ("other", "none"), ("bugfix", "keywords"), ("other", "none")]
+    rows = [
+        ("See CVE-2020-1234, refactor", False, "security_patch"),
+        ("overflow", True, "security_patch"),
+        ("refactor docs", True, "undecidable"),
+        ("refactor docs", False, "non_security_patch"),
+        ("buffer overflow in refactor", False, "security_patch"),  # buffer, overflow against refactor
+        ("fix typo in comment", False, "non_security_patch"),  # fix against typo, comment
+        ("fix typo", False, "undecidable"),
+        ("hello", True, "undecidable"),
+        (None, True, "security_patch"),
+        ("", False, "undecidable"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "m string, l boolean")
+    assert [r[0] for r in df.select(tx.classify_patch("m", F.col("l"))).collect()] == [r[2] for r in rows]
+
+
+def test_failures_and_content(spark):
+    rows = [("HOOK_EXCEPTION", "NONE"), ("WHITESPACE_ONLY", "NONE"), ("SUCCESS", "USED"), ("MALFORMED_GENERATION", "USED"), (None, None), ("GENERATION_EXCEPTION", "NONE")]
+    out = tx.failure_counts(spark.createDataFrame(rows, "s string, f string"), [], F.col("s"), F.col("f")).first()
+    assert (out.n, out.n_hook, out.n_generation, out.n_malformed, out.n_other, out.n_fallback) == (6, 1, 1, 1, 1, 3)
+    texts = [("a <|x|>",), ("x\n <|User|> :\ny",), ("assistant",), ("user: hello",), ("  def f():",), ("\n\ndef f():",), (" \n",), (None,)]
+    got = spark.createDataFrame(texts, "t string").select(*(c.alias(k) for k, c in tx.content_flags("t", ["def "]).items())).collect()
+    assert [r.has_role_marker for r in got] == [True, True, True, False, False, False, False, False]
+    assert [r.starts_with_token for r in got] == [False, False, False, False, False, True, False, False]
+    assert [r.is_blank for r in got] == [False] * 6 + [True, True]
+    found = tx.secret_scan(spark.createDataFrame([(1, "key=abc x@y"), (2, None), (3, "x@y")], "id int, t string"), "id", "t", [("key", "key="), ("mail", "@y")])
+    assert sorted((r.id, r.name) for r in found.collect()) == [(1, "key"), (1, "mail"), (3, "mail")]
+
+
+def test_raw_rates_golden(spark):
+    """25 of 60 repaired but 48 records vulnerable: corrected 0.416667, raw 0.20; and 36 of 60 with 27: 0.60 and 0.55."""
+    rows = []
+    for m, repaired, vulnerable in (("a", 25, 48), ("b", 36, 27)):
+        rows += [(m, "c", True, False, i >= repaired, False, True) for i in range(60)]
+        new = vulnerable - (60 - repaired)
+        rows += [(m, "c", False, False, i < new, False, True) for i in range(40)]
+    df = spark.createDataFrame(rows, "m string, category string, b0_vulnerable boolean, b0_skipped boolean, is_vulnerable boolean, skipped boolean, valid boolean")
+    out = {r.m: r for r in outcomes.paired_metrics(df, ["m"]).collect()}
+    assert (out["a"].n_repaired, round(out["a"].corr_vrr, 6), round(out["a"].raw_vrr, 6), out["a"].n_raw_vulnerable) == (25, 0.416667, 0.2, 48)
+    assert (out["b"].n_repaired, round(out["b"].corr_vrr, 6), round(out["b"].raw_vrr, 6), out["b"].n_corrected_vulnerable) == (36, 0.6, 0.55, 24)
+    four = [("m", "c" if i else "other", True, False, False, False, i != 0) for i in range(4)] + [("m", "c", False, False, True, False, True)] * 3
+    first = outcomes.method_metrics(spark.createDataFrame(four, df.schema), ["m"], ["c"]).first()
+    assert (first.vrr, first.corrected_vrr, first.n_empty) == (0.25, 0.25, 0)
+    every = outcomes.method_metrics(spark.createDataFrame(four, df.schema), ["m"]).first()
+    assert (every.vrr, every.corrected_vrr) == (0.25, 0.0)
+
+
+def test_rewards(spark):
+    rows = [(1, 0, True, 0, True, True, False), (1, 1, False, 2, True, True, False), (1, 2, False, 1, True, True, None), (1, 3, False, 1, False, True, False), (2, 0, True, 0, True, False, False), (2, 1, False, 3, True, False, True)]
+    df = spark.createDataFrame(rows, "prompt_id int, action_id int, is_noop boolean, level int, valid boolean, b0_vulnerable boolean, is_vulnerable boolean")
+    scored = df.withColumn("reward", rewards.base_reward(F.col("prompt_id") == 1))
+    got = {(r.prompt_id, r.action_id): round(r.reward, 6) for r in scored.collect()}
+    assert got == {(1, 0): 1.25, (1, 1): 1.15, (1, 2): -1.0, (1, 3): -1.0, (2, 0): 0.0, (2, 1): -1.65}
+    examples = {r.prompt_id: r for r in rewards.training_examples(rewards.regret(scored, ["prompt_id"]), F.col("prompt_id") == 1).collect()}
+    assert examples[1].label == 0 and round(examples[1].weight, 6) == round(1 + 1.25 - 0.1 + 0.25, 6)
+    assert rewards.training_examples(rewards.regret(scored.where("prompt_id = 1").limit(1).withColumn("reward", F.lit(1.0)), ["prompt_id"]), F.lit(True)).first().weight == 1.25
+    predictions = spark.createDataFrame([("p", 1, 0), ("p", 2, 1), ("p", 3, 2)], "policy string, prompt_id int, action_id int")
+    actions = spark.createDataFrame([(0, True, False, False), (1, False, False, True), (2, False, True, False)], "action_id int, is_noop boolean, masked boolean, is_high boolean")
+    out = rewards.policy_metrics(predictions, rewards.regret(scored.select("prompt_id", "action_id", "reward"), ["prompt_id"]), actions, ["policy"]).first()
+    assert (round(out.noop_rate, 6), round(out.masked_rate, 6), out.high_rate, out.n_without_outcome, out.rcr) == (0.333333, 0.333333, 0.5, 1, 1.0)
+
+
+def test_candidate_actions(spark):
+    groups = spark.createDataFrame([("g1", "a", 3, 0.2), ("g2", "a", 2, 0.9), ("g3", "b", 3, 0.5), ("g4", "c", 3, 0.1)], "group_id string, category string, high int, repair_rate double")
+    acts = rewards.action_table(groups, [("Low", 1), ("Med", 2), ("High", 3)])  # 1-3 g1, 4-6 g2 (6 masked), 7-9 g3, 10-12 g4
+    prompts = spark.createDataFrame([(1, "a"), (2, "c"), (3, "zz")], "prompt_id int, category string")
+    out = rewards.candidate_actions(prompts, acts, ["c", "a"]).collect()
+    got = {p: sorted((r.why, r.action_id) for r in out if r.prompt_id == p) for p in (1, 2, 3)}
+    assert got[1] == [("control", 7), ("matched", 4), ("matched", 5), ("noop", 0)]  # the better group only, no fallback
+    assert got[2] == [("control", 1), ("matched", 10), ("matched", 12), ("noop", 0)]  # by name of strength: High before Low
+    assert got[3] == [("active", 1), ("active", 10), ("control", 7), ("noop", 0)]
+    few = rewards.candidate_actions(prompts.where("prompt_id = 3"), acts, ["c", "a"], most=3).collect()
+    assert sorted(r.why for r in few) == ["active", "active", "noop"]
+
+
+def test_audit_sample(spark):
+    rows = [(i, "x" if i < 6 else "y", ["x"] if i % 2 == 0 else [], i % 2 == 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, category string, detected array<string>, is_vulnerable boolean")
+    out = scan.audit_sample(df, "id", "category", {"x": 2, "y": 9}, 2, 8, 42).collect()
+    assert len(out) == len({r.id for r in out}) == 8
+    assert sum(r.target == "x" and r.picked_as == "detected" for r in out) == 2
+    assert all(r.id < 6 and r.id % 2 for r in out if r.target == "x" and r.picked_as == "not_detected")
+    assert all(r.id >= 6 for r in out if r.target == "y") and sum(r.target == "y" for r in out) == 2
+    assert all(r.id % 2 for r in out if r.picked_as == "padding") and sum(r.picked_as == "padding" for r in out) == 2
+
+
+def test_group_type_needs_auc(spark):
+    rows = [("c", 1, "c", 0.54, True, 0.5, 0.0), ("c", 2, "c", 0.6, True, 0.9, 0.05)]
+    sem = spark.createDataFrame(rows, "validated string, feature_id int, primary_category string, primary_auc double, category_match boolean, repair_rate double, corrupt_rate double").withColumn("assigned_tags", F.array(F.lit("t")))
+    got = {r.group_type: list(r.feature_ids) for r in features.build_groups(sem, ["validated"]).collect()}
+    assert got == {"A": [2, 1], "B": [2], "C": [2]}
 
 
 def test_link_commits_without_ids(spark):
