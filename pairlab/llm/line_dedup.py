@@ -5,14 +5,16 @@ earlier line, in order of document and line number, has a Jaccard similarity of
 whether or not that line stays itself. Lines without words stay.
 
 Words are coded as 64-bit integers whose upper byte grows with the word's frequency, so that sorting a set puts its
-rare words first. Frequencies are counted over all lines in a count-min sketch; any order of words gives the same
-result, only the work differs. Equal sets are one class, known by its first line and numbered in order of first lines.
+rare words first. Frequencies are counted over all lines in hashed classes; any order of words gives the same result,
+only the work differs. Equal sets are one class, known by its first line and numbered in order of first lines.
 
-Classes meet on the words of their prefixes (so many that two similar sets must share two there), are filtered by length
-and by the words that can still match from a position on, and are verified on the full sets of their lines. A class
-needs only one earlier match, so this is done in two steps: each class first meets the leaders of a few of its words (the
-first class that chose the same); only classes for which no leader is a match meet all earlier ones. Groups of many
-variants of a line are settled by their leaders, so that candidates don't grow with the square of such a group.
+Classes meet on the words of their prefixes (so many that two similar sets must share one there) and are filtered by
+length, by the words that can still match from a position on, and by a bound on what they share from 64 bits of each set
+(a word sets one; each bit that differs is a word that one set lacks). What is left is verified on the full sets of the
+lines. A class needs only one earlier match, so this is done in two steps: each class first meets the leader that most of
+a few of its words have (the first class that chose a word); only classes for which that is no match meet all earlier
+ones. Groups of many variants of a line are settled by their leaders, so that candidates don't grow with the square of
+such a group.
 
 Defined cases: a null text has one empty line; a row with a null id is left as it is and is no source; of rows that
 repeat an id, each is a text of its own, ordered by the hash of its text, and exact copies keep the same lines; an empty
@@ -23,16 +25,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import cut, discard, new_place
 from pairlab.llm.fingerprints import let
 
-#: Width of each of the two rows of the sketch in which the frequencies of words are counted.
-WIDTH = 1 << 18
-#: Words of their prefixes that similar sets must share. Different sets with a Jaccard similarity of 0.8 share four at least.
-SHARED = 2
+#: Hashed classes in which the frequencies of words are counted.
+WIDTH = 1 << 20
 #: Words by which a class looks for its leader.
 FEW = 4
 #: Separators of words besides the space; a line break only ends lines.
@@ -60,42 +61,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
 
 
-def places(h: Column) -> list[Column]:
-    """Where the rows of the sketch count a hash."""
-    return [h.bitwiseAND(WIDTH - 1).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(WIDTH - 1).cast("int")]
+def word_levels(texts: DataFrame) -> Column:
+    """An array with a frequency level from 0 to 63 for each hashed class of words."""
+    words = texts.select(F.explode(F.split(F.translate(spaced(F.col("text")), "\n", " "), " ")).alias("w")).where("w != ''")
+    place = F.xxhash64("w").bitwiseAND(WIDTH - 1).cast("int")
+    counts = words.groupBy(place.alias("c")).agg(F.count("*").alias("n")).toArrow()  # at most WIDTH rows
+    levels = np.zeros(WIDTH, int)
+    levels[counts["c"].to_numpy()] = np.frexp(counts["n"].to_numpy().astype(float))[1]
+    # Spark folds this into one constant, as it would not with a lambda function in it.
+    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<bigint>")
 
 
-def word_levels(texts: DataFrame) -> list[Column]:
-    """For each row of the sketch an array with the frequency level from 0 to 63 at every place.
-
-    A word's level is the least of its places: never below that of its own frequency, and above it only where it shares
-    both places with words more frequent.
-    """
-    words = texts.select(F.explode(F.split(F.translate(spaced(F.col("text")), "\n", " "), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").alias("h"))
-    first, second = places(F.col("h"))
-    counts = words.select(F.explode(F.array(first, second + WIDTH)).alias("c")).groupBy("c").agg(F.count("*").alias("n")).toPandas()  # at most two WIDTHs
-    levels = [0] * (2 * WIDTH)
-    for c, n in zip(counts["c"].tolist(), counts["n"].tolist(), strict=True):
-        levels[c] = n.bit_length()
-    # Spark folds these into constants, as it would not with a lambda function in them.
-    return [F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>") for own in (levels[:WIDTH], levels[WIDTH:])]
-
-
-def coded(line: Column, levels: list[Column]) -> Column:
+def coded(line: Column, levels: Column) -> Column:
     """The set of a line in order of rarity: frequency level in the upper byte, then the word's hash."""
-
-    def code(h: Column) -> Column:
-        level = F.least(*(F.get(own, at) for own, at in zip(levels, places(h), strict=True)))
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
+    code = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(WIDTH - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(distinct_words(line), code))
 
 
 def may_match(tenths: int) -> Column:
-    """Whether two sets (n, pos; m, at) that share the words at these positions may be similar: by length, and by what can
-    still match from here on, with the words that may have matched before."""
-    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) + (SHARED - 1)
-    return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & ((10 + tenths) * rest >= tenths * (F.col("n") + F.col("m")))
+    """Whether two sets (n, pos, bits; m, at, marks) that share the words at these positions, and none before, may be
+    similar: by length, by what can still match from here on, and by the bits in which they differ."""
+    least, both = tenths * (F.col("n") + F.col("m")), 10 + tenths
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("marks")))
+    # What is shared is at most half of all words but those that account for differing bits.
+    return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & (both * rest >= least) & (both * (F.col("n") + F.col("m") - apart) >= 2 * least)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
@@ -112,18 +102,19 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int
 
 
 def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
-    """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, prefix)."""
-    often = lambda df: df.groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("x", "y")
+    """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, bits, prefix)."""
     # A few words of each prefix, chosen by hash, so that variants of a line mostly choose the same.
     few = F.slice(F.array_sort(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)
     chosen = classes.select("ord", F.explode(few).alias("word"))
     leaders = chosen.groupBy("word").agg(F.min("ord").alias("y"), F.max("ord").alias("last")).where("y < last").select("word", "y")
-    led = verified(often(chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x")), classes, texts, tenths)
-    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "word"))
+    met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    best = met.where("shared > 1").groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
+    led = verified(best, classes, texts, tenths)
+    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "bits", F.posexplode("prefix").alias("pos", "word"))
     rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
-    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), "word")
-    left = verified(often(rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths))), classes, texts, tenths)
-    return led.unionByName(left).withColumnRenamed("x", "ord")
+    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("bits").alias("marks"), F.col("pos").alias("at"), "word")
+    pairs = rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths)).select("x", "y").distinct()
+    return led.unionByName(verified(pairs, classes, texts, tenths)).withColumnRenamed("x", "ord")
 
 
 def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,16 +127,19 @@ def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col
     levels = word_levels(named)
     place = ["doc_id", "text_hash", "line_no"]
     n = F.size("set")
-    reach = n - F.floor((tenths * n + 9) / 10).cast("int") + SHARED
-    prefix = F.slice("set", F.lit(1), reach)
+    reach = n - F.floor((tenths * n + 9) / 10).cast("int") + 1
+    # Words in prefixes are told apart by 31 bits; words that meet by chance only add candidates, which the bits decide.
+    prefix = F.transform(F.slice("set", F.lit(1), reach), lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))
+    bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
     described = lines_of(named).select(*place, coded(F.col("line"), levels).alias("set"))
     lines_at = new_place(df.sparkSession)
-    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), F.when(n >= 4, prefix).alias("prefix")).where("n > 0"), lines_at)
+    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), bits.alias("bits"), F.when(n >= 4, prefix).alias("prefix")), lines_at)
+    some = lines.where("n > 0")
     # Each class of equal sets with its first line. Sets of fewer than four words have no similar ones but equal ones.
-    first = F.min_by(F.struct(*place, "prefix"), F.struct(*place))
-    sets = lines.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies")
+    first = F.min_by(F.struct(*place, "bits", "prefix"), F.struct(*place))
+    sets = some.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies")
     classes = cut(sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id()))
-    every = cut(lines.drop("prefix"))
+    every = cut(some.drop("bits", "prefix"))
     discard(lines, lines_at)
     matched = matched_classes(classes.where("n >= 4"), named, tenths)
     known = classes.join(matched.withColumn("matched", F.lit(True)), "ord", "left").where("copies > 1 OR matched")
