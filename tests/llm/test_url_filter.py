@@ -71,8 +71,33 @@ def test_verdicts_far_from_seeds(spark):
     page = lambda i, host, *to: (i, f"http://{host}/", "".join(f'<a href="http://{t}/">x</a>' for t in to))
     pages = [page(i, f"h{i}", f"h{i + 1}") for i in range(14)] + [page(14, "h14", "bad.com"), page(15, "bad.com"), page(16, "good.com")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.host: r.verdict for r in uf.filter_urls(df, [("bad.com", "block"), ("good.com", "allow")]).collect()}
-    assert got == {f"h{i}": "block" for i in range(15)} | {"bad.com": "block", "good.com": "allow"}
+    for ratio in (1.0, None):
+        got = {r.host: r.verdict for r in uf.filter_urls(df, [("bad.com", "block"), ("good.com", "allow")], ratio).collect()}
+        assert got == {f"h{i}": "block" for i in range(15)} | {"bad.com": "block", "good.com": "allow"}
+
+
+def test_domains_share_what_is_known(spark):
+    urls = ["http://a.site.com/bad/1", "http://a.site.com/bad/2", "http://b.site.com/x", "http://deep.b.site.com/y", "http://ok.org/good/1", "http://www.ok.org/z", "http://other.net/"]
+    pages = spark.createDataFrame([(i, u, '<a href="/x">x</a>') for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in uf.filter_urls(pages, [("com/bad/", "block"), ("org/good/", "allow")]).collect()}
+    assert [got[i].verdict for i in range(7)] == ["block", "block", "block", "block", "allow", "allow", "allow"]
+    assert got[2].distrust > 0 == got[2].trust and got[5].trust > 0 == got[5].distrust and got[6].trust == got[6].distrust == 0
+    links = {(r.src, r.dst): r.n for r in uf.domain_links(spark.createDataFrame([("deep.b.site.com",), ("b.site.com",), ("com",), ("",), ("..",), ("x.y",)], "host string")).select("src", "dst", F.col("n")).collect()}
+    assert links[("b.site.com", "site.com")] == 2 and links[("site.com", "b.site.com")] == 2 and links[("deep.b.site.com", "b.site.com")] == 1
+    assert not any("com" in pair or "" in pair for pair in links)
+
+
+def test_ratio_is_calibrated(spark):
+    judged = spark.createDataFrame([("a", "r", "block")] * 3 + [("b", "r", "allow")] * 2 + [("c", None, None)], "host string, rule string, verdict string")
+    scores = spark.createDataFrame([("a", 0.5, 0.3), ("b", 0.5, 0.1)], "host string, trust double, distrust double")
+    assert uf.calibrated(judged, scores) == 0.5  # 0.3 of 0.5 is blocked, 0.1 of 0.5 is not
+    assert uf.calibrated(judged.where("rule IS NULL"), scores) == 1.0
+
+
+def test_long_urls_and_broken_html(spark):
+    rows = [(1, "http://a.com/" + "x" * 200_000, "<a " * 20_000), (2, "http://" + "h" * 100_000, "<a href=" + "'" * 50_000), (3, "http://b.com", '<a\nhref = "http://c.com">')]
+    got = {r.page_id: r for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("com/", "block")]).collect()}
+    assert len(got[1].path) == 200_001 and len(got[2].host) == 100_000 and got[3].verdict == "allow" and got[3].path == ""
 
 
 def test_links(spark):
