@@ -1,6 +1,7 @@
 r"""Chat formatting from event logs, in built-in functions only.
 
-``fold_events`` rebuilds messages from a log: its rows are dealt by conversation and turn and ordered by sequence; a
+``fold_events`` rebuilds messages from a log: its rows are dealt by conversation (a long one by its turns, each of which
+is folded by itself) and ordered by sequence; a
 ``message`` begins one, a ``delta`` adds to the last one begun, an ``edit`` or ``regenerate`` replaces its text so far.
 ``render`` turns messages into one text per conversation, with the spans that count for the loss; ``read_back`` takes
 such a text apart again.

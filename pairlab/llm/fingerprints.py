@@ -75,27 +75,30 @@ def merge_groups(df: DataFrame, key: str, sketch_col: str = "sketch", k: int = K
     return df.select(key).distinct().join(merged.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce(sketch_col, F.array().cast("array<bigint>")).alias(sketch_col))
 
 
-def with_next(df: DataFrame, order: str, carry: list[str], tie: str, parts: int) -> DataFrame:
-    """Add next_<c> for each column c of carry: its value in the row that follows by order descending (nulls last) and
-    tie; the last row is followed by the first.
+def with_next(df: DataFrame, order: str, text: str, derived: dict[str, Column], parts: int) -> DataFrame:
+    """Add the derived columns of text, and next_<c> for text and each of them: its value in the row that follows by order
+    descending (nulls last) and hash of text; the last row is followed by the first.
 
-    Quantiles of order deal the rows into parts; to each part the first row of the following one is added, so a window
-    over the part finds every successor and no task holds the whole order.
+    Rows are dealt to parts by range of (order, hash), so that rows which share one order value are split as others are.
+    Columns of df that are named as the operator's own are dropped. To each part the first row of the following one is added, so a window over the part finds every successor and no task holds the
+    whole order. Columns are derived once, after rows and guests are together.
     """
-    bounds = sorted({int(x) for x in df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    last = len(bounds) + 1
-    at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b > F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("__part", F.when(F.col(order).isNull(), last).otherwise(at))
-    ranking = [F.col(order).desc_nulls_last(), F.col(tie)]
-    key = F.struct(F.col(order).isNull(), -F.coalesce(F.col(order), F.lit(0)), F.col(tie))
-    firsts = dealt.groupBy("__part").agg(F.min_by(F.struct(*carry), key).alias("__first"))
+    # Ascending in both: the complement of a number turns its order round and can't overflow.
+    df = df.drop("__key", "__part", "__guest", *derived, *(f"next_{c}" for c in (text, *derived)))
+    keyed = df.withColumn("__key", F.struct(F.col(order).isNull().alias("none"), F.bitwise_not(F.coalesce(order, F.lit(0).cast("long"))).alias("place"), F.xxhash64(text).alias("tie")))
+    ranges = keyed.select("__key").repartitionByRange(parts, "__key").groupBy(F.spark_partition_id()).agg(F.min("__key").alias("k")) if parts > 1 else None
+    bounds = sorted(tuple(r.k) for r in ranges.collect())[1:] if ranges is not None else []  # one row for each part
+    literal = lambda k: F.struct(F.lit(k[0]).alias("none"), F.lit(k[1]).cast("long").alias("place"), F.lit(k[2]).cast("long").alias("tie"))
+    at = F.size(F.filter(F.array(*(literal(k) for k in bounds)), lambda b: b <= F.col("__key"))) if bounds else F.lit(0)
+    dealt = keyed.withColumn("__part", at)
+    firsts = dealt.groupBy("__part").agg(F.min_by(F.struct(text), "__key").alias("__first"))
     # At most one row for each part: the part before it takes it in.
     every = Window.orderBy("__part")
     before = firsts.select(F.coalesce(F.lag("__part").over(every), F.max("__part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__part"), "__first")
-    guests = before.select("__part", F.lit(1).alias("__guest"), *(F.col(f"__first.{c}").alias(c) for c in carry))
-    together = dealt.withColumn("__guest", F.lit(0)).unionByName(guests, allowMissingColumns=True)
-    window = Window.partitionBy("__part").orderBy("__guest", *ranking)
-    return together.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in carry)).where("__guest = 0").drop("__guest", "__part")
+    guests = before.select("__part", F.lit(1).alias("__guest"), F.col(f"__first.{text}").alias(text))
+    together = dealt.withColumn("__guest", F.lit(0)).unionByName(guests, allowMissingColumns=True).withColumns(derived)
+    window = Window.partitionBy("__part").orderBy("__guest", "__key")
+    return together.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in (text, *derived))).where("__guest = 0").drop("__guest", "__part", "__key")
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:

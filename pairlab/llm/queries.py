@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, suffix, token_store, url_filter
@@ -56,12 +56,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def turn_events(turns: DataFrame) -> DataFrame:
+    """A log from which folding gives the rows of turns (conv_id, turn, role, text) back: by the hash of a row, its text
+    comes as a message and deltas, as a draft that an edit replaces, or as an answer that is begun, regenerated and
+    streamed anew."""
+    text, third = F.coalesce("text", F.lit("")), F.ceil(F.length("text") / 3).cast("int")
+    a, b, c = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))
+    log = lambda *events: F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(t, F.lit("")).alias("text")) for k, t in events))
+    streamed = log(("message", a), ("delta", b), ("delta", c))
+    edited = log(("message", F.reverse(text)), ("delta", F.lit("<|draft|>")), ("edit", text))
+    anew = log(("message", b), ("delta", c), ("regenerate", F.lit("")), ("delta", a), ("delta", b), ("delta", c))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    # Rows of one turn number follow one another, by role and text, each with its own events.
+    row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text))
+    logs = turns.withColumns({"row": row, "events": F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)})
+    return logs.select("conv_id", "turn", "role", "row", F.posexplode("events").alias("at", "e")).select("conv_id", "turn", "role", (F.col("row") * 8 + F.col("at")).alias("seq"), "e.kind", "e.text")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format every conversation, and one made of control strings, and read the turns back."""
+    """Format every conversation, and one made of control strings, and read the turns back; turns come from event logs."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    events = own.unionByName(added).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    rendered = chat.render(chat.fold_events(events))
+    rendered = chat.render(chat.fold_events(turn_events(own.unionByName(added))))
     read = rendered.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select(
         "conv_id",
@@ -114,9 +130,9 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every text, and its edited text, whose last third comes from the next document."""
-    docs = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("tie", F.xxhash64("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = fingerprints.with_next(docs, "doc_id", ["text", "sketch"], "tie", parts)
+    pairs = fingerprints.with_next(docs, "doc_id", "text", {"sketch": fingerprints.sketch(F.col("text"))}, parts).withColumn("n_chars", F.length("text").cast("long"))
     cut_off = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut_off), F.substring("next_text", F.lit(1), cut_off))
     sketched = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited")).withColumn("own", F.struct("edited", fingerprints.sketch(F.col("edited")).alias("sketch")))
@@ -128,6 +144,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.fingerprint(F.col("own.sketch")).alias("edited_fingerprint"),
         fingerprints.resemblance(F.col("sketch"), F.col("own.sketch")).alias("near_edited"),
         fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.containment(F.col("sketch"), F.col("own.sketch")).alias("held_in_edited"),
+        fingerprints.distinct_shingles(F.col("sketch")).alias("distinct_shingles"),
     )
 
 

@@ -34,6 +34,26 @@ def test_fold(spark):
     assert got == [(1, 0, 1, "user", "hello"), (1, 1, 1, "assistant", "new text"), (2, 0, 1, "user", "only"), (2, 0, 2, "user", "next"), (3, 0, 1, "user", "x"), (3, 0, 2, "user", "x")]
 
 
+def test_logs_need_folding(spark):
+    from pairlab.llm import queries
+
+    rows = [(c, t, "assistant", "x" * (c % 5) + f" text {t}") for c in range(20) for t in range(4)] + [(7, 1, "assistant", "other"), (7, 1, "assistant", "other"), (None, None, None, None), (3, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = queries.turn_events(df)
+    kinds = {r.kind for r in events.select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    back = sorted((str(r.conv_id), str(r.turn), r.role, r.text) for r in chat.fold_events(events).collect())
+    assert back == sorted((str(c), str(t), r or "", x or "") for c, t, r, x in rows)
+    # Without the fold a log's first texts are not the turns.
+    assert events.where("kind = 'message'").join(df, ["conv_id", "turn", "text"], "left_semi").count() < len(rows) / 2
+
+
+def test_clashing_columns_and_long_turns(spark):
+    df = spark.createDataFrame([(1, 0, 1, "user", "x" * 3_000_000 + "<|im_end|>", "odd", "odd"), (1, 1, 1, "assistant", "y", "odd", "odd")], "conv_id long, turn long, message_no long, role string, text string, piece string, start string")
+    r = chat.render(df).select(chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert len(r.t[0].text) == 3_000_010 and r.l == "y"
+
+
 def test_query_matches_sql(spark):
     import duckdb
 

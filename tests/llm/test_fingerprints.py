@@ -38,16 +38,28 @@ def test_merge_groups(spark):
 
 def test_next(spark):
     rng = random.Random(4)
-    ids = rng.sample(range(1000), 120)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(7)
+    ids = [*rng.sample(range(1000), 120), -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, f"t{i}", "own") for i in ids], "doc_id long, text string, next_text string").repartition(7)
     order = sorted(ids, reverse=True)
     want = {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
     for parts in (1, 3, 40):
-        got = fp.with_next(df, "doc_id", ["text"], "text", parts).collect()
-        assert {r.doc_id: r.next_text for r in got} == want and len(got) == 120
+        got = fp.with_next(df, "doc_id", "text", {"n": F.length("text")}, parts).collect()
+        assert {r.doc_id: r.next_text for r in got} == want and len(got) == 122
+        assert all(r.n == len(r.text) and r.next_n == len(r.next_text) for r in got)
     one = spark.createDataFrame([(5, "x")], "doc_id long, text string")
-    assert fp.with_next(one, "doc_id", ["text"], "text", 4).first().next_text == "x"
-    assert fp.with_next(one.limit(0), "doc_id", ["text"], "text", 4).count() == 0
-    odd = spark.createDataFrame([(5, "b"), (5, "a"), (None, "n"), (9, "c")], "doc_id long, text string")
-    got = sorted(fp.with_next(odd, "doc_id", ["text"], "text", 3).collect(), key=lambda r: r.text)
-    assert [(r.text, r.next_text) for r in got] == [("a", "b"), ("b", "n"), ("c", "a"), ("n", "c")]
+    assert fp.with_next(one, "doc_id", "text", {}, 4).first().next_text == "x"
+    assert fp.with_next(one.limit(0), "doc_id", "text", {}, 4).count() == 0
+
+
+def test_next_of_repeated_ids(spark):
+    texts = [f"a{i}" for i in range(60)]
+    rows = [(5, t) for t in texts] + [(5, "same")] * 20 + [(None, "n"), (None, "n"), (9, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for parts in (1, 8):
+        got = fp.with_next(df, "doc_id", "text", {}, parts).collect()
+        assert len(got) == len(rows)
+        # Every row follows exactly one row, and ids come in order.
+        assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+        assert [r.next_text for r in got if r.text == "c"][0] in [*texts, "same"]
+        assert sorted(r.next_text for r in got if r.text == "n") == ["c", "n"]
+        assert sum(r.text == "same" and r.next_text == "same" for r in got) == 19

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 import test_line_dedup
@@ -61,12 +62,34 @@ def test_op2(spark):
         parsed[page] = (host, path, *(max(fits)[1:] if fits else (None, None)))
         if fits:
             seeds[max(fits)[2]][host] = seeds[max(fits)[2]].get(host, 0) + 1
-    total = {v: sum(s.values()) for v, s in seeds.items()}
+    # Every href is relative here, so hosts are linked with the domains above them only.
+    edges = {}
+    for host, *_ in parsed.values():
+        parts = host.split(".")
+        for i in range(len(parts) - 2):
+            for pair in ((".".join(parts[i:]), ".".join(parts[i + 1 :])), (".".join(parts[i + 1 :]), ".".join(parts[i:]))):
+                edges[pair] = edges.get(pair, 0) + 1
+    nodes = sorted({n for pair in edges for n in pair} | {h for s in seeds.values() for h in s})
+    at = {n: i for i, n in enumerate(nodes)}
+    steps = np.zeros((len(nodes), len(nodes)))
+    for (a, b), n in edges.items():
+        steps[at[b], at[a]] = n
+    share = {}
+    for v, towards in (("allow", steps), ("block", steps.T.copy())):
+        walk = towards / np.maximum(towards.sum(axis=0, keepdims=True), 1)
+        start = np.array([seeds[v].get(n, 0) for n in nodes]) / sum(seeds[v].values())
+        x = np.linalg.solve(np.eye(len(nodes)) - 0.85 * walk, 0.15 * start)
+        share[v] = dict(zip(nodes, x / x.sum(), strict=True))
+    blocked = lambda h, ratio: share["block"].get(h, 0) > share["allow"].get(h, 0) * ratio * (1 + 1e-6)
+    part = lambda v, ratio: sum(n for h, n in seeds[v].items() if blocked(h, ratio) == (v == "block")) / sum(seeds[v].values())
+    ratio = max(sorted((2.0**p for p in range(-8, 9)), key=lambda r: (max(r, 1 / r), r)), key=lambda r: round(part("allow", r) + part("block", r), 9))
+    walked = 0
     for page, (host, path, rule, verdict) in parsed.items():
-        # No page links to another host here, so each host keeps its seeds' share.
-        share = {v: seeds[v].get(host, 0) / total[v] for v in seeds}
-        verdict = verdict or ("block" if share["block"] > share["allow"] else "allow")
+        verdict = verdict or ("block" if blocked(host, ratio) else "allow")
         assert (got[page].host, got[page].path, got[page].rule, got[page].verdict) == (host, path, rule, verdict)
+        assert abs(got[page].trust - share["allow"].get(host, 0)) < 1e-6 and abs(got[page].distrust - share["block"].get(host, 0)) < 1e-6
+        walked += got[page].trust + got[page].distrust > 0 and host not in seeds["allow"] and host not in seeds["block"]
+    assert walked > 0  # hosts without a seed of their own have scores
 
 
 def test_op3(spark, ids):
