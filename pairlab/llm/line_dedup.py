@@ -9,8 +9,8 @@ rare words first. Frequencies are counted over all lines in hashed classes; any
 only the work differs. Equal sets are one class, known by its first line and numbered in order of first lines.
 
 Classes meet on the words of their prefixes (so many that two similar sets must share one there) and are filtered by
-length, by the words that can still match from a position on, and by a bound on what they share from 64 bits of each set
-(a word sets one; each bit that differs is a word that one set lacks). What is left is verified on the full sets of the
+length, by the words that can still match from a position on, and by a bound on what they share from 64 bits of each set,
+or 128 of one with more than 64 words (a word sets one; each bit that differs is a word that one set lacks). What is left is verified on the full sets of the
 lines. A class needs only one earlier match, so this is done in two steps: each class first meets the leader that most of
 a few of its words have (the first class that chose a word); only classes for which that is no match meet all earlier
 ones. Groups of many variants of a line are settled by their leaders, so that candidates don't grow with the square of
@@ -78,12 +78,19 @@ def coded(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(distinct_words(line), code))
 
 
+def marked(words: Column) -> Column:
+    """64 bits, of which each word sets one."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+
+
 def may_match(tenths: int) -> Column:
-    """Whether two sets (n, pos, bits; m, at, marks) that share the words at these positions, and none before, may be
-    similar: by length, by what can still match from here on, and by the bits in which they differ."""
+    """Whether two sets (n, pos, low, high; m, at, low2, high2) that share the words at these positions, and none before,
+    may be similar: by length, by what can still match from here on, and by the bits in which they differ."""
     least, both = tenths * (F.col("n") + F.col("m")), 10 + tenths
     rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("marks")))
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    folded = differ(F.col("low").bitwiseOR(F.col("high")), F.col("low2").bitwiseOR(F.col("high2")))
+    apart = F.when((F.col("n") > 64) & (F.col("m") > 64), differ(F.col("low"), F.col("low2")) + differ(F.col("high"), F.col("high2"))).otherwise(folded)
     # What is shared is at most half of all words but those that account for differing bits.
     return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & (both * rest >= least) & (both * (F.col("n") + F.col("m") - apart) >= 2 * least)
 
@@ -102,7 +109,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int
 
 
 def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
-    """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, bits, prefix)."""
+    """(ord) of the classes that are similar to an earlier one, from (ord, doc_id, text_hash, line_no, n, low, high, prefix)."""
     # A few words of each prefix, chosen by hash, so that variants of a line mostly choose the same.
     few = F.slice(F.array_sort(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)
     chosen = classes.select("ord", F.explode(few).alias("word"))
@@ -110,9 +117,9 @@ def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFr
     met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x").groupBy("x", "y").agg(F.count("*").alias("shared"))
     best = met.where("shared > 1").groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
     led = verified(best, classes, texts, tenths)
-    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "bits", F.posexplode("prefix").alias("pos", "word"))
+    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "low", "high", F.posexplode("prefix").alias("pos", "word"))
     rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
-    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("bits").alias("marks"), F.col("pos").alias("at"), "word")
+    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("pos").alias("at"), "word")
     pairs = rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths)).select("x", "y").distinct()
     return led.unionByName(verified(pairs, classes, texts, tenths)).withColumnRenamed("x", "ord")
 
@@ -130,16 +137,19 @@ def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col
     reach = n - F.floor((tenths * n + 9) / 10).cast("int") + 1
     # Words in prefixes are told apart by 31 bits; words that meet by chance only add candidates, which the bits decide.
     prefix = F.transform(F.slice("set", F.lit(1), reach), lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))
-    bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
     described = lines_of(named).select(*place, coded(F.col("line"), levels).alias("set"))
+    # Half of the words go to either half of the bits; those of small sets lie over one another.
+    upper = lambda w: w.bitwiseAND(64) != 0
+    low = F.when(n > 64, marked(F.filter("set", lambda w: ~upper(w)))).otherwise(marked(F.col("set")))
+    high = F.when(n > 64, marked(F.filter("set", upper))).otherwise(0)
     lines_at = new_place(df.sparkSession)
-    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), bits.alias("bits"), F.when(n >= 4, prefix).alias("prefix")), lines_at)
+    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), low.alias("low"), high.alias("high"), F.when(n >= 4, prefix).alias("prefix")), lines_at)
     some = lines.where("n > 0")
     # Each class of equal sets with its first line. Sets of fewer than four words have no similar ones but equal ones.
-    first = F.min_by(F.struct(*place, "bits", "prefix"), F.struct(*place))
+    first = F.min_by(F.struct(*place, "low", "high", "prefix"), F.struct(*place))
     sets = some.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies")
     classes = cut(sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id()))
-    every = cut(some.drop("bits", "prefix"))
+    every = cut(some.drop("low", "high", "prefix"))
     discard(lines, lines_at)
     matched = matched_classes(classes.where("n >= 4"), named, tenths)
     known = classes.join(matched.withColumn("matched", F.lit(True)), "ord", "left").where("copies > 1 OR matched")

@@ -20,10 +20,11 @@ def test_matches_brute_force(spark):
     rng = random.Random(8)
     vocabulary = ["the", "of", "and", "été", *("w%d" % i for i in range(60))]
     bases = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 16))] for _ in range(25)]
+    bases += [["l%d" % i for i in rng.sample(range(300), n)] for n in (60, 64, 66, 70, 90, 200)]
 
     def line():
         words = list(rng.choice(bases))
-        for _ in range(rng.randrange(0, 3)):
+        for _ in range(rng.randrange(0, 3 + len(words) // 12)):
             words[rng.randrange(len(words))] = rng.choice(vocabulary)
         return rng.choice(["", " ", "\t"]) + rng.choice([" ", "  ", "\r"]).join(rng.sample(words, len(words)))
 
