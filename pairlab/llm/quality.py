@@ -1,14 +1,15 @@
 """Quality rules: statistics of whole texts, two base rules, and an isolation forest over the statistics.
 
-A forest of random splits isolates odd documents in few steps. It is grown on a bounded sample of labelled documents
-(``sample`` rows at most, those whose ids hash lowest), over those rates by which a forest of their own ranks documents
-labelled bad as odder than good ones (with an AUC of ``LEAST_AUC``). Its threshold is set on the same rows: the lowest
-score at which at most ``max_false`` of the documents labelled good would be rejected. The statistics, base rules and verdicts
-cover every row.
+A forest of random splits isolates odd documents in few steps. It is fitted on a bounded sample of labelled documents
+(``sample`` rows at most, those whose ids hash lowest). One half of them grows it, over those rates by which a forest of
+their own ranks documents labelled bad as odder than good ones (with an AUC of ``LEAST_AUC``), or over all rates if there
+are none such. The other half, which it has not seen, sets its threshold: the lowest score at which at most ``max_false``
+of the documents labelled good would be rejected; where they are fewer than 1 / ``max_false``, so that none may be, the
+good documents of both halves set it. The statistics, base rules and verdicts cover every row.
 
 Words are what lies between space and the control characters 0x09 to 0x0D. Defined cases: a null text has no words and
-fails the base rules; rows with a null id are judged too, but have no labels; without usable labels the base rules
-decide alone; where several rows share an id the least statistics are taken for calibration; repeated rows each give a
+fails the base rules; rows with a null id are judged too, but have no labels; where no document labelled good passes the
+base rules, these decide alone; where several rows share an id the least statistics are taken for calibration; repeated rows each give a
 row; extra columns are carried only by name, and the operator's own columns win; an empty table gives an empty result.
 """
 
@@ -85,7 +86,7 @@ class IsolationForest:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
     @classmethod
-    def grow(cls, rows: np.ndarray, columns: list[int], trees: int = 100, size: int = 256, seed: int = 7) -> IsolationForest:
+    def grow(cls, rows: np.ndarray, columns: list[int], trees: int = 100, size: int = 128, seed: int = 7) -> IsolationForest:
         """A forest over the given columns of rows."""
         rng = np.random.default_rng(seed)
         rows = rows[:, columns]
@@ -161,7 +162,8 @@ def statistics(df: DataFrame, forest: IsolationForest | None, id_col: str, text_
 
 
 def fit_forest(df: DataFrame, labels: DataFrame, sample: int = 20_000, max_false: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> IsolationForest | None:
-    """A forest with its threshold, from at most sample labelled documents; None without usable labels.
+    """A forest with its threshold, from at most sample labelled documents; None if none of the good ones passes the base
+    rules.
 
     labels has doc_id and quality (1 good, 0 bad); an id labelled both ways counts as bad.
     """
@@ -173,16 +175,17 @@ def fit_forest(df: DataFrame, labels: DataFrame, sample: int = 20_000, max_false
     stats, good = local[list(STATS)].to_numpy(np.int64), local["quality"].to_numpy() == 1
     usable = ~base_failed(stats)
     stats, good = stats[usable], good[usable]
-    if len(stats) < 2 or not good.any() or good.all():
+    if not good.any():
         return None
-    rates = features(stats)
-    useful = [c for c in range(rates.shape[1]) if auc(IsolationForest.grow(rates, [c]).score(rates), ~good) >= LEAST_AUC]
-    if not useful:
-        return None
-    forest = IsolationForest.grow(rates, useful)
-    scores = forest.score(rates)
-    allowed = int(max_false * good.sum())
-    highest = np.sort(scores[good])[::-1]
+    rates, grown = features(stats), np.arange(len(stats)) % 2 == 0  # in order of hash
+    fit, told = rates[grown], good[grown]
+    every = list(range(rates.shape[1]))
+    useful = [c for c in every if auc(IsolationForest.grow(fit, [c]).score(fit), ~told) >= LEAST_AUC] if told.any() and not told.all() else []
+    forest = IsolationForest.grow(fit, useful or every)
+    held = good & ~grown
+    judged = held if max_false * held.sum() >= 1 else good
+    allowed = int(max_false * held.sum())
+    highest = np.sort(forest.score(rates[judged]))[::-1]
     # Just above the first good score that may not be rejected.
     forest.threshold = float(np.nextafter(highest[allowed], np.inf))
     return forest

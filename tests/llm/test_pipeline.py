@@ -33,6 +33,59 @@ def test_stages(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_whole_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage against a brute-force version on the stage's own input, with labels, so that the forest decides too."""
+    import pandas as pd
+    import public_tokenizers
+    import test_line_dedup
+    import test_minhash
+    import test_quality
+    import test_suffix
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = {r.doc_id: r.text for r in docs.collect()}
+    quality_of = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id")["quality"].to_dict()
+    now, texts = docs, [given]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, sf).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        texts.append({r.doc_id: r.text for r in now.collect()})
+        assert now.count() == len(texts[-1])
+    good, lines, first, passages = texts[1:]
+    rules = {d for d, t in given.items() if not test_quality.brute(t)[5]}
+    assert set(good) <= rules and all(good[d] == given[d] for d in good)
+    sound = [d for d in rules if quality_of.get(d) == 1]
+    assert sum(d in good for d in sound) >= 0.98 * len(sound)
+    assert lines == {d: v[0] for d, v in test_line_dedup.brute(list(good.items())).items()}
+    sets = [(d, test_minhash.shingles(t)) for d, t in lines.items()]
+    links = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    root = test_minhash.components(list(lines), links)
+    blank = {}
+    for d, s in sets:
+        if not s:
+            blank.setdefault((d, lines[d]), d)
+    assert first == {d: t for d, t in lines.items() if root[d] == d}
+    kept = test_suffix.kept(list(first.items()))
+    assert passages == {d: b.decode("utf-8", "replace") for d, b in kept.items()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    sizes = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in passages.items()}
+    assert {p.doc_id: p.doc_tokens for p in pieces} == sizes and sum(p.length for p in pieces) == sum(sizes.values())
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_repeated_ids_are_judged_by_row(spark):
     rng = random.Random(5)
     text = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(60))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairlab.llm import quality
 
@@ -52,6 +53,26 @@ def test_without_labels(spark):
     assert quality.judge_quality(df.limit(0), labels).count() == 0
 
 
+def test_catches_bad_documents_that_were_not_labelled(spark):
+    """Labels of one half of the tables' labelled documents; the verdicts of the other half count."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(2)) == 0
+    judged = quality.judge_quality(docs, labels.where(seen)).join(labels.where(~seen), "doc_id").where("NOT base_failed")
+    counts = {r.quality: r for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()}
+    assert counts[0].gone >= 0.6 * counts[0].n > 30
+    assert counts[1].gone <= 0.015 * counts[1].n
+
+
+def test_few_or_one_sided_labels(spark):
+    data = rows(3)
+    df = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id long, text string")
+    for chosen in ([1], [0, 1], [1, 1, 1]):
+        labels = spark.createDataFrame([(d, q) for (d, _, _), q in zip(data[2:], chosen)], "doc_id long, quality int")
+        got = quality.judge_quality(df, labels).collect()
+        assert len(got) == len(data) and not any(r.kept and r.base_failed for r in got)
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(900, 2)), rng.normal(loc=6, size=(20, 2))])

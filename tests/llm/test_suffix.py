@@ -27,6 +27,24 @@ def brute(rows, width=50):
     return sorted(out, key=str)
 
 
+def kept(rows, width=50):
+    """The bytes that stay of each of a list of documents with ids of their own."""
+    first = {}
+    for doc, text in rows:
+        b = text.encode()
+        for i in range(len(b) - width + 1):
+            first[b[i : i + width]] = min(first.get(b[i : i + width], doc), doc)
+    out = {}
+    for doc, text in rows:
+        b = text.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if first[b[i : i + width]] < doc:
+                gone[i : i + width] = b"\x01" * width
+        out[doc] = bytes(x for x, g in zip(b, gone) if not g)
+    return out
+
+
 def texts(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randrange(1, 6)))
