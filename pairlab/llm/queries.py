@@ -38,7 +38,37 @@ URL_RULES = [
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every url by rules, and by the links between hosts where none fits."""
-    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_parts(url: str) -> str:
+    rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    return f"{host} AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
+
+
+#: Walks of 160 links: what is left then is below 1e-11 of a seed's share.
+OP2_SQL = f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) v(rule, verdict)),
+h AS (SELECT page_id, html, {_url_parts("url")} FROM pages),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY 1),
+j AS (SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)),
+c AS (SELECT host, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM j WHERE rule IS NOT NULL GROUP BY 1),
+targets AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']?([^"''\s<>]+)', 1)) AS t FROM h WHERE host <> ''),
+parsed AS (SELECT src, {_url_parts("CASE WHEN starts_with(t, '//') THEN 'x:' || t ELSE t END")} FROM targets WHERE contains(t, '//')),
+named AS (SELECT string_split(host, '.') AS p, count(*) AS n FROM h WHERE host <> '' GROUP BY 1),
+up AS (SELECT array_to_string(p[i:], '.') AS src, array_to_string(p[i + 1:], '.') AS dst, n FROM named, unnest(range(1, len(p) - 1)) r(i) WHERE len(p) > 2),
+links AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, host AS dst, 1 AS n FROM parsed WHERE host <> '' AND host <> src UNION ALL SELECT * FROM up WHERE src <> '' AND dst <> '' UNION ALL SELECT dst, src, n FROM up WHERE src <> '' AND dst <> '') GROUP BY 1, 2),
+steps AS (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM links UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
+walk AS (SELECT 0 AS i, 'trust' AS kind, host, CAST(a / (SELECT sum(a) FROM c) AS DOUBLE) AS d FROM c WHERE a > 0 UNION ALL SELECT 0, 'distrust', host, CAST(b / (SELECT sum(b) FROM c) AS DOUBLE) FROM c WHERE b > 0
+  UNION ALL SELECT * FROM (SELECT i + 1, kind, dst, sum(0.85 * d * p) FROM walk JOIN steps USING (kind) WHERE host = src AND i < 160 GROUP BY ALL)),
+s AS (SELECT host, coalesce(sum(d) FILTER (kind = 'trust') / (SELECT sum(d) FROM walk WHERE kind = 'trust'), 0) AS trust, coalesce(sum(d) FILTER (kind = 'distrust') / (SELECT sum(d) FROM walk WHERE kind = 'distrust'), 0) AS distrust FROM walk GROUP BY 1),
+tried AS (SELECT power(2.0, i) AS ratio FROM range(-8, 9) r(i)),
+scored AS (SELECT ratio, coalesce(sum(b) FILTER (distrust > trust * ratio * 1.000001) / nullif(sum(b), 0), 0) + coalesce(sum(a) FILTER (distrust <= trust * ratio * 1.000001) / nullif(sum(a), 0), 0) AS v FROM c JOIN s USING (host), tried GROUP BY 1),
+best AS (SELECT coalesce((SELECT ratio FROM scored ORDER BY round(v, 9) DESC, greatest(ratio, 1 / ratio), ratio LIMIT 1), 1) AS ratio)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * ratio * 1.000001 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN s USING (host), best
+"""
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +140,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Pairs of lines come from the words they share; that is quadratic in a word's lines, and fit for small tables only.
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) r(i)),
+w AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''))) AS words FROM l),
+s AS (SELECT words, min((doc_id, line_no)) AS first, len(words) AS n, row_number() OVER (ORDER BY min((doc_id, line_no))) AS k FROM w WHERE len(words) > 0 GROUP BY words),
+e AS (SELECT k, n, unnest(words) AS t FROM s),
+p AS (SELECT a.k, b.k AS other, any_value(a.n + b.n) AS n, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND b.k < a.k AND 10 * b.n >= 8 * a.n AND 10 * a.n >= 8 * b.n GROUP BY a.k, b.k),
+m AS (SELECT DISTINCT k FROM p WHERE 18 * shared >= 8 * n),
+g AS (SELECT w.doc_id, w.line_no, w.line, coalesce(m.k IS NOT NULL OR (w.doc_id, w.line_no) > s.first, false) AS gone FROM w LEFT JOIN s USING (words) LEFT JOIN m USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id
+"""
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the bytes of 50-byte strings that also start in a smaller document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -163,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL}
