@@ -33,7 +33,7 @@ from pairlab.llm.common import cut, discard, new_place
 from pairlab.llm.fingerprints import let
 
 #: Hashed classes in which the frequencies of words are counted.
-WIDTH = 1 << 20
+WIDTH = 1 << 19
 #: Words by which a class looks for its leader.
 FEW = 4
 #: Separators of words besides the space; a line break only ends lines.
@@ -63,18 +63,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def word_levels(texts: DataFrame) -> Column:
     """An array with a frequency level from 0 to 63 for each hashed class of words."""
-    words = texts.select(F.explode(F.split(F.translate(spaced(F.col("text")), "\n", " "), " ")).alias("w")).where("w != ''")
+    words = texts.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
     place = F.xxhash64("w").bitwiseAND(WIDTH - 1).cast("int")
     counts = words.groupBy(place.alias("c")).agg(F.count("*").alias("n")).toArrow()  # at most WIDTH rows
     levels = np.zeros(WIDTH, int)
     levels[counts["c"].to_numpy()] = np.frexp(counts["n"].to_numpy().astype(float))[1]
     # Spark folds this into one constant, as it would not with a lambda function in it.
-    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<tinyint>")
 
 
 def coded(line: Column, levels: Column) -> Column:
     """The set of a line in order of rarity: frequency level in the upper byte, then the word's hash."""
-    code = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(WIDTH - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    code = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(WIDTH - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(distinct_words(line), code))
 
 
