@@ -26,19 +26,21 @@ def check_chain(prompts: DataFrame, outputs: DataFrame, scans: DataFrame, key: s
 
 def split_report(df: DataFrame, split: str, unit: str, category: str, heldout: list[str], least: int, ratio: float) -> DataFrame:
     """(check, status, observed, limit) on a split table."""
-    overlap = df.where(~F.col(category).isin(heldout)).groupBy(unit).agg(F.count_distinct(split).alias("n")).where("n > 1").agg(F.count("*").cast("double").alias("observed"))
-    outside = df.where(F.col(category).isin(heldout) & (F.col(split) != "test")).agg(F.count("*").cast("double").alias("observed"))
-    sizes = df.groupBy(category).agg(F.count("*").alias("n"))
-    fewest = sizes.agg(F.min("n").cast("double").alias("observed"))
-    spread = sizes.agg((F.max("n") / F.min("n")).alias("observed"))
-    total = df.agg(F.count("*").cast("double").alias("observed"))
-    checks = [("unit_overlap", overlap, 0.0, "<="), ("heldout_outside_test", outside, 0.0, "<="), ("category_minimum", fewest, float(least), ">="), ("category_ratio", spread, ratio, "<="), ("total", total, 1.0, ">=")]
-    out = None
-    for name, observed, limit, sign in checks:
-        ok = F.col("observed") <= limit if sign == "<=" else F.col("observed") >= limit
-        row = observed.select(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise("FAIL").alias("status"), "observed", F.lit(limit).alias("limit"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    held = F.col(category).isin(heldout)
+    units = df.where(~held).groupBy(unit).agg(F.count_distinct(split).alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))
+    sizes = df.groupBy(category).agg(F.count("*").alias("n"), F.count_if(held & (F.col(split) != "test")).alias("outside"))
+    whole = sizes.agg(F.sum("outside").alias("outside"), F.min("n").alias("fewest"), (F.max("n") / F.min("n")).alias("spread"), F.sum("n").alias("total"))
+
+    def check(name: str, value: str, limit: float, most: bool) -> Column:
+        observed = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+        ok = observed <= limit if most else observed >= limit
+        return F.struct(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise("FAIL").alias("status"), observed.alias("observed"), F.lit(limit).alias("limit"))
+
+    checks = [
+        check("unit_overlap", "overlap", 0.0, True), check("heldout_outside_test", "outside", 0.0, True), check("category_minimum", "fewest", float(least), False),
+        check("category_ratio", "spread", ratio, True), check("total", "total", 1.0, False),
+    ]
+    return units.crossJoin(whole).select(F.explode(F.array(*checks)).alias("c")).select("c.*")  # one row each
 
 
 def set_checks(sets: dict[str, DataFrame], key: str, disjoint: list[tuple[str, str]], nested: list[tuple[str, str]]) -> DataFrame:

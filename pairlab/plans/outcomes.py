@@ -275,6 +275,37 @@ def q7(spark, sf):
     return stats.cluster_bootstrap(df, ["cluster"], F.col("repaired").cast("int"), F.col("b0_vulnerable").cast("int"), 2000)
 
 
+#: Sums of repaired and vulnerable records of 97 clusters by method, and which of them 200 replicates draw.
+CLUSTERS = PAIRED + """, u AS (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS k, """ + ", ".join(f"count(*) FILTER (repaired AND method = {m}) AS r{m}, count(*) FILTER (b0_vulnerable AND method = {m}) AS v{m}" for m in (2, 3, 4)) + """, count(*) FILTER (repaired) AS r, count(*) FILTER (b0_vulnerable) AS v FROM (SELECT *, prompt_id % 97 AS n FROM f) GROUP BY n),
+m AS (SELECT count(*) AS n FROM u), d AS (SELECT r.range AS replicate, ('0x' || substr(md5('42|' || r.range || '|' || i.range), 1, 8))::BIGINT % n AS k FROM range(200) r, range(97) i, m),
+b AS (SELECT replicate, """ + ", ".join(f"sum(r{m}) / nullif(sum(v{m}), 0) AS x{m}" for m in (2, 3, 4)) + """, sum(r) / nullif(sum(v), 0) AS x FROM d JOIN u USING (k) GROUP BY 1)
+"""
+
+
+def bounds_sql(contrasts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS contrast, round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high, count({x}) AS n FROM b" for n, x in contrasts.items())
+
+
+def cluster_draws(spark, sf):
+    df = oc.flags(paired(spark, sf))
+    counts = [F.count_if(F.expr(f"{flag} AND method = {m}")).alias(f"{c}{m}") for m in (2, 3, 4) for c, flag in (("r", "repaired"), ("v", "b0_vulnerable"))]
+    sums = df.groupBy((F.col("prompt_id") % 97).alias("k")).agg(*counts, F.count_if("repaired").alias("r"), F.count_if("b0_vulnerable").alias("v"))
+    return stats.hashed_bootstrap(sums, "k", 97, sums.columns[1:], 200, 42)
+
+
+@query("q6_hashed_bootstrap", CLUSTERS + bounds_sql({"m2": "x2", "m2 - m3 and m4": "x2 - (x3 + x4) / 2"}))
+def q6_hashed(spark, sf):
+    x = {m: F.try_divide(f"r{m}", f"v{m}") for m in (2, 3, 4)}
+    out = stats.interval(cluster_draws(spark, sf), {"m2": x[2], "m2 - m3 and m4": x[2] - (x[3] + x[4]) / 2})
+    return out.withColumns({c: F.round(c, 9) for c in ("low", "high")})
+
+
+@query("q7_hashed_bootstrap", CLUSTERS + bounds_sql({"ratio": "x"}))
+def q7_hashed(spark, sf):
+    out = stats.interval(cluster_draws(spark, sf), {"ratio": F.try_divide("r", "v")})
+    return out.withColumns({c: F.round(c, 9) for c in ("low", "high")})
+
+
 @query("q8_utility_deltas", PAIRED + """, j AS (SELECT m.category, m.method AS condition, count(*) AS n, avg(CAST(NOT b.is_vulnerable AS INT)) AS base_rate, avg(CAST(NOT m.is_vulnerable AS INT)) AS rate, count(*) FILTER (NOT m.is_vulnerable AND b.is_vulnerable) AS improved, count(*) FILTER (m.is_vulnerable AND NOT b.is_vulnerable) AS regressed
 FROM paired m JOIN paired b ON m.prompt_id = b.prompt_id AND b.method = 2 WHERE m.method > 2 GROUP BY ALL)
 SELECT category, CAST(condition AS VARCHAR) AS condition, n, base_rate, rate, improved, regressed, 0.005 AS threshold, rate - base_rate AS delta, CASE WHEN base_rate - rate > 0.005 THEN 'DROP_EXCEEDS_THRESHOLD' ELSE 'WITHIN_THRESHOLD' END AS status FROM j""")
