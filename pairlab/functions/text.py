@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Language aliases.
-LANGUAGES = {"c": "C", "c++": "C++", "cpp": "C++", "python": "Python", "java": "Java", "javascript": "JavaScript", "js": "JavaScript"}
+LANGUAGES = {
+    "c": "C",
+    "c++": "C++",
+    "cpp": "C++",
+    "python": "Python",
+    "java": "Java",
+    "javascript": "JavaScript",
+    "js": "JavaScript",
+}
 
 # Words that speak for a security patch.
 SECURITY_WORDS = [
@@ -59,8 +67,13 @@ def normalize_language(col: Column | str, aliases: dict[str, str] = LANGUAGES) -
 
 def standardize_pairs(df: DataFrame, defaults: dict[str, object], own: str, augmented: str, seed: str) -> DataFrame:
     """Fill missing fields; the seed id is a raw row's own id and an augmented row's recorded one."""
-    filled = df.withColumns({c: F.coalesce(F.col(c) if c in df.columns else F.lit(None), F.lit(v)) for c, v in defaults.items()})
-    return filled.withColumn(seed, F.when(F.coalesce(F.col(augmented), F.lit(False)), F.col(seed)).otherwise(F.col(own)))
+    filled = df.withColumns(
+        {c: F.coalesce(F.col(c) if c in df.columns else F.lit(None), F.lit(v)) for c, v in defaults.items()},
+    )
+    return filled.withColumn(
+        seed,
+        F.when(F.coalesce(F.col(augmented), F.lit(False)), F.col(seed)).otherwise(F.col(own)),
+    )
 
 
 def not_blank(col: Column | str) -> Column:
@@ -96,13 +109,18 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 def filter_funnel(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """The rows that no rule rejects, and the number of rows for each first reason (kept for the rest)."""
     judged = df.withColumn("reason", first_reason(rules))
-    return judged.where("reason IS NULL").drop("reason"), judged.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return judged.where("reason IS NULL").drop("reason"), judged.groupBy(
+        F.coalesce("reason", F.lit("kept")).alias("reason"),
+    ).agg(F.count("*").alias("n"))
 
 
 def tag_role(df: DataFrame, col: str, roles: DataFrame) -> DataFrame:
     """Add the role of a category from a taxonomy (category, role); others are unassigned."""
     known = roles.select(F.col("category").alias("__c"), "role")
-    return df.join(known, F.col(col) == F.col("__c"), "left").drop("__c").withColumn("role", F.coalesce("role", F.lit("unassigned")))
+    return df.join(known, F.col(col) == F.col("__c"), "left").drop("__c").withColumn(
+        "role",
+        F.coalesce("role", F.lit("unassigned")),
+    )
 
 
 def emptiness(col: Column | str) -> Column:
@@ -117,7 +135,11 @@ FAILURES = {"hook": "HOOK_EXCEPTION", "generation": "GENERATION_EXCEPTION", "mal
 
 def failure_class(status: Column) -> Column:
     """hook, generation, malformed or other (any status that isn't known, null too); null for a sound generation."""
-    known = reduce(lambda acc, f: acc.when(status == f[1], f[0]), FAILURES.items(), F.when(status.isin(SOUND), F.lit(None).cast("string")))
+    known = reduce(
+        lambda acc, f: acc.when(status == f[1], f[0]),
+        FAILURES.items(),
+        F.when(status.isin(SOUND), F.lit(None).cast("string")),
+    )
     return known.otherwise("other")
 
 
@@ -144,17 +166,29 @@ def scan_eligible(language: Column | str, text: Column | str, supported: list[st
 def eligible_population(df: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose keys are allowed, and the number of rows in each stratum that isn't."""
     chosen = F.broadcast(allowed.select(*keys).distinct())
-    return df.join(chosen, keys, "left_semi"), df.join(chosen, keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
+    return df.join(
+        chosen,
+        keys,
+        "left_semi",
+    ), df.join(chosen, keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def export_metadata(df: DataFrame, texts: list[str], order: str) -> DataFrame:
     """Replace texts by their digests and the pair's digest; order stays as source_order."""
     digests = {f"{c}_sha256": F.sha2(c, 256) for c in texts}
-    out = df.withColumns(digests).withColumn("pair_sha256", pair_digest(*texts)) if len(texts) == 2 else df.withColumns(digests)
+    out = df.withColumns(digests).withColumn(
+        "pair_sha256",
+        pair_digest(*texts),
+    ) if len(texts) == 2 else df.withColumns(digests)
     return out.withColumnRenamed(order, "source_order").drop(*texts)
 
 
-def classify_patch(msg: Column | str, linked: Column, security: list[str] = SECURITY_WORDS, other: list[str] = OTHER_WORDS) -> Column:
+def classify_patch(
+    msg: Column | str,
+    linked: Column,
+    security: list[str] = SECURITY_WORDS,
+    other: list[str] = OTHER_WORDS,
+) -> Column:
     """security_patch, non_security_patch or undecidable, for a commit message and whether the commit is linked to a
     vulnerability, by how many words of either list the message holds. A missing or empty message is decided by the link."""
     low, tied = F.lower(column(msg)), F.coalesce(linked, F.lit(False))
@@ -170,11 +204,21 @@ def classify_patch(msg: Column | str, linked: Column, security: list[str] = SECU
         )
 
     counted = F.transform(F.array(F.struct(hits(security).alias("own"), hits(other).alias("rest"))), by_hits)
-    return F.when(F.coalesce(low, F.lit("")) == "", F.when(tied, "security_patch").otherwise("undecidable")).otherwise(F.get(counted, F.lit(0)))
+    return F.when(
+        F.coalesce(low, F.lit("")) == "",
+        F.when(tied, "security_patch").otherwise("undecidable"),
+    ).otherwise(F.get(counted, F.lit(0)))
 
 
 def hunk_id(key: Column, path: Column, code: Column, chars: int = 200) -> Column:
-    return F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), F.coalesce(path, F.lit("")), F.coalesce(F.substring(code, 1, chars), F.lit(""))))
+    return F.md5(
+        F.concat_ws(
+            "|",
+            F.coalesce(key.cast("string"), F.lit("")),
+            F.coalesce(path, F.lit("")),
+            F.coalesce(F.substring(code, 1, chars), F.lit("")),
+        ),
+    )
 
 
 def pair_digest(a: Column | str, b: Column | str) -> Column:
@@ -184,22 +228,66 @@ def pair_digest(a: Column | str, b: Column | str) -> Column:
 def ordered_digest(df: DataFrame, keys: list[str], ident: str, order: str, per: int = 1000) -> DataFrame:
     """A digest of each group's ids in order, over the digests of buckets of `per` order values (so groups may be large)."""
     bucket = F.floor(F.col(order) / per)
-    parts = df.groupBy(*keys, bucket.alias("__b")).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(ident).alias("i")))).alias("v"))
-    small = parts.select(*keys, "__b", F.sha2(F.array_join(F.transform("v", lambda x: x.i.cast("string")), ","), 256).alias("d"), F.size("v").alias("n"))
-    whole = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "d"))).alias("v"), F.sum("n").alias("n_ids"))
-    return whole.select(*keys, "n_ids", F.sha2(F.array_join(F.transform("v", lambda x: x.d), ","), 256).alias("digest"))
-
-
-def augment_by_substitution(df: DataFrame, subs: DataFrame, language: str, text: str, ident: str, templates: DataFrame | None = None) -> DataFrame:
+    parts = df.groupBy(*keys, bucket.alias("__b")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order), F.col(ident).alias("i")))).alias("v"),
+    )
+    small = parts.select(
+        *keys,
+        "__b",
+        F.sha2(F.array_join(F.transform("v", lambda x: x.i.cast("string")), ","), 256).alias("d"),
+        F.size("v").alias("n"),
+    )
+    whole = small.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("__b", "d"))).alias("v"),
+        F.sum("n").alias("n_ids"),
+    )
+    return whole.select(
+        *keys,
+        "n_ids",
+        F.sha2(F.array_join(F.transform("v", lambda x: x.d), ","), 256).alias("digest"),
+    )
+
+
+def augment_by_substitution(
+    df: DataFrame,
+    subs: DataFrame,
+    language: str,
+    text: str,
+    ident: str,
+    templates: DataFrame | None = None,
+) -> DataFrame:
     """Pairs made by replacing literals: rows with the insecure literal give (row, secured), rows with the secure one
     (weakened, row). subs has language, insecure, secure; templates, a table of the same columns, is unioned in."""
     rules = subs.select(F.col("language").alias("__l"), "insecure", "secure")
     hit = df.join(rules, F.col(language) == F.col("__l"))
-    forward = hit.where(F.contains(text, "insecure")).withColumns({"vulnerable_text": F.col(text), "fixed_text": F.replace(F.col(text), F.col("insecure"), F.col("secure")), "direction": F.lit("secured")})
-    back = hit.where(F.contains(text, "secure")).withColumns({"vulnerable_text": F.replace(F.col(text), F.col("secure"), F.col("insecure")), "fixed_text": F.col(text), "direction": F.lit("weakened")})
-    made = forward.unionByName(back).select(F.col(ident).cast("string").alias("seed_id"), F.col(language).alias("language"), "vulnerable_text", "fixed_text", "direction")
-    made = made.withColumn("pair_id", F.md5(F.concat_ws("|", "seed_id", F.md5("vulnerable_text"), F.md5("fixed_text"))))
-    return (made.unionByName(templates, allowMissingColumns=True) if templates is not None else made).dropDuplicates(["pair_id"])
+    forward = hit.where(F.contains(text, "insecure")).withColumns(
+        {
+            "vulnerable_text": F.col(text),
+            "fixed_text": F.replace(F.col(text), F.col("insecure"), F.col("secure")),
+            "direction": F.lit("secured"),
+        },
+    )
+    back = hit.where(F.contains(text, "secure")).withColumns(
+        {
+            "vulnerable_text": F.replace(F.col(text), F.col("secure"), F.col("insecure")),
+            "fixed_text": F.col(text),
+            "direction": F.lit("weakened"),
+        },
+    )
+    made = forward.unionByName(back).select(
+        F.col(ident).cast("string").alias("seed_id"),
+        F.col(language).alias("language"),
+        "vulnerable_text",
+        "fixed_text",
+        "direction",
+    )
+    made = made.withColumn(
+        "pair_id",
+        F.md5(F.concat_ws("|", "seed_id", F.md5("vulnerable_text"), F.md5("fixed_text"))),
+    )
+    return (
+        made.unionByName(templates, allowMissingColumns=True) if templates is not None else made
+    ).dropDuplicates(["pair_id"])
 
 
 # A fenced block, and a line that only names a role.
@@ -215,7 +303,10 @@ def extract_fenced(col: Column | str, mode: str = "first") -> Column:
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
     step = lambda a, x: F.when(F.startswith(F.ltrim(x), F.lit("```")), F.struct((~a.inside).alias("inside"), a.lines.alias("lines"))).otherwise(
         F.struct(a.inside.alias("inside"), F.when(a.inside, F.concat(a.lines, F.array(x))).otherwise(a.lines).alias("lines")))
-    return F.when(F.contains(c, F.lit("```")), F.aggregate(F.split(c, "\n"), start, step, lambda a: F.array_join(a.lines, "\n"))).otherwise(c)
+    return F.when(
+        F.contains(c, F.lit("```")),
+        F.aggregate(F.split(c, "\n"), start, step, lambda a: F.array_join(a.lines, "\n")),
+    ).otherwise(c)
 
 
 def content_flags(col: Column | str, starts: list[str]) -> dict[str, Column]:
@@ -258,7 +349,13 @@ def py_syntax_ok(codes: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff without its header."""
-    return pd.Series(["\n".join(list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), lineterm="", n=0))[2:]) for x, y in zip(a, b, strict=True)])
+    return pd.Series(
+        [
+            "\n".join(
+                list(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), lineterm="", n=0))[2:],
+            ) for x, y in zip(a, b, strict=True)
+        ],
+    )
 
 
 def changed_line_counts(a: Column | str, b: Column | str) -> tuple[Column, Column]:

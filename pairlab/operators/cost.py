@@ -10,24 +10,47 @@ def latency_summary(df: DataFrame, latency: str, failed: str, fallback: str) ->
     """Sum, mean, median, least, greatest, failures and fallbacks for each (method, repetition) and each method (ALL)."""
     grouped = df.groupingSets([[F.col("method"), F.col("repetition")], [F.col("method")]], F.col("method"), F.col("repetition")).agg(
         F.grouping("repetition").alias("__g"), F.count("*").alias("n"), F.sum(latency).alias("total"), F.avg(latency).alias("mean"), F.percentile(latency, F.lit(0.5)).alias("median"), F.min(latency).alias("min"), F.max(latency).alias("max"), F.count_if(failed).alias("failures"), F.count_if(fallback).alias("fallbacks"))
-    return grouped.withColumn("repetition", F.when(F.col("__g") == 1, "ALL").otherwise(F.col("repetition").cast("string"))).drop("__g")
+    return grouped.withColumn(
+        "repetition",
+        F.when(F.col("__g") == 1, "ALL").otherwise(F.col("repetition").cast("string")),
+    ).drop("__g")
 
 
 def throughput(df: DataFrame, keys: list[str], latency: str, tokens: str, calls: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(latency).alias("seconds"), F.sum(tokens).alias("tokens"), F.sum(calls).alias("calls")).withColumns({"tokens_per_second": F.try_divide("tokens", "seconds"), "calls_per_record": F.try_divide("calls", "n"), "seconds_per_record": F.try_divide("seconds", "n")})
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.sum(latency).alias("seconds"),
+        F.sum(tokens).alias("tokens"),
+        F.sum(calls).alias("calls"),
+    ).withColumns({"tokens_per_second": F.try_divide("tokens", "seconds"), "calls_per_record": F.try_divide("calls", "n"), "seconds_per_record": F.try_divide("seconds", "n")})
 
 
 def overhead(df: DataFrame, key: str, value: str, base: str) -> DataFrame:
     """Ratio and percentage of each method's value against the base method's."""
     one = df.where(F.col(key) == base).select(F.col(value).alias("__base"))
-    return df.crossJoin(F.broadcast(one)).withColumns({"ratio": F.try_divide(value, "__base"), "percent": (F.try_divide(value, "__base") - 1) * 100}).drop("__base")
+    return df.crossJoin(F.broadcast(one)).withColumns(
+        {"ratio": F.try_divide(value, "__base"), "percent": (F.try_divide(value, "__base") - 1) * 100},
+    ).drop("__base")
 
 
 def stage_cost(df: DataFrame, record: list[str], stages: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """Rows, calls, tokens, seconds and incomplete rows by stage; and the number of records that don't have all stages
     complete and in order. df has record, stage, the order column, calls, tokens, seconds, complete."""
-    by = df.groupBy("stage").agg(F.count("*").alias("n_rows"), F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.count_if(~F.col("complete")).alias("n_incomplete"))
-    seen = df.where("complete").groupBy(*record).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "stage"))), lambda x: x.stage).alias("seen"))
+    by = df.groupBy("stage").agg(
+        F.count("*").alias("n_rows"),
+        F.sum("calls").alias("calls"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("seconds").alias("seconds"),
+        F.count_if(~F.col("complete")).alias("n_incomplete"),
+    )
+    seen = df.where("complete").groupBy(*record).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(order, "stage"))), lambda x: x.stage).alias("seen"),
+    )
     every = df.select(*record).distinct().join(seen, record, "left")
-    bad = every.agg(F.count("*").alias("n_records"), F.count_if(~F.coalesce(F.col("seen") == F.array(*(F.lit(s) for s in stages)), F.lit(False))).alias("n_structural_failures"))
+    bad = every.agg(
+        F.count("*").alias("n_records"),
+        F.count_if(
+            ~F.coalesce(F.col("seen") == F.array(*(F.lit(s) for s in stages)), F.lit(False)),
+        ).alias("n_structural_failures"),
+    )
     return by, bad

@@ -21,50 +21,117 @@ def in_arm(arm: str) -> Column:
     return F.col("arm") == arm
 
 
-def activation_stats(long: DataFrame, samples: DataFrame, keys: list[str], dims: int, top: int = 20) -> tuple[DataFrame, DataFrame]:
+def activation_stats(
+    long: DataFrame,
+    samples: DataFrame,
+    keys: list[str],
+    dims: int,
+    top: int = 20,
+) -> tuple[DataFrame, DataFrame]:
     """Per key: active entries per sample (mean, sample deviation), sparsity, magnitude of active entries and features
     ever active; and the features active most often. samples (keys, sample_id) has all samples, also inactive ones."""
     active = long.groupBy(*keys, "sample_id").agg(F.count("*").alias("a"))
-    per = samples.join(active, [*keys, "sample_id"], "left").fillna(0, ["a"]).groupBy(*keys).agg(F.count("*").alias("n_samples"), F.avg("a").alias("active_mean"), F.stddev_samp("a").alias("active_sd"), (1 - F.avg("a") / dims).alias("sparsity"))
-    size = long.groupBy(*keys).agg(F.avg(F.abs("value")).alias("magnitude_mean"), F.stddev_samp(F.abs("value")).alias("magnitude_sd"), F.max(F.abs("value")).alias("magnitude_max"), F.count_distinct("feature_id").alias("features_ever_active"))
+    per = samples.join(active, [*keys, "sample_id"], "left").fillna(0, ["a"]).groupBy(*keys).agg(
+        F.count("*").alias("n_samples"),
+        F.avg("a").alias("active_mean"),
+        F.stddev_samp("a").alias("active_sd"),
+        (1 - F.avg("a") / dims).alias("sparsity"),
+    )
+    size = long.groupBy(*keys).agg(
+        F.avg(F.abs("value")).alias("magnitude_mean"),
+        F.stddev_samp(F.abs("value")).alias("magnitude_sd"),
+        F.max(F.abs("value")).alias("magnitude_max"),
+        F.count_distinct("feature_id").alias("features_ever_active"),
+    )
     often = long.groupBy(*keys, "feature_id").agg(F.count("*").alias("n_active"))
-    ranked = often.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_active"), F.asc("feature_id")))).where(F.col("rank") <= top)
+    ranked = often.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_active"), F.asc("feature_id"))),
+    ).where(F.col("rank") <= top)
     return per.join(size, keys, "left"), ranked
 
 
 def feature_freq(long: DataFrame, sizes: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
     """Share of samples above threshold and mean of those entries, in each arm."""
     on = F.col("value") > threshold
-    sums = long.groupBy(*keys, "feature_id").agg(F.count_if(on & in_arm("unsafe")).alias("u"), F.count_if(on & in_arm("safe")).alias("s"), F.avg(F.when(on & in_arm("unsafe"), F.col("value"))).alias("magnitude_unsafe"), F.avg(F.when(on & in_arm("safe"), F.col("value"))).alias("magnitude_safe"))
-    return sums.join(F.broadcast(sizes), keys).select(*keys, "feature_id", F.try_divide("u", "n_unsafe").alias("freq_unsafe"), F.try_divide("s", "n_safe").alias("freq_safe"), "magnitude_unsafe", "magnitude_safe")
+    sums = long.groupBy(*keys, "feature_id").agg(
+        F.count_if(on & in_arm("unsafe")).alias("u"),
+        F.count_if(on & in_arm("safe")).alias("s"),
+        F.avg(F.when(on & in_arm("unsafe"), F.col("value"))).alias("magnitude_unsafe"),
+        F.avg(F.when(on & in_arm("safe"), F.col("value"))).alias("magnitude_safe"),
+    )
+    return sums.join(F.broadcast(sizes), keys).select(
+        *keys,
+        "feature_id",
+        F.try_divide("u", "n_unsafe").alias("freq_unsafe"),
+        F.try_divide("s", "n_safe").alias("freq_safe"),
+        "magnitude_unsafe",
+        "magnitude_safe",
+    )
 
 
 def mean_diff(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    sums = long.groupBy(*keys, "feature_id").agg(F.sum(F.when(in_arm("unsafe"), F.col("value")).otherwise(0.0)).alias("u"), F.sum(F.when(in_arm("safe"), F.col("value")).otherwise(0.0)).alias("s"))
-    return sums.join(F.broadcast(sizes), keys).select(*keys, "feature_id", F.abs(F.try_divide("u", "n_unsafe") - F.try_divide("s", "n_safe")).alias("delta_mu"))
+    sums = long.groupBy(*keys, "feature_id").agg(
+        F.sum(F.when(in_arm("unsafe"), F.col("value")).otherwise(0.0)).alias("u"),
+        F.sum(F.when(in_arm("safe"), F.col("value")).otherwise(0.0)).alias("s"),
+    )
+    return sums.join(F.broadcast(sizes), keys).select(
+        *keys,
+        "feature_id",
+        F.abs(F.try_divide("u", "n_unsafe") - F.try_divide("s", "n_safe")).alias("delta_mu"),
+    )
 
 
 def hist_distance(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     """1 less the overlap of the arms' histograms over equal bins of the pooled range (last bin closed); 0 for ranges
     below 1e-8. Zeros that aren't rows widen the range and fill their bin."""
     by = [*keys, "feature_id"]
-    total = long.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys)
+    total = long.groupBy(*by).agg(
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.count_if(in_arm("unsafe")).alias("u"),
+        F.count_if(in_arm("safe")).alias("s"),
+    ).join(F.broadcast(sizes), keys)
     absent = (F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))
-    total = total.withColumns({"lo": F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")), "hi": F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))})
+    total = total.withColumns(
+        {
+            "lo": F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")),
+            "hi": F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")),
+        },
+    )
     place = lambda v: F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     wide = total.where("hi - lo >= 1e-8")
-    filled = long.join(wide.select(*by, "lo", "hi"), by).groupBy(*by, place(F.col("value")).alias("bin")).agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
-    zeros = wide.where((F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))).select(*by, place(F.lit(0.0)).alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
-    counts = filled.unionByName(zeros).groupBy(*by, "bin").agg(F.sum("cu").alias("cu"), F.sum("cs").alias("cs")).join(F.broadcast(sizes), keys)
-    overlap = counts.groupBy(*by).agg((1 - F.sum(F.least(F.try_divide("cu", "n_unsafe"), F.try_divide("cs", "n_safe")))).alias("d"))
+    filled = long.join(wide.select(*by, "lo", "hi"), by).groupBy(*by, place(F.col("value")).alias("bin")).agg(
+        F.count_if(in_arm("unsafe")).alias("cu"),
+        F.count_if(in_arm("safe")).alias("cs"),
+    )
+    zeros = wide.where((F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))).select(
+        *by,
+        place(F.lit(0.0)).alias("bin"),
+        (F.col("n_unsafe") - F.col("u")).alias("cu"),
+        (F.col("n_safe") - F.col("s")).alias("cs"),
+    )
+    counts = filled.unionByName(zeros).groupBy(*by, "bin").agg(
+        F.sum("cu").alias("cu"),
+        F.sum("cs").alias("cs"),
+    ).join(F.broadcast(sizes), keys)
+    overlap = counts.groupBy(*by).agg(
+        (1 - F.sum(F.least(F.try_divide("cu", "n_unsafe"), F.try_divide("cs", "n_safe")))).alias("d"),
+    )
     return total.select(*by).join(overlap, by, "left").select(*by, F.coalesce("d", F.lit(0.0)).alias("hist_dist"))
 
 
 def weighted_values(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature_id, value, cu, cs): distinct values with their counts in each arm, zero being one of them."""
     by = [*keys, "feature_id"]
-    counts = long.groupBy(*by, "value").agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
-    zeros = long.groupBy(*by).agg(F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(0.0).cast(long.schema["value"].dataType).alias("value"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs")).where("cu + cs > 0")
+    counts = long.groupBy(*by, "value").agg(
+        F.count_if(in_arm("unsafe")).alias("cu"),
+        F.count_if(in_arm("safe")).alias("cs"),
+    )
+    zeros = long.groupBy(*by).agg(
+        F.count_if(in_arm("unsafe")).alias("u"),
+        F.count_if(in_arm("safe")).alias("s"),
+    ).join(F.broadcast(sizes), keys).select(*by, F.lit(0.0).cast(long.schema["value"].dataType).alias("value"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs")).where("cu + cs > 0")
     return counts.unionByName(zeros)
 
 
@@ -72,8 +139,12 @@ def ks_stat(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """The largest difference of the arms' distribution functions, over distinct values."""
     by = [*keys, "feature_id"]
     w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = weighted_values(long, sizes, keys).withColumns({"fu": F.sum("cu").over(w), "fs": F.sum("cs").over(w)}).join(F.broadcast(sizes), keys)
-    return run.groupBy(*by).agg(F.max(F.abs(F.try_divide("fu", "n_unsafe") - F.try_divide("fs", "n_safe"))).alias("ks_stat"))
+    run = weighted_values(long, sizes, keys).withColumns(
+        {"fu": F.sum("cu").over(w), "fs": F.sum("cs").over(w)},
+    ).join(F.broadcast(sizes), keys)
+    return run.groupBy(*by).agg(
+        F.max(F.abs(F.try_divide("fu", "n_unsafe") - F.try_divide("fs", "n_safe"))).alias("ks_stat"),
+    )
 
 
 def auc(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,28 +153,59 @@ def auc(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     run = weighted_values(long, sizes, keys).withColumn("below", F.coalesce(F.sum("cs").over(w), F.lit(0)))
     won = run.groupBy(*by).agg(F.sum(F.col("cu") * (F.col("below") + F.col("cs") / 2)).alias("w"))
-    return won.join(F.broadcast(sizes), keys).select(*by, F.try_divide("w", F.col("n_unsafe") * F.col("n_safe")).alias("auc"))
-
-
-def rank_features(long: DataFrame, sizes: DataFrame, keys: list[str], weights: tuple[float, float, float] = (0.4, 0.4, 0.2), preselect: int = 500, keep: int = 200) -> DataFrame:
+    return won.join(F.broadcast(sizes), keys).select(
+        *by,
+        F.try_divide("w", F.col("n_unsafe") * F.col("n_safe")).alias("auc"),
+    )
+
+
+def rank_features(
+    long: DataFrame,
+    sizes: DataFrame,
+    keys: list[str],
+    weights: tuple[float, float, float] = (0.4, 0.4, 0.2),
+    preselect: int = 500,
+    keep: int = 200,
+) -> DataFrame:
     """The best features by a weighted sum of histogram distance, mean difference and KS, the last being found for the
     best by the first two only."""
     by = [*keys, "feature_id"]
-    partial = hist_distance(long, sizes, keys).join(mean_diff(long, sizes, keys), by).withColumn("partial", weights[0] * F.col("hist_dist") + weights[1] * F.col("delta_mu"))
+    partial = hist_distance(long, sizes, keys).join(mean_diff(long, sizes, keys), by).withColumn(
+        "partial",
+        weights[0] * F.col("hist_dist") + weights[1] * F.col("delta_mu"),
+    )
     order = lambda c: Window.partitionBy(*keys).orderBy(F.desc(c), F.asc("feature_id"))
-    best = partial.withColumn("__r", F.row_number().over(order("partial"))).where(F.col("__r") <= preselect).drop("__r")
+    best = partial.withColumn(
+        "__r",
+        F.row_number().over(order("partial")),
+    ).where(F.col("__r") <= preselect).drop("__r")
     ks = ks_stat(long.join(best.select(*by), by, "left_semi"), sizes, keys)
-    scored = best.join(ks, by, "left").withColumn("score", F.col("partial") + weights[2] * F.coalesce("ks_stat", F.lit(0.0)))
+    scored = best.join(ks, by, "left").withColumn(
+        "score",
+        F.col("partial") + weights[2] * F.coalesce("ks_stat", F.lit(0.0)),
+    )
     return scored.withColumn("rank", F.row_number().over(order("score"))).where(F.col("rank") <= keep).drop("partial")
 
 
 def prune(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add reasons (the names of the rules that apply) and keep."""
-    named = df.withColumn("reasons", F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))), ";"))
+    named = df.withColumn(
+        "reasons",
+        F.array_join(
+            F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))),
+            ";",
+        ),
+    )
     return named.withColumn("keep", F.col("reasons") == "")
 
 
-def prune_rules(least_frequency: float = 0.02, both_frequency: float = 0.95, least_score: float | Column = 0.15, most_magnitude: float = 1e4, either: bool = False) -> dict[str, Column]:
+def prune_rules(
+    least_frequency: float = 0.02,
+    both_frequency: float = 0.95,
+    least_score: float | Column = 0.15,
+    most_magnitude: float = 1e4,
+    either: bool = False,
+) -> dict[str, Column]:
     """The rules for ranked features with freq_unsafe, freq_safe, score and mean_magnitude: rare among unsafe samples, so
     frequent in both arms (or in either) that they tell nothing apart, of low score, of a score that is no number, or of a
     magnitude that is none or extreme."""
@@ -125,8 +227,14 @@ def high_frequency(limit: float, either: bool) -> Column:
 
 def weight_sensitivity(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks of every feature under each weight set (weight_id, w_hist, w_mu, w_ks)."""
-    scored = scores.crossJoin(F.broadcast(weights)).withColumn("weighted", F.col("w_hist") * F.col("hist_dist") + F.col("w_mu") * F.col("delta_mu") + F.col("w_ks") * F.col("ks_stat"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("weight_id", *keys).orderBy(F.desc("weighted"), F.asc("feature_id"))))
+    scored = scores.crossJoin(F.broadcast(weights)).withColumn(
+        "weighted",
+        F.col("w_hist") * F.col("hist_dist") + F.col("w_mu") * F.col("delta_mu") + F.col("w_ks") * F.col("ks_stat"),
+    )
+    return scored.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("weight_id", *keys).orderBy(F.desc("weighted"), F.asc("feature_id"))),
+    )
 
 
 def mutual_info(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -134,36 +242,65 @@ def mutual_info(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int =
     one for zero. A binned estimate."""
     by = [*keys, "feature_id"]
     reach = long.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    active = long.join(reach, by).groupBy(*by, place.alias("bin")).agg(F.count_if(in_arm("unsafe")).alias("cu"), F.count_if(in_arm("safe")).alias("cs"))
-    zeros = long.groupBy(*by).agg(F.count_if(in_arm("unsafe")).alias("u"), F.count_if(in_arm("safe")).alias("s")).join(F.broadcast(sizes), keys).select(*by, F.lit(-1).cast("long").alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
+    place = F.when(
+        F.col("hi") > F.col("lo"),
+        F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)),
+    ).otherwise(F.lit(0))
+    active = long.join(reach, by).groupBy(*by, place.alias("bin")).agg(
+        F.count_if(in_arm("unsafe")).alias("cu"),
+        F.count_if(in_arm("safe")).alias("cs"),
+    )
+    zeros = long.groupBy(*by).agg(
+        F.count_if(in_arm("unsafe")).alias("u"),
+        F.count_if(in_arm("safe")).alias("s"),
+    ).join(F.broadcast(sizes), keys).select(*by, F.lit(-1).cast("long").alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
     counts = active.unionByName(zeros).join(F.broadcast(sizes), keys)
     n = F.col("n_unsafe") + F.col("n_safe")
     part = lambda c, m: F.when(F.col(c) > 0, F.col(c) / n * F.log(F.col(c) * n / ((F.col("cu") + F.col("cs")) * F.col(m)))).otherwise(0.0)
     return counts.groupBy(*by).agg(F.sum(part("cu", "n_unsafe") + part("cs", "n_safe")).alias("mi"))
 
 
-def assign_semantics(aucs: DataFrame, keys: list[str], tags: DataFrame, validated: str, least: float = 0.55) -> DataFrame:
+def assign_semantics(
+    aucs: DataFrame,
+    keys: list[str],
+    tags: DataFrame,
+    validated: str,
+    least: float = 0.55,
+) -> DataFrame:
     """For each feature (keys and its validated category) the category of the greatest AUC, whether they match, all AUCs
     as a map, the tags of the primary category if its AUC is high enough (else of the validated one) and the others."""
     wide = aucs.groupBy(*keys, validated).agg(
         F.max_by("category", F.struct("auc", F.expr("-length(category)"), "category")).alias("primary_category"), F.max("auc").alias("primary_auc"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "auc")))).alias("all_aucs"))
     assigned = F.when(F.col("primary_auc") >= least, F.col("primary_category")).otherwise(F.col(validated))
-    out = wide.withColumns({"category_match": F.col("primary_category") == F.col(validated), "assigned_category": assigned})
-    others = F.transform(F.filter(F.map_entries("all_aucs"), lambda e: (e.value >= least) & (e.key != F.col("primary_category"))), lambda e: e.key)
+    out = wide.withColumns(
+        {"category_match": F.col("primary_category") == F.col(validated), "assigned_category": assigned},
+    )
+    others = F.transform(
+        F.filter(F.map_entries("all_aucs"), lambda e: (e.value >= least) & (e.key != F.col("primary_category"))),
+        lambda e: e.key,
+    )
     named = out.withColumns({"cross_categories": others, "is_cross": F.size(others) > 0})
-    known = F.broadcast(tags.select(F.col("category").alias("assigned_category"), F.col("tags").alias("assigned_tags")))
+    known = F.broadcast(
+        tags.select(F.col("category").alias("assigned_category"), F.col("tags").alias("assigned_tags")),
+    )
     return named.join(known, "assigned_category", "left")
 
 
 def build_groups(sem: DataFrame, keys: list[str], most: int = 5, least: float = 0.55) -> DataFrame:
     """Groups of features per key: B (matching and of at least the least AUC, by AUC), C (repairs much, corrupts little), A (by repair), each of at
     most `most` features, with mean rates, purity and the union of tags."""
-    kinds = [("B", F.col("category_match") & (F.col("primary_auc") >= least), "primary_auc"), ("C", (F.col("repair_rate") >= 0.7) & (F.col("corrupt_rate") <= 0.1), "repair_rate"), ("A", F.lit(True), "repair_rate")]
+    kinds = [
+        ("B", F.col("category_match") & (F.col("primary_auc") >= least), "primary_auc"),
+        ("C", (F.col("repair_rate") >= 0.7) & (F.col("corrupt_rate") <= 0.1), "repair_rate"),
+        ("A", F.lit(True), "repair_rate"),
+    ]
     out = None
     for kind, gate, order in kinds:
-        ranked = sem.where(gate).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.asc("feature_id")))).where(F.col("__r") <= most)
+        ranked = sem.where(gate).withColumn(
+            "__r",
+            F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.asc("feature_id"))),
+        ).where(F.col("__r") <= most)
         made = ranked.groupBy(*keys).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("__r", "feature_id"))), lambda x: x.feature_id).alias("feature_ids"), F.avg("repair_rate").alias("repair_rate"), F.avg("corrupt_rate").alias("corruption_rate"),
             F.avg(F.col("category_match").cast("int")).alias("semantic_purity"), F.avg("primary_auc").alias("avg_auc"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("assigned_tags")))).alias("tags")).withColumn("group_type", F.lit(kind))
@@ -177,14 +314,42 @@ def repair_proxy(long: DataFrame, sizes: DataFrame, keys: list[str], groups: Dat
     members = groups.select("group_id", *keys, F.explode("feature_ids").alias("feature_id"))
     own = long.join(members.select(*by).distinct(), by, "left_semi")
     v = F.col("value")
-    sums = own.groupBy(*by).agg(F.sum(F.when(in_arm("safe"), v).otherwise(0.0)).alias("s1"), F.sum(F.when(in_arm("safe"), v * v).otherwise(0.0)).alias("s2"), F.count_if(in_arm("unsafe")).alias("u")).join(F.broadcast(sizes), keys)
-    limit = sums.withColumn("m", F.col("s1") / F.col("n_safe")).withColumn("t", F.col("m") + F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("n_safe") * F.col("m") * F.col("m")) / (F.col("n_safe") - 1))))
-    above = own.where(in_arm("unsafe")).join(limit.select(*by, "t"), by).groupBy(*by).agg(F.count_if(v > F.col("t")).alias("k"))
-    share = limit.join(above, by, "left").select(*by, ((F.coalesce("k", F.lit(0)) + F.when(F.col("t") < 0, F.col("n_unsafe") - F.col("u")).otherwise(0)) / F.col("n_unsafe")).alias("share"))
-    return members.join(share, by, "left").groupBy("group_id").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"))
-
-
-def group_aucs(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int, share: float, seed: int) -> DataFrame:
+    sums = own.groupBy(*by).agg(
+        F.sum(F.when(in_arm("safe"), v).otherwise(0.0)).alias("s1"),
+        F.sum(F.when(in_arm("safe"), v * v).otherwise(0.0)).alias("s2"),
+        F.count_if(in_arm("unsafe")).alias("u"),
+    ).join(F.broadcast(sizes), keys)
+    limit = sums.withColumn("m", F.col("s1") / F.col("n_safe")).withColumn(
+        "t",
+        F.col("m") + F.sqrt(
+            F.greatest(F.lit(0.0), (F.col("s2") - F.col("n_safe") * F.col("m") * F.col("m")) / (F.col("n_safe") - 1)),
+        ),
+    )
+    above = own.where(in_arm("unsafe")).join(limit.select(*by, "t"), by).groupBy(*by).agg(
+        F.count_if(v > F.col("t")).alias("k"),
+    )
+    share = limit.join(above, by, "left").select(
+        *by,
+        (
+            (
+                F.coalesce("k", F.lit(0)) + F.when(F.col("t") < 0, F.col("n_unsafe") - F.col("u")).otherwise(0)
+            ) / F.col("n_unsafe")
+        ).alias("share"),
+    )
+    return members.join(share, by, "left").groupBy("group_id").agg(
+        F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"),
+    )
+
+
+def group_aucs(
+    long: DataFrame,
+    sizes: DataFrame,
+    keys: list[str],
+    groups: DataFrame,
+    replicates: int,
+    share: float,
+    seed: int,
+) -> DataFrame:
     """(group_id, n_unsafe, replicate, aucs): the AUC of every feature of each group in resamples of the unsafe samples.
 
     A replicate draws max(2, n_unsafe * share) of the key's unsafe samples with replacement, the same for all its groups;
@@ -199,25 +364,56 @@ def group_aucs(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataF
     before = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     wins = values.withColumn("wins", 2 * F.coalesce(F.sum("cs").over(before), F.lit(0)) + F.col("cs"))
     # What a value of 0 wins: all safe values below it, and half of the zeros.
-    zero = own.where(in_arm("safe")).groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(F.col("value") < 0).alias("low"))
+    zero = own.where(in_arm("safe")).groupBy(*by).agg(
+        F.count("*").alias("seen"),
+        F.count_if(F.col("value") < 0).alias("low"),
+    )
     samples = long.where(in_arm("unsafe")).select(*keys, "sample_id").distinct()
     placed = group_rank(samples, keys, "sample_id", seed).select(*keys, "sample_id", (F.col("__r") - 1).alias("i"))
     drawn_n = F.greatest(F.lit(2), F.floor(F.col("n_unsafe") * F.lit(share)))
-    draws = sizes.where("n_unsafe >= 2").select(*keys, "n_unsafe", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), drawn_n.alias("m"))
+    draws = sizes.where("n_unsafe >= 2").select(
+        *keys,
+        "n_unsafe",
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
+        drawn_n.alias("m"),
+    )
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("d"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("d").cast("string")))
-    picked = draws.select(*keys, "replicate", (F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.col("n_unsafe")).alias("i"))
+    picked = draws.select(
+        *keys,
+        "replicate",
+        (F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.col("n_unsafe")).alias("i"),
+    )
     times = picked.groupBy(*keys, "replicate", "i").agg(F.count("*").alias("times")).join(placed, [*keys, "i"])
     base = 2 * F.coalesce("low", F.lit(0)) + F.col("n_safe") - F.coalesce("seen", F.lit(0))
     entries = own.where(in_arm("unsafe")).join(wins.select(*by, "value", "wins"), [*by, "value"])
-    gained = entries.join(times, [*keys, "sample_id"]).groupBy(*by, "replicate").agg(F.sum(F.col("times") * F.col("wins")).alias("won"), F.sum("times").alias("active"))
-    frame = members.join(sizes, keys).join(zero, by, "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(gained, [*by, "replicate"], "left")
+    gained = entries.join(times, [*keys, "sample_id"]).groupBy(*by, "replicate").agg(
+        F.sum(F.col("times") * F.col("wins")).alias("won"),
+        F.sum("times").alias("active"),
+    )
+    frame = members.join(sizes, keys).join(zero, by, "left").select(
+        "*",
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
+    ).join(gained, [*by, "replicate"], "left")
     total = F.coalesce("won", F.lit(0)) + (drawn_n - F.coalesce("active", F.lit(0))) * base
     auc = F.coalesce(F.try_divide(total, 2 * F.col("n_safe") * drawn_n), F.lit(0.5))
-    return frame.groupBy("group_id", "n_unsafe", "replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", auc.alias("auc")))), lambda x: x.auc).alias("aucs"))
-
-
-def group_stability(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame, replicates: int = 50, share: float = 0.8, seed: int = 42, jaccard: float = 0.5, rank_corr: float = 0.5, compared: int = 20) -> DataFrame:
+    return frame.groupBy("group_id", "n_unsafe", "replicate").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", auc.alias("auc")))), lambda x: x.auc).alias("aucs"),
+    )
+
+
+def group_stability(
+    long: DataFrame,
+    sizes: DataFrame,
+    keys: list[str],
+    groups: DataFrame,
+    replicates: int = 50,
+    share: float = 0.8,
+    seed: int = 42,
+    jaccard: float = 0.5,
+    rank_corr: float = 0.5,
+    compared: int = 20,
+) -> DataFrame:
     """For each group (group_id, keys, feature_ids; few features): AUCs over resamples of its unsafe samples, and over all
     pairs of the first `compared` resamples the mean overlap of their top features (share of the group, one at least; of
     equal ones the last) and the mean rank correlation (0.5 where it is never defined), and whether both are high enough.
@@ -225,30 +421,62 @@ def group_stability(long: DataFrame, sizes: DataFrame, keys: list[str], groups:
     aucs = group_aucs(long, sizes, keys, groups, replicates, share, seed)
     n = F.size("aucs")
     by_auc = F.reverse(F.array_sort(F.transform("aucs", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
-    top = F.transform(F.slice(by_auc, F.lit(1), F.greatest(F.lit(1), F.floor(n * F.lit(share)).cast("int"))), lambda e: e.i)
-    centred = F.transform("aucs", lambda x: F.size(F.filter("aucs", lambda y: y < x)) + (F.size(F.filter("aucs", lambda y: y == x)) + 1) / 2 - (n + 1) / 2)
+    top = F.transform(
+        F.slice(by_auc, F.lit(1), F.greatest(F.lit(1), F.floor(n * F.lit(share)).cast("int"))),
+        lambda e: e.i,
+    )
+    centred = F.transform(
+        "aucs",
+        lambda x: F.size(F.filter("aucs", lambda y: y < x)) + (
+            F.size(F.filter("aucs", lambda y: y == x)) + 1
+        ) / 2 - (n + 1) / 2,
+    )
     first = F.when(F.col("replicate") < compared, F.struct("replicate", top.alias("top"), centred.alias("ranks")))
     # At most `compared` entries for each group, each of a few features.
-    held = aucs.groupBy("group_id", "n_unsafe").agg(F.array_sort(F.collect_list(first)).alias("r"), F.avg(F.aggregate("aucs", F.lit(0.0), lambda a, x: a + x) / n).alias("auc_mean"))
+    held = aucs.groupBy("group_id", "n_unsafe").agg(
+        F.array_sort(F.collect_list(first)).alias("r"),
+        F.avg(F.aggregate("aucs", F.lit(0.0), lambda a, x: a + x) / n).alias("auc_mean"),
+    )
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b.replicate > a.replicate), lambda b: F.struct(
         (F.size(F.array_intersect(a.top, b.top)) / F.size(F.array_union(a.top, b.top))).alias("j"), F.try_divide(dot(a.ranks, b.ranks), F.sqrt(dot(a.ranks, a.ranks) * dot(b.ranks, b.ranks))).alias("c")))))
     mean = lambda v: F.when((F.size(v) > 0) & (F.col("n_unsafe") >= 2), F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).otherwise(0.5)
     paired = held.withColumn("p", pairs)
-    out = paired.select("group_id", "auc_mean", mean(F.transform("p", lambda x: x.j)).alias("jaccard"), mean(F.array_compact(F.transform("p", lambda x: x.c))).alias("rank_corr"))
+    out = paired.select(
+        "group_id",
+        "auc_mean",
+        mean(F.transform("p", lambda x: x.j)).alias("jaccard"),
+        mean(F.array_compact(F.transform("p", lambda x: x.c))).alias("rank_corr"),
+    )
     return out.withColumn("deployable", (F.round("jaccard", 9) >= jaccard) & (F.round("rank_corr", 9) >= rank_corr))
 
 
 def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: str) -> DataFrame:
     """The unsafe mean less the safe mean in each dimension, scaled to the mean norm over its layer's keys."""
     long = samples.select(*keys, "arm", F.posexplode(vector).alias("dim", "value"))
-    diff = long.groupBy(*keys, "dim").agg((F.avg(F.when(in_arm("unsafe"), F.col("value"))) - F.avg(F.when(in_arm("safe"), F.col("value")))).alias("d"))
+    diff = long.groupBy(*keys, "dim").agg(
+        (F.avg(F.when(in_arm("unsafe"), F.col("value"))) - F.avg(F.when(in_arm("safe"), F.col("value")))).alias("d"),
+    )
     norm = diff.groupBy(*keys).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
     mean = norm.withColumn("layer_norm", F.avg("norm").over(Window.partitionBy(layer)))
-    return diff.join(mean, keys).select(*keys, "dim", (F.col("d") / F.nullif("norm", F.lit(0.0)) * F.col("layer_norm")).alias("direction"), "norm")
-
-
-def build_states(latents: DataFrame, ident: str, vector: str, category: str, categories: list[str], groups: list[list[int]], size: int = 64, seed: int = 42) -> DataFrame:
+    return diff.join(mean, keys).select(
+        *keys,
+        "dim",
+        (F.col("d") / F.nullif("norm", F.lit(0.0)) * F.col("layer_norm")).alias("direction"),
+        "norm",
+    )
+
+
+def build_states(
+    latents: DataFrame,
+    ident: str,
+    vector: str,
+    category: str,
+    categories: list[str],
+    groups: list[list[int]],
+    size: int = 64,
+    seed: int = 42,
+) -> DataFrame:
     """State vectors: a fixed random projection of the latents (columns of unit length, then the row), the category as
     one-hot, and for each group of features their max, mean and active share."""
 
@@ -266,13 +494,23 @@ def build_states(latents: DataFrame, ident: str, vector: str, category: str, cat
             yield pd.DataFrame({"__i": batch["__i"], "__c": batch["__c"], "__v": batch["__v"], "z": z.tolist()})
 
     kind = latents.schema[ident].dataType.simpleString()
-    base = latents.select(F.col(ident).alias("__i"), F.col(category).cast("string").alias("__c"), F.col(vector).cast("array<double>").alias("__v"))
+    base = latents.select(
+        F.col(ident).alias("__i"),
+        F.col(category).cast("string").alias("__c"),
+        F.col(vector).cast("array<double>").alias("__v"),
+    )
     projected = base.mapInPandas(project, f"__i {kind}, __c string, __v array<double>, z array<double>")
     onehot = F.transform(F.array(*(F.lit(c) for c in categories)), lambda c: (c == F.col("__c")).cast("double"))
     parts = []
     for g in groups:
         own = F.transform(F.array(*(F.lit(i) for i in g)), lambda i: F.coalesce(F.get(F.col("__v"), i), F.lit(0.0)))
-        parts.append(F.array(F.array_max(own), F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / len(g), F.aggregate(own, F.lit(0.0), lambda a, x: a + (x > 0).cast("double")) / len(g)))
+        parts.append(
+            F.array(
+                F.array_max(own),
+                F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / len(g),
+                F.aggregate(own, F.lit(0.0), lambda a, x: a + (x > 0).cast("double")) / len(g),
+            ),
+        )
     return projected.select(F.col("__i").alias(ident), F.concat("z", onehot, *parts).alias("state"))
 
 
@@ -280,7 +518,9 @@ def reconstruction_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
     """Add relative_l2, mse, l0, active_fraction and cosine of a row's vector and its reconstruction."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     product = lambda a, b: total(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
-    error = total(F.zip_with(x, y, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))))
+    error = total(
+        F.zip_with(x, y, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))),
+    )
     l0 = F.size(F.filter(y, lambda v: v != 0))
     return df.withColumns({
         "relative_l2": F.try_divide(F.sqrt(error), F.sqrt(product(F.col(x), F.col(x)))), "mse": F.try_divide(error, F.size(x)), "l0": l0, "active_fraction": F.try_divide(l0, F.size(y)),
@@ -290,11 +530,32 @@ def reconstruction_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def reconstruction_summary(df: DataFrame, keys: list[str], most: float) -> DataFrame:
     c = "relative_l2"
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_pop(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max")).withColumn("viable", F.col("mean") <= most)
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.avg(c).alias("mean"),
+        F.percentile(c, F.lit(0.5)).alias("median"),
+        F.stddev_pop(c).alias("sd"),
+        F.min(c).alias("min"),
+        F.max(c).alias("max"),
+    ).withColumn("viable", F.col("mean") <= most)
 
 
 def fidelity_global(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Explained variance from sums that merge: squared error, and squares around each dimension's mean."""
-    long = df.select(*keys, F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("dim", "p")).select(*keys, "dim", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    per = long.groupBy(*keys, "dim").agg(F.sum((F.col("x") - F.col("y")) ** 2).alias("sse"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("*").alias("n"), F.count_if(F.col("y") != 0).alias("active"))
-    return per.groupBy(*keys).agg(F.sum("sse").alias("sse"), F.sum("s2").alias("sum_squares"), F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("centred"), F.sum("active").alias("active")).withColumn("explained_variance", 1 - F.try_divide("sse", "centred"))
+    long = df.select(
+        *keys,
+        F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("dim", "p"),
+    ).select(*keys, "dim", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    per = long.groupBy(*keys, "dim").agg(
+        F.sum((F.col("x") - F.col("y")) ** 2).alias("sse"),
+        F.sum("x").alias("s1"),
+        F.sum(F.col("x") * F.col("x")).alias("s2"),
+        F.count("*").alias("n"),
+        F.count_if(F.col("y") != 0).alias("active"),
+    )
+    return per.groupBy(*keys).agg(
+        F.sum("sse").alias("sse"),
+        F.sum("s2").alias("sum_squares"),
+        F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("centred"),
+        F.sum("active").alias("active"),
+    ).withColumn("explained_variance", 1 - F.try_divide("sse", "centred"))

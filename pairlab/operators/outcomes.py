@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from pairlab.functions.text import column, emptiness
 
 
-def pair_conditions(baseline: DataFrame, methods: DataFrame, keys: list[str], outputs: DataFrame | None = None) -> DataFrame:
+def pair_conditions(
+    baseline: DataFrame,
+    methods: DataFrame,
+    keys: list[str],
+    outputs: DataFrame | None = None,
+) -> DataFrame:
     """Each method's scan with the baseline's of the same keys (b0_vulnerable, b0_skipped), and its output if given."""
     base = baseline.select(*keys, F.col("is_vulnerable").alias("b0_vulnerable"), F.col("skipped").alias("b0_skipped"))
     out = methods.join(base, keys)
@@ -107,7 +112,14 @@ def per_category(paired: DataFrame, keys: list[str], taxonomy: DataFrame) -> Dat
         F.count("*").alias("n"), F.count_if("b0_vulnerable").alias("n_vulnerable"), F.count_if("repaired").alias("n_repaired"), F.count_if("b0_safe").alias("n_safe"), F.count_if("corrupted").alias("n_corrupted"), F.count_if("valid").alias("n_valid"))
     frame = paired.select(*keys).distinct().crossJoin(F.broadcast(taxonomy.select("category")))
     full = frame.join(counted, [*keys, "category"], "left").fillna(0)
-    return full.withColumns({"vrr": F.try_divide("n_repaired", "n_vulnerable"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "validity_rate": F.try_divide("n_valid", "n"), "status": estimability("n_vulnerable")})
+    return full.withColumns(
+        {
+            "vrr": F.try_divide("n_repaired", "n_vulnerable"),
+            "corruption_rate": F.try_divide("n_corrupted", "n_safe"),
+            "validity_rate": F.try_divide("n_valid", "n"),
+            "status": estimability("n_vulnerable"),
+        },
+    )
 
 
 def rate_pivot(df: DataFrame, row: str, col: str, values: list, rate: str) -> DataFrame:
@@ -116,19 +128,47 @@ def rate_pivot(df: DataFrame, row: str, col: str, values: list, rate: str) -> Da
 
 def seed_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean, sample deviation (null below two seeds), least and greatest of each metric over seeds."""
-    parts = [f.alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg(m)), ("sd", F.when(F.count(m) > 1, F.stddev_samp(m))), ("min", F.min(m)), ("max", F.max(m)))]
+    parts = [
+        f.alias(f"{m}_{n}") for m in metrics for n, f in (
+            ("mean", F.avg(m)),
+            ("sd", F.when(F.count(m) > 1, F.stddev_samp(m))),
+            ("min", F.min(m)),
+            ("max", F.max(m)),
+        )
+    ]
     return df.groupBy(*keys).agg(F.count("*").alias("n_seeds"), *parts)
 
 
 def scope_summary(paired: DataFrame) -> DataFrame:
     """Repairs and corruptions overall, by category and by category and language, for each seed and for all."""
     view = flags(paired).select("seed", "category", "language", "b0_vulnerable", "b0_safe", "repaired", "corrupted")
-    sets = [["seed"], ["seed", "category"], ["seed", "category", "language"], [], ["category"], ["category", "language"]]
+    sets = [
+        ["seed"],
+        ["seed", "category"],
+        ["seed", "category", "language"],
+        [],
+        ["category"],
+        ["category", "language"],
+    ]
     cols = [F.col("seed"), F.col("category"), F.col("language")]
     grouped = view.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
         F.grouping_id().alias("g"), F.count_if("b0_vulnerable").alias("n_vulnerable"), F.count_if("repaired").alias("n_repaired"), F.count_if("b0_safe").alias("n_safe"), F.count_if("corrupted").alias("n_corrupted"))
-    scope = F.when(F.col("g").bitwiseAND(3) == 3, "overall").when(F.col("g").bitwiseAND(3) == 1, "category").otherwise("category_language")
-    return grouped.select("seed", "category", "language", scope.alias("scope"), F.when(F.col("g") >= 4, "ALL").otherwise("seed").alias("pooling"), "n_vulnerable", "n_repaired", "n_safe", "n_corrupted", F.try_divide("n_repaired", "n_vulnerable").alias("rate"))
+    scope = F.when(F.col("g").bitwiseAND(3) == 3, "overall").when(
+        F.col("g").bitwiseAND(3) == 1,
+        "category",
+    ).otherwise("category_language")
+    return grouped.select(
+        "seed",
+        "category",
+        "language",
+        scope.alias("scope"),
+        F.when(F.col("g") >= 4, "ALL").otherwise("seed").alias("pooling"),
+        "n_vulnerable",
+        "n_repaired",
+        "n_safe",
+        "n_corrupted",
+        F.try_divide("n_repaired", "n_vulnerable").alias("rate"),
+    )
 
 
 REPAIRED, CORRUPTED = "arm = 'unsafe' AND valid AND NOT target_present", "arm = 'safe' AND valid AND any_finding"
@@ -140,13 +180,29 @@ def cell_ids(scans: DataFrame, keys: list[str]) -> DataFrame:
     return scans.select(*keys, "prompt_id", outcome.alias("outcome")).where("outcome IS NOT NULL")
 
 
-def cell_metrics(scans: DataFrame, keys: list[str], denominators: DataFrame, on: list[str], least: float, most: float) -> DataFrame:
+def cell_metrics(
+    scans: DataFrame,
+    keys: list[str],
+    denominators: DataFrame,
+    on: list[str],
+    least: float,
+    most: float,
+) -> DataFrame:
     """Rates of each cell over fixed denominators (n_unsafe, n_safe by `on`) and whether the cell may be used.
     scans has arm ('unsafe' or 'safe'), prompt_id, valid, target_present, any_finding."""
     counted = scans.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.expr(REPAIRED)).alias("n_repaired"), F.count_if(F.expr(CORRUPTED)).alias("n_corrupted"), F.count_if(~F.col("valid")).alias("n_invalid"))
-    rated = counted.join(denominators, on, "left").withColumns({"repair_rate": F.try_divide("n_repaired", "n_unsafe"), "corruption_rate": F.try_divide("n_corrupted", "n_safe"), "invalid_rate": F.try_divide("n_invalid", "n")})
-    return rated.withColumn("admissible", F.coalesce((F.col("repair_rate") >= least) & (F.col("corruption_rate") <= most), F.lit(False)))
+    rated = counted.join(denominators, on, "left").withColumns(
+        {
+            "repair_rate": F.try_divide("n_repaired", "n_unsafe"),
+            "corruption_rate": F.try_divide("n_corrupted", "n_safe"),
+            "invalid_rate": F.try_divide("n_invalid", "n"),
+        },
+    )
+    return rated.withColumn(
+        "admissible",
+        F.coalesce((F.col("repair_rate") >= least) & (F.col("corruption_rate") <= most), F.lit(False)),
+    )
 
 
 def failed_gates(gates: dict[str, Column]) -> Column:
@@ -154,11 +210,20 @@ def failed_gates(gates: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in gates.items())))
 
 
-def validate_candidates(df: DataFrame, technical: dict[str, Column], gates: dict[str, Column], steered: str, baseline: str) -> DataFrame:
+def validate_candidates(
+    df: DataFrame,
+    technical: dict[str, Column],
+    gates: dict[str, Column],
+    steered: str,
+    baseline: str,
+) -> DataFrame:
     """Add new_categories, failed_gates and a status: technical_failure, validated, failed_single_gate or failed_multiple_gates."""
     named = df.withColumn("new_categories", F.array_sort(F.array_except(steered, baseline)))
     bad, failed = failed_gates(technical), failed_gates(gates)
-    status = F.when(F.size(bad) > 0, "technical_failure").when(F.size("failed_gates") == 0, "validated").when(F.size("failed_gates") == 1, "failed_single_gate").otherwise("failed_multiple_gates")
+    status = F.when(F.size(bad) > 0, "technical_failure").when(F.size("failed_gates") == 0, "validated").when(
+        F.size("failed_gates") == 1,
+        "failed_single_gate",
+    ).otherwise("failed_multiple_gates")
     return named.withColumn("failed_gates", F.concat(bad, failed)).withColumn("status", status)
 
 
@@ -170,27 +235,69 @@ def candidate_rollup(df: DataFrame, keys: list[str], ident: str, rate: str, gate
 
 def qualify(df: DataFrame) -> DataFrame:
     """Add reason: null for candidates that count (unsafe ones whose target came again, safe ones without a finding)."""
-    reason = F.when(~F.col("valid"), "invalid").when(F.col("skipped"), "skipped").when((F.col("population") == "unsafe") & ~F.col("target_present"), "target_not_replicated").when((F.col("population") == "safe") & F.col("any_finding"), "finding_in_safe")
+    reason = F.when(~F.col("valid"), "invalid").when(F.col("skipped"), "skipped").when(
+        (F.col("population") == "unsafe") & ~F.col("target_present"),
+        "target_not_replicated",
+    ).when((F.col("population") == "safe") & F.col("any_finding"), "finding_in_safe")
     return df.withColumn("reason", reason)
 
 
 def qualified_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return qualify(df).groupBy(*keys, "population", F.coalesce("reason", F.lit("qualified")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-def first_boundary(df: DataFrame, keys: list[str], order: str, corruption: float = 0.05, validity: float = 0.95, reference: object = None) -> DataFrame:
+    return qualify(df).groupBy(
+        *keys,
+        "population",
+        F.coalesce("reason", F.lit("qualified")).alias("reason"),
+    ).agg(F.count("*").alias("n"))
+
+
+def first_boundary(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    corruption: float = 0.05,
+    validity: float = 0.95,
+    reference: object = None,
+) -> DataFrame:
     """The first step of a sweep at which corruption or validity crosses its limit, why, and the change of validity and
     corruption from the reference step (the first one, if none is named)."""
-    why = F.array_compact(F.array(F.when(F.col("corruption_rate") > corruption, F.lit("corruption")), F.when(F.col("validity_rate") < validity, F.lit("validity"))))
+    why = F.array_compact(
+        F.array(
+            F.when(F.col("corruption_rate") > corruption, F.lit("corruption")),
+            F.when(F.col("validity_rate") < validity, F.lit("validity")),
+        ),
+    )
     marked = df.withColumn("__why", why)
     crossed = F.when(F.size("__why") > 0, F.col(order))
     ref = F.lit(reference) if reference is not None else F.min(order)
-    found = marked.groupBy(*keys).agg(F.min(crossed).alias("boundary"), ref.alias("reference") if reference is None else F.first(ref).alias("reference"))
-    at = df.select(*keys, F.col(order).alias("boundary"), F.col("corruption_rate").alias("bc"), F.col("validity_rate").alias("bv"))
-    base = df.select(*keys, F.col(order).alias("reference"), F.col("corruption_rate").alias("rc"), F.col("validity_rate").alias("rv"))
+    found = marked.groupBy(*keys).agg(
+        F.min(crossed).alias("boundary"),
+        ref.alias("reference") if reference is None else F.first(ref).alias("reference"),
+    )
+    at = df.select(
+        *keys,
+        F.col(order).alias("boundary"),
+        F.col("corruption_rate").alias("bc"),
+        F.col("validity_rate").alias("bv"),
+    )
+    base = df.select(
+        *keys,
+        F.col(order).alias("reference"),
+        F.col("corruption_rate").alias("rc"),
+        F.col("validity_rate").alias("rv"),
+    )
     joined = found.join(at, [*keys, "boundary"], "left").join(base, [*keys, "reference"], "left")
-    reasons = F.concat_ws(",", F.when(F.col("bc") > corruption, "corruption"), F.when(F.col("bv") < validity, "validity"))
-    return joined.select(*keys, "boundary", reasons.alias("reasons"), (F.col("bc") - F.col("rc")).alias("corruption_change"), (F.col("bv") - F.col("rv")).alias("validity_change"))
+    reasons = F.concat_ws(
+        ",",
+        F.when(F.col("bc") > corruption, "corruption"),
+        F.when(F.col("bv") < validity, "validity"),
+    )
+    return joined.select(
+        *keys,
+        "boundary",
+        reasons.alias("reasons"),
+        (F.col("bc") - F.col("rc")).alias("corruption_change"),
+        (F.col("bv") - F.col("rv")).alias("validity_change"),
+    )
 
 
 def seed_consistency(paired: DataFrame, ident: str, seeds: list[int]) -> DataFrame:
@@ -198,9 +305,18 @@ def seed_consistency(paired: DataFrame, ident: str, seeds: list[int]) -> DataFra
     eligible = flags(paired).where("b0_vulnerable")
     wide = eligible.groupBy(ident).pivot("seed", seeds).agg(F.bool_or("repaired"))
     cols = [F.col(str(s)) for s in seeds]
-    times, of = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in cols), F.lit(0)), sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    times, of = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in cols), F.lit(0)), sum(
+        (c.isNotNull().cast("int") for c in cols),
+        F.lit(0),
+    )
     status = F.when(of == 0, "NOT_ELIGIBLE").when(times == of, "ALWAYS").when(times == 0, "NEVER").otherwise("MIXED")
-    return wide.select(ident, *(c.alias(f"seed_{s}") for s, c in zip(seeds, cols, strict=True)), times.alias("n_repaired"), of.alias("n_eligible"), status.alias("status"))
+    return wide.select(
+        ident,
+        *(c.alias(f"seed_{s}") for s, c in zip(seeds, cols, strict=True)),
+        times.alias("n_repaired"),
+        of.alias("n_eligible"),
+        status.alias("status"),
+    )
 
 
 def changed_cases(paired: DataFrame) -> DataFrame:
@@ -212,21 +328,37 @@ def changed_cases(paired: DataFrame) -> DataFrame:
 def status_map(df: DataFrame, keys: list[str], status: str) -> DataFrame:
     """A map from status to its number of rows, for each key."""
     counts = df.groupBy(*keys, status).agg(F.count("*").alias("n"))
-    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("statuses"))
+    return counts.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("statuses"),
+    )
 
 
 def routing_coverage(df: DataFrame, keys: list[str]) -> DataFrame:
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("supported").alias("n_supported"), F.count_if(~F.col("supported")).alias("n_unsupported"), F.count_if(F.expr("supported AND NOT fallback")).alias("n_active"), F.count_if("fallback").alias("n_fallback"))
+    counted = df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.count_if("supported").alias("n_supported"),
+        F.count_if(~F.col("supported")).alias("n_unsupported"),
+        F.count_if(F.expr("supported AND NOT fallback")).alias("n_active"),
+        F.count_if("fallback").alias("n_fallback"),
+    )
     return counted.withColumn("active_rate", F.try_divide("n_active", "n"))
 
 
 def gate_rate(df: DataFrame, keys: list[str], log: str, gated: str) -> DataFrame:
     """Steps and gated steps of nested logs (array<struct>), and their share."""
-    counted = df.groupBy(*keys).agg(F.sum(F.size(log)).alias("n_steps"), F.sum(F.size(F.filter(log, lambda s: s[gated]))).alias("n_gated"))
+    counted = df.groupBy(*keys).agg(
+        F.sum(F.size(log)).alias("n_steps"),
+        F.sum(F.size(F.filter(log, lambda s: s[gated]))).alias("n_gated"),
+    )
     return counted.withColumn("gate_rate", F.try_divide("n_gated", "n_steps"))
 
 
-def evidence_table(taxonomy: DataFrame, counts: dict[str, DataFrame], ladder: list[tuple[str, Column]], claimed: str | None = None) -> DataFrame:
+def evidence_table(
+    taxonomy: DataFrame,
+    counts: dict[str, DataFrame],
+    ladder: list[tuple[str, Column]],
+    claimed: str | None = None,
+) -> DataFrame:
     """Join a count table (category, n) for each name to every category, and give the first step of the ladder that holds;
     with a column of taxonomy that claims support, say where it differs from having any."""
     out = taxonomy
@@ -240,24 +372,36 @@ def evidence_table(taxonomy: DataFrame, counts: dict[str, DataFrame], ladder: li
 def recurrence(df: DataFrame, feature: list[str], category: str, categories: list[str], k: int = 2) -> DataFrame:
     """Features that occur in at least k categories, with a presence matrix."""
     present = [F.bool_or(F.col(category) == c).alias(f"in_{c}") for c in categories]
-    return df.groupBy(*feature).agg(F.count_distinct(category).alias("n_categories"), *present).where(F.col("n_categories") >= k)
+    return df.groupBy(*feature).agg(
+        F.count_distinct(category).alias("n_categories"),
+        *present,
+    ).where(F.col("n_categories") >= k)
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, n) of several columns in one pass."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols)))
+    pairs = F.explode(
+        F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols)),
+    )
     return df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
 
 
 def dataset_stats(df: DataFrame, keys: list[str], augmented: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(~augmented).alias("raw"), F.count_if(augmented).alias("augmented"), F.avg(augmented.cast("int")).alias("augmented_fraction"))
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("total"),
+        F.count_if(~augmented).alias("raw"),
+        F.count_if(augmented).alias("augmented"),
+        F.avg(augmented.cast("int")).alias("augmented_fraction"),
+    )
 
 
 def stage_counts(tables: dict[str, DataFrame], category: str) -> DataFrame:
     """Rows of each category at each stage; 0 where a stage has none."""
     tagged = None
     for stage, df in tables.items():
-        part = df.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n")).withColumn("stage", F.lit(stage))
+        part = df.groupBy(
+            F.col(category).alias("category"),
+        ).agg(F.count("*").alias("n")).withColumn("stage", F.lit(stage))
         tagged = part if tagged is None else tagged.unionByName(part)
     return tagged.groupBy("category").pivot("stage", list(tables)).agg(F.sum("n")).fillna(0)
 

@@ -16,25 +16,61 @@ def violations(df: DataFrame, ident: list[str], rules: dict[str, Column]) -> Dat
     return df.select(*ident, F.explode(broken).alias("rule"))
 
 
-def check_chain(prompts: DataFrame, outputs: DataFrame, scans: DataFrame, key: str, shared: list[str], rules: dict[str, Column]) -> DataFrame:
+def check_chain(
+    prompts: DataFrame,
+    outputs: DataFrame,
+    scans: DataFrame,
+    key: str,
+    shared: list[str],
+    rules: dict[str, Column],
+) -> DataFrame:
     """Rows of three chained tables, joined by key, that break a rule or differ in a shared column."""
     renamed = lambda df, p: df.select(key, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key))
-    joined = renamed(prompts, "prompt").join(renamed(outputs, "output"), key, "full_outer").join(renamed(scans, "scan"), key, "full_outer")
-    equal = {f"{p}_{c}": F.col(f"prompt_{c}").eqNullSafe(F.col(f"{p}_{c}")) for c in shared for p in ("output", "scan")}
+    joined = renamed(prompts, "prompt").join(renamed(outputs, "output"), key, "full_outer").join(
+        renamed(scans, "scan"),
+        key,
+        "full_outer",
+    )
+    equal = {
+        f"{p}_{c}": F.col(f"prompt_{c}").eqNullSafe(F.col(f"{p}_{c}")) for c in shared for p in ("output", "scan")
+    }
     return violations(joined, [key], equal | rules)
 
 
-def split_report(df: DataFrame, split: str, unit: str, category: str, heldout: list[str], least: int, ratio: float) -> DataFrame:
+def split_report(
+    df: DataFrame,
+    split: str,
+    unit: str,
+    category: str,
+    heldout: list[str],
+    least: int,
+    ratio: float,
+) -> DataFrame:
     """(check, status, observed, limit) on a split table."""
     held = F.col(category).isin(heldout)
-    units = df.where(~held).groupBy(unit).agg(F.count_distinct(split).alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))
-    sizes = df.groupBy(category).agg(F.count("*").alias("n"), F.count_if(held & (F.col(split) != "test")).alias("outside"))
-    whole = sizes.agg(F.sum("outside").alias("outside"), F.min("n").alias("fewest"), (F.max("n") / F.min("n")).alias("spread"), F.sum("n").alias("total"))
+    units = df.where(~held).groupBy(unit).agg(F.count_distinct(split).alias("n")).agg(
+        F.count_if(F.col("n") > 1).alias("overlap"),
+    )
+    sizes = df.groupBy(category).agg(
+        F.count("*").alias("n"),
+        F.count_if(held & (F.col(split) != "test")).alias("outside"),
+    )
+    whole = sizes.agg(
+        F.sum("outside").alias("outside"),
+        F.min("n").alias("fewest"),
+        (F.max("n") / F.min("n")).alias("spread"),
+        F.sum("n").alias("total"),
+    )
 
     def check(name: str, value: str, limit: float, most: bool) -> Column:
         observed = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
         ok = observed <= limit if most else observed >= limit
-        return F.struct(F.lit(name).alias("check"), F.when(ok, "PASS").otherwise("FAIL").alias("status"), observed.alias("observed"), F.lit(limit).alias("limit"))
+        return F.struct(
+            F.lit(name).alias("check"),
+            F.when(ok, "PASS").otherwise("FAIL").alias("status"),
+            observed.alias("observed"),
+            F.lit(limit).alias("limit"),
+        )
 
     checks = [
         check("unit_overlap", "overlap", 0.0, True), check("heldout_outside_test", "outside", 0.0, True), check("category_minimum", "fewest", float(least), False),
@@ -43,12 +79,19 @@ def split_report(df: DataFrame, split: str, unit: str, category: str, heldout: l
     return units.crossJoin(whole).select(F.explode(F.array(*checks)).alias("c")).select("c.*")  # one row each
 
 
-def set_checks(sets: dict[str, DataFrame], key: str, disjoint: list[tuple[str, str]], nested: list[tuple[str, str]]) -> DataFrame:
+def set_checks(
+    sets: dict[str, DataFrame],
+    key: str,
+    disjoint: list[tuple[str, str]],
+    nested: list[tuple[str, str]],
+) -> DataFrame:
     """(check, a, b, violations): common keys of sets that must be disjoint, and keys of a that b lacks where a must lie in b."""
     out = None
     for kind, pairs, how in (("disjoint", disjoint, "left_semi"), ("nested", nested, "left_anti")):
         for a, b in pairs:
-            n = sets[a].select(key).distinct().join(sets[b].select(key).distinct(), key, how).agg(F.count("*").alias("violations"))
+            n = sets[a].select(key).distinct().join(sets[b].select(key).distinct(), key, how).agg(
+                F.count("*").alias("violations"),
+            )
             row = n.select(F.lit(kind).alias("check"), F.lit(a).alias("a"), F.lit(b).alias("b"), "violations")
             out = row if out is None else out.unionByName(row)
     return out
@@ -58,18 +101,40 @@ def drift(df: DataFrame, manifest: DataFrame, key: str, text: Column) -> DataFra
     """(key, state) of records that are new, missing or changed against recorded digests (key, sha256)."""
     now = df.select(key, F.sha2(text, 256).alias("now"))
     both = now.join(manifest.select(key, "sha256"), key, "full_outer")
-    state = F.when(F.col("sha256").isNull(), "new").when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
+    state = F.when(F.col("sha256").isNull(), "new").when(F.col("now").isNull(), "missing").when(
+        F.col("now") != F.col("sha256"),
+        "changed",
+    )
     return both.select(key, state.alias("state")).where("state IS NOT NULL")
 
 
-def metric_drift(reported: DataFrame, recomputed: DataFrame, keys: list[str], metric: str, tolerance: float) -> DataFrame:
+def metric_drift(
+    reported: DataFrame,
+    recomputed: DataFrame,
+    keys: list[str],
+    metric: str,
+    tolerance: float,
+) -> DataFrame:
     """Keys whose metric differs by more than tolerance, or is there once only."""
-    both = reported.select(*keys, F.col(metric).alias("reported")).join(recomputed.select(*keys, F.col(metric).alias("recomputed")), keys, "full_outer")
-    return both.where(F.coalesce(F.abs(F.col("reported") - F.col("recomputed")) > tolerance, F.col("reported").isNull() | F.col("recomputed").isNull()))
+    both = reported.select(*keys, F.col(metric).alias("reported")).join(
+        recomputed.select(*keys, F.col(metric).alias("recomputed")),
+        keys,
+        "full_outer",
+    )
+    return both.where(
+        F.coalesce(
+            F.abs(F.col("reported") - F.col("recomputed")) > tolerance,
+            F.col("reported").isNull() | F.col("recomputed").isNull(),
+        ),
+    )
 
 
 def forbidden_fields(df: DataFrame, ident: list[str], fields: list[str]) -> DataFrame:
     """(ident, field) of fields that must be absent or empty and aren't; fields that df lacks are fine."""
     there = [f for f in fields if f in df.columns]
-    bad = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) != "", F.lit(f)) for f in there)).cast("array<string>"))
+    bad = F.array_compact(
+        F.array(
+            *(F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) != "", F.lit(f)) for f in there),
+        ).cast("array<string>"),
+    )
     return df.select(*ident, F.explode(bad).alias("field"))

@@ -19,40 +19,73 @@ def base_reward(bonus: Column, coef: dict[str, float | Column] | None = None) ->
     for invalid ones, without the cost."""
     c = {k: F.lit(v) if isinstance(v, float) else v for k, v in (COEFFICIENTS | (coef or {})).items()}
     was, now = F.coalesce("b0_vulnerable", F.lit(False)), F.col("is_vulnerable")
-    gain = F.when(was & ~now, c["repair"] + F.when(bonus, c["bonus"]).otherwise(0.0)).when(~was & now, c["corruption"]).otherwise(0.0)
+    gain = F.when(
+        was & ~now,
+        c["repair"] + F.when(bonus, c["bonus"]).otherwise(0.0),
+    ).when(~was & now, c["corruption"]).otherwise(0.0)
     unknown = ~F.coalesce("valid", F.lit(False)) | now.isNull()
-    return F.when(unknown, c["invalid"]).otherwise(gain - F.when(F.col("is_noop"), 0.0).otherwise(c["cost"] * F.col("level")))
+    return F.when(unknown, c["invalid"]).otherwise(
+        gain - F.when(F.col("is_noop"), 0.0).otherwise(c["cost"] * F.col("level")),
+    )
 
 
 def regret(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add best_reward, regret, is_best (within a tolerance), representative (the least best action) and actionable."""
     w = Window.partitionBy(*keys)
-    out = df.withColumn("best_reward", F.max("reward").over(w)).withColumn("regret", F.col("reward") - F.col("best_reward"))
+    out = df.withColumn("best_reward", F.max("reward").over(w)).withColumn(
+        "regret",
+        F.col("reward") - F.col("best_reward"),
+    )
     out = out.withColumn("is_best", F.abs("regret") <= TOLERANCE)
-    return out.withColumns({"representative": F.min(F.when(F.col("is_best"), F.col("action_id"))).over(w), "actionable": F.col("best_reward") > 0})
+    return out.withColumns(
+        {
+            "representative": F.min(F.when(F.col("is_best"), F.col("action_id"))).over(w),
+            "actionable": F.col("best_reward") > 0,
+        },
+    )
 
 
 def action_distribution(df: DataFrame) -> DataFrame:
     """Rewards and regrets by action, the share of rows in which it is best, and whether it dominates (over 85 %)."""
-    out = df.groupBy("action_id").agg(F.count("*").alias("n"), F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_sd"), F.min("reward").alias("reward_min"), F.max("reward").alias("reward_max"), F.avg("regret").alias("regret_mean"), F.count_if("is_best").alias("n_best"), F.count_distinct("prompt_id").alias("n_prompts"))
+    out = df.groupBy("action_id").agg(
+        F.count("*").alias("n"),
+        F.avg("reward").alias("reward_mean"),
+        F.stddev_pop("reward").alias("reward_sd"),
+        F.min("reward").alias("reward_min"),
+        F.max("reward").alias("reward_max"),
+        F.avg("regret").alias("regret_mean"),
+        F.count_if("is_best").alias("n_best"),
+        F.count_distinct("prompt_id").alias("n_prompts"),
+    )
     return out.withColumn("dominant", F.col("n_best") > 0.85 * F.col("n"))
 
 
 def offline_dataset(rollouts: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
     """Rollouts with their state and action; skip_reason says which rows a trainer leaves out and why."""
     joined = rollouts.join(states, "prompt_id", "left").join(actions, "action_id", "left")
-    reason = F.when(~F.col("valid"), "invalid").when(F.col("state").isNull(), "no_state").when(F.col("masked").isNull(), "unknown_action").when(F.col("masked"), "masked")
+    reason = F.when(~F.col("valid"), "invalid").when(F.col("state").isNull(), "no_state").when(
+        F.col("masked").isNull(),
+        "unknown_action",
+    ).when(F.col("masked"), "masked")
     return joined.withColumn("skip_reason", reason)
 
 
 def evaluate_policy(df: DataFrame, priority: Column) -> DataFrame:
     """The rollout a rule picks for each prompt (least priority, then least action), with its reward and regret."""
-    ranked = df.withColumn("__p", priority).where("__p IS NOT NULL").withColumn("__r", F.row_number().over(Window.partitionBy("prompt_id").orderBy("__p", "action_id")))
+    ranked = df.withColumn("__p", priority).where("__p IS NOT NULL").withColumn(
+        "__r",
+        F.row_number().over(Window.partitionBy("prompt_id").orderBy("__p", "action_id")),
+    )
     return ranked.where("__r = 1").drop("__p", "__r")
 
 
 def policy_summary(picked: DataFrame) -> DataFrame:
-    return picked.agg(F.count("*").alias("n"), F.avg("reward").alias("mean_reward"), F.avg("regret").alias("mean_regret"), F.avg(F.col("is_best").cast("int")).alias("best_rate"))
+    return picked.agg(
+        F.count("*").alias("n"),
+        F.avg("reward").alias("mean_reward"),
+        F.avg("regret").alias("mean_regret"),
+        F.avg(F.col("is_best").cast("int")).alias("best_rate"),
+    )
 
 
 def policy_metrics(predictions: DataFrame, rollouts: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +94,11 @@ def policy_metrics(predictions: DataFrame, rollouts: DataFrame, actions: DataFra
     none), and for how many predictions there is an outcome at all. actions has action_id, is_noop, masked, is_high."""
     best = rollouts.where("is_best").select("prompt_id", "representative", "best_reward", "actionable").distinct()
     known = rollouts.select("prompt_id", "action_id", "reward")
-    joined = predictions.join(best, "prompt_id", "left").join(known, ["prompt_id", "action_id"], "left").join(actions, "action_id", "left")
+    joined = predictions.join(best, "prompt_id", "left").join(
+        known,
+        ["prompt_id", "action_id"],
+        "left",
+    ).join(actions, "action_id", "left")
     seen = F.col("reward").isNotNull() & F.col("actionable")
     acts = ~F.coalesce("is_noop", F.lit(False))
     out = joined.groupBy(*keys).agg(
@@ -81,29 +118,70 @@ def reward_sensitivity(rollouts: DataFrame, grid: DataFrame, bonus: Column, fina
     """Rewards under each setting of grid (setting and the coefficients): mean reward and regret, and the share of
     prompts whose set of best actions differs from the final setting's. Prompts with equal outcomes are scored once each
     setting, as rollouts are."""
-    scored = rollouts.crossJoin(F.broadcast(grid)).withColumn("reward", base_reward(bonus, {k: F.col(k) for k in COEFFICIENTS}))
+    scored = rollouts.crossJoin(F.broadcast(grid)).withColumn(
+        "reward",
+        base_reward(bonus, {k: F.col(k) for k in COEFFICIENTS}),
+    )
     judged = regret(scored, ["setting", "prompt_id"])
-    best = judged.groupBy("setting", "prompt_id").agg(F.array_sort(F.collect_set(F.when(F.col("is_best"), F.col("action_id")))).alias("best"))
+    best = judged.groupBy("setting", "prompt_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("is_best"), F.col("action_id")))).alias("best"),
+    )
     base = best.where(F.col("setting") == final).select("prompt_id", F.col("best").alias("final_best"))
-    changed = best.join(base, "prompt_id").groupBy("setting").agg(F.avg((F.col("best") != F.col("final_best")).cast("int")).alias("changed_share"))
-    means = judged.groupBy("setting").agg(F.avg("reward").alias("mean_reward"), F.avg("regret").alias("mean_regret"), F.count_if("is_best").alias("n_best"))
+    changed = best.join(base, "prompt_id").groupBy("setting").agg(
+        F.avg((F.col("best") != F.col("final_best")).cast("int")).alias("changed_share"),
+    )
+    means = judged.groupBy("setting").agg(
+        F.avg("reward").alias("mean_reward"),
+        F.avg("regret").alias("mean_regret"),
+        F.count_if("is_best").alias("n_best"),
+    )
     return means.join(F.broadcast(changed), "setting")
 
 
 def training_examples(judged: DataFrame, bonus: Column, extra: float = 0.25) -> DataFrame:
     """One row for each prompt: the first best action as label, and a weight of 1 and what the best reward is above the
     prompt's mean, and extra for bonus categories."""
-    out = judged.withColumn("__b", bonus).groupBy("prompt_id").agg(F.min("representative").alias("label"), F.max("reward").alias("best"), F.avg("reward").alias("mean"), F.bool_or("__b").alias("__b"))
-    return out.select("prompt_id", "label", (1 + F.greatest(F.lit(0.0), F.col("best") - F.col("mean")) + F.when(F.col("__b"), extra).otherwise(0.0)).alias("weight"))
+    out = judged.withColumn("__b", bonus).groupBy("prompt_id").agg(
+        F.min("representative").alias("label"),
+        F.max("reward").alias("best"),
+        F.avg("reward").alias("mean"),
+        F.bool_or("__b").alias("__b"),
+    )
+    return out.select(
+        "prompt_id",
+        "label",
+        (
+            1 + F.greatest(F.lit(0.0), F.col("best") - F.col("mean")) + F.when(F.col("__b"), extra).otherwise(0.0)
+        ).alias("weight"),
+    )
 
 
 def action_table(groups: DataFrame, strengths: list[tuple[str, int]]) -> DataFrame:
     """A no-op (0) and each group (group_id, category, high, repair_rate) at each strength (label, level); levels above high are masked."""
-    labels = F.explode(F.array(*(F.struct(F.lit(n).alias("strength"), F.lit(v).alias("level")) for n, v in strengths)))
-    made = groups.select("group_id", "category", "high", "repair_rate", labels.alias("s")).select("group_id", "category", "repair_rate", "s.strength", "s.level", (F.col("s.level") > F.col("high")).alias("masked"))
+    labels = F.explode(
+        F.array(*(F.struct(F.lit(n).alias("strength"), F.lit(v).alias("level")) for n, v in strengths)),
+    )
+    made = groups.select("group_id", "category", "high", "repair_rate", labels.alias("s")).select(
+        "group_id",
+        "category",
+        "repair_rate",
+        "s.strength",
+        "s.level",
+        (F.col("s.level") > F.col("high")).alias("masked"),
+    )
     numbered = made.withColumn("action_id", F.row_number().over(Window.orderBy("group_id", "level")))  # as many rows as actions
-    noop = groups.sparkSession.range(1).select(F.lit(0).alias("action_id"), F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("repair_rate"), F.lit("none").alias("strength"), F.lit(0).alias("level"), F.lit(False).alias("masked"))
-    return noop.unionByName(numbered.select("action_id", "group_id", "category", "repair_rate", "strength", "level", "masked"))
+    noop = groups.sparkSession.range(1).select(
+        F.lit(0).alias("action_id"),
+        F.lit(None).cast("string").alias("group_id"),
+        F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("double").alias("repair_rate"),
+        F.lit("none").alias("strength"),
+        F.lit(0).alias("level"),
+        F.lit(False).alias("masked"),
+    )
+    return noop.unionByName(
+        numbered.select("action_id", "group_id", "category", "repair_rate", "strength", "level", "masked"),
+    )
 
 
 def candidate_actions(prompts: DataFrame, actions: DataFrame, active: list[str], most: int = 5) -> DataFrame:
@@ -113,19 +191,46 @@ def candidate_actions(prompts: DataFrame, actions: DataFrame, active: list[str],
     has none yet as off-target control. Only unmasked actions count. The table of actions is small: one row for each
     category is joined, and one row with each category's Low action goes to all prompts."""
     open_ = actions.where("action_id > 0 AND NOT masked")
-    ranking = Window.partitionBy("category").orderBy(F.desc(F.coalesce("repair_rate", F.lit(0.0))), "strength", "action_id")
-    top = open_.withColumns({"__top": F.first("group_id").over(ranking), "__r": F.row_number().over(ranking)}).where("group_id = __top")
-    own = top.groupBy("category").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("__r", "action_id"))), lambda a: a.action_id), 1, 2).alias("own"))
+    ranking = Window.partitionBy("category").orderBy(
+        F.desc(F.coalesce("repair_rate", F.lit(0.0))),
+        "strength",
+        "action_id",
+    )
+    top = open_.withColumns(
+        {"__top": F.first("group_id").over(ranking), "__r": F.row_number().over(ranking)},
+    ).where("group_id = __top")
+    own = top.groupBy("category").agg(
+        F.slice(
+            F.transform(F.array_sort(F.collect_list(F.struct("__r", "action_id"))), lambda a: a.action_id),
+            1,
+            2,
+        ).alias("own"),
+    )
     lows = open_.where("strength = 'Low'").groupBy("category").agg(F.min("action_id").alias("action_id"))
     all_lows = lows.agg(F.array_sort(F.collect_list(F.struct("action_id", "category"))).alias("lows"))
     at = F.create_map(*(F.lit(x) for i, c in enumerate(active) for x in (c, i))) if active else F.create_map()
     chosen = F.filter("lows", lambda x: x.category.isin(active))
-    fallback = F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(F.try_element_at(at, x.category).alias("i"), x.action_id.alias("a")))), lambda x: x.a)
+    fallback = F.transform(
+        F.array_sort(
+            F.transform(
+                chosen,
+                lambda x: F.struct(F.try_element_at(at, x.category).alias("i"), x.action_id.alias("a")),
+            ),
+        ),
+        lambda x: x.a,
+    )
     joined = prompts.join(own, "category", "left").crossJoin(F.broadcast(all_lows))
     matched = F.col("own").isNotNull()
     taken = F.when(matched, F.col("own")).otherwise(fallback)
     others = F.filter("lows", lambda x: (x.category != F.col("category")) & (matched | ~x.category.isin(active)))
-    control = F.when((F.size(taken) + 1 < most) & (F.size(others) > 0), F.array(F.get(F.transform(others, lambda x: x.action_id), F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    control = F.when(
+        (F.size(taken) + 1 < most) & (F.size(others) > 0),
+        F.array(F.get(F.transform(others, lambda x: x.action_id), F.lit(0))),
+    ).otherwise(F.array().cast("array<int>"))
     named = lambda ids, why: F.transform(ids, lambda i: F.struct(i.cast("int").alias("action_id"), why.alias("why")))
-    every = F.concat(named(F.array(F.lit(0)), F.lit("noop")), named(taken, F.when(matched, "matched").otherwise("active")), named(control, F.lit("control")))
+    every = F.concat(
+        named(F.array(F.lit(0)), F.lit("noop")),
+        named(taken, F.when(matched, "matched").otherwise("active")),
+        named(control, F.lit("control")),
+    )
     return joined.select("prompt_id", F.explode(every).alias("a")).select("prompt_id", "a.action_id", "a.why")

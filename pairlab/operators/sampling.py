@@ -17,19 +17,38 @@ def global_rank(df: DataFrame, order: str, parts: int = 256) -> DataFrame:
     bucket = F.substring(order, 1, 2)
     dealt = df.withColumn("__b", bucket)
     sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))  # 256 rows
-    before = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    before = sizes.select(
+        "__b",
+        F.coalesce(
+            F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("__before"),
+    )
     ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
-    return ranked.join(F.broadcast(before), "__b").withColumn("rank", F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+    return ranked.join(F.broadcast(before), "__b").withColumn(
+        "rank",
+        F.col("__before") + F.col("__r"),
+    ).drop("__b", "__r", "__before")
 
 
 def with_hash(df: DataFrame, ident: str, seed: int) -> DataFrame:
     return df.withColumn("__h", hash_order(seed, ident))
 
 
-def lowest_hashes(df: DataFrame, keys: list[str], wanted: Column, ident: str, seed: int, order: list[Column] = ()) -> DataFrame:
+def lowest_hashes(
+    df: DataFrame,
+    keys: list[str],
+    wanted: Column,
+    ident: str,
+    seed: int,
+    order: list[Column] = (),
+) -> DataFrame:
     """In each group the rows that come first by order and hash, as many as wanted (a literal, so that Spark can keep the
     first rows of every task only)."""
-    ranked = with_hash(df, ident, seed).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "__h", ident)))
+    ranked = with_hash(df, ident, seed).withColumn(
+        "__r",
+        F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "__h", ident)),
+    )
     return ranked.where(F.col("__r") <= wanted)
 
 
@@ -39,13 +58,21 @@ def group_rank(df: DataFrame, keys: list[str], ident: str, seed: int, first: Col
     As in global_rank, buckets of the hash are numbered by themselves and moved by the sizes of those before them, so that
     no task sorts a group, however large.
     """
-    dealt = with_hash(df, ident, seed).withColumns({"__f": (~first).cast("int") if first is not None else F.lit(0), "__b": F.substring("__h", 1, 2)})
+    dealt = with_hash(df, ident, seed).withColumns(
+        {"__f": (~first).cast("int") if first is not None else F.lit(0), "__b": F.substring("__h", 1, 2)},
+    )
     by = [*keys, "__f", "__b"]
     sizes = dealt.groupBy(*by).agg(F.count("*").alias("__n"))  # at most 512 rows for each group
     earlier = Window.partitionBy(*keys).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*by, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("__h", ident)))
-    return ranked.join(before, by).withColumn("__r", F.col("__before") + F.col("__i")).drop("__h", "__f", "__b", "__i", "__before")
+    return ranked.join(before, by).withColumn("__r", F.col("__before") + F.col("__i")).drop(
+        "__h",
+        "__f",
+        "__b",
+        "__i",
+        "__before",
+    )
 
 
 def cap_augmented(df: DataFrame, keys: list[str], augmented: str, ident: str, share: float, seed: int) -> DataFrame:
@@ -56,7 +83,16 @@ def cap_augmented(df: DataFrame, keys: list[str], augmented: str, ident: str, sh
     return ranked.where(~F.col(augmented) | (F.col("__raw") == 0) | (F.col("__r") <= allowed)).drop("__raw", "__r")
 
 
-def balance_groups(df: DataFrame, keys: list[str], augmented: str, ident: str, ratio: float, seed: int, relaxed: float = 3.0, treated: Column | None = None) -> DataFrame:
+def balance_groups(
+    df: DataFrame,
+    keys: list[str],
+    augmented: str,
+    ident: str,
+    ratio: float,
+    seed: int,
+    relaxed: float = 3.0,
+    treated: Column | None = None,
+) -> DataFrame:
     """No group above ratio times the smallest, or above relaxed times where the largest is more than relaxed times the
     smallest; augmented rows go first, then those of highest hash. Only groups for which treated (of the keys) holds are
     counted and cut; the others stay whole."""
@@ -77,14 +113,20 @@ def split_by_unit(df: DataFrame, unit: str, fractions: tuple[float, float], held
     a, b = (F.floor(F.col("__n") * F.lit(f)) for f in (fractions[0], fractions[1]))
     place = F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "validation").otherwise("test")
     known = ranked.crossJoin(F.broadcast(n)).select(F.col(unit).alias("__u"), place.alias("__s"))
-    return df.join(known, F.col(unit) == F.col("__u"), "left").withColumn("split", F.when(heldout, "test").otherwise(F.col("__s"))).drop("__u", "__s")
+    return df.join(known, F.col(unit) == F.col("__u"), "left").withColumn(
+        "split",
+        F.when(heldout, "test").otherwise(F.col("__s")),
+    ).drop("__u", "__s")
 
 
 def split_rows(df: DataFrame, ident: str, share: float, seed: int) -> DataFrame:
     """Add split: exactly int(n * share) rows are dev, the rest test."""
     ranked = global_rank(with_hash(df, ident, seed), "__h")
     n = df.agg(F.floor(F.count("*") * F.lit(share)).alias("__k"))
-    return ranked.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("rank") <= F.col("__k"), "dev").otherwise("test")).drop("__h", "rank", "__k")
+    return ranked.crossJoin(F.broadcast(n)).withColumn(
+        "split",
+        F.when(F.col("rank") <= F.col("__k"), "dev").otherwise("test"),
+    ).drop("__h", "rank", "__k")
 
 
 def hamilton(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
@@ -94,8 +136,16 @@ def hamilton(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
     # The remainder is compared as a whole number, free of rounding.
     rest = (F.col(size) * F.lit(target)) % F.sum(size).over(total)
     base = strata.withColumns({"__f": F.floor(exact), "__m": rest})
-    ranked = base.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__m"), F.asc(key)))).withColumn("__left", F.lit(target) - F.sum("__f").over(total))
-    return ranked.withColumn("quota", F.col("__f") + (F.col("__r") <= F.col("__left")).cast("long")).drop("__f", "__m", "__r", "__left")
+    ranked = base.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__m"), F.asc(key)))).withColumn(
+        "__left",
+        F.lit(target) - F.sum("__f").over(total),
+    )
+    return ranked.withColumn("quota", F.col("__f") + (F.col("__r") <= F.col("__left")).cast("long")).drop(
+        "__f",
+        "__m",
+        "__r",
+        "__left",
+    )
 
 
 def hamilton_capped(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
@@ -132,12 +182,21 @@ def nested_sample(df: DataFrame, keys: list[str], ident: str, large: int, small:
     return taken.withColumn("in_small", F.col("__r") <= small).drop("__h", "__r")
 
 
-def sample_controls(df: DataFrame, keys: list[str], positive: Column, ident: str, multiple: int, seed: int) -> DataFrame:
+def sample_controls(
+    df: DataFrame,
+    keys: list[str],
+    positive: Column,
+    ident: str,
+    multiple: int,
+    seed: int,
+) -> DataFrame:
     """All positives of each group and at most multiple times as many negatives."""
     marked = df.withColumn("__p", positive)
     ranked = group_rank(marked, keys, ident, seed, first=~F.col("__p"))
     counts = marked.groupBy(*keys).agg((F.count_if("__p") * multiple).alias("__most"))
-    return ranked.join(counts, keys).where(F.col("__p") | (F.col("__r") <= F.col("__most"))).drop("__p", "__r", "__most")
+    return ranked.join(counts, keys).where(
+        F.col("__p") | (F.col("__r") <= F.col("__most")),
+    ).drop("__p", "__r", "__most")
 
 
 def cap_per_class(df: DataFrame, keys: list[str], ident: str, k: int, seed: int) -> DataFrame:

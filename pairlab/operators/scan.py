@@ -41,7 +41,9 @@ def map_rules(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     rules = mapping.select(F.col("rule_id").alias("__r"), F.col("category").alias("__c"), F.col("order").alias("__o"))
     known = findings.select("rule_id").distinct()
     hit = known.join(rules, F.contains("rule_id", "__r"))  # distinct rule ids by mapped rules: both few
-    best = hit.groupBy("rule_id").agg(F.min_by("__c", F.struct((F.col("rule_id") != F.col("__r")).alias("part"), "__o")).alias("category"))
+    best = hit.groupBy("rule_id").agg(
+        F.min_by("__c", F.struct((F.col("rule_id") != F.col("__r")).alias("part"), "__o")).alias("category"),
+    )
     return findings.join(best, "rule_id", "left")
 
 
@@ -56,7 +58,13 @@ def derive_flags(df: DataFrame, findings: str, derivation: list[str], target: st
     detected = F.array_sort(F.array_distinct(F.transform(findings, lambda x: x.category)))
     known = F.array(*(F.lit(c) for c in derivation)).cast("array<string>")
     out = df.withColumn("detected", F.coalesce(detected, F.array().cast("array<string>")))
-    return out.withColumns({"is_vulnerable": F.arrays_overlap("detected", known), "target_present": F.array_contains("detected", F.col(target)), "any_finding": F.size("detected") > 0})
+    return out.withColumns(
+        {
+            "is_vulnerable": F.arrays_overlap("detected", known),
+            "target_present": F.array_contains("detected", F.col(target)),
+            "any_finding": F.size("detected") > 0,
+        },
+    )
 
 
 def rules_fingerprint(rules: list[tuple[str, str, str]]) -> Column:
@@ -64,7 +72,13 @@ def rules_fingerprint(rules: list[tuple[str, str, str]]) -> Column:
     return F.sha2(F.lit("\n".join("\t".join(r) for r in rules)), 256)
 
 
-def scan_incremental(new: DataFrame, done: DataFrame, ident: str, text: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+def scan_incremental(
+    new: DataFrame,
+    done: DataFrame,
+    ident: str,
+    text: str,
+    rules: list[tuple[str, str, str]],
+) -> DataFrame:
     """Findings of those records that done (ident, rules_hash) doesn't have with the same rules."""
     hashed = new.withColumn("rules_hash", rules_fingerprint(rules))
     fresh = hashed.join(done.select(ident, "rules_hash"), [ident, "rules_hash"], "left_anti")
@@ -80,20 +94,31 @@ def prevalence(df: DataFrame, keys: list[str]) -> DataFrame:
 def category_distribution(df: DataFrame, ident: str, taxonomy: DataFrame) -> DataFrame:
     """Records and findings of every category of taxonomy (category), zeros kept."""
     found = df.select(ident, F.explode(F.transform("findings", lambda x: x.category)).alias("category"))
-    counts = found.groupBy("category", ident).agg(F.count("*").alias("n")).groupBy("category").agg(F.count("*").alias("records"), F.sum("n").alias("findings"))
+    counts = found.groupBy("category", ident).agg(F.count("*").alias("n")).groupBy("category").agg(
+        F.count("*").alias("records"),
+        F.sum("n").alias("findings"),
+    )
     return taxonomy.select("category").join(counts, "category", "left").fillna(0, ["records", "findings"])
 
 
 def co_occurrence(df: DataFrame, detected: str = "detected") -> DataFrame:
     """Counts of unordered pairs of categories that records have together."""
     d = F.array_sort(F.array_distinct(detected))
-    pairs = F.flatten(F.transform(d, lambda x: F.transform(F.filter(d, lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = F.flatten(
+        F.transform(
+            d,
+            lambda x: F.transform(F.filter(d, lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b"))),
+        ),
+    )
     return df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
 def partition_ids(df: DataFrame, ident: str, taxonomy: list[str]) -> DataFrame:
     """(category, id, unsafe) of every record, overall (category null) and for each category."""
-    every = F.array(F.struct(F.lit(None).cast("string").alias("category"), F.col("any_finding").alias("unsafe")), *(F.struct(F.lit(c).alias("category"), F.array_contains("detected", c).alias("unsafe")) for c in taxonomy))
+    every = F.array(
+        F.struct(F.lit(None).cast("string").alias("category"), F.col("any_finding").alias("unsafe")),
+        *(F.struct(F.lit(c).alias("category"), F.array_contains("detected", c).alias("unsafe")) for c in taxonomy),
+    )
     return df.select(ident, F.explode(every).alias("p")).select("p.category", ident, "p.unsafe")
 
 
@@ -102,7 +127,15 @@ def hashed(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def audit_sample(df: DataFrame, ident: str, category: str, sizes: dict[str, int], m: int, total: int, seed: int) -> DataFrame:
+def audit_sample(
+    df: DataFrame,
+    ident: str,
+    category: str,
+    sizes: dict[str, int],
+    m: int,
+    total: int,
+    seed: int,
+) -> DataFrame:
     """(id, target, picked_as): for each target, in the order of sizes, so many records in which it was detected and m of
     its own category in which it was not, none twice; then records that aren't vulnerable, up to total. Records of lowest
     hash come first. df has the id, category, detected and is_vulnerable.
@@ -112,9 +145,21 @@ def audit_sample(df: DataFrame, ident: str, category: str, sizes: dict[str, int]
     """
     spark, wanted = df.sparkSession, sum(sizes.values()) + m * len(sizes)
     h = hashed(seed, F.col(ident))
-    arms = [F.when(F.array_contains("detected", t), F.struct(F.lit(i).alias("at"), F.lit(0).alias("arm"))).when(F.col(category) == t, F.struct(F.lit(i).alias("at"), F.lit(1).alias("arm"))) for i, t in enumerate(sizes)]
-    exploded = df.select(ident, h.alias("h"), F.explode(F.array_compact(F.array(*arms))).alias("a")).select(ident, "h", "a.at", "a.arm")
-    ranked = exploded.withColumn("r", F.row_number().over(Window.partitionBy("at", "arm").orderBy("h", ident))).where(F.col("r") <= wanted)
+    arms = [
+        F.when(F.array_contains("detected", t), F.struct(F.lit(i).alias("at"), F.lit(0).alias("arm"))).when(
+            F.col(category) == t,
+            F.struct(F.lit(i).alias("at"), F.lit(1).alias("arm")),
+        ) for i, t in enumerate(sizes)
+    ]
+    exploded = df.select(
+        ident,
+        h.alias("h"),
+        F.explode(F.array_compact(F.array(*arms))).alias("a"),
+    ).select(ident, "h", "a.at", "a.arm")
+    ranked = exploded.withColumn(
+        "r",
+        F.row_number().over(Window.partitionBy("at", "arm").orderBy("h", ident)),
+    ).where(F.col("r") <= wanted)
     seen, picked = set(), []
     lists: dict[tuple[int, int], list] = {}
     for row in ranked.orderBy("at", "arm", "r").collect():
@@ -124,9 +169,16 @@ def audit_sample(df: DataFrame, ident: str, category: str, sizes: dict[str, int]
         for name, own in zip(("detected", "not_detected"), free, strict=True):
             picked += [(x, target, name) for x in own]
             seen.update(own)
-    spare = df.where(~F.col("is_vulnerable")).select(ident, h.alias("h")).orderBy("h", ident).limit(total + len(picked)).collect() if len(picked) < total else []
-    picked += [(x, "none", "padding") for x in [r[ident] for r in spare if r[ident] not in seen][: total - len(picked)]]
-    return spark.createDataFrame(picked, f"`{ident}` {df.schema[ident].dataType.simpleString()}, target string, picked_as string")
+    spare = df.where(
+        ~F.col("is_vulnerable"),
+    ).select(ident, h.alias("h")).orderBy("h", ident).limit(total + len(picked)).collect() if len(picked) < total else []
+    picked += [
+        (x, "none", "padding") for x in [r[ident] for r in spare if r[ident] not in seen][: total - len(picked)]
+    ]
+    return spark.createDataFrame(
+        picked,
+        f"`{ident}` {df.schema[ident].dataType.simpleString()}, target string, picked_as string",
+    )
 
 
 def confusion(df: DataFrame, scanner: Column, human: Column, by: list[str]) -> DataFrame:

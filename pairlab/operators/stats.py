@@ -49,14 +49,25 @@ def utility_deltas(df: DataFrame, keys: list[str], base: str, thresholds: DataFr
     tasks, and whether the drop is within the threshold. df has keys, condition, task_id, passed."""
     other = df.where(F.col("condition") == base).select(*keys, "task_id", F.col("passed").alias("base_passed"))
     both = df.where(F.col("condition") != base).join(other, [*keys, "task_id"])
-    counted = both.groupBy(*keys, "condition").agg(F.count("*").alias("n"), F.avg(F.col("base_passed").cast("int")).alias("base_rate"), F.avg(F.col("passed").cast("int")).alias("rate"), F.count_if(F.expr("passed AND NOT base_passed")).alias("improved"), F.count_if(F.expr("base_passed AND NOT passed")).alias("regressed"))
+    counted = both.groupBy(*keys, "condition").agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("base_passed").cast("int")).alias("base_rate"),
+        F.avg(F.col("passed").cast("int")).alias("rate"),
+        F.count_if(F.expr("passed AND NOT base_passed")).alias("improved"),
+        F.count_if(F.expr("base_passed AND NOT passed")).alias("regressed"),
+    )
     limit = counted.join(thresholds, keys, "left").withColumn("delta", F.col("rate") - F.col("base_rate"))
-    return limit.withColumn("status", F.when(-F.col("delta") > F.col("threshold"), "DROP_EXCEEDS_THRESHOLD").otherwise("WITHIN_THRESHOLD"))
+    return limit.withColumn(
+        "status",
+        F.when(-F.col("delta") > F.col("threshold"), "DROP_EXCEEDS_THRESHOLD").otherwise("WITHIN_THRESHOLD"),
+    )
 
 
 def patterns(df: DataFrame, unit: list[str], values: list[Column]) -> DataFrame:
     """Units collapsed to distinct vectors of values: (v array<double>, n). Resampling units means resampling these."""
-    vector = df.select(F.array(*(v.cast("double") for v in values)).alias("v")) if not unit else df.groupBy(*unit).agg(F.array(*(F.sum(v.cast("double")) for v in values)).alias("v"))
+    vector = df.select(
+        F.array(*(v.cast("double") for v in values)).alias("v"),
+    ) if not unit else df.groupBy(*unit).agg(F.array(*(F.sum(v.cast("double")) for v in values)).alias("v"))
     return vector.groupBy("v").agg(F.count("*").alias("n"))
 
 
@@ -85,22 +96,40 @@ def resampled_sums(table: DataFrame, replicates: int, seed: int, rows: int = 50_
         sums = []
         for r in ids:
             own_draws = np.random.default_rng([seed, r]).multinomial(units, totals / units)[bucket]
-            sums.append((np.random.default_rng([seed, r, bucket]).multinomial(own_draws, counts / counts.sum()) @ vectors).tolist())
+            sums.append(
+                (
+                    np.random.default_rng([seed, r, bucket]).multinomial(own_draws, counts / counts.sum()) @ vectors
+                ).tolist(),
+            )
         return pd.DataFrame({"replicate": list(ids), "sums": sums})
 
     parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-replicates // width) - 1)))).alias("part")
-    drawn = dealt.select("v", "n", "bucket", parts).groupBy("bucket", "part").applyInPandas(draw, "replicate long, sums array<double>")
+    drawn = dealt.select("v", "n", "bucket", parts).groupBy("bucket", "part").applyInPandas(
+        draw,
+        "replicate long, sums array<double>",
+    )
     if buckets > 1:
-        long = drawn.select("replicate", F.posexplode("sums").alias("i", "x")).groupBy("replicate", "i").agg(F.sum("x").alias("x"))
-        drawn = long.groupBy("replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("sums"))
+        long = drawn.select(
+            "replicate",
+            F.posexplode("sums").alias("i", "x"),
+        ).groupBy("replicate", "i").agg(F.sum("x").alias("x"))
+        drawn = long.groupBy("replicate").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("sums"),
+        )
     return drawn.withColumn("n", F.lit(units))
 
 
 def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float = 0.95) -> DataFrame:
     """(contrast, low, high, n): percentile bounds of each contrast over the replicates in which it has a value."""
     tail = (1 - level) / 2
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("contrast"), c.cast("double").alias("x")) for n, c in contrasts.items())))
-    return replicates.select(pairs.alias("p")).select("p.*").groupBy("contrast").agg(percentile7("x", tail).alias("low"), percentile7("x", 1 - tail).alias("high"), F.count("x").alias("n"))
+    pairs = F.explode(
+        F.array(*(F.struct(F.lit(n).alias("contrast"), c.cast("double").alias("x")) for n, c in contrasts.items())),
+    )
+    return replicates.select(pairs.alias("p")).select("p.*").groupBy("contrast").agg(
+        percentile7("x", tail).alias("low"),
+        percentile7("x", 1 - tail).alias("high"),
+        F.count("x").alias("n"),
+    )
 
 
 def paired_bootstrap(df: DataFrame, a: Column, b: Column, replicates: int = 10_000, seed: int = 42) -> DataFrame:
@@ -109,7 +138,14 @@ def paired_bootstrap(df: DataFrame, a: Column, b: Column, replicates: int = 10_0
     return interval(sums, {"difference": (F.col("sums")[0] - F.col("sums")[1]) / F.col("n")})
 
 
-def ratio_bootstrap(df: DataFrame, unit: list[str], conditions: list[tuple[str, Column, Column]], contrasts: dict[str, tuple[list[str], list[str]]], replicates: int = 10_000, seed: int = 42) -> DataFrame:
+def ratio_bootstrap(
+    df: DataFrame,
+    unit: list[str],
+    conditions: list[tuple[str, Column, Column]],
+    contrasts: dict[str, tuple[list[str], list[str]]],
+    replicates: int = 10_000,
+    seed: int = 42,
+) -> DataFrame:
     """Intervals of contrasts between means of ratios, where one resample of units drives all conditions.
 
     conditions are (name, numerator, denominator) per row; a contrast is the mean ratio of its first names less that of
@@ -122,19 +158,39 @@ def ratio_bootstrap(df: DataFrame, unit: list[str], conditions: list[tuple[str,
     return interval(sums, {k: mean(x) - mean(y) for k, (x, y) in contrasts.items()})
 
 
-def cluster_bootstrap(df: DataFrame, cluster: list[str], numerator: Column, denominator: Column, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+def cluster_bootstrap(
+    df: DataFrame,
+    cluster: list[str],
+    numerator: Column,
+    denominator: Column,
+    replicates: int = 10_000,
+    seed: int = 42,
+) -> DataFrame:
     """Interval of a ratio when whole clusters are drawn."""
     return ratio_bootstrap(df, cluster, [("r", numerator, denominator)], {"ratio": (["r"], [])}, replicates, seed)
 
 
-def hashed_bootstrap(units: DataFrame, order: str, draws: int, values: list[str], replicates: int, seed: int) -> DataFrame:
+def hashed_bootstrap(
+    units: DataFrame,
+    order: str,
+    draws: int,
+    values: list[str],
+    replicates: int,
+    seed: int,
+) -> DataFrame:
     """(replicate, sum of each value) where draw i of replicate r is the unit whose place by order is a hash of (seed, r, i)
     modulo their number. A small exact variant that SQL can repeat; units are few and numbered in one task."""
     placed = units.withColumn("__k", F.row_number().over(Window.orderBy(order)) - 1)
     size = units.agg(F.count("*").alias("__n"))
-    drawn = units.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i"))
+    drawn = units.sparkSession.range(replicates).select(
+        F.col("id").alias("replicate"),
+        F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i"),
+    )
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
-    pick = drawn.crossJoin(F.broadcast(size)).select("replicate", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("__n")).cast("int").alias("__k"))
+    pick = drawn.crossJoin(F.broadcast(size)).select(
+        "replicate",
+        (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("__n")).cast("int").alias("__k"),
+    )
     return pick.join(F.broadcast(placed), "__k").groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
 
 
@@ -148,8 +204,19 @@ def select_best(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], g
     """Rank rows that pass the gate by the columns of order (name, ascending); add rank, selected and, for the others,
     the first column in which they lose to the winner. Rows that fail the gate have neither."""
     by = [F.asc(c) if up else F.desc(c) for c, up in order]
-    ranked = df.withColumn("__g", gate).withColumn("selection_rank", F.when(F.col("__g"), F.row_number().over(Window.partitionBy(*keys, "__g").orderBy(*by))))
-    first = F.first(F.struct(*(c for c, _ in order))).over(Window.partitionBy(*keys, "__g").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    marked = ranked.withColumn("__w", first).withColumn("selected", F.coalesce(F.col("selection_rank") == 1, F.lit(False)))
+    ranked = df.withColumn("__g", gate).withColumn(
+        "selection_rank",
+        F.when(F.col("__g"), F.row_number().over(Window.partitionBy(*keys, "__g").orderBy(*by))),
+    )
+    first = F.first(F.struct(*(c for c, _ in order))).over(
+        Window.partitionBy(*keys, "__g").orderBy(*by).rowsBetween(
+            Window.unboundedPreceding,
+            Window.unboundedFollowing,
+        ),
+    )
+    marked = ranked.withColumn("__w", first).withColumn(
+        "selected",
+        F.coalesce(F.col("selection_rank") == 1, F.lit(False)),
+    )
     loses = F.coalesce(*(F.when(~F.col(c).eqNullSafe(F.col("__w")[c]), F.lit(c)) for c, _ in order))
     return marked.withColumn("losing_field", F.when(F.col("selection_rank") > 1, loses)).drop("__w", "__g")

@@ -16,18 +16,33 @@ z AS (SELECT category, count(*) FILTER (label = category) AS nu, count(*) FILTER
 
 def in_categories(spark, sf, df):
     """Each row of df for every category there is: the labels of the table, a few."""
-    return df.crossJoin(F.broadcast(table(spark, sf, "embeddings").select(F.col("label").alias("category")).distinct()))
+    return df.crossJoin(
+        F.broadcast(table(spark, sf, "embeddings").select(F.col("label").alias("category")).distinct()),
+    )
 
 
 def long(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.posexplode("embedding").alias("feature_id", "value")).where("value > 0")
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("sample_id"),
+        "label",
+        F.posexplode("embedding").alias("feature_id", "value"),
+    ).where("value > 0")
     arm = F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe")
-    return in_categories(spark, sf, vectors).select("category", "sample_id", F.col("feature_id").cast("long").alias("feature_id"), F.col("value").cast("double").alias("value"), arm.alias("arm"))
+    return in_categories(spark, sf, vectors).select(
+        "category",
+        "sample_id",
+        F.col("feature_id").cast("long").alias("feature_id"),
+        F.col("value").cast("double").alias("value"),
+        arm.alias("arm"),
+    )
 
 
 def sizes(spark, sf):
     labels = in_categories(spark, sf, table(spark, sf, "embeddings").select("label"))
-    return labels.groupBy("category").agg(F.count_if(F.col("label") == F.col("category")).alias("n_unsafe"), F.count_if(F.col("label") != F.col("category")).alias("n_safe"))
+    return labels.groupBy("category").agg(
+        F.count_if(F.col("label") == F.col("category")).alias("n_unsafe"),
+        F.count_if(F.col("label") != F.col("category")).alias("n_safe"),
+    )
 
 
 def rounded(df, *cols):
@@ -40,7 +55,11 @@ X1 = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64))
 
 def stats(spark, sf):
     vectors = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("sample_id"), "embedding")
-    active = vectors.select("label", "sample_id", F.posexplode("embedding").alias("feature_id", "value")).where("value > 0").withColumn("value", F.col("value").cast("double"))
+    active = vectors.select(
+        "label",
+        "sample_id",
+        F.posexplode("embedding").alias("feature_id", "value"),
+    ).where("value > 0").withColumn("value", F.col("value").cast("double"))
     return fx.activation_stats(active, vectors.select("label", "sample_id"), ["label"], 64)
 
 
@@ -49,14 +68,24 @@ def x1(spark, sf):
     return rounded(stats(spark, sf)[0], "active_mean", "active_sd", "sparsity", "magnitude_mean", "magnitude_sd")
 
 
-@query("x1_top_features", X1 + ", t AS (SELECT label, CAST(f AS INTEGER) AS feature_id, count(*) AS n_active FROM e WHERE x > 0 GROUP BY ALL) SELECT label, feature_id, n_active, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n_active DESC, feature_id) AS r FROM t) WHERE r <= 20")
+@query(
+    "x1_top_features",
+    X1 + ", t AS (SELECT label, CAST(f AS INTEGER) AS feature_id, count(*) AS n_active FROM e WHERE x > 0 GROUP BY ALL) SELECT label, feature_id, n_active, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n_active DESC, feature_id) AS r FROM t) WHERE r <= 20",
+)
 def x1_top(spark, sf):
     return stats(spark, sf)[1]
 
 
-@query("x2_feature_freq", LONG + "SELECT category, feature_id, count(*) FILTER (u AND v > 0.05) / max(nu) AS freq_unsafe, count(*) FILTER (NOT u AND v > 0.05) / max(ns) AS freq_safe, round(avg(v) FILTER (u AND v > 0.05), 8) AS magnitude_unsafe, round(avg(v) FILTER (NOT u AND v > 0.05), 8) AS magnitude_safe FROM d JOIN z USING (category) GROUP BY ALL")
+@query(
+    "x2_feature_freq",
+    LONG + "SELECT category, feature_id, count(*) FILTER (u AND v > 0.05) / max(nu) AS freq_unsafe, count(*) FILTER (NOT u AND v > 0.05) / max(ns) AS freq_safe, round(avg(v) FILTER (u AND v > 0.05), 8) AS magnitude_unsafe, round(avg(v) FILTER (NOT u AND v > 0.05), 8) AS magnitude_safe FROM d JOIN z USING (category) GROUP BY ALL",
+)
 def x2(spark, sf):
-    return rounded(fx.feature_freq(long(spark, sf), sizes(spark, sf), KEYS, 0.05), "magnitude_unsafe", "magnitude_safe")
+    return rounded(
+        fx.feature_freq(long(spark, sf), sizes(spark, sf), KEYS, 0.05),
+        "magnitude_unsafe",
+        "magnitude_safe",
+    )
 
 
 HIST = """, r AS (SELECT category, feature_id, min(v) AS lo, max(v) AS hi FROM d GROUP BY ALL),
@@ -91,7 +120,10 @@ def ranked(spark, sf):
     return fx.rank_features(long(spark, sf), sizes(spark, sf), KEYS, preselect=30, keep=15)
 
 
-@query("x6_rank_features", RANKED + "SELECT category, feature_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, feature_id) AS r FROM s) WHERE r <= 15")
+@query(
+    "x6_rank_features",
+    RANKED + "SELECT category, feature_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, feature_id) AS r FROM s) WHERE r <= 15",
+)
 def x6(spark, sf):
     return rounded(ranked(spark, sf), "score").select("category", "feature_id", "score", "rank")
 
@@ -108,12 +140,24 @@ w AS (SELECT category, feature_id, {reasons_sql('fu > 0.5 AND fs > 0.5')} AS rea
 def x7(spark, sf):
     """Scores of every 13th feature are no numbers and magnitudes of every 17th are extreme, so that each rule has cases."""
     l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
-    means = l.groupBy(*by).agg(F.sum("value").alias("total")).join(z, "category").select(*by, (F.col("total") / (F.col("n_unsafe") + F.col("n_safe"))).alias("mean"))
+    means = l.groupBy(*by).agg(F.sum("value").alias("total")).join(z, "category").select(
+        *by,
+        (F.col("total") / (F.col("n_unsafe") + F.col("n_safe"))).alias("mean"),
+    )
     both = fx.feature_freq(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(means, by)
     i = F.col("feature_id")
-    both = both.withColumns({"score": F.when(i % 13 == 5, float("nan")).when(i % 13 == 6, float("inf")).otherwise(F.col("delta_mu")), "mean_magnitude": F.col("mean") * F.when(i % 17 == 3, 1e9).otherwise(1.0)})
-    first = fx.prune(both, fx.prune_rules(0.4, 0.5, 0.01)).withColumnsRenamed({"reasons": "reasons_and", "keep": "keep_and"})
-    second = fx.prune(first, fx.prune_rules(0.4, 0.5, 0.01, either=True)).withColumnsRenamed({"reasons": "reasons_or", "keep": "keep_or"})
+    both = both.withColumns(
+        {
+            "score": F.when(i % 13 == 5, float("nan")).when(i % 13 == 6, float("inf")).otherwise(F.col("delta_mu")),
+            "mean_magnitude": F.col("mean") * F.when(i % 17 == 3, 1e9).otherwise(1.0),
+        },
+    )
+    first = fx.prune(both, fx.prune_rules(0.4, 0.5, 0.01)).withColumnsRenamed(
+        {"reasons": "reasons_and", "keep": "keep_and"},
+    )
+    second = fx.prune(first, fx.prune_rules(0.4, 0.5, 0.01, either=True)).withColumnsRenamed(
+        {"reasons": "reasons_or", "keep": "keep_or"},
+    )
     return second.select("category", "feature_id", "reasons_and", "keep_and", "reasons_or", "keep_or")
 
 
@@ -122,8 +166,22 @@ s AS (SELECT weight_id, category, feature_id, round(a * round(hist_dist, 8) + b
 SELECT weight_id, category, feature_id, CAST(row_number() OVER (PARTITION BY weight_id, category ORDER BY x DESC, feature_id) AS INTEGER) AS rank FROM s""")
 def x8(spark, sf):
     l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
-    scores = rounded(fx.hist_distance(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(fx.ks_stat(l, z, KEYS), by), "hist_dist", "delta_mu", "ks_stat")
-    weights = spark.createDataFrame([("W1", 0.4, 0.4, 0.2), ("W2", 1.0, 0.0, 0.0), ("W3", 0.0, 1.0, 0.0), ("W4", 0.0, 0.0, 1.0), ("W5", 0.2, 0.2, 0.6)], "weight_id string, w_hist double, w_mu double, w_ks double")
+    scores = rounded(
+        fx.hist_distance(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(fx.ks_stat(l, z, KEYS), by),
+        "hist_dist",
+        "delta_mu",
+        "ks_stat",
+    )
+    weights = spark.createDataFrame(
+        [
+            ("W1", 0.4, 0.4, 0.2),
+            ("W2", 1.0, 0.0, 0.0),
+            ("W3", 0.0, 1.0, 0.0),
+            ("W4", 0.0, 0.0, 1.0),
+            ("W5", 0.2, 0.2, 0.6),
+        ],
+        "weight_id string, w_hist double, w_mu double, w_ks double",
+    )
     return fx.weight_sensitivity(scores, weights, KEYS).select("weight_id", "category", "feature_id", "rank")
 
 
@@ -148,26 +206,66 @@ sem AS (SELECT n.*, primary_category = validated AS category_match, CASE WHEN pr
 
 
 def semantics(spark, sf):
-    aucs = rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc").select("feature_id", F.col("category").cast("string").alias("category"), "auc", (F.col("feature_id") % 3).cast("string").alias("validated"))
-    tags = aucs.select("category").distinct().withColumn("tags", F.array(F.concat(F.lit("tag"), "category"), F.lit("all")))
+    aucs = rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc").select(
+        "feature_id",
+        F.col("category").cast("string").alias("category"),
+        "auc",
+        (F.col("feature_id") % 3).cast("string").alias("validated"),
+    )
+    tags = aucs.select("category").distinct().withColumn(
+        "tags",
+        F.array(F.concat(F.lit("tag"), "category"), F.lit("all")),
+    )
     sem = fx.assign_semantics(aucs, ["feature_id"], tags, "validated")
-    return sem.withColumns({"repair_rate": (F.col("feature_id") * 37 % 100) / 100, "corrupt_rate": (F.col("feature_id") * 13 % 40) / 100})
-
-
-@query("x11_assign_semantics", SEM + "SELECT feature_id, validated, primary_category, primary_auc, category_match, assigned_category, cross_categories, 'tag' || assigned_category || ',all' AS tags FROM sem")
+    return sem.withColumns(
+        {
+            "repair_rate": (F.col("feature_id") * 37 % 100) / 100,
+            "corrupt_rate": (F.col("feature_id") * 13 % 40) / 100,
+        },
+    )
+
+
+@query(
+    "x11_assign_semantics",
+    SEM + "SELECT feature_id, validated, primary_category, primary_auc, category_match, assigned_category, cross_categories, 'tag' || assigned_category || ',all' AS tags FROM sem",
+)
 def x11(spark, sf):
-    return semantics(spark, sf).select("feature_id", "validated", "primary_category", "primary_auc", "category_match", "assigned_category", F.array_join("cross_categories", ",").alias("cross_categories"), F.array_join("assigned_tags", ",").alias("tags"))
+    return semantics(spark, sf).select(
+        "feature_id",
+        "validated",
+        "primary_category",
+        "primary_auc",
+        "category_match",
+        "assigned_category",
+        F.array_join("cross_categories", ",").alias("cross_categories"),
+        F.array_join("assigned_tags", ",").alias("tags"),
+    )
 
 
 @query("x12_build_groups", SEM + """, t AS (SELECT 'B' AS group_type, *, row_number() OVER (PARTITION BY validated ORDER BY primary_auc DESC, feature_id) AS r FROM sem WHERE category_match AND primary_auc >= 0.55 UNION ALL SELECT 'C', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem WHERE repair_rate >= 0.7 AND corrupt_rate <= 0.1 UNION ALL SELECT 'A', *, row_number() OVER (PARTITION BY validated ORDER BY repair_rate DESC, feature_id) FROM sem)
 SELECT validated || '-' || group_type AS group_id, string_agg(CAST(feature_id AS VARCHAR), ',' ORDER BY r) AS feature_ids, round(avg(repair_rate), 8) AS repair_rate, round(avg(corrupt_rate), 8) AS corruption_rate, avg(CAST(category_match AS INT)) AS semantic_purity, round(avg(primary_auc), 7) AS avg_auc, array_to_string(list_sort(list_distinct(flatten(list(['tag' || assigned_category, 'all'])))), ',') AS tags FROM t WHERE r <= 5 GROUP BY validated, group_type""")
 def x12(spark, sf):
     g = fx.build_groups(semantics(spark, sf), ["validated"])
-    return g.select("group_id", F.array_join("feature_ids", ",").alias("feature_ids"), F.round("repair_rate", 8).alias("repair_rate"), F.round("corruption_rate", 8).alias("corruption_rate"), "semantic_purity", F.round("avg_auc", 7).alias("avg_auc"), F.array_join("tags", ",").alias("tags"))
+    return g.select(
+        "group_id",
+        F.array_join("feature_ids", ",").alias("feature_ids"),
+        F.round("repair_rate", 8).alias("repair_rate"),
+        F.round("corruption_rate", 8).alias("corruption_rate"),
+        "semantic_purity",
+        F.round("avg_auc", 7).alias("avg_auc"),
+        F.array_join("tags", ",").alias("tags"),
+    )
 
 
 def groups(spark, sf):
-    return sizes(spark, sf).select("category").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g")).select(F.concat_ws("-", F.col("category").cast("string"), F.col("g").cast("string")).alias("group_id"), "category", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i * 3 + F.col("g") * 20).cast("long")).alias("feature_ids"))
+    return sizes(spark, sf).select("category").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("g")).select(
+        F.concat_ws("-", F.col("category").cast("string"), F.col("g").cast("string")).alias("group_id"),
+        "category",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(4)),
+            lambda i: (i * 3 + F.col("g") * 20).cast("long"),
+        ).alias("feature_ids"),
+    )
 
 
 @query("x13_repair_proxy", LONG + """, g AS (SELECT category, k, category || '-' || k AS group_id, i * 3 + k * 20 AS feature_id FROM cat, (SELECT unnest([0, 1]) AS k), (SELECT unnest(range(5)) AS i)),
@@ -188,38 +286,91 @@ pj AS (SELECT x.group_id, avg(len(list_intersect(x.top, y.top)) / len(list_disti
 pc AS (SELECT group_id, avg(c) AS c FROM (SELECT x.group_id, x.r, y.r AS r2, sum(x.q * y.q) / nullif(sqrt(sum(x.q * x.q) * sum(y.q * y.q)), 0) AS c FROM rk x JOIN rk y ON x.group_id = y.group_id AND x.pos = y.pos AND x.r < y.r AND y.r < 20 GROUP BY ALL) GROUP BY 1)
 SELECT group_id, round((SELECT avg(m) FROM ar WHERE ar.group_id = pj.group_id), 8) AS auc_mean, round(j, 8) AS jaccard, round(coalesce(c, 0.5), 8) AS rank_corr, round(j, 9) >= 0.5 AND round(coalesce(c, 0.5), 9) >= 0.5 AS deployable FROM pj JOIN pc USING (group_id)""")
 def x14(spark, sf):
-    return rounded(fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)), "auc_mean", "jaccard", "rank_corr")
+    return rounded(
+        fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)),
+        "auc_mean",
+        "jaccard",
+        "rank_corr",
+    )
 
 
 @query("x15_direction_vectors", LONG.replace("CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END AS v", "CAST(x AS DOUBLE) AS v") + """, f AS (SELECT category, feature_id, avg(v) FILTER (u) - avg(v) FILTER (NOT u) AS q FROM d GROUP BY ALL), n AS (SELECT category, sqrt(sum(q * q)) AS norm FROM f GROUP BY 1)
 SELECT category, CAST(feature_id AS INTEGER) AS dim, round(q / norm * (SELECT avg(norm) FROM n), 8) AS direction, round(norm, 8) AS norm FROM f JOIN n USING (category)""")
 def x15(spark, sf):
-    samples = in_categories(spark, sf, table(spark, sf, "embeddings").select("embedding", "label")).select("category", F.lit(1).alias("layer"), "embedding", F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"))
-    return rounded(fx.direction_vectors(samples, ["layer", "category"], "layer", "embedding"), "direction", "norm").drop("layer")
+    samples = in_categories(spark, sf, table(spark, sf, "embeddings").select("embedding", "label")).select(
+        "category",
+        F.lit(1).alias("layer"),
+        "embedding",
+        F.when(F.col("label") == F.col("category"), "unsafe").otherwise("safe").alias("arm"),
+    )
+    return rounded(
+        fx.direction_vectors(samples, ["layer", "category"], "layer", "embedding"),
+        "direction",
+        "norm",
+    ).drop("layer")
 
 
 @query("x16_build_states")
 def x16(spark, sf):
-    return fx.build_states(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", [str(i) for i in range(10)], [[0, 1, 2], [10, 20, 30, 40]], 32)
+    return fx.build_states(
+        table(spark, sf, "embeddings"),
+        "vec_id",
+        "embedding",
+        "label",
+        [str(i) for i in range(10)],
+        [[0, 1, 2], [10, 20, 30, 40]],
+        32,
+    )
 
 
 RECON = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, list_transform(embedding, lambda v: CASE WHEN CAST(v AS DOUBLE) > 0.05 THEN round(CAST(v AS DOUBLE), 1) ELSE 0.0 END) AS y FROM embeddings), q AS (SELECT vec_id, label, x, y, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS er, list_sum(list_transform(x, lambda v: v * v)) AS xx, list_sum(list_transform(y, lambda v: v * v)) AS yy, list_sum(list_transform(list_zip(x, y), lambda p: p[1] * p[2])) AS xy, len(list_filter(y, lambda v: v <> 0)) AS l0 FROM e) "
 
 
 def recon(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.transform("embedding", lambda v: F.when(v.cast("double") > 0.05, F.round(v.cast("double"), 1)).otherwise(0.0)).alias("y"))
-
-
-@query("x17_reconstruction_metrics", RECON + "SELECT vec_id, round(sqrt(er) / nullif(sqrt(xx), 0), 8) AS relative_l2, round(er / 64, 8) AS mse, CAST(l0 AS INTEGER) AS l0, l0 / 64 AS active_fraction, round(xy / nullif(sqrt(xx) * sqrt(yy), 0), 8) AS cosine FROM q")
+    return table(spark, sf, "embeddings").select(
+        "vec_id",
+        "label",
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
+        F.transform(
+            "embedding",
+            lambda v: F.when(v.cast("double") > 0.05, F.round(v.cast("double"), 1)).otherwise(0.0),
+        ).alias("y"),
+    )
+
+
+@query(
+    "x17_reconstruction_metrics",
+    RECON + "SELECT vec_id, round(sqrt(er) / nullif(sqrt(xx), 0), 8) AS relative_l2, round(er / 64, 8) AS mse, CAST(l0 AS INTEGER) AS l0, l0 / 64 AS active_fraction, round(xy / nullif(sqrt(xx) * sqrt(yy), 0), 8) AS cosine FROM q",
+)
 def x17(spark, sf):
-    return rounded(fx.reconstruction_metrics(recon(spark, sf), "x", "y"), "relative_l2", "mse", "cosine").drop("x", "y", "label")
-
-
-@query("x17_reconstruction_summary", RECON + "SELECT label, count(*) AS n, round(avg(m), 8) AS mean, round(quantile_cont(m, 0.5), 8) AS median, round(stddev_pop(m), 8) AS sd, round(min(m), 8) AS min, round(max(m), 8) AS max, avg(m) <= 0.7 AS viable FROM (SELECT *, sqrt(er) / sqrt(xx) AS m FROM q) GROUP BY 1")
+    return rounded(
+        fx.reconstruction_metrics(recon(spark, sf), "x", "y"),
+        "relative_l2",
+        "mse",
+        "cosine",
+    ).drop("x", "y", "label")
+
+
+@query(
+    "x17_reconstruction_summary",
+    RECON + "SELECT label, count(*) AS n, round(avg(m), 8) AS mean, round(quantile_cont(m, 0.5), 8) AS median, round(stddev_pop(m), 8) AS sd, round(min(m), 8) AS min, round(max(m), 8) AS max, avg(m) <= 0.7 AS viable FROM (SELECT *, sqrt(er) / sqrt(xx) AS m FROM q) GROUP BY 1",
+)
 def x17_summary(spark, sf):
-    return rounded(fx.reconstruction_summary(fx.reconstruction_metrics(recon(spark, sf), "x", "y"), ["label"], 0.7), "mean", "median", "sd", "min", "max")
-
-
-@query("x18_fidelity_global", RECON + ", l AS (SELECT label, unnest(x) AS a, unnest(y) AS b, unnest(range(64)) AS dim FROM e), p AS (SELECT label, dim, sum((a - b) * (a - b)) AS sse, sum(a) AS s1, sum(a * a) AS s2, count(*) AS n, count(*) FILTER (b <> 0) AS active FROM l GROUP BY ALL) SELECT label, round(sum(sse), 7) AS sse, round(sum(s2), 7) AS sum_squares, round(sum(s2 - s1 * s1 / n), 7) AS centred, CAST(sum(active) AS BIGINT) AS active, round(1 - sum(sse) / sum(s2 - s1 * s1 / n), 7) AS explained_variance FROM p GROUP BY 1")
+    return rounded(
+        fx.reconstruction_summary(fx.reconstruction_metrics(recon(spark, sf), "x", "y"), ["label"], 0.7),
+        "mean",
+        "median",
+        "sd",
+        "min",
+        "max",
+    )
+
+
+@query(
+    "x18_fidelity_global",
+    RECON + ", l AS (SELECT label, unnest(x) AS a, unnest(y) AS b, unnest(range(64)) AS dim FROM e), p AS (SELECT label, dim, sum((a - b) * (a - b)) AS sse, sum(a) AS s1, sum(a * a) AS s2, count(*) AS n, count(*) FILTER (b <> 0) AS active FROM l GROUP BY ALL) SELECT label, round(sum(sse), 7) AS sse, round(sum(s2), 7) AS sum_squares, round(sum(s2 - s1 * s1 / n), 7) AS centred, CAST(sum(active) AS BIGINT) AS active, round(1 - sum(sse) / sum(s2 - s1 * s1 / n), 7) AS explained_variance FROM p GROUP BY 1",
+)
 def x18(spark, sf):
-    return fx.fidelity_global(recon(spark, sf), ["label"], "x", "y").withColumns({c: F.round(c, 7) for c in ("sse", "sum_squares", "centred", "explained_variance")})
+    return fx.fidelity_global(recon(spark, sf), ["label"], "x", "y").withColumns(
+        {c: F.round(c, 7) for c in ("sse", "sum_squares", "centred", "explained_variance")},
+    )

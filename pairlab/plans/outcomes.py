@@ -20,7 +20,11 @@ def paired(spark, sf):
     scans = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("prompt_id"), F.col("l_linenumber").alias("method")).agg(
         F.bool_or(F.col("l_returnflag") == "R").alias("is_vulnerable"), F.bool_or(F.col("l_discount") == 0).alias("skipped"), (F.max("l_quantity") > 1).alias("valid"), F.min("l_quantity").alias("qty"))
     both = oc.pair_conditions(scans.where("method = 1"), scans.where("method > 1"), ["prompt_id"])
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("language"))
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("prompt_id"),
+        F.col("o_orderpriority").alias("category"),
+        F.col("o_orderstatus").alias("language"),
+    )
     return both.join(orders, "prompt_id")
 
 
@@ -28,26 +32,41 @@ def seeded(spark, sf):
     return paired(spark, sf).withColumn("seed", F.col("method"))
 
 
-@query("j5_pair_conditions", PAIRED + "SELECT prompt_id, method, category, language, b0_vulnerable, b0_skipped, is_vulnerable, skipped, valid FROM paired")
+@query(
+    "j5_pair_conditions",
+    PAIRED + "SELECT prompt_id, method, category, language, b0_vulnerable, b0_skipped, is_vulnerable, skipped, valid FROM paired",
+)
 def j5(spark, sf):
     return paired(spark, sf).drop("qty")
 
 
-@query("a1_value_counts", "SELECT 'l_returnflag' AS \"column\", l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY ALL")
+@query(
+    "a1_value_counts",
+    "SELECT 'l_returnflag' AS \"column\", l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY ALL",
+)
 def a1(spark, sf):
     return oc.value_counts(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query("a2_dataset_stats", "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS raw, count(*) FILTER (o_orderstatus = 'P') AS augmented, count(*) FILTER (o_orderstatus = 'P') / count(*) AS augmented_fraction FROM orders GROUP BY 1")
+@query(
+    "a2_dataset_stats",
+    "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS raw, count(*) FILTER (o_orderstatus = 'P') AS augmented, count(*) FILTER (o_orderstatus = 'P') / count(*) AS augmented_fraction FROM orders GROUP BY 1",
+)
 def a2(spark, sf):
     return oc.dataset_stats(table(spark, sf, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "P")
 
 
-@query("a3_stage_counts", "SELECT o_orderpriority AS category, count(*) AS \"all\", count(*) FILTER (o_totalprice > 1000) AS filtered, count(*) FILTER (o_totalprice > 1000 AND o_custkey % 5 = 0 AND o_orderpriority <> '5-LOW') AS test FROM orders GROUP BY 1")
+@query(
+    "a3_stage_counts",
+    "SELECT o_orderpriority AS category, count(*) AS \"all\", count(*) FILTER (o_totalprice > 1000) AS filtered, count(*) FILTER (o_totalprice > 1000 AND o_custkey % 5 = 0 AND o_orderpriority <> '5-LOW') AS test FROM orders GROUP BY 1",
+)
 def a3(spark, sf):
     orders = table(spark, sf, "orders")
     kept = orders.where("o_totalprice > 1000")
-    return oc.stage_counts({"all": orders, "filtered": kept, "test": kept.where("o_custkey % 5 = 0 AND o_orderpriority <> '5-LOW'")}, "o_orderpriority")
+    return oc.stage_counts(
+        {"all": orders, "filtered": kept, "test": kept.where("o_custkey % 5 = 0 AND o_orderpriority <> '5-LOW'")},
+        "o_orderpriority",
+    )
 
 
 @query("a4_method_metrics", PAIRED + """, c AS (SELECT method, count(*) AS n, count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (NOT b0_vulnerable) AS n_safe, count(*) FILTER (is_vulnerable) AS n_method_vulnerable, count(*) FILTER (skipped) AS n_skipped, count(*) FILTER (NOT b0_vulnerable AND is_vulnerable) AS n_corrupted, count(*) FILTER (valid) AS n_valid,
@@ -67,8 +86,16 @@ WITH t AS (SELECT source, text, CASE doc_id % 5 WHEN 0 THEN 'HOOK_EXCEPTION' WHE
 SELECT source, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS n_strict_empty, count(*) FILTER (text <> '' AND NOT regexp_matches(text, '\\S')) AS n_whitespace_only, count(*) FILTER (coalesce(s, '') NOT IN ('SUCCESS', 'WHITESPACE_ONLY')) AS n_failed, count(*) FILTER (s = 'HOOK_EXCEPTION') AS n_hook_failed, count(*) FILTER (f = 'USED') AS n_fallback FROM t GROUP BY 1""")
 def a5_outputs(spark, sf):
     i, j = F.col("doc_id") % 5, F.col("doc_id") % 7
-    status = F.when(i == 0, "HOOK_EXCEPTION").when(i == 1, F.lit(None)).when(i == 2, "WHITESPACE_ONLY").otherwise("SUCCESS")
-    made = table(spark, sf, "documents").select("source", "text", status.alias("status"), F.when(j == 3, "USED").when(j == 4, "NONE").alias("fallback"))
+    status = F.when(i == 0, "HOOK_EXCEPTION").when(i == 1, F.lit(None)).when(
+        i == 2,
+        "WHITESPACE_ONLY",
+    ).otherwise("SUCCESS")
+    made = table(spark, sf, "documents").select(
+        "source",
+        "text",
+        status.alias("status"),
+        F.when(j == 3, "USED").when(j == 4, "NONE").alias("fallback"),
+    )
     return oc.output_counts(made, ["source"], "text", "status", "fallback")
 
 
@@ -81,7 +108,11 @@ y AS (SELECT *, n_repaired / nullif(n_vulnerable, 0) AS vrr, n_corrupted / nulli
 
 def categories(spark, sf):
     taxonomy = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("category")).distinct()
-    return oc.per_category(paired(spark, sf), ["method"], taxonomy.unionByName(spark.range(1).select(F.lit("9-NEVER").alias("category"))))
+    return oc.per_category(
+        paired(spark, sf),
+        ["method"],
+        taxonomy.unionByName(spark.range(1).select(F.lit("9-NEVER").alias("category"))),
+    )
 
 
 @query("a6_per_category", PAIRED + A6 + "SELECT * FROM y")
@@ -89,7 +120,12 @@ def a6(spark, sf):
     return categories(spark, sf)
 
 
-@query("a7_vrr_pivot", PAIRED + A6 + "SELECT category, " + ", ".join(f"max(vrr) FILTER (method = {m}) AS \"{m}\"" for m in range(2, 8)) + " FROM y GROUP BY 1")
+@query(
+    "a7_vrr_pivot",
+    PAIRED + A6 + "SELECT category, " + ", ".join(
+        f"max(vrr) FILTER (method = {m}) AS \"{m}\"" for m in range(2, 8)
+    ) + " FROM y GROUP BY 1",
+)
 def a7(spark, sf):
     return oc.rate_pivot(categories(spark, sf), "category", "method", list(range(2, 8)), "vrr")
 
@@ -116,21 +152,39 @@ r AS (SELECT *, n_repaired / nullif(n_unsafe, 0) AS repair_rate, n_corrupted / n
 
 
 def cell_scans(spark, sf):
-    return paired(spark, sf).select("category", "method", "prompt_id", F.when(F.col("b0_vulnerable"), "unsafe").otherwise("safe").alias("arm"), "valid", "skipped", F.col("is_vulnerable").alias("target_present"), F.expr("is_vulnerable OR skipped").alias("any_finding"))
+    return paired(spark, sf).select(
+        "category",
+        "method",
+        "prompt_id",
+        F.when(F.col("b0_vulnerable"), "unsafe").otherwise("safe").alias("arm"),
+        "valid",
+        "skipped",
+        F.col("is_vulnerable").alias("target_present"),
+        F.expr("is_vulnerable OR skipped").alias("any_finding"),
+    )
 
 
 def cells(spark, sf):
     scans = cell_scans(spark, sf)
-    denominators = scans.groupBy("category").agg(F.count_distinct(F.when(F.col("arm") == "unsafe", F.col("prompt_id"))).alias("n_unsafe"), F.count_distinct(F.when(F.col("arm") == "safe", F.col("prompt_id"))).alias("n_safe"))
+    denominators = scans.groupBy("category").agg(
+        F.count_distinct(F.when(F.col("arm") == "unsafe", F.col("prompt_id"))).alias("n_unsafe"),
+        F.count_distinct(F.when(F.col("arm") == "safe", F.col("prompt_id"))).alias("n_safe"),
+    )
     return oc.cell_metrics(scans, ["category", "method"], denominators, ["category"], 0.15, 0.3)
 
 
-@query("a10_cell_metrics", CELLS + "SELECT category, method, n, n_repaired, n_corrupted, n_invalid, n_unsafe, n_safe, repair_rate, corruption_rate, invalid_rate, repair_rate >= 0.15 AND corruption_rate <= 0.3 AS admissible FROM r")
+@query(
+    "a10_cell_metrics",
+    CELLS + "SELECT category, method, n, n_repaired, n_corrupted, n_invalid, n_unsafe, n_safe, repair_rate, corruption_rate, invalid_rate, repair_rate >= 0.15 AND corruption_rate <= 0.3 AS admissible FROM r",
+)
 def a10(spark, sf):
     return cells(spark, sf)
 
 
-@query("a10_cell_ids", CELLS + "SELECT category, method, prompt_id, CASE WHEN arm = 'unsafe' THEN 'repaired' ELSE 'corrupted' END AS outcome FROM s WHERE valid AND CASE WHEN arm = 'unsafe' THEN NOT target_present ELSE any_finding END")
+@query(
+    "a10_cell_ids",
+    CELLS + "SELECT category, method, prompt_id, CASE WHEN arm = 'unsafe' THEN 'repaired' ELSE 'corrupted' END AS outcome FROM s WHERE valid AND CASE WHEN arm = 'unsafe' THEN NOT target_present ELSE any_finding END",
+)
 def a10_ids(spark, sf):
     return oc.cell_ids(cell_scans(spark, sf), ["category", "method"])
 
@@ -142,21 +196,55 @@ w AS (SELECT *, CASE WHEN tech THEN 'technical_failure' WHEN g1 + g2 = 0 THEN 'v
 
 
 def candidates(spark, sf):
-    made = cells(spark, sf).withColumns({"steered": F.when(F.col("method") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"), F.lit("z"), F.lit("w"))), "base": F.array(F.lit("x"), F.lit("z"))})
-    return oc.validate_candidates(made, {"size": F.col("n") > 50}, {"repair": F.col("repair_rate") >= 0.15, "corruption": F.col("corruption_rate") <= 0.25}, "steered", "base")
-
-
-@query("a11_validate_candidates", CANDIDATES + "SELECT category, method, array_to_string(new_categories, ',') AS new_categories, failed AS failed_gates, status FROM w")
+    made = cells(spark, sf).withColumns(
+        {
+            "steered": F.when(F.col("method") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(
+                F.array(F.lit("x"), F.lit("z"), F.lit("w")),
+            ),
+            "base": F.array(F.lit("x"), F.lit("z")),
+        },
+    )
+    return oc.validate_candidates(
+        made,
+        {"size": F.col("n") > 50},
+        {"repair": F.col("repair_rate") >= 0.15, "corruption": F.col("corruption_rate") <= 0.25},
+        "steered",
+        "base",
+    )
+
+
+@query(
+    "a11_validate_candidates",
+    CANDIDATES + "SELECT category, method, array_to_string(new_categories, ',') AS new_categories, failed AS failed_gates, status FROM w",
+)
 def a11(spark, sf):
-    return candidates(spark, sf).select("category", "method", F.array_join("new_categories", ",").alias("new_categories"), F.array_join("failed_gates", ",").alias("failed_gates"), "status")
-
-
-@query("a12_candidate_rollup", CANDIDATES + "SELECT category, count(*) AS tested, count(*) FILTER (status = 'validated') AS validated, min(repair_rate) AS min_rate, max(repair_rate) AS max_rate, count(*) FILTER (g1 = 1) AS failed_repair, count(*) FILTER (g2 = 1) AS failed_corruption, coalesce(string_agg(CAST(method AS VARCHAR), ',' ORDER BY method) FILTER (status = 'validated'), '') AS validated_ids FROM w GROUP BY 1")
+    return candidates(spark, sf).select(
+        "category",
+        "method",
+        F.array_join("new_categories", ",").alias("new_categories"),
+        F.array_join("failed_gates", ",").alias("failed_gates"),
+        "status",
+    )
+
+
+@query(
+    "a12_candidate_rollup",
+    CANDIDATES + "SELECT category, count(*) AS tested, count(*) FILTER (status = 'validated') AS validated, min(repair_rate) AS min_rate, max(repair_rate) AS max_rate, count(*) FILTER (g1 = 1) AS failed_repair, count(*) FILTER (g2 = 1) AS failed_corruption, coalesce(string_agg(CAST(method AS VARCHAR), ',' ORDER BY method) FILTER (status = 'validated'), '') AS validated_ids FROM w GROUP BY 1",
+)
 def a12(spark, sf):
-    return oc.candidate_rollup(candidates(spark, sf), ["category"], "method", "repair_rate", ["repair", "corruption"]).withColumn("validated_ids", F.array_join("validated_ids", ","))
-
-
-@query("a13_qualify", CELLS + "SELECT category, arm AS population, CASE WHEN NOT valid THEN 'invalid' WHEN skipped THEN 'skipped' WHEN arm = 'unsafe' AND NOT target_present THEN 'target_not_replicated' WHEN arm = 'safe' AND any_finding THEN 'finding_in_safe' ELSE 'qualified' END AS reason, count(*) AS n FROM s GROUP BY ALL")
+    return oc.candidate_rollup(
+        candidates(spark, sf),
+        ["category"],
+        "method",
+        "repair_rate",
+        ["repair", "corruption"],
+    ).withColumn("validated_ids", F.array_join("validated_ids", ","))
+
+
+@query(
+    "a13_qualify",
+    CELLS + "SELECT category, arm AS population, CASE WHEN NOT valid THEN 'invalid' WHEN skipped THEN 'skipped' WHEN arm = 'unsafe' AND NOT target_present THEN 'target_not_replicated' WHEN arm = 'safe' AND any_finding THEN 'finding_in_safe' ELSE 'qualified' END AS reason, count(*) AS n FROM s GROUP BY ALL",
+)
 def a13(spark, sf):
     return oc.qualified_counts(cell_scans(spark, sf).withColumnRenamed("arm", "population"), ["category"])
 
@@ -166,7 +254,14 @@ b AS (SELECT category, min(method) FILTER (corruption_rate > 0.21 OR validity_ra
 SELECT b.category, b.boundary, concat_ws(',', CASE WHEN x.corruption_rate > 0.21 THEN 'corruption' END, CASE WHEN x.validity_rate < 0.97 THEN 'validity' END) AS reasons, x.corruption_rate - z.corruption_rate AS corruption_change, x.validity_rate - z.validity_rate AS validity_change
 FROM b LEFT JOIN r x ON x.category = b.category AND x.method = b.boundary LEFT JOIN r z ON z.category = b.category AND z.method = 2""")
 def w4(spark, sf):
-    return oc.first_boundary(oc.paired_metrics(paired(spark, sf), ["category", "method"]), ["category"], "method", 0.21, 0.97, 2)
+    return oc.first_boundary(
+        oc.paired_metrics(paired(spark, sf), ["category", "method"]),
+        ["category"],
+        "method",
+        0.21,
+        0.97,
+        2,
+    )
 
 
 @query("w8_seed_consistency", PAIRED + """, e AS (SELECT prompt_id, method, bool_or(repaired) AS r FROM f WHERE b0_vulnerable GROUP BY ALL),
@@ -176,26 +271,49 @@ def w8(spark, sf):
     return oc.seed_consistency(seeded(spark, sf), "prompt_id", list(range(2, 8)))
 
 
-@query("w9_changed_cases", PAIRED + "SELECT prompt_id, method, CASE WHEN b0_vulnerable THEN 'removed' ELSE 'introduced' END AS direction FROM paired WHERE b0_vulnerable <> is_vulnerable")
+@query(
+    "w9_changed_cases",
+    PAIRED + "SELECT prompt_id, method, CASE WHEN b0_vulnerable THEN 'removed' ELSE 'introduced' END AS direction FROM paired WHERE b0_vulnerable <> is_vulnerable",
+)
 def w9(spark, sf):
     return oc.changed_cases(paired(spark, sf)).select("prompt_id", "method", "direction")
 
 
-@query("a17_status_map", "SELECT source, array_to_string(list_sort(list(lang || '=' || n)), ',') AS statuses FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1")
+@query(
+    "a17_status_map",
+    "SELECT source, array_to_string(list_sort(list(lang || '=' || n)), ',') AS statuses FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1",
+)
 def a17(spark, sf):
     made = oc.status_map(table(spark, sf, "documents"), ["source"], "lang")
-    return made.select("source", F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",").alias("statuses"))
-
-
-@query("a18_routing_coverage", PAIRED + "SELECT method, count(*) AS n, count(*) FILTER (category <> '5-LOW') AS n_supported, count(*) FILTER (category = '5-LOW') AS n_unsupported, count(*) FILTER (category <> '5-LOW' AND NOT skipped) AS n_active, count(*) FILTER (skipped) AS n_fallback, count(*) FILTER (category <> '5-LOW' AND NOT skipped) / count(*) AS active_rate FROM paired GROUP BY 1")
+    return made.select(
+        "source",
+        F.array_join(
+            F.transform(F.map_entries("statuses"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))),
+            ",",
+        ).alias("statuses"),
+    )
+
+
+@query(
+    "a18_routing_coverage",
+    PAIRED + "SELECT method, count(*) AS n, count(*) FILTER (category <> '5-LOW') AS n_supported, count(*) FILTER (category = '5-LOW') AS n_unsupported, count(*) FILTER (category <> '5-LOW' AND NOT skipped) AS n_active, count(*) FILTER (skipped) AS n_fallback, count(*) FILTER (category <> '5-LOW' AND NOT skipped) / count(*) AS active_rate FROM paired GROUP BY 1",
+)
 def a18(spark, sf):
-    return oc.routing_coverage(paired(spark, sf).withColumns({"supported": F.col("category") != "5-LOW", "fallback": F.col("skipped")}), ["method"])
+    return oc.routing_coverage(
+        paired(spark, sf).withColumns({"supported": F.col("category") != "5-LOW", "fallback": F.col("skipped")}),
+        ["method"],
+    )
 
 
-@query("a19_gate_rate", "SELECT event_type, count(*) AS n_steps, count(*) FILTER (value > 50) AS n_gated, count(*) FILTER (value > 50) / count(*) AS gate_rate FROM events GROUP BY 1")
+@query(
+    "a19_gate_rate",
+    "SELECT event_type, count(*) AS n_steps, count(*) FILTER (value > 50) AS n_gated, count(*) FILTER (value > 50) / count(*) AS gate_rate FROM events GROUP BY 1",
+)
 def a19(spark, sf):
     """Each log holds at most 1,000 consecutive events of a user."""
-    logs = table(spark, sf, "events").groupBy("event_type", "user_id", F.floor(F.col("event_id") / 1000)).agg(F.collect_list(F.struct("value", (F.col("value") > 50).alias("gated"))).alias("gate_log"))
+    logs = table(spark, sf, "events").groupBy("event_type", "user_id", F.floor(F.col("event_id") / 1000)).agg(
+        F.collect_list(F.struct("value", (F.col("value") > 50).alias("gated"))).alias("gate_log"),
+    )
     return oc.gate_rate(logs, ["event_type"], "gate_log", "gated")
 
 
@@ -207,21 +325,50 @@ def a20(spark, sf):
     count = lambda d: d.groupBy("category").agg(F.count("*").alias("n"))
     taxonomy = orders.groupBy("category").agg(F.bool_or(F.col("category") < "4").alias("claimed"))
     ladder = [("STRONG", F.expr("n_high >= 150 AND n_aug > 0")), ("LIMITED", F.expr("n_high >= 100"))]
-    return oc.evidence_table(taxonomy, {"n_all": count(orders), "n_aug": count(orders.where("o_orderstatus = 'P'")), "n_high": count(orders.where("o_totalprice > 400000"))}, ladder, "claimed")
-
-
-@query("a21_recurrence", "SELECT p_size, p_brand, count(DISTINCT split_part(p_type, ' ', 1)) AS n_categories, " + ", ".join(f"bool_or(split_part(p_type, ' ', 1) = '{c}') AS \"in_{c}\"" for c in ("PROMO", "ECONOMY", "SMALL")) + " FROM part GROUP BY ALL HAVING count(DISTINCT split_part(p_type, ' ', 1)) >= 2")
+    return oc.evidence_table(
+        taxonomy,
+        {
+            "n_all": count(orders),
+            "n_aug": count(orders.where("o_orderstatus = 'P'")),
+            "n_high": count(orders.where("o_totalprice > 400000")),
+        },
+        ladder,
+        "claimed",
+    )
+
+
+@query(
+    "a21_recurrence",
+    "SELECT p_size, p_brand, count(DISTINCT split_part(p_type, ' ', 1)) AS n_categories, " + ", ".join(
+        f"bool_or(split_part(p_type, ' ', 1) = '{c}') AS \"in_{c}\"" for c in ("PROMO", "ECONOMY", "SMALL")
+    ) + " FROM part GROUP BY ALL HAVING count(DISTINCT split_part(p_type, ' ', 1)) >= 2",
+)
 def a21(spark, sf):
-    return oc.recurrence(table(spark, sf, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1))), ["p_size", "p_brand"], "kind", ["PROMO", "ECONOMY", "SMALL"])
+    return oc.recurrence(
+        table(spark, sf, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1))),
+        ["p_size", "p_brand"],
+        "kind",
+        ["PROMO", "ECONOMY", "SMALL"],
+    )
 
 
 WILSON = "n_repaired, n_vulnerable, round((p + d / 2) / (1 + d) - z * sqrt(p * (1 - p) / n_vulnerable + d / n_vulnerable / 4) / (1 + d), 9) AS low, round((p + d / 2) / (1 + d) + z * sqrt(p * (1 - p) / n_vulnerable + d / n_vulnerable / 4) / (1 + d), 9) AS high"
 
 
-@query("q1_wilson", PAIRED + f", c AS (SELECT category, method, {A5} FROM f GROUP BY ALL), x AS (SELECT *, n_repaired / n_vulnerable AS p, 1.959963984540054 AS z, 1.959963984540054 * 1.959963984540054 / n_vulnerable AS d FROM c WHERE n_vulnerable > 0) SELECT category, method, {WILSON} FROM x")
+@query(
+    "q1_wilson",
+    PAIRED + f", c AS (SELECT category, method, {A5} FROM f GROUP BY ALL), x AS (SELECT *, n_repaired / n_vulnerable AS p, 1.959963984540054 AS z, 1.959963984540054 * 1.959963984540054 / n_vulnerable AS d FROM c WHERE n_vulnerable > 0) SELECT category, method, {WILSON} FROM x",
+)
 def q1(spark, sf):
     low, high = stats.wilson("n_repaired", "n_vulnerable")
-    return oc.paired_metrics(paired(spark, sf), ["category", "method"]).where("n_vulnerable > 0").select("category", "method", "n_repaired", "n_vulnerable", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+    return oc.paired_metrics(paired(spark, sf), ["category", "method"]).where("n_vulnerable > 0").select(
+        "category",
+        "method",
+        "n_repaired",
+        "n_vulnerable",
+        F.round(low, 9).alias("low"),
+        F.round(high, 9).alias("high"),
+    )
 
 
 DISCORDANT = PAIRED + ", c AS (SELECT category, method, count(*) FILTER (removed AND prompt_id % 40 = 0) AS b, count(*) FILTER (NOT b0_vulnerable AND is_vulnerable AND prompt_id % 40 = 0) AS c FROM f GROUP BY ALL)"
@@ -230,35 +377,67 @@ MCNEMAR = DISCORDANT + """, p AS (SELECT category, method, b, c, CASE WHEN b + c
 
 
 def discordant(spark, sf):
-    return paired(spark, sf).groupBy("category", "method").agg(F.count_if(F.expr("b0_vulnerable AND NOT is_vulnerable AND prompt_id % 40 = 0")).alias("b"), F.count_if(F.expr("NOT b0_vulnerable AND is_vulnerable AND prompt_id % 40 = 0")).alias("c"))
-
-
-@query("q2_mcnemar_exact", DISCORDANT.replace(" AND prompt_id % 40 = 0", "") + MCNEMAR[len(DISCORDANT):] + " SELECT category, method, b, c, round(p, 8) AS p FROM p")
+    return paired(spark, sf).groupBy("category", "method").agg(
+        F.count_if(F.expr("b0_vulnerable AND NOT is_vulnerable AND prompt_id % 40 = 0")).alias("b"),
+        F.count_if(F.expr("NOT b0_vulnerable AND is_vulnerable AND prompt_id % 40 = 0")).alias("c"),
+    )
+
+
+@query(
+    "q2_mcnemar_exact",
+    DISCORDANT.replace(
+        " AND prompt_id % 40 = 0",
+        "",
+    ) + MCNEMAR[len(DISCORDANT):] + " SELECT category, method, b, c, round(p, 8) AS p FROM p",
+)
 def q2(spark, sf):
-    counts = paired(spark, sf).groupBy("category", "method").agg(F.count_if(F.expr("b0_vulnerable AND NOT is_vulnerable")).alias("b"), F.count_if(F.expr("NOT b0_vulnerable AND is_vulnerable")).alias("c"))
+    counts = paired(spark, sf).groupBy("category", "method").agg(
+        F.count_if(F.expr("b0_vulnerable AND NOT is_vulnerable")).alias("b"),
+        F.count_if(F.expr("NOT b0_vulnerable AND is_vulnerable")).alias("c"),
+    )
     return counts.withColumn("p", F.round(stats.mcnemar_exact("b", "c"), 8))
 
 
-@query("q3_holm", PAIRED + ", c AS (SELECT category, method, round(avg(qty), 6) / 1000 AS p FROM paired GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p) AS r, count(*) OVER (PARTITION BY category) AS m FROM c) SELECT category, method, p, max(least(1.0, (m - r + 1) * p)) OVER (PARTITION BY category ORDER BY r) AS p_holm FROM r")
+@query(
+    "q3_holm",
+    PAIRED + ", c AS (SELECT category, method, round(avg(qty), 6) / 1000 AS p FROM paired GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p) AS r, count(*) OVER (PARTITION BY category) AS m FROM c) SELECT category, method, p, max(least(1.0, (m - r + 1) * p)) OVER (PARTITION BY category ORDER BY r) AS p_holm FROM r",
+)
 def q3(spark, sf):
-    return stats.holm(paired(spark, sf).groupBy("category", "method").agg((F.round(F.avg("qty"), 6) / 1000).alias("p")), "p", ["category"])
+    return stats.holm(
+        paired(spark, sf).groupBy("category", "method").agg((F.round(F.avg("qty"), 6) / 1000).alias("p")),
+        "p",
+        ["category"],
+    )
 
 
-@query("q4_percentile7", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.025) AS low, quantile_cont(l_extendedprice, 0.975) AS high FROM lineitem GROUP BY 1")
+@query(
+    "q4_percentile7",
+    "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.025) AS low, quantile_cont(l_extendedprice, 0.975) AS high FROM lineitem GROUP BY 1",
+)
 def q4(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(stats.percentile7("l_extendedprice", 0.025).alias("low"), stats.percentile7("l_extendedprice", 0.975).alias("high"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        stats.percentile7("l_extendedprice", 0.025).alias("low"),
+        stats.percentile7("l_extendedprice", 0.975).alias("high"),
+    )
 
 
 @query("q5_paired_bootstrap")
 def q5(spark, sf):
-    return stats.paired_bootstrap(paired(spark, sf).where("method = 2"), F.col("b0_vulnerable").cast("int"), F.col("is_vulnerable").cast("int"))
+    return stats.paired_bootstrap(
+        paired(spark, sf).where("method = 2"),
+        F.col("b0_vulnerable").cast("int"),
+        F.col("is_vulnerable").cast("int"),
+    )
 
 
 @query("q5_hashed_bootstrap", PAIRED + """, u AS (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS k, sum(CAST(b0_vulnerable AS BIGINT)) AS a, sum(CAST(is_vulnerable AS BIGINT)) AS b FROM (SELECT *, prompt_id % 97 AS n FROM paired WHERE method = 2) GROUP BY n),
 m AS (SELECT count(*) AS n FROM u), d AS (SELECT r.range AS replicate, ('0x' || substr(md5('42|' || r.range || '|' || i.range), 1, 8))::BIGINT % n AS k FROM range(200) r, range(97) i, m)
 SELECT replicate, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM d JOIN u USING (k) GROUP BY 1""")
 def q5_hashed(spark, sf):
-    groups = paired(spark, sf).where("method = 2").groupBy((F.col("prompt_id") % 97).alias("k")).agg(F.sum(F.col("b0_vulnerable").cast("long")).alias("a"), F.sum(F.col("is_vulnerable").cast("long")).alias("b"))
+    groups = paired(spark, sf).where("method = 2").groupBy((F.col("prompt_id") % 97).alias("k")).agg(
+        F.sum(F.col("b0_vulnerable").cast("long")).alias("a"),
+        F.sum(F.col("is_vulnerable").cast("long")).alias("b"),
+    )
     return stats.hashed_bootstrap(groups, "k", 97, ["a", "b"], 200, 42)
 
 
@@ -266,13 +445,25 @@ def q5_hashed(spark, sf):
 def q6(spark, sf):
     df = oc.flags(paired(spark, sf))
     at = lambda m: (f"m{m}", F.when(F.col("method") == m, F.col("repaired").cast("int")).otherwise(0), F.when(F.col("method") == m, F.col("b0_vulnerable").cast("int")).otherwise(0))
-    return stats.ratio_bootstrap(df, ["prompt_id"], [at(m) for m in (2, 3, 4)], {"m2": (["m2"], []), "m2 - m3 and m4": (["m2"], ["m3", "m4"])}, 2000)
+    return stats.ratio_bootstrap(
+        df,
+        ["prompt_id"],
+        [at(m) for m in (2, 3, 4)],
+        {"m2": (["m2"], []), "m2 - m3 and m4": (["m2"], ["m3", "m4"])},
+        2000,
+    )
 
 
 @query("q7_cluster_bootstrap")
 def q7(spark, sf):
     df = oc.flags(paired(spark, sf)).withColumn("cluster", F.col("prompt_id") % 97)
-    return stats.cluster_bootstrap(df, ["cluster"], F.col("repaired").cast("int"), F.col("b0_vulnerable").cast("int"), 2000)
+    return stats.cluster_bootstrap(
+        df,
+        ["cluster"],
+        F.col("repaired").cast("int"),
+        F.col("b0_vulnerable").cast("int"),
+        2000,
+    )
 
 
 #: Sums of repaired and vulnerable records of 97 clusters by method, and which of them 200 replicates draw.
@@ -283,13 +474,24 @@ b AS (SELECT replicate, """ + ", ".join(f"sum(r{m}) / nullif(sum(v{m}), 0) AS x{
 
 
 def bounds_sql(contrasts: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS contrast, round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high, count({x}) AS n FROM b" for n, x in contrasts.items())
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS contrast, round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high, count({x}) AS n FROM b" for n, x in contrasts.items()
+    )
 
 
 def cluster_draws(spark, sf):
     df = oc.flags(paired(spark, sf))
-    counts = [F.count_if(F.expr(f"{flag} AND method = {m}")).alias(f"{c}{m}") for m in (2, 3, 4) for c, flag in (("r", "repaired"), ("v", "b0_vulnerable"))]
-    sums = df.groupBy((F.col("prompt_id") % 97).alias("k")).agg(*counts, F.count_if("repaired").alias("r"), F.count_if("b0_vulnerable").alias("v"))
+    counts = [
+        F.count_if(F.expr(f"{flag} AND method = {m}")).alias(f"{c}{m}") for m in (2, 3, 4) for c, flag in (
+            ("r", "repaired"),
+            ("v", "b0_vulnerable"),
+        )
+    ]
+    sums = df.groupBy((F.col("prompt_id") % 97).alias("k")).agg(
+        *counts,
+        F.count_if("repaired").alias("r"),
+        F.count_if("b0_vulnerable").alias("v"),
+    )
     return stats.hashed_bootstrap(sums, "k", 97, sums.columns[1:], 200, 42)
 
 
@@ -310,14 +512,30 @@ def q7_hashed(spark, sf):
 FROM paired m JOIN paired b ON m.prompt_id = b.prompt_id AND b.method = 2 WHERE m.method > 2 GROUP BY ALL)
 SELECT category, CAST(condition AS VARCHAR) AS condition, n, base_rate, rate, improved, regressed, 0.005 AS threshold, rate - base_rate AS delta, CASE WHEN base_rate - rate > 0.005 THEN 'DROP_EXCEEDS_THRESHOLD' ELSE 'WITHIN_THRESHOLD' END AS status FROM j""")
 def q8(spark, sf):
-    df = paired(spark, sf).select("category", F.col("method").cast("string").alias("condition"), F.col("prompt_id").alias("task_id"), (~F.col("is_vulnerable")).alias("passed"))
-    return stats.utility_deltas(df, ["category"], "2", df.select("category").distinct().withColumn("threshold", F.lit(0.005)))
-
-
-@query("q9_admissible", PAIRED + f", c AS (SELECT category, method, {A5} FROM f GROUP BY ALL), r AS (SELECT *, {A5_RATES} FROM c), w AS (SELECT category, method, concat_ws('; ', CASE WHEN coalesce(corr_vrr >= 0.7, false) THEN NULL ELSE 'repair' END, CASE WHEN coalesce(corruption_rate <= 0.22, false) THEN NULL ELSE 'corruption' END) AS reason FROM r) SELECT *, reason = '' AS admissible FROM w")
+    df = paired(spark, sf).select(
+        "category",
+        F.col("method").cast("string").alias("condition"),
+        F.col("prompt_id").alias("task_id"),
+        (~F.col("is_vulnerable")).alias("passed"),
+    )
+    return stats.utility_deltas(
+        df,
+        ["category"],
+        "2",
+        df.select("category").distinct().withColumn("threshold", F.lit(0.005)),
+    )
+
+
+@query(
+    "q9_admissible",
+    PAIRED + f", c AS (SELECT category, method, {A5} FROM f GROUP BY ALL), r AS (SELECT *, {A5_RATES} FROM c), w AS (SELECT category, method, concat_ws('; ', CASE WHEN coalesce(corr_vrr >= 0.7, false) THEN NULL ELSE 'repair' END, CASE WHEN coalesce(corruption_rate <= 0.22, false) THEN NULL ELSE 'corruption' END) AS reason FROM r) SELECT *, reason = '' AS admissible FROM w",
+)
 def q9(spark, sf):
     metrics = oc.paired_metrics(paired(spark, sf), ["category", "method"])
-    return stats.admissible(metrics, {"repair": F.col("corr_vrr") >= 0.7, "corruption": F.col("corruption_rate") <= 0.22}).select("category", "method", "reason", "admissible")
+    return stats.admissible(
+        metrics,
+        {"repair": F.col("corr_vrr") >= 0.7, "corruption": F.col("corruption_rate") <= 0.22},
+    ).select("category", "method", "reason", "admissible")
 
 
 @query("w3_select_best", PAIRED + f""", c AS (SELECT category, method, {A5} FROM f GROUP BY ALL), r AS (SELECT *, {A5_RATES}, n_vulnerable > 25 AS g FROM c),
@@ -325,5 +543,16 @@ k AS (SELECT *, CASE WHEN g THEN row_number() OVER w END AS selection_rank, firs
 SELECT category, method, selection_rank, coalesce(selection_rank = 1, false) AS selected, CASE WHEN selection_rank > 1 THEN CASE WHEN corr_vrr IS DISTINCT FROM x THEN 'corr_vrr' WHEN n_corrupted IS DISTINCT FROM y THEN 'n_corrupted' ELSE 'method' END END AS losing_field FROM k""")
 def w3(spark, sf):
     metrics = oc.paired_metrics(paired(spark, sf), ["category", "method"])
-    best = stats.select_best(metrics, ["category"], [("corr_vrr", False), ("n_corrupted", True), ("method", True)], F.col("n_vulnerable") > 25)
-    return best.select("category", "method", F.col("selection_rank").cast("long").alias("selection_rank"), "selected", "losing_field")
+    best = stats.select_best(
+        metrics,
+        ["category"],
+        [("corr_vrr", False), ("n_corrupted", True), ("method", True)],
+        F.col("n_vulnerable") > 25,
+    )
+    return best.select(
+        "category",
+        "method",
+        F.col("selection_rank").cast("long").alias("selection_rank"),
+        "selected",
+        "losing_field",
+    )

@@ -9,7 +9,10 @@ from pairlab.operators import sampling as sm
 from pairlab.registry import query, table
 
 
-@query("i1_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query(
+    "i1_duplicates",
+    "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+)
 def i1(spark, sf):
     return qa.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -19,10 +22,24 @@ WITH p AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS x FROM or
 j AS (SELECT p.k, p.s, q.s AS qs, r.s AS rs, x, flag FROM p LEFT JOIN q USING (k) LEFT JOIN r USING (k))
 SELECT k, 'output_s' AS rule FROM j WHERE s IS DISTINCT FROM qs UNION ALL SELECT k, 'scan_s' FROM j WHERE s IS DISTINCT FROM rs UNION ALL SELECT k, 'flag' FROM j WHERE flag <> (x > 300000)""")
 def i2(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("x"))
-    outputs = orders.where("k % 90 != 0").select("k", F.when(F.col("k") % 40 == 0, "?").otherwise(F.col("s")).alias("s"))
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.col("o_orderstatus").alias("s"),
+        F.col("o_totalprice").alias("x"),
+    )
+    outputs = orders.where("k % 90 != 0").select(
+        "k",
+        F.when(F.col("k") % 40 == 0, "?").otherwise(F.col("s")).alias("s"),
+    )
     scans = orders.select("k", "s", F.expr("x > 300000 OR k % 500 = 3").alias("flag"))
-    return qa.check_chain(orders, outputs, scans, "k", ["s"], {"flag": F.col("scan_flag") == (F.col("prompt_x") > 300000)})
+    return qa.check_chain(
+        orders,
+        outputs,
+        scans,
+        "k",
+        ["s"],
+        {"flag": F.col("scan_flag") == (F.col("prompt_x") > 300000)},
+    )
 
 
 @query("i3_split_report", """
@@ -34,32 +51,58 @@ UNION ALL SELECT 'category_ratio', CASE WHEN x <= 3 THEN 'PASS' ELSE 'FAIL' END,
 UNION ALL SELECT 'total', 'PASS', count(*), 1 FROM s""")
 def i3(spark, sf):
     held = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 100 != 0)
-    df = table(spark, sf, "orders").withColumn("split", F.when(held, "test").when(sm.hash_order(42, "o_custkey") < "9", "train").otherwise("test"))
+    df = table(spark, sf, "orders").withColumn(
+        "split",
+        F.when(held, "test").when(sm.hash_order(42, "o_custkey") < "9", "train").otherwise("test"),
+    )
     return qa.split_report(df, "split", "o_custkey", "o_orderpriority", ["5-LOW"], 100, 3.0)
 
 
-@query("i4_set_checks", "SELECT 'disjoint' AS \"check\", 'open' AS a, 'done' AS b, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'disjoint', 'open', 'large', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000) UNION ALL SELECT 'nested', 'large', 'open', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice > 400000)")
+@query(
+    "i4_set_checks",
+    "SELECT 'disjoint' AS \"check\", 'open' AS a, 'done' AS b, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'disjoint', 'open', 'large', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000) UNION ALL SELECT 'nested', 'large', 'open', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice > 400000)",
+)
 def i4(spark, sf):
     orders = table(spark, sf, "orders")
-    sets = {"open": orders.where("o_orderstatus = 'O'"), "done": orders.where("o_orderstatus = 'F'"), "large": orders.where("o_totalprice > 400000")}
+    sets = {
+        "open": orders.where("o_orderstatus = 'O'"),
+        "done": orders.where("o_orderstatus = 'F'"),
+        "large": orders.where("o_totalprice > 400000"),
+    }
     return qa.set_checks(sets, "o_orderkey", [("open", "done"), ("open", "large")], [("large", "open")])
 
 
-@query("i5_drift", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 13 = 0 THEN 'changed' END AS state FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 UNION ALL SELECT doc_id + 100000000, 'missing' FROM documents WHERE doc_id % 17 = 0")
+@query(
+    "i5_drift",
+    "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 13 = 0 THEN 'changed' END AS state FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 UNION ALL SELECT doc_id + 100000000, 'missing' FROM documents WHERE doc_id % 17 = 0",
+)
 def i5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    manifest = docs.where("doc_id % 11 != 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 0, "old").otherwise(F.col("text")), 256).alias("sha256")).unionByName(docs.where("doc_id % 17 = 0").select(F.col("doc_id") + 100000000, F.sha2("text", 256)).toDF("doc_id", "sha256"))
+    manifest = docs.where("doc_id % 11 != 0").select(
+        "doc_id",
+        F.sha2(F.when(F.col("doc_id") % 13 == 0, "old").otherwise(F.col("text")), 256).alias("sha256"),
+    ).unionByName(docs.where("doc_id % 17 = 0").select(F.col("doc_id") + 100000000, F.sha2("text", 256)).toDF("doc_id", "sha256"))
     return qa.drift(docs, manifest, "doc_id", F.col("text"))
 
 
-@query("i6_metric_drift", "WITH m AS (SELECT l_suppkey, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY 1) SELECT l_suppkey, v + CASE WHEN l_suppkey % 9 = 0 THEN 0.5 ELSE 0 END AS reported, CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE v END AS recomputed FROM m WHERE l_suppkey % 9 = 0 OR l_suppkey % 10 = 0")
+@query(
+    "i6_metric_drift",
+    "WITH m AS (SELECT l_suppkey, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY 1) SELECT l_suppkey, v + CASE WHEN l_suppkey % 9 = 0 THEN 0.5 ELSE 0 END AS reported, CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE v END AS recomputed FROM m WHERE l_suppkey % 9 = 0 OR l_suppkey % 10 = 0",
+)
 def i6(spark, sf):
     means = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 6).alias("v"))
     reported = means.withColumn("v", F.col("v") + F.when(F.col("l_suppkey") % 9 == 0, 0.5).otherwise(0.0))
     return qa.metric_drift(reported, means.where("l_suppkey % 10 != 0"), ["l_suppkey"], "v", 0.001)
 
 
-@query("i7_forbidden_fields", "SELECT doc_id, 'source' AS field FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang <> 'en'")
+@query(
+    "i7_forbidden_fields",
+    "SELECT doc_id, 'source' AS field FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang <> 'en'",
+)
 def i7(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(" ").alias("source"), F.nullif("lang", F.lit("en")).alias("lang"))
+    df = table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(" ").alias("source"),
+        F.nullif("lang", F.lit("en")).alias("lang"),
+    )
     return qa.forbidden_fields(df, ["doc_id"], ["source", "lang", "absent"])

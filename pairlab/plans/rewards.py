@@ -18,7 +18,17 @@ ju AS (SELECT *, min(CASE WHEN is_best THEN action_id END) OVER (PARTITION BY pr
 def rollouts(spark, sf):
     """What was skipped has not been scanned: is_vulnerable is null."""
     scanned = F.when(~F.col("skipped"), F.col("is_vulnerable")).alias("is_vulnerable")
-    return paired(spark, sf).select("prompt_id", (F.col("method") - 1).alias("action_id"), (F.col("method") == 2).alias("is_noop"), (F.col("method") % 3).alias("level"), "category", "language", "valid", "b0_vulnerable", scanned)
+    return paired(spark, sf).select(
+        "prompt_id",
+        (F.col("method") - 1).alias("action_id"),
+        (F.col("method") == 2).alias("is_noop"),
+        (F.col("method") % 3).alias("level"),
+        "category",
+        "language",
+        "valid",
+        "b0_vulnerable",
+        scanned,
+    )
 
 
 def judged(spark, sf):
@@ -31,30 +41,71 @@ def near(df, *cols):
 
 @query("b1_base_reward", ROLL + "SELECT prompt_id, action_id, round(reward, 8) AS reward FROM sc")
 def b1(spark, sf):
-    return near(rollouts(spark, sf).select("prompt_id", "action_id", rw.base_reward(F.col("category") < "3").alias("reward")), "reward")
+    return near(
+        rollouts(spark, sf).select("prompt_id", "action_id", rw.base_reward(F.col("category") < "3").alias("reward")),
+        "reward",
+    )
 
 
-@query("b2_regret", ROLL + "SELECT prompt_id, action_id, round(regret, 8) AS regret, round(best_reward, 8) AS best_reward, is_best, representative, actionable FROM ju")
+@query(
+    "b2_regret",
+    ROLL + "SELECT prompt_id, action_id, round(regret, 8) AS regret, round(best_reward, 8) AS best_reward, is_best, representative, actionable FROM ju",
+)
 def b2(spark, sf):
-    return near(judged(spark, sf), "regret", "best_reward").select("prompt_id", "action_id", "regret", "best_reward", "is_best", "representative", "actionable")
-
-
-@query("b3_action_distribution", ROLL + "SELECT action_id, count(*) AS n, round(avg(reward), 8) AS reward_mean, round(stddev_pop(reward), 8) AS reward_sd, round(min(reward), 8) AS reward_min, round(max(reward), 8) AS reward_max, round(avg(regret), 8) AS regret_mean, count(*) FILTER (is_best) AS n_best, count(DISTINCT prompt_id) AS n_prompts, count(*) FILTER (is_best) > 0.85 * count(*) AS dominant FROM ju GROUP BY 1")
+    return near(judged(spark, sf), "regret", "best_reward").select(
+        "prompt_id",
+        "action_id",
+        "regret",
+        "best_reward",
+        "is_best",
+        "representative",
+        "actionable",
+    )
+
+
+@query(
+    "b3_action_distribution",
+    ROLL + "SELECT action_id, count(*) AS n, round(avg(reward), 8) AS reward_mean, round(stddev_pop(reward), 8) AS reward_sd, round(min(reward), 8) AS reward_min, round(max(reward), 8) AS reward_max, round(avg(regret), 8) AS regret_mean, count(*) FILTER (is_best) AS n_best, count(DISTINCT prompt_id) AS n_prompts, count(*) FILTER (is_best) > 0.85 * count(*) AS dominant FROM ju GROUP BY 1",
+)
 def b3(spark, sf):
-    return near(rw.action_distribution(judged(spark, sf)), "reward_mean", "reward_sd", "reward_min", "reward_max", "regret_mean")
-
-
-@query("b4_offline_dataset", ROLL + "SELECT prompt_id, action_id, CASE WHEN NOT valid THEN 'invalid' WHEN prompt_id % 9 = 0 THEN 'no_state' WHEN action_id = 6 THEN 'unknown_action' WHEN action_id = 4 THEN 'masked' END AS skip_reason FROM ju")
+    return near(
+        rw.action_distribution(judged(spark, sf)),
+        "reward_mean",
+        "reward_sd",
+        "reward_min",
+        "reward_max",
+        "regret_mean",
+    )
+
+
+@query(
+    "b4_offline_dataset",
+    ROLL + "SELECT prompt_id, action_id, CASE WHEN NOT valid THEN 'invalid' WHEN prompt_id % 9 = 0 THEN 'no_state' WHEN action_id = 6 THEN 'unknown_action' WHEN action_id = 4 THEN 'masked' END AS skip_reason FROM ju",
+)
 def b4(spark, sf):
-    states = table(spark, sf, "orders").where("o_orderkey % 9 != 0").select(F.col("o_orderkey").alias("prompt_id"), F.array("o_totalprice").alias("state"))
-    actions = rollouts(spark, sf).select("action_id").distinct().where("action_id != 6").withColumn("masked", F.col("action_id") == 4)
+    states = table(spark, sf, "orders").where("o_orderkey % 9 != 0").select(
+        F.col("o_orderkey").alias("prompt_id"),
+        F.array("o_totalprice").alias("state"),
+    )
+    actions = rollouts(spark, sf).select("action_id").distinct().where("action_id != 6").withColumn(
+        "masked",
+        F.col("action_id") == 4,
+    )
     return rw.offline_dataset(judged(spark, sf), states, actions).select("prompt_id", "action_id", "skip_reason")
 
 
-@query("b5_evaluate_policy", ROLL + ", pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY CASE WHEN level = 1 THEN 0 WHEN is_noop THEN 1 ELSE 2 END, action_id) AS r FROM ju) WHERE r = 1) SELECT count(*) AS n, round(avg(reward), 8) AS mean_reward, round(avg(regret), 8) AS mean_regret, round(avg(CAST(is_best AS INT)), 8) AS best_rate FROM pk")
+@query(
+    "b5_evaluate_policy",
+    ROLL + ", pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY CASE WHEN level = 1 THEN 0 WHEN is_noop THEN 1 ELSE 2 END, action_id) AS r FROM ju) WHERE r = 1) SELECT count(*) AS n, round(avg(reward), 8) AS mean_reward, round(avg(regret), 8) AS mean_regret, round(avg(CAST(is_best AS INT)), 8) AS best_rate FROM pk",
+)
 def b5(spark, sf):
     priority = F.when(F.col("level") == 1, 0).when(F.col("is_noop"), 1).otherwise(2)
-    return near(rw.policy_summary(rw.evaluate_policy(judged(spark, sf), priority)), "mean_reward", "mean_regret", "best_rate")
+    return near(
+        rw.policy_summary(rw.evaluate_policy(judged(spark, sf), priority)),
+        "mean_reward",
+        "mean_regret",
+        "best_rate",
+    )
 
 
 @query("b6_policy_metrics", ROLL + """, pr AS (SELECT o_orderkey AS prompt_id, CAST(o_custkey % 6 + 1 AS INTEGER) AS action_id, o_orderstatus AS policy FROM orders WHERE o_orderkey IN (SELECT prompt_id FROM ju)), be AS (SELECT DISTINCT prompt_id, representative, best_reward, actionable FROM ju WHERE is_best)
@@ -63,12 +114,34 @@ SELECT policy, count(*) AS n, round(avg(CAST(pr.action_id = representative AS IN
 FROM pr LEFT JOIN be USING (prompt_id) LEFT JOIN (SELECT prompt_id, action_id, reward FROM ju) j ON j.prompt_id = pr.prompt_id AND j.action_id = pr.action_id GROUP BY 1""")
 def b6(spark, sf):
     rolled = judged(spark, sf)
-    predictions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), (F.col("o_custkey") % 6 + 1).cast("int").alias("action_id"), F.col("o_orderstatus").alias("policy")).join(rolled.select("prompt_id").distinct(), "prompt_id", "left_semi")
-    actions = spark.range(1, 7).select(F.col("id").cast("int").alias("action_id"), (F.col("id") == 1).alias("is_noop"), (F.col("id") == 4).alias("masked"), F.col("id").isin(3, 5).alias("is_high"))
-    return near(rw.policy_metrics(predictions, rolled.drop("is_noop", "level"), actions, ["policy"]), "top1", "rcr", "noop_rate", "masked_rate", "high_rate")
-
-
-GRID = [("final", -1.0, 1.0, 0.25, -1.5, 0.05), ("cost_0", -1.0, 1.0, 0.25, -1.5, 0.0), ("cost_1", -1.0, 1.0, 0.25, -1.5, 0.5), ("bonus_0", -1.0, 1.0, 0.0, -1.5, 0.05), ("corruption_0", -1.0, 1.0, 0.25, 0.0, 0.05)]
+    predictions = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("prompt_id"),
+        (F.col("o_custkey") % 6 + 1).cast("int").alias("action_id"),
+        F.col("o_orderstatus").alias("policy"),
+    ).join(rolled.select("prompt_id").distinct(), "prompt_id", "left_semi")
+    actions = spark.range(1, 7).select(
+        F.col("id").cast("int").alias("action_id"),
+        (F.col("id") == 1).alias("is_noop"),
+        (F.col("id") == 4).alias("masked"),
+        F.col("id").isin(3, 5).alias("is_high"),
+    )
+    return near(
+        rw.policy_metrics(predictions, rolled.drop("is_noop", "level"), actions, ["policy"]),
+        "top1",
+        "rcr",
+        "noop_rate",
+        "masked_rate",
+        "high_rate",
+    )
+
+
+GRID = [
+    ("final", -1.0, 1.0, 0.25, -1.5, 0.05),
+    ("cost_0", -1.0, 1.0, 0.25, -1.5, 0.0),
+    ("cost_1", -1.0, 1.0, 0.25, -1.5, 0.5),
+    ("bonus_0", -1.0, 1.0, 0.0, -1.5, 0.05),
+    ("corruption_0", -1.0, 1.0, 0.25, 0.0, 0.05),
+]
 
 
 @query("b7_reward_sensitivity", ROLL + ", g AS (SELECT * FROM (VALUES " + ", ".join(str(g) for g in GRID) + """) v(setting, ci, cr, cb, cc, ck)),
@@ -77,11 +150,22 @@ t7 AS (SELECT *, reward - max(reward) OVER (PARTITION BY setting, prompt_id) AS
 c7 AS (SELECT u7.setting, avg(CAST(u7.best <> z.best AS INT)) AS changed_share FROM u7 JOIN u7 z ON z.setting = 'final' AND z.prompt_id = u7.prompt_id GROUP BY 1)
 SELECT setting, round(avg(reward), 8) AS mean_reward, round(avg(regret), 8) AS mean_regret, count(*) FILTER (abs(regret) <= 1e-6) AS n_best, round(max(changed_share), 8) AS changed_share FROM t7 JOIN c7 USING (setting) GROUP BY 1""")
 def b7(spark, sf):
-    grid = spark.createDataFrame(GRID, "setting string, invalid double, repair double, bonus double, corruption double, cost double")
-    return near(rw.reward_sensitivity(rollouts(spark, sf), grid, F.col("category") < "3", "final"), "mean_reward", "mean_regret", "changed_share")
-
-
-@query("b8_training_examples", ROLL + "SELECT prompt_id, min(representative) AS label, round(1 + greatest(0, max(reward) - avg(reward)) + CASE WHEN bool_or(bonus) THEN 0.25 ELSE 0 END, 8) AS weight FROM ju GROUP BY 1")
+    grid = spark.createDataFrame(
+        GRID,
+        "setting string, invalid double, repair double, bonus double, corruption double, cost double",
+    )
+    return near(
+        rw.reward_sensitivity(rollouts(spark, sf), grid, F.col("category") < "3", "final"),
+        "mean_reward",
+        "mean_regret",
+        "changed_share",
+    )
+
+
+@query(
+    "b8_training_examples",
+    ROLL + "SELECT prompt_id, min(representative) AS label, round(1 + greatest(0, max(reward) - avg(reward)) + CASE WHEN bool_or(bonus) THEN 0.25 ELSE 0 END, 8) AS weight FROM ju GROUP BY 1",
+)
 def b8(spark, sf):
     return near(rw.training_examples(judged(spark, sf), F.col("category") < "3"), "weight")
 
@@ -92,7 +176,12 @@ ACTIVE = ["4", "1", "3"]
 
 
 def actions(spark, sf):
-    groups = table(spark, sf, "nation").select(F.col("n_name").alias("group_id"), (F.col("n_nationkey") % 7).cast("string").alias("category"), (1 + F.col("n_nationkey") % 3).alias("high"), (F.col("n_nationkey") * 37 % 10 / 10).alias("repair_rate"))
+    groups = table(spark, sf, "nation").select(
+        F.col("n_name").alias("group_id"),
+        (F.col("n_nationkey") % 7).cast("string").alias("category"),
+        (1 + F.col("n_nationkey") % 3).alias("high"),
+        (F.col("n_nationkey") * 37 % 10 / 10).alias("repair_rate"),
+    )
     return rw.action_table(groups, [("Low", 1), ("Med", 2), ("High", 3)])
 
 
@@ -110,7 +199,10 @@ n AS (SELECT q.*, (SELECT count(*) FROM t WHERE t.prompt_id = q.prompt_id) AS k
 x AS (SELECT prompt_id, min(l.action_id) AS action_id FROM n JOIN l ON l.category <> n.category AND (matched OR l.category NOT IN ('4', '1', '3')) WHERE k + 1 < 5 GROUP BY 1)
 SELECT prompt_id, 0 AS action_id, 'noop' AS why FROM p UNION ALL SELECT * FROM t UNION ALL SELECT prompt_id, action_id, 'control' FROM x""")
 def j10(spark, sf):
-    prompts = table(spark, sf, "customer").select(F.col("c_custkey").alias("prompt_id"), (F.col("c_custkey") % 9).cast("string").alias("category"))
+    prompts = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("prompt_id"),
+        (F.col("c_custkey") % 9).cast("string").alias("category"),
+    )
     return rw.candidate_actions(prompts, actions(spark, sf), ACTIVE)
 
 
@@ -118,27 +210,63 @@ TIMED = "WITH t AS (SELECT event_type AS method, dayofmonth(ts) % 3 AS repetitio
 
 
 def timed(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("method"), (F.dayofmonth("ts") % 3).alias("repetition"), "value", "user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("tokens"), (F.col("value") < 5).alias("failed"), (F.col("value") > 95).alias("fallback"))
-
-
-@query("a14_latency_summary", TIMED + "SELECT method, CASE WHEN grouping(repetition) = 1 THEN 'ALL' ELSE CAST(repetition AS VARCHAR) END AS repetition, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 8) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max, count(*) FILTER (value < 5) AS failures, count(*) FILTER (value > 95) AS fallbacks FROM t GROUP BY GROUPING SETS ((method, repetition), (method))")
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("method"),
+        (F.dayofmonth("ts") % 3).alias("repetition"),
+        "value",
+        "user_id",
+        "event_id",
+        F.get_json_object("props", "$.k").cast("long").alias("tokens"),
+        (F.col("value") < 5).alias("failed"),
+        (F.col("value") > 95).alias("fallback"),
+    )
+
+
+@query(
+    "a14_latency_summary",
+    TIMED + "SELECT method, CASE WHEN grouping(repetition) = 1 THEN 'ALL' ELSE CAST(repetition AS VARCHAR) END AS repetition, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 8) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max, count(*) FILTER (value < 5) AS failures, count(*) FILTER (value > 95) AS fallbacks FROM t GROUP BY GROUPING SETS ((method, repetition), (method))",
+)
 def a14(spark, sf):
-    return cost.latency_summary(timed(spark, sf), "value", "failed", "fallback").withColumns({"total": F.round("total", 6), "mean": F.round("mean", 8)})
+    return cost.latency_summary(timed(spark, sf), "value", "failed", "fallback").withColumns(
+        {"total": F.round("total", 6), "mean": F.round("mean", 8)},
+    )
 
 
 THROUGHPUT = TIMED + ", s AS (SELECT method, count(*) AS n, sum(value) AS seconds, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(user_id % 3) AS BIGINT) AS calls FROM t GROUP BY 1), r AS (SELECT *, tokens / seconds AS tokens_per_second, calls / n AS calls_per_record, seconds / n AS seconds_per_record FROM s)"
 
 
-@query("a15_throughput", THROUGHPUT + " SELECT method, n, round(seconds, 6) AS seconds, tokens, calls, round(tokens_per_second, 8) AS tokens_per_second, calls_per_record, round(seconds_per_record, 8) AS seconds_per_record FROM r")
+@query(
+    "a15_throughput",
+    THROUGHPUT + " SELECT method, n, round(seconds, 6) AS seconds, tokens, calls, round(tokens_per_second, 8) AS tokens_per_second, calls_per_record, round(seconds_per_record, 8) AS seconds_per_record FROM r",
+)
 def a15(spark, sf):
-    df = cost.throughput(timed(spark, sf).withColumn("calls", F.col("user_id") % 3), ["method"], "value", "tokens", "calls")
+    df = cost.throughput(
+        timed(spark, sf).withColumn("calls", F.col("user_id") % 3),
+        ["method"],
+        "value",
+        "tokens",
+        "calls",
+    )
     return near(df, "tokens_per_second", "seconds_per_record").withColumn("seconds", F.round("seconds", 6))
 
 
-@query("a15_overhead", THROUGHPUT + " SELECT method, round(seconds_per_record / b, 8) AS ratio, round((seconds_per_record / b - 1) * 100, 6) AS percent FROM r, (SELECT seconds_per_record AS b FROM r WHERE method = 'click')")
+@query(
+    "a15_overhead",
+    THROUGHPUT + " SELECT method, round(seconds_per_record / b, 8) AS ratio, round((seconds_per_record / b - 1) * 100, 6) AS percent FROM r, (SELECT seconds_per_record AS b FROM r WHERE method = 'click')",
+)
 def a15_overhead(spark, sf):
-    df = cost.throughput(timed(spark, sf).withColumn("calls", F.col("user_id") % 3), ["method"], "value", "tokens", "calls")
-    return cost.overhead(df, "method", "seconds_per_record", "click").select("method", F.round("ratio", 8).alias("ratio"), F.round("percent", 6).alias("percent"))
+    df = cost.throughput(
+        timed(spark, sf).withColumn("calls", F.col("user_id") % 3),
+        ["method"],
+        "value",
+        "tokens",
+        "calls",
+    )
+    return cost.overhead(df, "method", "seconds_per_record", "click").select(
+        "method",
+        F.round("ratio", 8).alias("ratio"),
+        F.round("percent", 6).alias("percent"),
+    )
 
 
 STAGED = "WITH l AS (SELECT l_orderkey, l_linenumber, ['draft', 'critique', 'repair', 'extra', 'extra', 'extra', 'extra'][l_linenumber] AS stage, l_quantity > 2 AS complete, l_tax, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
@@ -146,15 +274,29 @@ STAGED = "WITH l AS (SELECT l_orderkey, l_linenumber, ['draft', 'critique', 'rep
 
 def staged(spark, sf):
     names = F.array(*(F.lit(s) for s in ("draft", "critique", "repair", "extra", "extra", "extra", "extra")))
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(names, F.col("l_linenumber")).alias("stage"), (F.col("l_quantity") > 2).alias("complete"), F.lit(1).cast("long").alias("calls"), F.col("l_quantity").cast("long").alias("tokens"), F.col("l_tax").alias("seconds"))
+    df = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.element_at(names, F.col("l_linenumber")).alias("stage"),
+        (F.col("l_quantity") > 2).alias("complete"),
+        F.lit(1).cast("long").alias("calls"),
+        F.col("l_quantity").cast("long").alias("tokens"),
+        F.col("l_tax").alias("seconds"),
+    )
     return cost.stage_cost(df, ["l_orderkey"], ["draft", "critique", "repair"], "l_linenumber")
 
 
-@query("a16_stage_cost", STAGED + " SELECT stage, count(*) AS n_rows, count(*) AS calls, CAST(sum(q) AS BIGINT) AS tokens, round(sum(l_tax), 6) AS seconds, count(*) FILTER (NOT complete) AS n_incomplete FROM l GROUP BY 1")
+@query(
+    "a16_stage_cost",
+    STAGED + " SELECT stage, count(*) AS n_rows, count(*) AS calls, CAST(sum(q) AS BIGINT) AS tokens, round(sum(l_tax), 6) AS seconds, count(*) FILTER (NOT complete) AS n_incomplete FROM l GROUP BY 1",
+)
 def a16(spark, sf):
     return staged(spark, sf)[0].withColumn("seconds", F.round("seconds", 6))
 
 
-@query("a16_structural_failures", STAGED + ", r AS (SELECT l_orderkey, string_agg(stage, ',' ORDER BY l_linenumber, stage) FILTER (complete) AS s FROM l GROUP BY 1) SELECT count(*) AS n_records, count(*) FILTER (s IS NULL OR s <> 'draft,critique,repair') AS n_structural_failures FROM r")
+@query(
+    "a16_structural_failures",
+    STAGED + ", r AS (SELECT l_orderkey, string_agg(stage, ',' ORDER BY l_linenumber, stage) FILTER (complete) AS s FROM l GROUP BY 1) SELECT count(*) AS n_records, count(*) FILTER (s IS NULL OR s <> 'draft,critique,repair') AS n_structural_failures FROM r",
+)
 def a16_failures(spark, sf):
     return staged(spark, sf)[1]

@@ -15,9 +15,19 @@ def orders(spark, sf):
     return table(spark, sf, "orders").withColumn("is_augmented", F.col("o_orderstatus") == "P")
 
 
-@query("m1_cap_augmented", f"WITH {O}, g AS (SELECT o_orderpriority, count(*) FILTER (NOT is_augmented) AS raw FROM o GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, is_augmented ORDER BY h, o_orderkey) AS r FROM o JOIN g USING (o_orderpriority)) SELECT o_orderkey FROM r WHERE NOT is_augmented OR raw = 0 OR r <= floor(raw * 0.01 / (1 - 0.01))")
+@query(
+    "m1_cap_augmented",
+    f"WITH {O}, g AS (SELECT o_orderpriority, count(*) FILTER (NOT is_augmented) AS raw FROM o GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, is_augmented ORDER BY h, o_orderkey) AS r FROM o JOIN g USING (o_orderpriority)) SELECT o_orderkey FROM r WHERE NOT is_augmented OR raw = 0 OR r <= floor(raw * 0.01 / (1 - 0.01))",
+)
 def m1(spark, sf):
-    return sm.cap_augmented(orders(spark, sf), ["o_orderpriority"], "is_augmented", "o_orderkey", 0.01, 42).select("o_orderkey")
+    return sm.cap_augmented(
+        orders(spark, sf),
+        ["o_orderpriority"],
+        "is_augmented",
+        "o_orderkey",
+        0.01,
+        42,
+    ).select("o_orderkey")
 
 
 TREATED = "o_orderpriority <> '5-LOW'"
@@ -30,25 +40,56 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY is_augmented, h,
 
 @query("m2_balance_groups", balanced_sql("o_orderpriority, o_custkey % 7", 1.2))
 def m2(spark, sf):
-    return sm.balance_groups(orders(spark, sf).withColumn("g", F.col("o_custkey") % 7), ["o_orderpriority", "g"], "is_augmented", "o_orderkey", 1.2, 42, treated=F.expr(TREATED)).select("o_orderkey")
+    return sm.balance_groups(
+        orders(spark, sf).withColumn("g", F.col("o_custkey") % 7),
+        ["o_orderpriority", "g"],
+        "is_augmented",
+        "o_orderkey",
+        1.2,
+        42,
+        treated=F.expr(TREATED),
+    ).select("o_orderkey")
 
 
 @query("m2_balance_groups_relaxed", balanced_sql("o_orderpriority, o_orderstatus", 2.0))
 def m2_relaxed(spark, sf):
-    return sm.balance_groups(orders(spark, sf), ["o_orderpriority", "o_orderstatus"], "is_augmented", "o_orderkey", 2.0, 42, treated=F.expr(TREATED)).select("o_orderkey")
-
-
-@query("m3_split_by_unit", f"WITH {O}, u AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || o_custkey)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM o WHERE o_orderpriority <> '5-LOW')) SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'test' WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.6) + floor(n * 0.2) THEN 'validation' ELSE 'test' END AS split FROM o LEFT JOIN u USING (o_custkey)")
+    return sm.balance_groups(
+        orders(spark, sf),
+        ["o_orderpriority", "o_orderstatus"],
+        "is_augmented",
+        "o_orderkey",
+        2.0,
+        42,
+        treated=F.expr(TREATED),
+    ).select("o_orderkey")
+
+
+@query(
+    "m3_split_by_unit",
+    f"WITH {O}, u AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || o_custkey)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM o WHERE o_orderpriority <> '5-LOW')) SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'test' WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.6) + floor(n * 0.2) THEN 'validation' ELSE 'test' END AS split FROM o LEFT JOIN u USING (o_custkey)",
+)
 def m3(spark, sf):
-    return sm.split_by_unit(orders(spark, sf), "o_custkey", (0.6, 0.2), F.col("o_orderpriority") == "5-LOW", 42).select("o_orderkey", "split")
-
-
-@query("m4_split_rows", f"WITH {O} SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.7) THEN 'dev' ELSE 'test' END AS split FROM o")
+    return sm.split_by_unit(
+        orders(spark, sf),
+        "o_custkey",
+        (0.6, 0.2),
+        F.col("o_orderpriority") == "5-LOW",
+        42,
+    ).select("o_orderkey", "split")
+
+
+@query(
+    "m4_split_rows",
+    f"WITH {O} SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.7) THEN 'dev' ELSE 'test' END AS split FROM o",
+)
 def m4(spark, sf):
     return sm.split_rows(orders(spark, sf), "o_orderkey", 0.7, 42).select("o_orderkey", "split")
 
 
-@query("m5_hamilton", "WITH g AS (SELECT o_custkey % 13 AS stratum, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS s FROM g), f AS (SELECT *, (n * 101) // s AS base, row_number() OVER (ORDER BY (n * 101) % s DESC, stratum) AS r FROM t) SELECT stratum, n, CAST(base + CASE WHEN r <= 101 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f")
+@query(
+    "m5_hamilton",
+    "WITH g AS (SELECT o_custkey % 13 AS stratum, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS s FROM g), f AS (SELECT *, (n * 101) // s AS base, row_number() OVER (ORDER BY (n * 101) % s DESC, stratum) AS r FROM t) SELECT stratum, n, CAST(base + CASE WHEN r <= 101 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f",
+)
 def m5(spark, sf):
     return sm.hamilton(strata(spark, sf), "stratum", "n", 101)
 
@@ -71,24 +112,52 @@ q{i + 1} AS (SELECT *, {target} - sum(quota) OVER () AS due FROM d{i})"""
     return out
 
 
-@query("m6_hamilton_capped", f"WITH s AS (SELECT o_custkey % 1009 % 113 AS stratum, count(*) AS n FROM orders WHERE o_custkey % 1009 % 113 < o_orderkey % 113 GROUP BY 1), {capped_rounds('(SELECT sum(n) FROM s) - 25', 8)} SELECT stratum, CAST(quota AS BIGINT) AS quota FROM q8")
+@query(
+    "m6_hamilton_capped",
+    f"WITH s AS (SELECT o_custkey % 1009 % 113 AS stratum, count(*) AS n FROM orders WHERE o_custkey % 1009 % 113 < o_orderkey % 113 GROUP BY 1), {capped_rounds('(SELECT sum(n) FROM s) - 25', 8)} SELECT stratum, CAST(quota AS BIGINT) AS quota FROM q8",
+)
 def m6(spark, sf):
     """All but 25 rows are wanted, so that small strata are full at once and others take what they leave."""
     stratum = F.col("o_custkey") % 1009 % 113
-    small = table(spark, sf, "orders").where(stratum < F.col("o_orderkey") % 113).groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"))
+    small = table(spark, sf, "orders").where(
+        stratum < F.col("o_orderkey") % 113,
+    ).groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"))
     return sm.hamilton_capped(small, "stratum", "n", small.agg(F.sum("n")).first()[0] - 25)
 
 
-@query("m7_nested_sample", f"WITH {O} SELECT o_orderkey, r <= 10 AS in_small FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r FROM o) WHERE r <= 50")
+@query(
+    "m7_nested_sample",
+    f"WITH {O} SELECT o_orderkey, r <= 10 AS in_small FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r FROM o) WHERE r <= 50",
+)
 def m7(spark, sf):
-    return sm.nested_sample(orders(spark, sf), ["o_orderpriority"], "o_orderkey", 50, 10, 42).select("o_orderkey", "in_small")
-
-
-@query("m8_sample_controls", f"WITH {O}, g AS (SELECT o_orderpriority, count(*) FILTER (is_augmented) * 5 AS m FROM o GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, is_augmented ORDER BY h, o_orderkey) AS r FROM o JOIN g USING (o_orderpriority)) SELECT o_orderkey, is_augmented FROM r WHERE is_augmented OR r <= m")
+    return sm.nested_sample(
+        orders(spark, sf),
+        ["o_orderpriority"],
+        "o_orderkey",
+        50,
+        10,
+        42,
+    ).select("o_orderkey", "in_small")
+
+
+@query(
+    "m8_sample_controls",
+    f"WITH {O}, g AS (SELECT o_orderpriority, count(*) FILTER (is_augmented) * 5 AS m FROM o GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, is_augmented ORDER BY h, o_orderkey) AS r FROM o JOIN g USING (o_orderpriority)) SELECT o_orderkey, is_augmented FROM r WHERE is_augmented OR r <= m",
+)
 def m8(spark, sf):
-    return sm.sample_controls(orders(spark, sf), ["o_orderpriority"], F.col("is_augmented"), "o_orderkey", 5, 42).select("o_orderkey", "is_augmented")
-
-
-@query("m8_cap_per_class", f"WITH {O} SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r FROM o) WHERE r <= 33")
+    return sm.sample_controls(
+        orders(spark, sf),
+        ["o_orderpriority"],
+        F.col("is_augmented"),
+        "o_orderkey",
+        5,
+        42,
+    ).select("o_orderkey", "is_augmented")
+
+
+@query(
+    "m8_cap_per_class",
+    f"WITH {O} SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r FROM o) WHERE r <= 33",
+)
 def m8_cap(spark, sf):
     return sm.cap_per_class(orders(spark, sf), ["o_orderpriority"], "o_orderkey", 33, 42).select("o_orderkey")

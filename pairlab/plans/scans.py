@@ -33,19 +33,31 @@ FLAGS = f"""WITH {HITS}, flags AS (
 
 def scanned(spark, sf):
     """Documents with findings and flags; the target category goes by source."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", scan.scan_rules("text", RULES).alias("findings"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        "source",
+        "lang",
+        scan.scan_rules("text", RULES).alias("findings"),
+    )
     target = F.when(F.col("source") == "src1", "mail").otherwise("license")
     return scan.derive_flags(docs.withColumn("target", target), "findings", ["license", "mail", "address"], "target")
 
 
 @query("d1_scan_rules", f"WITH {HITS} SELECT doc_id, category, rule_id FROM hits")
 def d1(spark, sf):
-    return scanned(spark, sf).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.category", "f.rule_id")
+    return scanned(spark, sf).select("doc_id", F.explode("findings").alias("f")).select(
+        "doc_id",
+        "f.category",
+        "f.rule_id",
+    )
 
 
 @query("d1_scan_rule_table", f"WITH {HITS} SELECT doc_id, category, rule_id FROM hits")
 def d1_table(spark, sf):
-    rules = spark.createDataFrame([(c, i, r, p) for i, (c, r, p) in enumerate(RULES)], "category string, rule_order int, rule_id string, pattern string")
+    rules = spark.createDataFrame(
+        [(c, i, r, p) for i, (c, r, p) in enumerate(RULES)],
+        "category string, rule_order int, rule_id string, pattern string",
+    )
     return scan.scan_rule_table(table(spark, sf, "documents"), "doc_id", "text", rules)
 
 
@@ -54,45 +66,91 @@ WITH m AS (SELECT * FROM (VALUES ('BRASS', 'metal', 2), ('STEEL', 'metal', 1), (
 t AS (SELECT DISTINCT p_type FROM part), b AS (SELECT p_type, arg_min(c, (CASE WHEN p_type = r THEN 0 ELSE 100 END) + o) AS category FROM t JOIN m ON contains(p_type, r) GROUP BY 1)
 SELECT p_partkey, p_type AS rule_id, category FROM part LEFT JOIN b USING (p_type)""")
 def d2(spark, sf):
-    mapping = spark.createDataFrame([("BRASS", "metal", 2), ("STEEL", "metal", 1), ("ECONOMY", "cheap", 3), ("PROMO", "cheap", 0)], "rule_id string, category string, order int")
-    return scan.map_rules(table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("rule_id")), mapping).select("p_partkey", "rule_id", "category")
-
-
-@query("d3_merge_findings", f"WITH {HITS} SELECT doc_id, count(DISTINCT (category, rule_id)) AS n FROM (SELECT * FROM hits UNION ALL SELECT doc_id, category, rule_id FROM hits WHERE category = 'mail' UNION ALL SELECT doc_id, 'license', 'license-any' FROM documents WHERE regexp_matches(text, '[Ll]icense')) GROUP BY 1")
+    mapping = spark.createDataFrame(
+        [("BRASS", "metal", 2), ("STEEL", "metal", 1), ("ECONOMY", "cheap", 3), ("PROMO", "cheap", 0)],
+        "rule_id string, category string, order int",
+    )
+    return scan.map_rules(
+        table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("rule_id")),
+        mapping,
+    ).select("p_partkey", "rule_id", "category")
+
+
+@query(
+    "d3_merge_findings",
+    f"WITH {HITS} SELECT doc_id, count(DISTINCT (category, rule_id)) AS n FROM (SELECT * FROM hits UNION ALL SELECT doc_id, category, rule_id FROM hits WHERE category = 'mail' UNION ALL SELECT doc_id, 'license', 'license-any' FROM documents WHERE regexp_matches(text, '[Ll]icense')) GROUP BY 1",
+)
 def d3(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", scan.scan_rules("text", RULES).alias("a"), scan.scan_rules("text", [RULES[2], RULES[3], RULES[1]]).alias("b"))
-    return docs.select("doc_id", F.size(scan.merge_findings(F.col("a"), F.col("b"))).cast("long").alias("n")).where("n > 0")
-
-
-@query("d4_derive_flags", FLAGS + " SELECT doc_id, array_to_string(detected, ',') AS detected, is_vulnerable, list_contains(detected, CASE WHEN source = 'src1' THEN 'mail' ELSE 'license' END) AS target_present, n_findings > 0 AS any_finding FROM flags")
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        scan.scan_rules("text", RULES).alias("a"),
+        scan.scan_rules("text", [RULES[2], RULES[3], RULES[1]]).alias("b"),
+    )
+    return docs.select(
+        "doc_id",
+        F.size(scan.merge_findings(F.col("a"), F.col("b"))).cast("long").alias("n"),
+    ).where("n > 0")
+
+
+@query(
+    "d4_derive_flags",
+    FLAGS + " SELECT doc_id, array_to_string(detected, ',') AS detected, is_vulnerable, list_contains(detected, CASE WHEN source = 'src1' THEN 'mail' ELSE 'license' END) AS target_present, n_findings > 0 AS any_finding FROM flags",
+)
 def d4(spark, sf):
-    return scanned(spark, sf).select("doc_id", F.array_join("detected", ",").alias("detected"), "is_vulnerable", "target_present", "any_finding")
-
-
-@query("d5_scan_incremental", f"WITH {HITS} SELECT doc_id, count(rule_id) AS n FROM documents LEFT JOIN hits USING (doc_id) WHERE doc_id % 3 <> 0 GROUP BY 1")
+    return scanned(spark, sf).select(
+        "doc_id",
+        F.array_join("detected", ",").alias("detected"),
+        "is_vulnerable",
+        "target_present",
+        "any_finding",
+    )
+
+
+@query(
+    "d5_scan_incremental",
+    f"WITH {HITS} SELECT doc_id, count(rule_id) AS n FROM documents LEFT JOIN hits USING (doc_id) WHERE doc_id % 3 <> 0 GROUP BY 1",
+)
 def d5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    done = docs.where("doc_id % 3 = 0").select("doc_id", scan.rules_fingerprint(RULES).alias("rules_hash")).unionByName(docs.select("doc_id", F.lit("older rules").alias("rules_hash")))
-    return scan.scan_incremental(docs, done, "doc_id", "text", RULES).select("doc_id", F.size("findings").cast("long").alias("n"))
-
-
-@query("d6_prevalence", FLAGS + " SELECT source, count(*) AS total, count(*) FILTER (is_vulnerable) AS vulnerable, count(*) FILTER (is_vulnerable) / count(*) AS rate, CAST(sum(n_findings) AS DOUBLE) / count(*) AS findings_per_record FROM flags GROUP BY source")
+    done = docs.where("doc_id % 3 = 0").select(
+        "doc_id",
+        scan.rules_fingerprint(RULES).alias("rules_hash"),
+    ).unionByName(docs.select("doc_id", F.lit("older rules").alias("rules_hash")))
+    return scan.scan_incremental(docs, done, "doc_id", "text", RULES).select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n"),
+    )
+
+
+@query(
+    "d6_prevalence",
+    FLAGS + " SELECT source, count(*) AS total, count(*) FILTER (is_vulnerable) AS vulnerable, count(*) FILTER (is_vulnerable) / count(*) AS rate, CAST(sum(n_findings) AS DOUBLE) / count(*) AS findings_per_record FROM flags GROUP BY source",
+)
 def d6(spark, sf):
     return scan.prevalence(scanned(spark, sf), ["source"])
 
 
-@query("d7_category_distribution", f"WITH {HITS} SELECT category, count(DISTINCT doc_id) AS records, count(doc_id) AS findings FROM (SELECT unnest(['license', 'mail', 'address', 'symbols', 'words', 'unused']) AS category) LEFT JOIN hits USING (category) GROUP BY 1")
+@query(
+    "d7_category_distribution",
+    f"WITH {HITS} SELECT category, count(DISTINCT doc_id) AS records, count(doc_id) AS findings FROM (SELECT unnest(['license', 'mail', 'address', 'symbols', 'words', 'unused']) AS category) LEFT JOIN hits USING (category) GROUP BY 1",
+)
 def d7(spark, sf):
     taxonomy = spark.createDataFrame([(c,) for c in TAXONOMY], "category string")
     return scan.category_distribution(scanned(spark, sf), "doc_id", taxonomy)
 
 
-@query("d8_co_occurrence", f"WITH {HITS} SELECT x.category AS a, y.category AS b, count(*) AS n FROM hits x JOIN hits y ON x.doc_id = y.doc_id AND x.category < y.category GROUP BY ALL")
+@query(
+    "d8_co_occurrence",
+    f"WITH {HITS} SELECT x.category AS a, y.category AS b, count(*) AS n FROM hits x JOIN hits y ON x.doc_id = y.doc_id AND x.category < y.category GROUP BY ALL",
+)
 def d8(spark, sf):
     return scan.co_occurrence(scanned(spark, sf))
 
 
-@query("d9_partition_ids", FLAGS + ", c AS (SELECT unnest([NULL, 'license', 'mail', 'address', 'symbols', 'words', 'unused']) AS category) SELECT category, doc_id, CASE WHEN category IS NULL THEN n_findings > 0 ELSE list_contains(detected, category) END AS unsafe FROM flags, c")
+@query(
+    "d9_partition_ids",
+    FLAGS + ", c AS (SELECT unnest([NULL, 'license', 'mail', 'address', 'symbols', 'words', 'unused']) AS category) SELECT category, doc_id, CASE WHEN category IS NULL THEN n_findings > 0 ELSE list_contains(detected, category) END AS unsafe FROM flags, c",
+)
 def d9(spark, sf):
     return scan.partition_ids(scanned(spark, sf), "doc_id", TAXONOMY)
 
@@ -106,7 +164,15 @@ q AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS n FROM h WHERE NO
 SELECT * FROM p UNION ALL SELECT doc_id, 'none', 'padding' FROM q WHERE n <= 30 - (SELECT count(*) FROM p)""")
 def d10(spark, sf):
     category = F.when(F.col("source") < "src3", "license").when(F.col("source") < "src6", "mail").otherwise("words")
-    return scan.audit_sample(scanned(spark, sf).withColumn("category", category), "doc_id", "category", {"mail": 5, "license": 8}, 3, 30, 42)
+    return scan.audit_sample(
+        scanned(spark, sf).withColumn("category", category),
+        "doc_id",
+        "category",
+        {"mail": 5, "license": 8},
+        3,
+        30,
+        42,
+    )
 
 
 @query("d11_confusion", FLAGS + """, j AS (SELECT source, list_contains(detected, 'symbols') AS p, quality = 0 AS t FROM flags JOIN labels USING (doc_id))
@@ -117,7 +183,10 @@ def d11(spark, sf):
     return scan.confusion(joined, F.array_contains("detected", "symbols"), F.col("quality") == 0, ["source"])
 
 
-@query("t1_scan_stream", f"WITH {HITS} SELECT doc_id, count(rule_id) AS n FROM documents LEFT JOIN hits USING (doc_id) GROUP BY 1")
+@query(
+    "t1_scan_stream",
+    f"WITH {HITS} SELECT doc_id, count(rule_id) AS n FROM documents LEFT JOIN hits USING (doc_id) GROUP BY 1",
+)
 def t1(spark, sf):
     """The stream reads a copy of documents, as a file source wants a folder, and is started twice."""
     base = io.scratch(spark, "t1")

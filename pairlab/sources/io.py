@@ -42,7 +42,14 @@ def text_boolean(col: Column | str) -> Column:
     return F.lower(F.trim(col)) == "true"
 
 
-def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 32) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    url: str,
+    name: str,
+    key: str | None = None,
+    bounds: tuple[int, int] | None = None,
+    parts: int = 32,
+) -> DataFrame:
     """A table of a relational database (a jdbc: url, read in ranges of key) or of a folder of Parquet extracts."""
     if not url.startswith("jdbc:"):
         return spark.read.parquet(f"{url}/{name}.parquet")

@@ -14,7 +14,17 @@ from pairlab.operators.scan import rules_fingerprint, scan_rules
 PARTS = 64
 
 
-def scan_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, ident: str, text: str, rules: list[tuple[str, str, str]], form: str = "parquet") -> StreamingQuery:
+def scan_stream(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    sink: str,
+    checkpoint: str,
+    ident: str,
+    text: str,
+    rules: list[tuple[str, str, str]],
+    form: str = "parquet",
+) -> StreamingQuery:
     """Scan what has arrived in source and append findings to sink; started again, it goes on where it stopped.
 
     Scanning is stateless. A batch leaves out records that the sink has with the same rules, so neither a batch that is
@@ -23,7 +33,12 @@ def scan_stream(spark: SparkSession, source: str, schema: str, sink: str, checkp
     repeat an id in one batch, the one of the least text is scanned.
     """
     arriving = spark.readStream.schema(schema).format(form).load(source)
-    marked = arriving.select(ident, F.col(text).alias("__text"), rules_fingerprint(rules).alias("rules_hash"), F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int").alias("part"))
+    marked = arriving.select(
+        ident,
+        F.col(text).alias("__text"),
+        rules_fingerprint(rules).alias("rules_hash"),
+        F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int").alias("part"),
+    )
 
     def append(batch: DataFrame, _: int) -> None:
         fresh = batch.groupBy(ident, "rules_hash", "part").agg(F.min("__text").alias("__text"))
@@ -38,4 +53,7 @@ def scan_stream(spark: SparkSession, source: str, schema: str, sink: str, checkp
         scanned = fresh.select(ident, scan_rules("__text", rules).alias("findings"), "rules_hash", "part")
         scanned.write.mode("append").partitionBy("rules_hash", "part").parquet(sink)
 
-    return marked.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return marked.writeStream.foreachBatch(append).option(
+        "checkpointLocation",
+        checkpoint,
+    ).trigger(availableNow=True).start()
