@@ -85,7 +85,9 @@ class PairIndexBPE:
             self.id_bytes[i] = token.encode()
         self.words = regex.compile(PATTERN)
         self.split = ByteLevel(add_prefix_space=False)
-        self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.cut = regex.compile(
+            "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)),
+        ) if self.special else None
         self._forget()
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,7 +239,13 @@ def _carry(df: DataFrame, keep: list[str], own: str) -> list[T.StructField]:
     return [df.schema[c] for c in keep if c != own]
 
 
-def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_documents(
+    df: DataFrame,
+    path: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
     """Add ids_col (array<int>) with the token ids of text_col; keep names the columns carried along."""
     fields = _carry(df, list(keep), ids_col)
     schema = T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
@@ -252,13 +260,22 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 carried = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*carried, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*names, ids_col])
+                yield pa.RecordBatch.from_arrays(
+                    [*carried, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    names=[*names, ids_col],
+                )
                 at += len(texts)
 
     return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, schema)
 
 
-def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def decode_documents(
+    df: DataFrame,
+    path: str,
+    ids_col: str = "ids",
+    text_col: str = "decoded",
+    keep: tuple[str, ...] = ("doc_id", "ids"),
+) -> DataFrame:
     """Add text_col with the text of the ids in ids_col."""
     fields = _carry(df, list(keep), text_col)
     schema = T.StructType([*fields, T.StructField(text_col, T.StringType())])
@@ -268,7 +285,12 @@ def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", text_col: s
         bpe = vocabulary(path)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, text_col])
+            texts = [
+                bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(texts, pa.string())],
+                names=[*names, text_col],
+            )
 
     return df.select(*names, df[ids_col].alias("__ids")).mapInArrow(run, schema)

@@ -29,14 +29,35 @@ CHUNK = 256
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, message_no, role, text) from events (conv_id, seq, turn, role, kind, text)."""
-    filled = events.select("conv_id", "turn", F.col("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    filled = events.select(
+        "conv_id",
+        "turn",
+        F.col("seq"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("kind", F.lit("message")).alias("kind"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     order = Window.partitionBy("conv_id", "turn").orderBy("seq", "role", "kind", "text")
-    numbered = filled.withColumn("at", F.row_number().over(order)).withColumn("message_no", F.sum(((F.col("kind") == "message") | (F.col("at") == 1)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = filled.withColumn("at", F.row_number().over(order)).withColumn(
+        "message_no",
+        F.sum(((F.col("kind") == "message") | (F.col("at") == 1)).cast("int")).over(
+            order.rowsBetween(Window.unboundedPreceding, 0),
+        ),
+    )
     message = numbered.groupBy("conv_id", "turn", "message_no").agg(
         F.min_by("role", "at").alias("role"), F.max(F.when(F.col("kind") != "delta", F.col("at"))).alias("reset"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts")
     )
-    text = F.array_join(F.transform(F.filter("parts", lambda p: p.at >= F.coalesce(F.col("reset"), F.lit(0))), lambda p: p.text), "")
-    return message.select("conv_id", "turn", F.col("message_no").cast("long").alias("message_no"), "role", text.alias("text"))
+    text = F.array_join(
+        F.transform(F.filter("parts", lambda p: p.at >= F.coalesce(F.col("reset"), F.lit(0))), lambda p: p.text),
+        "",
+    )
+    return message.select(
+        "conv_id",
+        "turn",
+        F.col("message_no").cast("long").alias("message_no"),
+        "role",
+        text.alias("text"),
+    )
 
 
 def escape(text: Column) -> Column:
@@ -59,7 +80,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.concat(head, text, F.lit(END + "\n")).alias("piece"), F.length(head).alias("head"), F.length(text).alias("length"), (role == loss_role).alias("loss"),
     )
     before = Window.partitionBy("conv_id", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.col("head"))
+    placed = pieces.withColumn(
+        "start",
+        F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.col("head"),
+    )
     row = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("place"))
     chunks = placed.withColumn("row", row).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("row", "piece", "start", "length", "loss"))).alias("p")).select(
         "conv_id", "chunk", F.array_join("p.piece", "").alias("text"),
@@ -67,9 +91,21 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = chunks.withColumn("offset", F.coalesce(F.sum(F.length("text").cast("long")).over(earlier), F.lit(0)))
-    moved = offset.select("conv_id", "chunk", "text", F.transform("spans", lambda s: F.struct((s.start + F.col("offset")).alias("start"), s.length.alias("length"))).alias("spans"))
+    moved = offset.select(
+        "conv_id",
+        "chunk",
+        "text",
+        F.transform(
+            "spans",
+            lambda s: F.struct((s.start + F.col("offset")).alias("start"), s.length.alias("length")),
+        ).alias("spans"),
+    )
     whole = moved.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text", "spans"))).alias("c"))
-    return whole.select("conv_id", F.array_join("c.text", "").alias("formatted"), F.flatten("c.spans").alias("loss_spans"))
+    return whole.select(
+        "conv_id",
+        F.array_join("c.text", "").alias("formatted"),
+        F.flatten("c.spans").alias("loss_spans"),
+    )
 
 
 def read_back(formatted: Column) -> Column:
@@ -84,4 +120,7 @@ def read_back(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss spans of a rendered text, restored."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s.start.cast("int") + 1, s.length.cast("int")))), "")
+    return F.array_join(
+        F.transform(spans, lambda s: unescape(F.substring(formatted, s.start.cast("int") + 1, s.length.cast("int")))),
+        "",
+    )

@@ -58,12 +58,18 @@ def distinct_words(line: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of documents (doc_id, text)."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    return docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("text_hash"),
+        F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"),
+    )
 
 
 def word_levels(texts: DataFrame) -> Column:
     """An array with a frequency level from 0 to 63 for each hashed class of words."""
-    words = texts.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''")
+    words = texts.select(
+        F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"),
+    ).where("w != ''")
     place = F.xxhash64("w").bitwiseAND(WIDTH - 1).cast("int")
     counts = words.groupBy(place.alias("c")).agg(F.count("*").alias("n")).toArrow()  # at most WIDTH rows
     levels = np.zeros(WIDTH, int)
@@ -80,7 +86,11 @@ def coded(line: Column, levels: Column) -> Column:
 
 def marked(words: Column) -> Column:
     """64 bits, of which each word sets one."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+    return F.aggregate(
+        words,
+        F.lit(0).cast("long"),
+        lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))),
+    )
 
 
 def may_match(tenths: int) -> Column:
@@ -90,20 +100,41 @@ def may_match(tenths: int) -> Column:
     rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     folded = differ(F.col("low").bitwiseOR(F.col("high")), F.col("low2").bitwiseOR(F.col("high2")))
-    apart = F.when((F.col("n") > 64) & (F.col("m") > 64), differ(F.col("low"), F.col("low2")) + differ(F.col("high"), F.col("high2"))).otherwise(folded)
+    apart = F.when(
+        (F.col("n") > 64) & (F.col("m") > 64),
+        differ(F.col("low"), F.col("low2")) + differ(F.col("high"), F.col("high2")),
+    ).otherwise(folded)
     # What is shared is at most half of all words but those that account for differing bits.
-    return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & (both * rest >= least) & (both * (F.col("n") + F.col("m") - apart) >= 2 * least)
+    return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & (both * rest >= least) & (
+        both * (F.col("n") + F.col("m") - apart) >= 2 * least
+    )
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
     """The classes x of pairs (x, y) whose sets are similar, from the lines themselves. Each x is given once."""
     pairs = cut(pairs)
-    wanted = classes.join(pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct(), "ord").select("ord", "doc_id", "text_hash", "line_no")
+    wanted = classes.join(pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct(), "ord").select(
+        "ord",
+        "doc_id",
+        "text_hash",
+        "line_no",
+    )
     by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "ord")).alias("lines"))
-    held = texts.withColumn("text_hash", F.xxhash64("text")).join(by_text.hint("shuffle_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    picked = let(F.split(spaced(F.col("text")), "\n"), lambda x: F.transform("lines", lambda i: F.struct(i.ord.alias("ord"), F.get(x, i.line_no).alias("line"))))
-    full = cut(held.select(F.explode(picked).alias("l")).select("l.ord", distinct_words(F.col("l.line")).alias("set")))
-    both = pairs.join(full.select(F.col("ord").alias("x"), F.col("set").alias("sx")), "x").join(full.select(F.col("ord").alias("y"), F.col("set").alias("sy")), "y")
+    held = texts.withColumn("text_hash", F.xxhash64("text")).join(
+        by_text.hint("shuffle_hash"),
+        ["doc_id", "text_hash"],
+    ).dropDuplicates(["doc_id", "text_hash"])
+    picked = let(
+        F.split(spaced(F.col("text")), "\n"),
+        lambda x: F.transform("lines", lambda i: F.struct(i.ord.alias("ord"), F.get(x, i.line_no).alias("line"))),
+    )
+    full = cut(
+        held.select(F.explode(picked).alias("l")).select("l.ord", distinct_words(F.col("l.line")).alias("set")),
+    )
+    both = pairs.join(full.select(F.col("ord").alias("x"), F.col("set").alias("sx")), "x").join(
+        full.select(F.col("ord").alias("y"), F.col("set").alias("sy")),
+        "y",
+    )
     alike = (10 + tenths) * F.size(F.array_intersect("sx", "sy")) >= tenths * (F.size("sx") + F.size("sy"))
     return cut(both.where(alike).select("x").distinct())
 
@@ -113,23 +144,47 @@ def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFr
     # A few words of each prefix, chosen by hash, so that variants of a line mostly choose the same.
     few = F.slice(F.array_sort(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)
     chosen = classes.select("ord", F.explode(few).alias("word"))
-    leaders = chosen.groupBy("word").agg(F.min("ord").alias("y"), F.max("ord").alias("last")).where("y < last").select("word", "y")
-    met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    leaders = chosen.groupBy("word").agg(
+        F.min("ord").alias("y"),
+        F.max("ord").alias("last"),
+    ).where("y < last").select("word", "y")
+    met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x").groupBy("x", "y").agg(
+        F.count("*").alias("shared"),
+    )
     best = met.where("shared > 1").groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
     led = verified(best, classes, texts, tenths)
     entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "low", "high", F.posexplode("prefix").alias("pos", "word"))
     rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
-    earlier = entries(classes).select(F.col("ord").alias("y"), F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("pos").alias("at"), "word")
-    pairs = rest.join(earlier, "word").where((F.col("y") < F.col("x")) & may_match(tenths)).select("x", "y").distinct()
+    earlier = entries(classes).select(
+        F.col("ord").alias("y"),
+        F.col("n").alias("m"),
+        F.col("low").alias("low2"),
+        F.col("high").alias("high2"),
+        F.col("pos").alias("at"),
+        "word",
+    )
+    pairs = rest.join(earlier, "word").where(
+        (F.col("y") < F.col("x")) & may_match(tenths),
+    ).select("x", "y").distinct()
     return led.unionByName(verified(pairs, classes, texts, tenths)).withColumnRenamed("x", "ord")
 
 
-def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(
+    df: DataFrame,
+    tenths: int = 8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed of every row, and the columns of keep."""
     if not 8 <= tenths <= 10:
         raise ValueError("the similarity must be from 0.8 to 1")
     keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_lines", "n_removed", id_col, text_col))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *keep,
+    )
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     levels = word_levels(named)
     place = ["doc_id", "text_hash", "line_no"]
@@ -143,20 +198,66 @@ def dedup_lines(df: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col
     low = F.when(n > 64, marked(F.filter("set", lambda w: ~upper(w)))).otherwise(marked(F.col("set")))
     high = F.when(n > 64, marked(F.filter("set", upper))).otherwise(0)
     lines_at = new_place(df.sparkSession)
-    lines = cut(described.select(*place, n.alias("n"), F.xxhash64("set").alias("h1"), F.hash("set", F.lit(7)).alias("h2"), low.alias("low"), high.alias("high"), F.when(n >= 4, prefix).alias("prefix")), lines_at)
+    lines = cut(
+        described.select(
+            *place,
+            n.alias("n"),
+            F.xxhash64("set").alias("h1"),
+            F.hash("set", F.lit(7)).alias("h2"),
+            low.alias("low"),
+            high.alias("high"),
+            F.when(n >= 4, prefix).alias("prefix"),
+        ),
+        lines_at,
+    )
     some = lines.where("n > 0")
     # Each class of equal sets with its first line. Sets of fewer than four words have no similar ones but equal ones.
     first = F.min_by(F.struct(*place, "low", "high", "prefix"), F.struct(*place))
-    sets = some.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select("h1", "h2", "n", "f.*", "copies")
-    classes = cut(sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("ord", F.monotonically_increasing_id()))
+    sets = some.groupBy("h1", "h2", "n").agg(first.alias("f"), F.count("*").alias("copies")).select(
+        "h1",
+        "h2",
+        "n",
+        "f.*",
+        "copies",
+    )
+    classes = cut(
+        sets.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(
+            "ord",
+            F.monotonically_increasing_id(),
+        ),
+    )
     every = cut(some.drop("low", "high", "prefix"))
     discard(lines, lines_at)
     matched = matched_classes(classes.where("n >= 4"), named, tenths)
     known = classes.join(matched.withColumn("matched", F.lit(True)), "ord", "left").where("copies > 1 OR matched")
-    known = known.select("h1", "h2", "n", F.struct(*place).alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = every.select(*place, "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where(F.col("matched") | (F.struct(*place) > F.col("first"))).select(*place)
+    known = known.select(
+        "h1",
+        "h2",
+        "n",
+        F.struct(*place).alias("first"),
+        F.coalesce("matched", F.lit(False)).alias("matched"),
+    )
+    gone = every.select(*place, "n", "h1", "h2").join(known, ["h1", "h2", "n"]).where(
+        F.col("matched") | (F.struct(*place) > F.col("first")),
+    ).select(*place)
     removed = cut(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")))
     all_lines = F.split("text", "\n")
-    left = let(all_lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(removed.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
-    return joined.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"), F.size(all_lines).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), *keep)
+    left = let(
+        all_lines,
+        lambda x: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)),
+            "\n",
+        ),
+    )
+    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(
+        removed.hint("shuffle_hash"),
+        ["doc_id", "text_hash"],
+        "left",
+    )
+    return joined.select(
+        "doc_id",
+        F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.size(all_lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *keep,
+    )

@@ -96,7 +96,15 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 minima.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(minima, pa.binary()),
+                ],
+                names=["doc_id", "n_shingles", "set_key", "signature"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
@@ -108,7 +116,10 @@ def _sets(words: int):
                 part = batch.slice(i, 1000)
                 sets = [shingle_set(t.as_py() or b"", words).tobytes() for t in part.column(1)]
                 keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
+                    names=["rep", "set_key", "shingles"],
+                )
 
     return run
 
@@ -122,8 +133,16 @@ def _close(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array((a == b).sum(axis=1) >= least)) for c in batch.columns[:2]], names=["x", "y"])
+                a, b = (
+                    np.frombuffer(
+                        b"".join(batch.column(i).to_pylist()),
+                        "<u4",
+                    ).reshape(batch.num_rows, -1) for i in (2, 3)
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [c.filter(pa.array((a == b).sum(axis=1) >= least)) for c in batch.columns[:2]],
+                    names=["x", "y"],
+                )
 
     return run
 
@@ -139,13 +158,19 @@ def _confirmed(percent: int):
                 shingles = np.frombuffer(raw, U)
                 if x is None:
                     own, key = shingles, (y, salt)
-                elif key == (y, salt) and 100 * min(len(own), len(shingles)) >= percent * max(len(own), len(shingles)):
+                elif key == (y, salt) and 100 * min(
+                    len(own),
+                    len(shingles),
+                ) >= percent * max(len(own), len(shingles)):
                     # Both are in order; what of one is found in the other is shared.
                     at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
                     both = int((own[at] == shingles).sum())
                     if 100 * both >= percent * (len(own) + len(shingles) - both):
                         found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)],
+                names=["x", "y"],
+            )
 
     return run
 
@@ -153,19 +178,53 @@ def _confirmed(percent: int):
 def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Those pairs (x, y) of set keys, y with most partners, whose sets are alike. docs has doc_id and __text."""
     signed = lambda c: classes.select(F.col("set_key").alias(c), F.col("signature").alias(f"s{c}"))
-    near = cut(pairs.join(signed("x"), "x").join(signed("y"), "y").select("x", "y", "sx", "sy").mapInArrow(_close(percent), "x binary, y binary"))
-    wanted = classes.join(near.select(F.explode(F.array("x", "y")).alias("set_key")).distinct(), "set_key", "left_semi").select("set_key", "rep")
+    near = cut(
+        pairs.join(signed("x"), "x").join(signed("y"), "y").select("x", "y", "sx", "sy").mapInArrow(
+            _close(percent),
+            "x binary, y binary",
+        ),
+    )
+    wanted = classes.join(
+        near.select(F.explode(F.array("x", "y")).alias("set_key")).distinct(),
+        "set_key",
+        "left_semi",
+    ).select("set_key", "rep")
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(words), "rep long, set_key binary, shingles binary").join(wanted, ["rep", "set_key"]).select("set_key", "shingles").dropDuplicates(["set_key"])
+    sets = texts.mapInArrow(
+        _sets(words),
+        "rep long, set_key binary, shingles binary",
+    ).join(wanted, ["rep", "set_key"]).select("set_key", "shingles").dropDuplicates(["set_key"])
     sets = cut(sets)
     salts = near.groupBy("y").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    hubs = salts.select("y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn("x", F.lit(None).cast("binary")).withColumn("key", F.col("y"))
-    partners = near.join(salts, "y").select("y", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "x", F.col("x").alias("key"))
-    work = hubs.unionByName(partners).join(sets.withColumnRenamed("set_key", "key"), "key").select("y", "salt", "x", "shingles")
-    return cut(work.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()).mapInArrow(_confirmed(percent), "x binary, y binary"))
-
-
-def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    hubs = salts.select("y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn(
+        "x",
+        F.lit(None).cast("binary"),
+    ).withColumn("key", F.col("y"))
+    partners = near.join(salts, "y").select(
+        "y",
+        F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"),
+        "x",
+        F.col("x").alias("key"),
+    )
+    work = hubs.unionByName(partners).join(
+        sets.withColumnRenamed("set_key", "key"),
+        "key",
+    ).select("y", "salt", "x", "shingles")
+    return cut(
+        work.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()).mapInArrow(
+            _confirmed(percent),
+            "x binary, y binary",
+        ),
+    )
+
+
+def near_duplicates(
+    df: DataFrame,
+    percent: int = 85,
+    words: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id and kept.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
@@ -175,28 +234,56 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     docs = docs.where("doc_id IS NOT NULL")
     known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * ROWS + 1, F.lit(4 * ROWS)))))
+    bands = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(BANDS - 1)),
+            lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * ROWS + 1, F.lit(4 * ROWS))),
+        ),
+    )
     spread = classes.select(F.col("set_key").alias("x"), bands.alias("bucket"))
-    leaders = spread.groupBy("bucket").agg(F.min("x").alias("y"), F.max("x").alias("last")).where("y < last").select("bucket", "y")
+    leaders = spread.groupBy("bucket").agg(
+        F.min("x").alias("y"),
+        F.max("x").alias("last"),
+    ).where("y < last").select("bucket", "y")
     met = cut(spread.join(leaders, "bucket").where("x != y"))
     led = confirmed_pairs(met.select("x", "y").distinct(), classes, docs, percent, words)
 
     reps = classes.select("set_key", "rep")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return pairs.join(reps.withColumnsRenamed({"set_key": "x", "rep": "a"}), "x").join(reps.withColumnsRenamed({"set_key": "y", "rep": "b"}), "y").select("a", "b")
+        return pairs.join(reps.withColumnsRenamed({"set_key": "x", "rep": "a"}), "x").join(
+            reps.withColumnsRenamed({"set_key": "y", "rep": "b"}),
+            "y",
+        ).select("a", "b")
 
     # Rows that repeat an id join the classes of all their texts.
-    same = known.join(reps, "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    same = known.join(reps, "set_key").where("doc_id != rep").select(
+        F.col("doc_id").alias("a"),
+        F.col("rep").alias("b"),
+    ).distinct()
     joined = cut(connected_components(same.unionByName(links(led))))
     left = met.join(led, ["x", "y"], "left_anti")
     if not left.isEmpty():
-        labelled = met.join(reps.withColumnRenamed("set_key", "x"), "x").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "x", F.coalesce("component", "rep").alias("c"))
+        labelled = met.join(reps.withColumnRenamed("set_key", "x"), "x").join(
+            joined,
+            F.col("rep") == F.col("node"),
+            "left",
+        ).select("bucket", "x", F.coalesce("component", "rep").alias("c"))
         open_ = left.select("bucket", "x").join(labelled, ["bucket", "x"])
         others = labelled.withColumnsRenamed({"x": "z", "c": "d"})
-        rest = open_.join(others, "bucket").where("x != z AND c != d").select(F.greatest("x", "z").alias("x"), F.least("x", "z").alias("y")).distinct()
+        rest = open_.join(others, "bucket").where("x != z AND c != d").select(
+            F.greatest("x", "z").alias("x"),
+            F.least("x", "z").alias("y"),
+        ).distinct()
         more = links(confirmed_pairs(rest, classes, docs, percent, words))
-        joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if not more.isEmpty() else joined
+        joined = connected_components(
+            joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more),
+        ) if not more.isEmpty() else joined
     result = rows.join(joined, rows.doc_id == joined.node, "left")
     component = F.coalesce("component", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return result.select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )

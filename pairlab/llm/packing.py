@@ -94,7 +94,10 @@ def pack_documents(
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
-            return pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, pa.list_(pa.int32())) for c in columns[7:])], names=names)
+            return pa.RecordBatch.from_arrays(
+                [*arrays, *(pa.array(c, pa.list_(pa.int32())) for c in columns[7:])],
+                names=names,
+            )
 
         for batch in batches:
             rows: list[tuple] = []
@@ -113,9 +116,20 @@ def pack_documents(
             yield out(rows)
         placed = best_fit_decreasing([p[2] for p, _ in rest], window)
         for i in range(0, len(rest), 20_000):
-            yield out([(*p, base + sequences + w, offset, *own) for (p, own), (w, offset) in zip(rest[i : i + 20_000], placed[i : i + 20_000], strict=True)])
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            yield out(
+                [
+                    (*p, base + sequences + w, offset, *own) for (p, own), (w, offset) in zip(
+                        rest[i : i + 20_000],
+                        placed[i : i + 20_000],
+                        strict=True,
+                    )
+                ],
+            )
+
+    return df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+    ).mapInArrow(run, schema)
 
 
 def padded_sequences(pieces: DataFrame, window: int = 1024, pad_id: int = 0) -> DataFrame:

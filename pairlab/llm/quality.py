@@ -39,7 +39,11 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     step = 1
     while True:
         # Equal runs of 2 * step words get equal names.
-        _, names, counts = np.unique(names[:-step] * (int(names.max()) + 1) + names[step:], return_inverse=True, return_counts=True)
+        _, names, counts = np.unique(
+            names[:-step] * (int(names.max()) + 1) + names[step:],
+            return_inverse=True,
+            return_counts=True,
+        )
         if len(counts) == len(names):
             return 0
         step *= 2
@@ -58,7 +62,9 @@ def text_statistics(text: str) -> tuple[int, ...]:
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     blank = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-    return len(words), len(text) - blank, sum(raw.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len(text) - blank, sum(
+        raw.count(c) for c in SYMBOLS
+    ), len(lines) - len(set(lines)), repeated_words(words)
 
 
 def features(stats: np.ndarray) -> np.ndarray:
@@ -86,14 +92,28 @@ class IsolationForest:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
     @classmethod
-    def grow(cls, rows: np.ndarray, columns: list[int], trees: int = 100, size: int = 128, seed: int = 7) -> IsolationForest:
+    def grow(
+        cls,
+        rows: np.ndarray,
+        columns: list[int],
+        trees: int = 100,
+        size: int = 128,
+        seed: int = 7,
+    ) -> IsolationForest:
         """A forest over the given columns of rows."""
         rng = np.random.default_rng(seed)
         rows = rows[:, columns]
         size = min(size, len(rows))
         deepest = max(1, int(np.ceil(np.log2(max(size, 2)))))
         nodes = 2 ** (deepest + 1) - 1
-        made = cls(np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes), np.int64), np.zeros((trees, nodes)), max(cls.mean_path(size), 1e-9), columns)
+        made = cls(
+            np.full((trees, nodes), -1),
+            np.zeros((trees, nodes)),
+            np.zeros((trees, nodes), np.int64),
+            np.zeros((trees, nodes)),
+            max(cls.mean_path(size), 1e-9),
+            columns,
+        )
         for t in range(trees):
             todo, used = [(0, rows[rng.choice(len(rows), size, replace=False)], 0)], 1
             while todo:
@@ -141,36 +161,63 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
     return (stats[:, 0] < 20) | (100 * stats[:, 4] > 30 * stats[:, 0])
 
 
-def statistics(df: DataFrame, forest: IsolationForest | None, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+def statistics(
+    df: DataFrame,
+    forest: IsolationForest | None,
+    id_col: str,
+    text_col: str,
+    keep: tuple[str, ...],
+) -> DataFrame:
     """doc_id, STATS, base_failed, score and kept of every row, and the columns of keep."""
     names = ["doc_id", *STATS, "base_failed", "score", "kept"]
     keep = tuple(c for c in keep if c not in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([text_statistics(t.as_py() or "") for t in batch.column(1)], np.int64).reshape(-1, len(STATS))
+            stats = np.array(
+                [text_statistics(t.as_py() or "") for t in batch.column(1)],
+                np.int64,
+            ).reshape(-1, len(STATS))
             failed = base_failed(stats)
             score = forest.score(features(stats)) if forest else np.zeros(len(stats))
             kept = ~failed & ~(score >= forest.threshold) if forest else ~failed
             own = [*(pa.array(c) for c in stats.T), pa.array(failed), pa.array(score), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], names=[*names, *keep])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean, score double, kept boolean"
+    schema = "doc_id long, " + ", ".join(
+        f"{c} long" for c in STATS
+    ) + ", base_failed boolean, score double, kept boolean"
     schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     chosen = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep)
     return chosen.mapInArrow(run, schema)
 
 
-def fit_forest(df: DataFrame, labels: DataFrame, sample: int = 20_000, max_false: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> IsolationForest | None:
+def fit_forest(
+    df: DataFrame,
+    labels: DataFrame,
+    sample: int = 20_000,
+    max_false: float = 0.005,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> IsolationForest | None:
     """A forest with its threshold, from at most sample labelled documents; None if none of the good ones passes the base
     rules.
 
     labels has doc_id and quality (1 good, 0 bad); an id labelled both ways counts as bad.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"),
+    )
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = df.withColumn("doc_id", F.col(id_col).cast("long")).join(F.broadcast(taken), "doc_id").select("doc_id", F.col(text_col).alias("text"), "quality")
-    found = statistics(rows, None, "doc_id", "text", ("quality",)).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s"), F.min("quality").alias("quality"))
+    rows = df.withColumn("doc_id", F.col(id_col).cast("long")).join(F.broadcast(taken), "doc_id").select(
+        "doc_id",
+        F.col(text_col).alias("text"),
+        "quality",
+    )
+    found = statistics(rows, None, "doc_id", "text", ("quality",)).groupBy("doc_id").agg(
+        F.min(F.struct(*STATS)).alias("s"),
+        F.min("quality").alias("quality"),
+    )
     local = found.select("s.*", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h").toPandas()
     stats, good = local[list(STATS)].to_numpy(np.int64), local["quality"].to_numpy() == 1
     usable = ~base_failed(stats)
@@ -180,7 +227,9 @@ def fit_forest(df: DataFrame, labels: DataFrame, sample: int = 20_000, max_false
     rates, grown = features(stats), np.arange(len(stats)) % 2 == 0  # in order of hash
     fit, told = rates[grown], good[grown]
     every = list(range(rates.shape[1]))
-    useful = [c for c in every if auc(IsolationForest.grow(fit, [c]).score(fit), ~told) >= LEAST_AUC] if told.any() and not told.all() else []
+    useful = [
+        c for c in every if auc(IsolationForest.grow(fit, [c]).score(fit), ~told) >= LEAST_AUC
+    ] if told.any() and not told.all() else []
     forest = IsolationForest.grow(fit, useful or every)
     held = good & ~grown
     judged = held if max_false * held.sum() >= 1 else good
@@ -191,6 +240,12 @@ def fit_forest(df: DataFrame, labels: DataFrame, sample: int = 20_000, max_false
     return forest
 
 
-def judge_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def judge_quality(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Every row's statistics and verdict: doc_id, STATS, base_failed, score, kept, and the columns of keep."""
     return statistics(df, fit_forest(df, labels, id_col=id_col, text_col=text_col), id_col, text_col, keep)

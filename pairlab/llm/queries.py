@@ -49,7 +49,7 @@ def _url_parts(url: str) -> str:
 
 
 #: Walks of 160 links: what is left then is below 1e-11 of a seed's share.
-OP2_SQL = f"""
+OP2_SQL = rf"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) v(rule, verdict)),
 h AS (SELECT page_id, html, {_url_parts("url")} FROM pages),
 f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY 1),
@@ -79,7 +79,13 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every document by its rule statistics."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.STATS, "base_failed", "kept", "score")
+    return quality.judge_quality(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        *quality.STATS,
+        "base_failed",
+        "kept",
+        "score",
+    )
 
 
 #: What both turns of the added conversation -1 say.
@@ -91,7 +97,11 @@ def turn_events(turns: DataFrame) -> DataFrame:
     comes as a message and deltas, as a draft that an edit replaces, or as an answer that is begun, regenerated and
     streamed anew."""
     text, third = F.coalesce("text", F.lit("")), F.ceil(F.length("text") / 3).cast("int")
-    a, b, c = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))
+    a, b, c = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(
+        text,
+        2 * third + 1,
+        F.length(text),
+    )
     log = lambda *events: F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(t, F.lit("")).alias("text")) for k, t in events))
     streamed = log(("message", a), ("delta", b), ("delta", c))
     edited = log(("message", F.reverse(text)), ("delta", F.lit("<|draft|>")), ("edit", text))
@@ -99,16 +109,35 @@ def turn_events(turns: DataFrame) -> DataFrame:
     way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
     # Rows of one turn number follow one another, by role and text, each with its own events.
     row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text))
-    logs = turns.withColumns({"row": row, "events": F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)})
-    return logs.select("conv_id", "turn", "role", "row", F.posexplode("events").alias("at", "e")).select("conv_id", "turn", "role", (F.col("row") * 8 + F.col("at")).alias("seq"), "e.kind", "e.text")
+    logs = turns.withColumns(
+        {"row": row, "events": F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)},
+    )
+    return logs.select("conv_id", "turn", "role", "row", F.posexplode("events").alias("at", "e")).select(
+        "conv_id",
+        "turn",
+        "role",
+        (F.col("row") * 8 + F.col("at")).alias("seq"),
+        "e.kind",
+        "e.text",
+    )
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation, and one made of control strings, and read the turns back; turns come from event logs."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
     rendered = chat.render(chat.fold_events(turn_events(own.unionByName(added))))
-    read = rendered.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = rendered.select(
+        "conv_id",
+        "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -137,7 +166,12 @@ FROM turns GROUP BY conv_id
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the lines of every document that resemble an earlier line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
 
 
 #: Pairs of lines come from the words they share; that is quadratic in a word's lines, and fit for small tables only.
@@ -156,7 +190,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the bytes of 50-byte strings that also start in a smaller document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return suffix.remove_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,12 +213,27 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every text, and its edited text, whose last third comes from the next document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = fingerprints.with_next(docs, "doc_id", "text", {"sketch": fingerprints.sketch(F.col("text"))}, parts).withColumn("n_chars", F.length("text").cast("long"))
+    pairs = fingerprints.with_next(
+        docs,
+        "doc_id",
+        "text",
+        {"sketch": fingerprints.sketch(F.col("text"))},
+        parts,
+    ).withColumn("n_chars", F.length("text").cast("long"))
     cut_off = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut_off), F.substring("next_text", F.lit(1), cut_off))
-    sketched = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited")).withColumn("own", F.struct("edited", fingerprints.sketch(F.col("edited")).alias("sketch")))
+    edited = F.concat(
+        F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut_off),
+        F.substring("next_text", F.lit(1), cut_off),
+    )
+    sketched = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited")).withColumn(
+        "own",
+        F.struct("edited", fingerprints.sketch(F.col("edited")).alias("sketch")),
+    )
     return sketched.select(
         "doc_id",
         "n_chars",

@@ -56,7 +56,9 @@ def grams(data: np.ndarray) -> np.ndarray:
     h = mixed(data.astype(np.uint64) + U(0x9E3779B97F4A7C15))
     step = 1
     while step < GRAM:
-        h = (h[:-step] ^ (h[:-step] >> U(29))) * U(0xD6E8FEB86659FD93) + (h[step:] ^ (h[step:] >> U(32))) * U(0xA0761D6478BD642F)
+        h = (
+            h[:-step] ^ (h[:-step] >> U(29))
+        ) * U(0xD6E8FEB86659FD93) + (h[step:] ^ (h[step:] >> U(32))) * U(0xA0761D6478BD642F)
         step *= 2
     return mixed(h)
 
@@ -83,7 +85,14 @@ def runs(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     anchor = least[first]
     end = first + beyond + width
     content = (anchor - first).astype(U) << U(32) | beyond.astype(U)
-    for at in (first, np.minimum(first + GRAM, end - GRAM), np.minimum(first + 2 * GRAM, end - GRAM), end - 3 * GRAM, end - 2 * GRAM, end - GRAM):
+    for at in (
+        first,
+        np.minimum(first + GRAM, end - GRAM),
+        np.minimum(first + 2 * GRAM, end - GRAM),
+        end - 3 * GRAM,
+        end - 2 * GRAM,
+        end - GRAM,
+    ):
         content = mixed(content) * U(0x9FB21C651E98DF25) + h[at]
     return h[anchor], mixed(content), first, beyond, anchor - first
 
@@ -97,16 +106,30 @@ def _all_runs(width: int):
             count = 0
 
             def out() -> pa.RecordBatch:
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+                columns = [
+                    np.concatenate(c) for c in zip(*found, strict=True)
+                ] if found else [np.zeros(0, np.int64)] * 4
                 found.clear()
                 return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
 
-            for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, mark in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1),
+                batch.column(2).to_pylist(),
+                strict=True,
+            ):
                 raw = text.as_buffer()
                 if raw is None or raw.size < width:
                     continue
                 digit, content, first, beyond, left = runs(np.frombuffer(raw, np.uint8), width)
-                found.append((digit.view(np.int64), content.view(np.int64), np.full(len(digit), doc, np.int64), (mark << 47) | first << 16 | left << 8 | beyond))
+                found.append(
+                    (
+                        digit.view(np.int64),
+                        content.view(np.int64),
+                        np.full(len(digit), doc, np.int64),
+                        (mark << 47) | first << 16 | left << 8 | beyond,
+                    ),
+                )
                 count += len(digit)
                 if count > 500_000:
                     yield out()
@@ -142,7 +165,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif new[0] or (len(starts) > 1 and follows[0]):
             release, held = held, []
             for x in release:
-                yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2])], names=["digit", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[0]), pa.array(x[1]), pa.array(x[2])],
+                    names=["digit", "doc_id", "place"],
+                )
         contested = (~opens | follows)[group] & ~repeat
         tail = (group == group[-1]) & ~repeat & ~contested
         if len(starts) > 1:
@@ -150,7 +176,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if opens[-1] and tail.any():
             held.append(np.stack([digit[tail], doc[tail], place[tail]]))
         pick = repeat | contested
-        yield pa.RecordBatch.from_arrays([pa.array(digit[pick], mask=repeat[pick]), pa.array(doc[pick]), pa.array(place[pick])], names=["digit", "doc_id", "place"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(digit[pick], mask=repeat[pick]), pa.array(doc[pick]), pa.array(place[pick])],
+            names=["digit", "doc_id", "place"],
+        )
         last = (int(digit[-1]), int(content[-1]), int(first_doc[-1]), bool(opens[-1]))
 
 
@@ -158,22 +187,41 @@ def _contested_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for doc, text, mark, digits, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for doc, text, mark, digits, places in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1),
+                batch.column(2).to_pylist(),
+                batch.column(3),
+                batch.column(4),
+                strict=True,
+            ):
                 raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
                 for digit, place in zip(digits.values.to_pylist(), places.values.to_pylist(), strict=True):
                     if place >> 47 == mark:
                         start = place >> 16 & 0x7FFFFFFF
-                        for column, value in zip(rows, (digit, doc, place, bytes(raw[start : start + (place & 255) + width])), strict=True):
+                        for column, value in zip(
+                            rows,
+                            (digit, doc, place, bytes(raw[start : start + (place & 255) + width])),
+                            strict=True,
+                        ):
                             column.append(value)
                 if len(rows[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())], names=["digit", "doc_id", "place", "bytes"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
+                        names=["digit", "doc_id", "place", "bytes"],
+                    )
                     rows = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())], names=["digit", "doc_id", "place", "bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
+                names=["digit", "doc_id", "place", "bytes"],
+            )
 
     return run
 
 
-def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray]
+]:
     """For every place of the first digit in the window: rows that have such a window, its key and its place."""
     reach = width - GRAM
     lengths = np.fromiter(map(len, held), np.int64, len(held))
@@ -182,12 +230,17 @@ def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width:
     lines = np.zeros((len(held), reach + GRAM + reach), np.uint8)
     flat = np.frombuffer(b"".join(held), np.uint8)
     row = np.repeat(np.arange(len(held)), lengths)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(reach - left, lengths)
+    column = np.arange(len(flat)) - np.repeat(
+        np.cumsum(lengths) - lengths,
+        lengths,
+    ) + np.repeat(reach - left, lengths)
     lines[row, column] = flat
     h = mixed(lines.astype(np.uint64) + U(0x9E3779B97F4A7C15))
     step = 1
     while step < GRAM:
-        h = (h[:, :-step] ^ (h[:, :-step] >> U(29))) * U(0xD6E8FEB86659FD93) + (h[:, step:] ^ (h[:, step:] >> U(32))) * U(0xA0761D6478BD642F)
+        h = (h[:, :-step] ^ (h[:, :-step] >> U(29))) * U(0xD6E8FEB86659FD93) + (
+            h[:, step:] ^ (h[:, step:] >> U(32))
+        ) * U(0xA0761D6478BD642F)
         step *= 2
     for i in range(reach + 1):
         at = np.flatnonzero((i <= left) & (left - i <= lengths - width))
@@ -199,7 +252,13 @@ def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width:
         yield at, key, mark[at] << 47 | (start[at] + left[at] - i) << 16
 
 
-def _windows_covered(digit: np.ndarray, doc: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows_covered(
+    digit: np.ndarray,
+    doc: np.ndarray,
+    place: np.ndarray,
+    held: list[bytes],
+    width: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """Of whole digit groups, the windows that start in a smaller document too: document and place of each."""
     docs, places = [], []
     for at, key, window in _window_keys(digit, place, held, width):
@@ -221,7 +280,17 @@ def _all_windows(width: int):
                 digit, doc, place = (batch.column(i).to_numpy() for i in range(3))
                 for at, key, window in _window_keys(digit, place, batch.column(3).to_pylist(), width):
                     # The place of the digit in the window is part of what a key stands for.
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((place[at] >> 16 & 0x7FFFFFFF) + (place[at] >> 8 & 255) - (window >> 16 & 0x7FFFFFFF)), pa.array(doc[at]), pa.array(window)], names=["key", "lead", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.view(np.int64)),
+                            pa.array(
+                                (place[at] >> 16 & 0x7FFFFFFF) + (place[at] >> 8 & 255) - (window >> 16 & 0x7FFFFFFF),
+                            ),
+                            pa.array(doc[at]),
+                            pa.array(window),
+                        ],
+                        names=["key", "lead", "doc_id", "place"],
+                    )
 
     return run
 
@@ -238,10 +307,16 @@ def _sort_contested(width: int):
             order = np.lexsort((place, doc))
             doc, place = doc[order], place[order]
             window = place >> 16
-            new = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(window) > 1) | (np.diff(window // 200) > 0)) if len(doc) else np.zeros(0, bool)
+            new = np.append(
+                True,
+                (doc[1:] != doc[:-1]) | (np.diff(window) > 1) | (np.diff(window // 200) > 0),
+            ) if len(doc) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-            return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(place[first] | window[last] - window[first])], names=["doc_id", "place"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc[first]), pa.array(place[first] | window[last] - window[first])],
+                names=["doc_id", "place"],
+            )
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,14 +363,25 @@ def _removed(width: int):
                 n_spans.append(len(edges) // 2)
                 kept.append(data[~gone].tobytes())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            arrays = [
+                batch.column(0),
+                *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)),
+                pa.array(kept, pa.binary()),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            ]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans"]
             yield pa.RecordBatch.from_arrays(arrays + list(batch.columns[4:]), names=names + batch.schema.names[4:])
 
     return run
 
 
-def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    df: DataFrame,
+    width: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_bytes and spans (start and end in bytes).
 
     keep names further columns of df to carry along.
@@ -304,7 +390,11 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         raise ValueError(f"width must be from {3 * GRAM} to {GRAM + 255}")
     taken = {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans", id_col, text_col}
     keep = tuple(c for c in keep if c not in taken)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"), *(F.col(c).alias(f"__{c}") for c in keep))
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("binary").alias("__text"),
+        *(F.col(c).alias(f"__{c}") for c in keep),
+    )
     mark = F.pmod(F.xxhash64("__text"), F.lit(65536)).alias("__mark")
     named = docs.where("doc_id IS NOT NULL")
     settled = cut(
@@ -315,8 +405,17 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     def contested(runs: DataFrame) -> DataFrame:
         """The bytes of runs (digit, doc_id, place)."""
-        own = runs.groupBy("doc_id").agg(F.collect_list("digit").alias("__digits"), F.collect_list("place").alias("__places"))
-        return mine.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "__text", mark, "__digits", "__places").mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
+        own = runs.groupBy("doc_id").agg(
+            F.collect_list("digit").alias("__digits"),
+            F.collect_list("place").alias("__places"),
+        )
+        return mine.join(own.hint("shuffle_hash"), "doc_id").select(
+            "doc_id",
+            "__text",
+            mark,
+            "__digits",
+            "__places",
+        ).mapInArrow(_contested_bytes(width), "digit long, doc_id long, place long, bytes binary")
 
     left = settled.where("digit IS NOT NULL")
     hot = cut(left.groupBy("digit").count().where(F.col("count") > MOST).select("digit"))
@@ -326,16 +425,40 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_contested(width), "doc_id long, place long"),
     )
     if some:
-        each = cut(contested(left.join(hot, "digit", "left_semi")).mapInArrow(_all_windows(width), "key long, lead long, doc_id long, place long"))
-        least = each.groupBy("key", "lead").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        windows = windows.unionByName(each.join(least, ["key", "lead"]).where("doc_id > least").select("doc_id", "place"))
+        each = cut(
+            contested(left.join(hot, "digit", "left_semi")).mapInArrow(
+                _all_windows(width),
+                "key long, lead long, doc_id long, place long",
+            ),
+        )
+        least = each.groupBy("key", "lead").agg(
+            F.min("doc_id").alias("least"),
+            F.max("doc_id").alias("most"),
+        ).where("least < most")
+        windows = windows.unionByName(
+            each.join(least, ["key", "lead"]).where("doc_id > least").select("doc_id", "place"),
+        )
     whole = settled.where("digit IS NULL").select("doc_id", "place")
     spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list("place").alias("__items"))
-    result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn("__items", F.lit(None).cast("array<long>"))
-    joined = mine.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "__text", *(f"__{c}" for c in keep), "__items").unionByName(result)
+    result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn(
+        "__items",
+        F.lit(None).cast("array<long>"),
+    )
+    joined = mine.join(spans.hint("shuffle_hash"), "doc_id", "left").select(
+        "doc_id",
+        "__text",
+        *(f"__{c}" for c in keep),
+        "__items",
+    ).unionByName(result)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, spans array<struct<start:long,end:long>>"
     schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.select("doc_id", "__text", mark, "__items", *(F.col(f"__{c}").alias(c) for c in keep)).mapInArrow(_removed(width), schema)
+    return joined.select(
+        "doc_id",
+        "__text",
+        mark,
+        "__items",
+        *(F.col(f"__{c}").alias(c) for c in keep),
+    ).mapInArrow(_removed(width), schema)
 
 
 def kept_text(df: DataFrame, out_col: str = "text") -> DataFrame:

@@ -40,7 +40,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+    return F.translate(
+        F.regexp_extract(rest, "^([^/?#]*)", 1),
+        UPPER,
+        LOWER,
+    ), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -59,12 +63,24 @@ def join_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     Distinct hosts and paths meet the rules on each suffix of the host; a hot host or rule is split by skew handling.
     """
-    own = rules.select("rule", F.col("verdict"), F.substring_index("rule", "/", 1).alias("__h")).withColumn("__p", F.expr("substring(rule, length(__h) + 1)"))
+    own = rules.select("rule", F.col("verdict"), F.substring_index("rule", "/", 1).alias("__h")).withColumn(
+        "__p",
+        F.expr("substring(rule, length(__h) + 1)"),
+    )
     keys = urls.select("host", "path").distinct()
     parts = F.split("host", r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    fits = keys.select("host", "path", F.explode(names).alias("__h")).join(own, "__h").where(F.startswith("path", "__p"))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("b"))
+    names = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
+    )
+    fits = keys.select(
+        "host",
+        "path",
+        F.explode(names).alias("__h"),
+    ).join(own, "__h").where(F.startswith("path", "__p"))
+    best = fits.groupBy("host", "path").agg(
+        F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("b"),
+    )
     return urls.join(best.select("host", "path", "b.rule", "b.verdict"), ["host", "path"], "left")
 
 
@@ -72,7 +88,10 @@ def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, counted; pages has host and html."""
     target = F.col("target")
     absolute = F.when(F.startswith(target, F.lit("//")), F.concat(F.lit("x:"), target)).otherwise(target)
-    found = pages.where("html IS NOT NULL AND host != ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"))
+    found = pages.where("html IS NOT NULL AND host != ''").select(
+        F.col("host").alias("src"),
+        F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"),
+    )
     named = found.where(F.contains("target", F.lit("//"))).select("src", host_and_path(absolute)[0].alias("dst"))
     return named.where("dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -81,10 +100,21 @@ def domain_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): each host with the domain right above it, unless that is a top-level one, both ways, and so on up;
     n is the host's number of pages. pages has host."""
     parts = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("src"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("dst")))
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda i: F.struct(
+            F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("src"),
+            F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("dst"),
+        ),
+    )
     named = pages.where("host != ''").groupBy("host").agg(F.count("*").alias("n")).where(F.size(parts) > 2)
-    up = named.select("n", F.explode(F.slice(above, F.lit(1), F.size(parts) - 2)).alias("l")).select("l.src", "l.dst", "n")
-    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).where("src != '' AND dst != ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    up = named.select(
+        "n",
+        F.explode(F.slice(above, F.lit(1), F.size(parts) - 2)).alias("l"),
+    ).select("l.src", "l.dst", "n")
+    return up.unionByName(
+        up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"),
+    ).where("src != '' AND dst != ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:
@@ -95,15 +125,35 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
     """
     if links.isEmpty():
         return seeds
-    forward = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    forward = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
+        links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"),
+    )
     out = forward.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    steps = cut(forward.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("p")))
-    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "s")).where("s > 0")
-    now = cut(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"), ((1 - damping) * F.col("s")).alias("d")))
+    steps = cut(
+        forward.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("p")),
+    )
+    start = seeds.select(
+        "host",
+        F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "s"),
+    ).where("s > 0")
+    now = cut(
+        start.select(
+            "kind",
+            "host",
+            ((1 - damping) * F.col("s")).alias("r"),
+            ((1 - damping) * F.col("s")).alias("d"),
+        ),
+    )
     while not now.where(F.col("d") > tolerance * F.col("r")).isEmpty():
         for _ in range(ROUNDS):
-            moved = now.where("d > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("d") * F.col("p")).alias("d"))
-            both = moved.select("kind", "host", F.col("d").alias("r"), "d").unionByName(now.select("kind", "host", "r", F.lit(0.0).alias("d")))
+            moved = now.where("d > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
+                "kind",
+                F.col("dst").alias("host"),
+                (damping * F.col("d") * F.col("p")).alias("d"),
+            )
+            both = moved.select("kind", "host", F.col("d").alias("r"), "d").unionByName(
+                now.select("kind", "host", "r", F.lit(0.0).alias("d")),
+            )
             now = both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
         now = cut(now)
     score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0))
@@ -112,9 +162,25 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
 
 def calibrated(judged: DataFrame, scores: DataFrame, powers: int = 8) -> float:
     """The power of two by which scores (host, trust, distrust) tell blocked from allowed pages of judged best."""
-    ruled = judged.where("rule IS NOT NULL").groupBy("host").agg(F.count_if(F.col("verdict") == "block").alias("b"), F.count_if(F.col("verdict") == "allow").alias("a"))
+    ruled = judged.where("rule IS NOT NULL").groupBy("host").agg(
+        F.count_if(F.col("verdict") == "block").alias("b"),
+        F.count_if(F.col("verdict") == "allow").alias("a"),
+    )
     tried = sorted((2.0**p for p in range(-powers, powers + 1)), key=lambda r: (max(r, 1 / r), r))
-    scored = ruled.join(scores, "host").select("a", "b", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col("distrust") > F.col("trust") * r * (1 + TIE)).alias("blocked")) for i, r in enumerate(tried)))).alias("t"))
+    scored = ruled.join(scores, "host").select(
+        "a",
+        "b",
+        F.explode(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(i).alias("i"),
+                        (F.col("distrust") > F.col("trust") * r * (1 + TIE)).alias("blocked"),
+                    ) for i, r in enumerate(tried)
+                ),
+            ),
+        ).alias("t"),
+    )
     right = scored.groupBy("t.i").agg(
         F.coalesce(F.try_divide(F.sum(F.when(F.col("t.blocked"), F.col("b")).otherwise(0)), F.sum("b")), F.lit(0.0)).alias("caught"),
         F.coalesce(F.try_divide(F.sum(F.when(~F.col("t.blocked"), F.col("a")).otherwise(0)), F.sum("a")), F.lit(0.0)).alias("spared"))
@@ -122,7 +188,12 @@ def calibrated(judged: DataFrame, scores: DataFrame, powers: int = 8) -> float:
     return tried[best[0]["i"]] if best else 1.0
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, ratio: float | None = None, id_col: str = "page_id") -> DataFrame:
+def filter_urls(
+    pages: DataFrame,
+    rules: list[tuple[str, str]] | DataFrame,
+    ratio: float | None = None,
+    id_col: str = "page_id",
+) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of pages (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), "html")
@@ -130,17 +201,41 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, rati
     if isinstance(rules, DataFrame):
         judged = join_rules(urls, rules)
     else:
-        judged = urls.withColumn("__m", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "__m.rule", "__m.verdict")
-    counts = judged.where("rule IS NOT NULL").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
+        judged = urls.withColumn("__m", matching_rule(F.col("host"), F.col("path"), rules)).select(
+            "page_id",
+            "host",
+            "path",
+            "__m.rule",
+            "__m.verdict",
+        )
+    counts = judged.where("rule IS NOT NULL").groupBy("host").agg(
+        F.count_if(F.col("verdict") == "allow").alias("a"),
+        F.count_if(F.col("verdict") == "block").alias("b"),
+    )
     total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))  # one row
-    seeds = counts.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.try_divide("a", "ta"), F.lit(0.0)).alias("trust"), F.coalesce(F.try_divide("b", "tb"), F.lit(0.0)).alias("distrust"))
+    seeds = counts.crossJoin(F.broadcast(total)).select(
+        "host",
+        F.coalesce(F.try_divide("a", "ta"), F.lit(0.0)).alias("trust"),
+        F.coalesce(F.try_divide("b", "tb"), F.lit(0.0)).alias("distrust"),
+    )
     links = host_links(parsed).unionByName(domain_links(parsed)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     walked = propagate(seeds, cut(links))
     whole = walked.agg(F.sum("trust").alias("st"), F.sum("distrust").alias("sd"))  # one row
-    shares = {"trust": F.coalesce(F.try_divide("trust", "st"), F.lit(0.0)), "distrust": F.coalesce(F.try_divide("distrust", "sd"), F.lit(0.0))}
+    shares = {
+        "trust": F.coalesce(F.try_divide("trust", "st"), F.lit(0.0)),
+        "distrust": F.coalesce(F.try_divide("distrust", "sd"), F.lit(0.0)),
+    }
     scores = cut(walked.crossJoin(F.broadcast(whole)).withColumns(shares).select("host", "trust", "distrust"))
     ratio = calibrated(judged, scores) if ratio is None else ratio
     joined = judged.join(scores, "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce("verdict", F.when(distrust > trust * ratio * (1 + TIE), "block").otherwise("allow"))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return joined.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        verdict.alias("verdict"),
+        trust.alias("trust"),
+        distrust.alias("distrust"),
+    )
