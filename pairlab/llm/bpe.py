@@ -37,6 +37,10 @@ CACHE_WORDS = 250_000
 SMALL = 24
 
 
+#: Rows that are decoded at a time.
+ROWS = 500
+
+
 class Places(dict):
     """Numbers words in the order of their first appearance."""
 
@@ -280,17 +284,20 @@ def decode_documents(
     fields = _carry(df, list(keep), text_col)
     schema = T.StructType([*fields, T.StructField(text_col, T.StringType())])
     names = [f.name for f in fields]
+    at = names.index(ids_col) if ids_col in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            texts = [
-                bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string())],
-                names=[*names, text_col],
-            )
-
-    return df.select(*names, df[ids_col].alias("__ids")).mapInArrow(run, schema)
+        for whole in batches:
+            for low in range(0, max(1, whole.num_rows), ROWS):
+                batch = whole.slice(low, ROWS)
+                texts = [
+                    bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else ""
+                    for x in batch.column(at)
+                ]
+                columns = [*batch.columns[: len(names)], pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, text_col])
+
+    # Ids that are carried along go to Python once.
+    chosen = df.select(*names) if ids_col in names else df.select(*names, df[ids_col].alias("__ids"))
+    return chosen.mapInArrow(run, schema)
