@@ -2,18 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents, with n_chars as the length of the text they leave.
+
+Defined cases: a null text fails the quality rules, as it has no words; a null lang or source is kept as it is; rows
+with a null id are judged by the quality rules, keep their lines and passages and are nobody's copies; rows that repeat
+an id are judged one by one, and of equal or similar ones the first by id and hash stays; a text that the line stage
+empties is a document without shingles, which is nobody's copy unless id and text are equal, and is packed as its end id
+alone; further columns of documents are left out, whatever their names; an empty table goes through as one.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm import line_dedup, minhash, packing, quality, suffix
-from pairlab.llm.common import cut, shared_folder, table
+from pairlab.llm.common import cut, table
 from pairlab.llm.queries import BYTE_BPE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -74,8 +79,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; each stage's result goes through a Parquet table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
