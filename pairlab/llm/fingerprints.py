@@ -11,6 +11,7 @@ another one not at all; equal texts have equal sketches; repeated rows each give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,17 +116,22 @@ def with_next(df: DataFrame, order: str, text: str, derived: dict[str, Column],
     ) if parts > 1 else None
     bounds = sorted(tuple(r.k) for r in ranges.collect())[1:] if ranges is not None else []  # one row for each part
     literal = lambda k: F.struct(F.lit(k[0]).alias("none"), F.lit(k[1]).cast("long").alias("place"), F.lit(k[2]).cast("long").alias("tie"))
-    at = F.size(
-        F.filter(F.array(*(literal(k) for k in bounds)), lambda b: b <= F.col("__key")),
-    ) if bounds else F.lit(0)
+    at = F.lit(0)
+    if bounds:
+        # In two steps, so that a row is compared with few bounds: first with every step-th, then with those that follow.
+        step = math.isqrt(len(bounds)) + 1
+        passed = lambda some: F.size(F.filter(some, lambda b: b <= F.col("__key")))
+        every = F.array(*(literal(k) for k in bounds))
+        coarse = passed(F.array(*(literal(k) for k in bounds[::step])))
+        at = let(coarse, lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + passed(F.slice(every, (c - 1) * step + 1, step))))
     dealt = keyed.withColumn("__part", at)
     firsts = dealt.groupBy("__part").agg(F.min_by(F.struct(text), "__key").alias("__first"))
     # At most one row for each part: the part before it takes it in.
-    every = Window.orderBy("__part")
+    parts_in_order = Window.orderBy("__part")
     before = firsts.select(
         F.coalesce(
-            F.lag("__part").over(every),
-            F.max("__part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            F.lag("__part").over(parts_in_order),
+            F.max("__part").over(parts_in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         ).alias("__part"),
         "__first",
     )
