@@ -10,11 +10,11 @@ only the work differs. Equal sets are one class, known by its first line and num
 
 Classes meet on the words of their prefixes (so many that two similar sets must share one there) and are filtered by
 length, by the words that can still match from a position on, and by a bound on what they share from 64 bits of each set,
-or 128 of one with more than 64 words (a word sets one; each bit that differs is a word that one set lacks). What is left is verified on the full sets of the
-lines. A class needs only one earlier match, so this is done in two steps: each class first meets the leader that most of
-a few of its words have (the first class that chose a word); only classes for which that is no match meet all earlier
-ones. Groups of many variants of a line are settled by their leaders, so that candidates don't grow with the square of
-such a group.
+or 128 of one with more than 64 words (a word flips one; each bit that differs means a word that one set lacks). What is left is verified on the full sets of the
+lines. A class needs only one earlier match, so this is done in two steps: each class first meets the leaders that most of
+a few of its words have (the first class that chose a word, in each of four parts of all classes); only classes for which
+none of these is a match meet all earlier ones. Groups of many variants of a line are settled by their leaders, so that
+candidates don't grow with the square of such a group.
 
 Defined cases: a null text has one empty line; a row with a null id is left as it is and is no source; of rows that
 repeat an id, each is a text of its own, ordered by the hash of its text, and exact copies keep the same lines; an empty
@@ -36,6 +36,8 @@ from pairlab.llm.fingerprints import let
 WIDTH = 1 << 19
 #: Words by which a class looks for its leader.
 FEW = 4
+#: Parts of all classes, each of which has its leaders.
+PARTS = 4
 #: Separators of words besides the space; a line break only ends lines.
 BLANKS = "\t\x0b\x0c\r"
 
@@ -85,11 +87,11 @@ def coded(line: Column, levels: Column) -> Column:
 
 
 def marked(words: Column) -> Column:
-    """64 bits, of which each word sets one."""
+    """64 bits, of which each word flips one."""
     return F.aggregate(
         words,
         F.lit(0).cast("long"),
-        lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))),
+        lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))),
     )
 
 
@@ -99,7 +101,7 @@ def may_match(tenths: int) -> Column:
     least, both = tenths * (F.col("n") + F.col("m")), 10 + tenths
     rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    folded = differ(F.col("low").bitwiseOR(F.col("high")), F.col("low2").bitwiseOR(F.col("high2")))
+    folded = differ(F.col("low").bitwiseXOR(F.col("high")), F.col("low2").bitwiseXOR(F.col("high2")))
     apart = F.when(
         (F.col("n") > 64) & (F.col("m") > 64),
         differ(F.col("low"), F.col("low2")) + differ(F.col("high"), F.col("high2")),
@@ -144,14 +146,14 @@ def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFr
     # A few words of each prefix, chosen by hash, so that variants of a line mostly choose the same.
     few = F.slice(F.array_sort(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)
     chosen = classes.select("ord", F.explode(few).alias("word"))
-    leaders = chosen.groupBy("word").agg(
-        F.min("ord").alias("y"),
-        F.max("ord").alias("last"),
-    ).where("y < last").select("word", "y")
-    met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").where("y < x").groupBy("x", "y").agg(
-        F.count("*").alias("shared"),
-    )
-    best = met.where("shared > 1").groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
+    # One leader for each part of the classes, as a variant may be unlike the first but like others.
+    part = F.pmod(F.xxhash64("ord"), F.lit(PARTS))
+    least = [F.min(F.when(part == i, F.col("ord"))).alias(f"y{i}") for i in range(PARTS)]
+    leaders = chosen.groupBy("word").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), *least).where("first < last")
+    found = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"y{i}").alias("y")) for i in range(PARTS))))
+    met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").select("x", found.alias("l")).where("l.y < x")
+    often = met.groupBy("x", "l.part", "l.y").agg(F.count("*").alias("shared")).where("shared > 1")
+    best = often.groupBy("x", "part").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y")).select("x", "y")
     led = verified(best, classes, texts, tenths)
     entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "low", "high", F.posexplode("prefix").alias("pos", "word"))
     rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
