@@ -5,12 +5,11 @@ of which the least id goes on. Bands of the signatures deal the classes into buc
 compared by signature, then confirmed on their full sets, and confirmed links become components by alternating
 large-star and small-star steps.
 
-Buckets may be large, so their pairs are not made: each class is compared with the leader of its bucket (its least
-class), and what is confirmed is joined. Only classes that are not like their leader are compared with the others of the
-bucket, and of these only with those that have not been joined with them by then. So nothing is closed over links that
-are not confirmed, a group of copies costs one comparison for each of its classes, and no link is passed over. A pair is
-confirmed where the set of one lies: it is sent to each of its partners' tasks once for ``BLOCK`` partners, which are
-read one after another.
+Buckets may be large and overlap, so their pairs are not made. Classes that share buckets, directly or through others,
+form loose groups, each class in one of them; its full set is sent there once. A task compares the documents of a group
+and gives just enough confirmed links to join all that belong together; pairs joined already are not looked at. A group
+beyond ``BLOCK`` documents is compared block with block, so that none is left out and no task holds more than two
+blocks.
 
 Words are what lies between space and the control characters 0x09 to 0x0D, with A-Z lower-cased. A document with fewer
 words than a shingle has one shingle of all of them. Defined cases: a null or blank text has no shingles and is linked
@@ -35,7 +34,7 @@ from pairlab.llm.components import connected_components
 U = np.uint64
 #: Bands and minima in each: at a similarity of 0.85 a pair shares no band with a probability of 4e-7, at 0.8 of 4e-5.
 BANDS, ROWS = 25, 5
-#: Partners of a class that are compared in one task at most.
+#: Documents of a group that are compared at a time.
 BLOCK = 1000
 
 
@@ -124,100 +123,92 @@ def _sets(words: int):
     return run
 
 
-def _close(percent: int):
-    """Pairs (x, y) of rows (x, y, sx, sy) whose signatures don't rule their similarity out."""
-    share, n = percent / 100, BANDS * ROWS
-    # Five standard deviations of the signature's estimate below the threshold.
-    least = (share - 5 * (share * (1 - share) / n) ** 0.5) * n
+def confirmed_links(
+    reps: np.ndarray,
+    block: np.ndarray,
+    minima: np.ndarray,
+    sets: list[np.ndarray],
+    percent: int,
+) -> list[tuple[int, int]]:
+    """Links among documents, enough of them to join all that are alike; with two blocks, those between the blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (
-                    np.frombuffer(
-                        b"".join(batch.column(i).to_pylist()),
-                        "<u4",
-                    ).reshape(batch.num_rows, -1) for i in (2, 3)
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [c.filter(pa.array((a == b).sum(axis=1) >= least)) for c in batch.columns[:2]],
-                    names=["x", "y"],
-                )
-
-    return run
+    A pair that is joined already is not looked at. Others are compared by signature and then on their full sets, one
+    document with all its candidates at a time.
+    """
+    share = percent / 100
+    # Five standard deviations of the signature's estimate below the threshold.
+    least = (share - 5 * (share * (1 - share) / minima.shape[1]) ** 0.5) * minima.shape[1]
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(lengths)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    present = np.zeros(len(codes), bool)
+    cross = block.min() != block.max()
+    _, label = np.unique(reps, return_inverse=True)
+    links = []
+    for x in range(len(sets) - 1):
+        near = label[x + 1 :] != label[x]
+        if cross:
+            near &= block[x + 1 :] != block[x]
+        near = x + 1 + np.flatnonzero(near)
+        near = near[(minima[near] == minima[x]).sum(axis=1) >= least]
+        if not len(near):
+            continue
+        own = codes[ends[x] - lengths[x] : ends[x]]
+        present[own] = True
+        if len(near) < 32:
+            both = np.array([present[codes[ends[y] - lengths[y] : ends[y]]].sum() for y in near])
+        else:
+            hits = np.concatenate([[0], np.cumsum(present[codes[ends[x] :]])])
+            both = hits[ends[near] - ends[x]] - hits[ends[near] - lengths[near] - ends[x]]
+        present[own] = False
+        for y in near[100 * both >= percent * (lengths[x] + lengths[near] - both)].tolist():
+            if label[y] != label[x]:
+                links.append((int(reps[x]), int(reps[y])))
+                label[label == label[y]] = label[x]
+    return links
 
 
 def _confirmed(percent: int):
-    """Confirmed pairs (x, y) from rows (y, salt, x, shingles) in order, of which the first of each (y, salt) has no x."""
+    """Links from rows (group, i, j, own, rep, signature, shingles) in order of their groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, key = np.zeros(0, U), None
+        held: list[tuple] = []
+        group = None
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                minima = np.frombuffer(b"".join(r[2] for r in held), "<u4").reshape(len(held), -1)
+                sets = [np.frombuffer(r[3], U) for r in held]
+                found.extend(
+                    confirmed_links(
+                        np.array([r[1] for r in held]),
+                        np.array([r[0] for r in held]),
+                        minima,
+                        sets,
+                        percent,
+                    ),
+                )
+            held.clear()
+
         for batch in batches:
-            found = []
-            for y, salt, x, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shingles = np.frombuffer(raw, U)
-                if x is None:
-                    own, key = shingles, (y, salt)
-                elif key == (y, salt) and 100 * min(
-                    len(own),
-                    len(shingles),
-                ) >= percent * max(len(own), len(shingles)):
-                    # Both are in order; what of one is found in the other is shared.
-                    at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
-                    both = int((own[at] == shingles).sum())
-                    if 100 * both >= percent * (len(own) + len(shingles) - both):
-                        found.append((x, y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)],
-                names=["x", "y"],
-            )
+            for i in range(0, batch.num_rows, 1000):
+                columns = [c.to_pylist() for c in batch.slice(i, 1000).columns]
+                for *key, own, rep, minima, shingles in zip(*columns, strict=True):
+                    if key != group:
+                        close()
+                        group = key
+                    held.append((own, rep, minima, shingles))
+                links = np.array(found, np.int64).reshape(-1, 2)
+                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        close()
+        links = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
 
 
-def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Those pairs (x, y) of set keys, y with most partners, whose sets are alike. docs has doc_id and __text."""
-    signed = lambda c: classes.select(F.col("set_key").alias(c), F.col("signature").alias(f"s{c}"))
-    near = cut(
-        pairs.join(signed("x"), "x").join(signed("y"), "y").select("x", "y", "sx", "sy").mapInArrow(
-            _close(percent),
-            "x binary, y binary",
-        ),
-    )
-    wanted = classes.join(
-        near.select(F.explode(F.array("x", "y")).alias("set_key")).distinct(),
-        "set_key",
-        "left_semi",
-    ).select("set_key", "rep")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(
-        _sets(words),
-        "rep long, set_key binary, shingles binary",
-    ).join(wanted, ["rep", "set_key"]).select("set_key", "shingles").dropDuplicates(["set_key"])
-    sets = cut(sets)
-    salts = near.groupBy("y").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    hubs = salts.select("y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn(
-        "x",
-        F.lit(None).cast("binary"),
-    ).withColumn("key", F.col("y"))
-    partners = near.join(salts, "y").select(
-        "y",
-        F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"),
-        "x",
-        F.col("x").alias("key"),
-    )
-    work = hubs.unionByName(partners).join(
-        sets.withColumnRenamed("set_key", "key"),
-        "key",
-    ).select("y", "salt", "x", "shingles")
-    return cut(
-        work.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()).mapInArrow(
-            _confirmed(percent),
-            "x binary, y binary",
-        ),
-    )
-
-
 def near_duplicates(
     df: DataFrame,
     percent: int = 85,
@@ -231,7 +222,6 @@ def near_duplicates(
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"))
     rows = cut(signatures(docs, words))
-    docs = docs.where("doc_id IS NOT NULL")
     known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     bands = F.explode(
@@ -240,45 +230,53 @@ def near_duplicates(
             lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * ROWS + 1, F.lit(4 * ROWS))),
         ),
     )
-    spread = classes.select(F.col("set_key").alias("x"), bands.alias("bucket"))
+    spread = classes.select("rep", bands.alias("bucket"))
     leaders = spread.groupBy("bucket").agg(
-        F.min("x").alias("y"),
-        F.max("x").alias("last"),
-    ).where("y < last").select("bucket", "y")
-    met = cut(spread.join(leaders, "bucket").where("x != y"))
-    led = confirmed_pairs(met.select("x", "y").distinct(), classes, docs, percent, words)
-
-    reps = classes.select("set_key", "rep")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return pairs.join(reps.withColumnsRenamed({"set_key": "x", "rep": "a"}), "x").join(
-            reps.withColumnsRenamed({"set_key": "y", "rep": "b"}),
-            "y",
-        ).select("a", "b")
-
+        F.min("rep").alias("leader"),
+        F.max("rep").alias("other"),
+    ).where("leader < other")
+    loose = connected_components(
+        cut(spread.join(leaders, "bucket").select("rep", "leader").where("rep != leader").distinct()),
+        "rep",
+        "leader",
+    )
+    loose = cut(loose)
+    # Groups beyond BLOCK are compared block by block.
+    parts = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = loose.join(parts, "component").select(
+        "component",
+        F.col("node").alias("rep"),
+        "parts",
+    ).withColumn("own", own)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")),
+    )
+    texts = docs.where("doc_id IS NOT NULL").join(loose.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(
+        _sets(words),
+        "rep long, set_key binary, shingles binary",
+    ).join(classes, ["rep", "set_key"]).dropDuplicates(["rep", "set_key"])
+    work = sets.join(dealt, "rep").withColumn("p", F.explode(pairs)).select(
+        "component",
+        "p.i",
+        "p.j",
+        "own",
+        "rep",
+        "signature",
+        "shingles",
+    )
+    keys = ["component", "i", "j"]
+    confirmed = cut(
+        work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirmed(percent), "a long, b long"),
+    )
     # Rows that repeat an id join the classes of all their texts.
-    same = known.join(reps, "set_key").where("doc_id != rep").select(
+    same = known.join(classes.select("set_key", "rep"), "set_key").where("doc_id != rep").select(
         F.col("doc_id").alias("a"),
         F.col("rep").alias("b"),
     ).distinct()
-    joined = cut(connected_components(same.unionByName(links(led))))
-    left = met.join(led, ["x", "y"], "left_anti")
-    if not left.isEmpty():
-        labelled = met.join(reps.withColumnRenamed("set_key", "x"), "x").join(
-            joined,
-            F.col("rep") == F.col("node"),
-            "left",
-        ).select("bucket", "x", F.coalesce("component", "rep").alias("c"))
-        open_ = left.select("bucket", "x").join(labelled, ["bucket", "x"])
-        others = labelled.withColumnsRenamed({"x": "z", "c": "d"})
-        rest = open_.join(others, "bucket").where("x != z AND c != d").select(
-            F.greatest("x", "z").alias("x"),
-            F.least("x", "z").alias("y"),
-        ).distinct()
-        more = links(confirmed_pairs(rest, classes, docs, percent, words))
-        joined = connected_components(
-            joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more),
-        ) if not more.isEmpty() else joined
+    joined = connected_components(same.unionByName(confirmed))
     result = rows.join(joined, rows.doc_id == joined.node, "left")
     component = F.coalesce("component", "doc_id")
     return result.select(
