@@ -129,30 +129,30 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"),
     )
     out = forward.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    steps = cut(
-        forward.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("p")),
-    )
     start = seeds.select(
         "host",
         F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "s"),
     ).where("s > 0")
-    now = cut(
-        start.select(
-            "kind",
-            "host",
-            ((1 - damping) * F.col("s")).alias("r"),
-            ((1 - damping) * F.col("s")).alias("d"),
+    first = ((1 - damping) * F.col("s")).alias("r")
+    now = cut(start.select("kind", "host", first, first.alias("d")))
+    # A step of each host to itself, without a share, carries its score on, so that a round reads the scores once.
+    stays = forward.select("kind", F.col("src").alias("host")).unionByName(
+        forward.select("kind", F.col("dst").alias("host")),
+    ).unionByName(now.select("kind", "host")).distinct()
+    steps = cut(
+        forward.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("p")).unionByName(
+            stays.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(None).cast("double").alias("p")),
         ),
     )
     while not now.where(F.col("d") > tolerance * F.col("r")).isEmpty():
         for _ in range(ROUNDS):
-            moved = now.where("d > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
+            moved = F.coalesce(damping * F.col("d") * F.col("p"), F.lit(0.0))
+            kept = F.when(F.col("p").isNull(), F.col("r")).otherwise(0.0)
+            both = now.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
                 "kind",
                 F.col("dst").alias("host"),
-                (damping * F.col("d") * F.col("p")).alias("d"),
-            )
-            both = moved.select("kind", "host", F.col("d").alias("r"), "d").unionByName(
-                now.select("kind", "host", "r", F.lit(0.0).alias("d")),
+                (kept + moved).alias("r"),
+                moved.alias("d"),
             )
             now = both.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
         now = cut(now)
