@@ -9,8 +9,9 @@ rare words first. Frequencies are counted over all lines in hashed classes; any
 only the work differs. Equal sets are one class, known by its first line and numbered in order of first lines.
 
 Classes meet on the words of their prefixes (so many that two similar sets must share one there) and are filtered by
-length, by the words that can still match from a position on, and by a bound on what they share from 64 bits of each set,
-or 128 of one with more than 64 words (a word flips one; each bit that differs means a word that one set lacks). What is left is verified on the full sets of the
+length, by the words that can still match from a position on, and by the words that only one of them has: those before
+the first shared one, and of those behind it one for each bit that differs in 64 bits of each set, or 128 of sets with
+more than 64 words (a word flips one). What is left is verified on the full sets of the
 lines. A class needs only one earlier match, so this is done in two steps: each class first meets the leaders that most of
 a few of its words have (the first class that chose a word, in each of four parts of all classes); only classes for which
 none of these is a match meet all earlier ones. Groups of many variants of a line are settled by their leaders, so that
@@ -95,18 +96,35 @@ def marked(words: Column) -> Column:
     )
 
 
+def upper(word: Column) -> Column:
+    """Whether a word belongs to the upper half of a set's bits."""
+    return word.bitwiseAND(64) != 0
+
+
+def entries(classes: DataFrame) -> DataFrame:
+    """(ord, n, pos, word, low, high) of each prefix word of classes, with the bits of the words that follow it."""
+    passed = F.slice("prefix", F.lit(1), F.col("pos") + 1)
+    large = F.col("n") > 64
+    low = F.when(large, marked(F.filter(passed, lambda w: ~upper(w)))).otherwise(marked(passed))
+    high = F.when(large, marked(F.filter(passed, upper))).otherwise(0)
+    placed = classes.select("ord", F.col("n").cast("int").alias("n"), "low", "high", "prefix", F.posexplode("prefix").alias("pos", "word"))
+    return placed.select("ord", "n", "pos", "word", F.col("low").bitwiseXOR(low).alias("low"), F.col("high").bitwiseXOR(high).alias("high"))
+
+
 def may_match(tenths: int) -> Column:
-    """Whether two sets (n, pos, low, high; m, at, low2, high2) that share the words at these positions, and none before,
-    may be similar: by length, by what can still match from here on, and by the bits in which they differ."""
+    """Whether two sets (n, pos, low, high; m, at, low2, high2) may be similar if these positions hold the first word that
+    they share: by length, and by the words that only one has: all before the positions, as sets are in one order, and
+    one at least for each bit in which what follows differs."""
     least, both = tenths * (F.col("n") + F.col("m")), 10 + tenths
-    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     folded = differ(F.col("low").bitwiseXOR(F.col("high")), F.col("low2").bitwiseXOR(F.col("high2")))
-    apart = F.when(
+    after = F.when(
         (F.col("n") > 64) & (F.col("m") > 64),
         differ(F.col("low"), F.col("low2")) + differ(F.col("high"), F.col("high2")),
     ).otherwise(folded)
-    # What is shared is at most half of all words but those that account for differing bits.
+    apart = F.col("pos") + F.col("at") + after
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    # What is shared is half of all words but those that only one set has.
     return (10 * F.least("n", "m") >= tenths * F.greatest("n", "m")) & (both * rest >= least) & (
         both * (F.col("n") + F.col("m") - apart) >= 2 * least
     )
@@ -155,7 +173,6 @@ def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFr
     often = met.groupBy("x", "l.part", "l.y").agg(F.count("*").alias("shared")).where("shared > 1")
     best = often.groupBy("x", "part").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y")).select("x", "y")
     led = verified(best, classes, texts, tenths)
-    entries = lambda df: df.select("ord", F.col("n").cast("int").alias("n"), "low", "high", F.posexplode("prefix").alias("pos", "word"))
     rest = entries(classes.join(led.withColumnRenamed("x", "ord"), "ord", "left_anti")).withColumnRenamed("ord", "x")
     earlier = entries(classes).select(
         F.col("ord").alias("y"),
@@ -196,7 +213,6 @@ def dedup_lines(
     prefix = F.transform(F.slice("set", F.lit(1), reach), lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))
     described = lines_of(named).select(*place, coded(F.col("line"), levels).alias("set"))
     # Half of the words go to either half of the bits; those of small sets lie over one another.
-    upper = lambda w: w.bitwiseAND(64) != 0
     low = F.when(n > 64, marked(F.filter("set", lambda w: ~upper(w)))).otherwise(marked(F.col("set")))
     high = F.when(n > 64, marked(F.filter("set", upper))).otherwise(0)
     lines_at = new_place(df.sparkSession)
