@@ -107,8 +107,22 @@ def entries(classes: DataFrame) -> DataFrame:
     large = F.col("n") > 64
     low = F.when(large, marked(F.filter(passed, lambda w: ~upper(w)))).otherwise(marked(passed))
     high = F.when(large, marked(F.filter(passed, upper))).otherwise(0)
-    placed = classes.select("ord", F.col("n").cast("int").alias("n"), "low", "high", "prefix", F.posexplode("prefix").alias("pos", "word"))
-    return placed.select("ord", "n", "pos", "word", F.col("low").bitwiseXOR(low).alias("low"), F.col("high").bitwiseXOR(high).alias("high"))
+    placed = classes.select(
+        "ord",
+        F.col("n").cast("int").alias("n"),
+        "low",
+        "high",
+        "prefix",
+        F.posexplode("prefix").alias("pos", "word"),
+    )
+    return placed.select(
+        "ord",
+        "n",
+        "pos",
+        "word",
+        F.col("low").bitwiseXOR(low).alias("low"),
+        F.col("high").bitwiseXOR(high).alias("high"),
+    )
 
 
 def may_match(tenths: int) -> Column:
@@ -167,7 +181,11 @@ def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFr
     # One leader for each part of the classes, as a variant may be unlike the first but like others.
     part = F.pmod(F.xxhash64("ord"), F.lit(PARTS))
     least = [F.min(F.when(part == i, F.col("ord"))).alias(f"y{i}") for i in range(PARTS)]
-    leaders = chosen.groupBy("word").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), *least).where("first < last")
+    leaders = chosen.groupBy("word").agg(
+        F.min("ord").alias("first"),
+        F.max("ord").alias("last"),
+        *least,
+    ).where("first < last")
     found = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"y{i}").alias("y")) for i in range(PARTS))))
     met = chosen.withColumnRenamed("ord", "x").join(leaders, "word").select("x", found.alias("l")).where("l.y < x")
     often = met.groupBy("x", "l.part", "l.y").agg(F.count("*").alias("shared")).where("shared > 1")
