@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, suffix, token_store, url_filter
+from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, runs, suffix, token_store, url_filter
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -247,6 +248,37 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op13: those of every tenth document (by crc32 of its id) repeat from some word on with some period."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of words of every document, and its text without what they repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs, rewrite=periodic_tail)
+    # The longest run, then the one that begins first, then the one of the least period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select("doc_id", "n_words", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("1000 * best.length DIV -best.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_url_filter": op2_url_filter,
@@ -258,6 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
