@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, runs, suffix, token_store, url_filter
+from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, runs, suffix, token_store, url_filter, whitening
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -248,6 +248,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the 32 components of most variance, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of op13: those of every tenth document (by crc32 of its id) repeat from some word on with some period."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -290,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
