@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, packing, quality, runs, suffix, token_store, url_filter, whitening
+from pairlab.llm import bpe, chat, fingerprints, line_dedup, minhash, neighbours, packing, quality, runs, suffix, token_store, url_filter, whitening
 from pairlab.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -248,6 +248,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th embedding."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding along the 32 components of most variance, whitened."""
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -295,9 +309,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_minhash_near_duplicates": op9_minhash_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op11_nearest_neighbours": OP11_SQL,
+}

@@ -37,7 +37,7 @@ def ids(docs):
 def test_sql(spark, name, folder):
     sf = f"/root/testdata/{folder}"
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cursor = db.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
