@@ -40,7 +40,8 @@ def holm(df: DataFrame, p: str, family: list[str]) -> DataFrame:
 
 
 def percentile7(col: Column | str, p: float) -> Column:
-    """The exact percentile with linear interpolation."""
+    """The exact percentile with linear interpolation, as an aggregate that holds a group's distinct values in one task; for
+    groups without a bound see quantiles.exact_percentiles."""
     return F.percentile(col, F.lit(p))
 
 
@@ -120,7 +121,8 @@ def resampled_sums(table: DataFrame, replicates: int, seed: int, rows: int = 50_
 
 
 def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float = 0.95) -> DataFrame:
-    """(contrast, low, high, n): percentile bounds of each contrast over the replicates in which it has a value."""
+    """(contrast, low, high, n): percentile bounds of each contrast over the replicates in which it has a value. A group is
+    as large as the number of replicates, a parameter, and so may be held."""
     tail = (1 - level) / 2
     pairs = F.explode(
         F.array(*(F.struct(F.lit(n).alias("contrast"), c.cast("double").alias("x")) for n, c in contrasts.items())),

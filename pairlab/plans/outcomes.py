@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlab.operators import outcomes as oc
 from pairlab.operators import stats
+from pairlab.operators.quantiles import exact_percentiles
 from pairlab.registry import query, table
 
 PAIRED = """WITH scans AS (SELECT l_orderkey AS prompt_id, l_linenumber AS method, bool_or(l_returnflag = 'R') AS is_vulnerable, bool_or(l_discount = 0) AS skipped, max(l_quantity) > 1 AS valid, min(l_quantity) AS qty FROM lineitem GROUP BY ALL),
@@ -412,13 +413,12 @@ def q3(spark, sf):
 
 @query(
     "q4_percentile7",
-    "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.025) AS low, quantile_cont(l_extendedprice, 0.975) AS high FROM lineitem GROUP BY 1",
+    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 8) AS low, round(quantile_cont(l_extendedprice, 0.975), 8) AS high FROM lineitem GROUP BY 1",
 )
 def q4(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        stats.percentile7("l_extendedprice", 0.025).alias("low"),
-        stats.percentile7("l_extendedprice", 0.975).alias("high"),
-    )
+    wanted = {"low": 0.025, "high": 0.975}
+    bounds = exact_percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", wanted)
+    return bounds.withColumns({c: F.round(c, 8) for c in wanted})
 
 
 @query("q5_paired_bootstrap")
