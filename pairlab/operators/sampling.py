@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +14,47 @@ def hash_order(seed: int, key: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
-def global_rank(df: DataFrame, order: str, parts: int = 256) -> DataFrame:
-    """Add rank (from 1) by a column of hashes, whose first two digits deal the rows evenly: each bucket is numbered by
-    itself and moved by the sizes of those before it, so no task sorts all rows."""
-    bucket = F.substring(order, 1, 2)
-    dealt = df.withColumn("__b", bucket)
-    sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))  # 256 rows
-    before = sizes.select(
-        "__b",
-        F.coalesce(
-            F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("__before"),
+#: Rows that one task numbers, about; beyond it a group is dealt into more buckets.
+HELD = 100_000
+#: Hexadecimal digits of a level of the bucket tree; with two levels a group can have 16**8 buckets.
+LEVEL = 4
+
+
+def tree_rank(df: DataFrame, keys: list[str], order: list[str], held: int = HELD) -> DataFrame:
+    """Add __r, each row's place (from 1) in its group by the columns of order, of which the first is a hexadecimal hash.
+
+    A group is split by as many digits of the hash as it takes to have about `held` rows in a bucket, or fewer: none for a
+    small group. Buckets are numbered by themselves and moved by the rows before them, which are summed as a tree: those
+    of earlier buckets with the same first digits, and those of groups of buckets with lower first digits. So no task
+    sorts a group or sums up all its buckets. Rows that repeat a hash share a bucket.
+    """
+    h = order[0]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    digits = F.when(F.col("__n") <= held, F.lit(0)).otherwise(F.ceil(F.log(F.col("__n") / held) / math.log(16)).cast("int"))
+    depth = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.least(digits, F.lit(2 * LEVEL)).alias("__d"))
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(depth[f"__{k}"]) for k in keys), F.lit(True))
+    dealt = (df.join(depth, same) if keys else df.crossJoin(F.broadcast(depth))).drop(*(f"__{k}" for k in keys))
+    dealt = dealt.withColumn("__b", F.substring(F.col(h), F.lit(1), F.col("__d"))).drop("__d")
+    # Counts of buckets, of their parents, and what lies before each.
+    leaves = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).withColumn("__p", F.substring("__b", 1, LEVEL))
+    before = lambda by, at: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parents = leaves.groupBy(*keys, "__p").agg(F.sum("__n").alias("__n")).withColumn("__outer", before(keys, "__p"))
+    leaves = leaves.withColumn("__inner", before([*keys, "__p"], "__b"))
+    own = [leaves[k].eqNullSafe(parents[k]) for k in keys]
+    tree = leaves.join(parents, [*own, leaves["__p"] == parents["__p"]]).select(
+        *(leaves[k].alias(f"__{k}") for k in keys),
+        leaves["__b"].alias("__c"),
+        (F.col("__outer") + F.col("__inner")).alias("__before"),
     )
-    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
-    return ranked.join(F.broadcast(before), "__b").withColumn(
-        "rank",
-        F.col("__before") + F.col("__r"),
-    ).drop("__b", "__r", "__before")
+    ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    at = [ranked[k].eqNullSafe(tree[f"__{k}"]) for k in keys]
+    moved = ranked.join(tree, [*at, ranked["__b"] == tree["__c"]])
+    return moved.withColumn("__r", F.col("__before") + F.col("__i")).drop("__b", "__c", "__i", "__before", *(f"__{k}" for k in keys))
+
+
+def global_rank(df: DataFrame, order: str, held: int = HELD) -> DataFrame:
+    """Add rank (from 1) by a column of hexadecimal hashes."""
+    return tree_rank(df, [], [order], held).withColumnRenamed("__r", "rank")
 
 
 def with_hash(df: DataFrame, ident: str, seed: int) -> DataFrame:
@@ -52,27 +78,18 @@ def lowest_hashes(
     return ranked.where(F.col("__r") <= wanted)
 
 
-def group_rank(df: DataFrame, keys: list[str], ident: str, seed: int, first: Column | None = None) -> DataFrame:
-    """Add __r, each row's place (from 1) in its group by hash; with first, rows for which it holds come before the others.
-
-    As in global_rank, buckets of the hash are numbered by themselves and moved by the sizes of those before them, so that
-    no task sorts a group, however large.
-    """
-    dealt = with_hash(df, ident, seed).withColumns(
-        {"__f": (~first).cast("int") if first is not None else F.lit(0), "__b": F.substring("__h", 1, 2)},
-    )
-    by = [*keys, "__f", "__b"]
-    sizes = dealt.groupBy(*by).agg(F.count("*").alias("__n"))  # at most 512 rows for each group
-    earlier = Window.partitionBy(*keys).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*by, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("__h", ident)))
-    return ranked.join(before, by).withColumn("__r", F.col("__before") + F.col("__i")).drop(
-        "__h",
-        "__f",
-        "__b",
-        "__i",
-        "__before",
-    )
+def group_rank(df: DataFrame, keys: list[str], ident: str, seed: int, first: Column | None = None, held: int = HELD) -> DataFrame:
+    """Add __r, each row's place (from 1) in its group by hash; with first, rows for which it holds come before the others."""
+    dealt = with_hash(df, ident, seed)
+    if first is None:
+        return tree_rank(dealt, keys, ["__h", ident], held).drop("__h")
+    # Both parts are ranked by themselves, and the second is moved by the size of the first.
+    marked = dealt.withColumn("__f", ~F.coalesce(first, F.lit(False)))
+    ranked = tree_rank(marked, [*keys, "__f"], ["__h", ident], held).drop("__h")
+    leading = marked.groupBy(*keys).agg(F.count_if(~F.col("__f")).alias("__lead")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [ranked[k].eqNullSafe(leading[f"__{k}"]) for k in keys]
+    joined = ranked.join(leading, same) if keys else ranked.crossJoin(F.broadcast(leading))
+    return joined.withColumn("__r", F.col("__r") + F.when(F.col("__f"), F.col("__lead")).otherwise(0)).drop("__f", "__lead", *(f"__{k}" for k in keys))
 
 
 def cap_augmented(df: DataFrame, keys: list[str], augmented: str, ident: str, share: float, seed: int) -> DataFrame:

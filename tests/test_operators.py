@@ -1,5 +1,6 @@
 """Hand-made cases: golden values, edge cases and properties that the tables don't show."""
 
+import hashlib
 import math
 import random
 
@@ -107,6 +108,33 @@ def test_splits_are_exact_and_disjoint(spark):
     assert [r.rank for r in ranked] == list(range(1, 1004)) and [r["__h"] for r in ranked] == sorted(r["__h"] for r in ranked)
 
 
+@pytest.mark.parametrize("held", [3, 40, 100_000])
+def test_tree_ranks(spark, held):
+    """Ranks are those of one sort, however deep the buckets go, with a hot group and null keys."""
+    rows = [("hot" if i % 5 else None if i % 2 else f"k{i % 3}", i, i % 7 == 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, id int, f boolean")
+    key = lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest()
+    want = {}
+    for first in (False, True):
+        for group in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == group), key=lambda r: (first and not r[2], key(r[1])))
+            want |= {(first, r[1]): n for n, r in enumerate(own, 1)}
+    for first, column in ((False, None), (True, F.col("f"))):
+        got = sampling.group_rank(df, ["k"], "id", 9, column, held)
+        assert got.columns == ["k", "id", "f", "__r"]
+        assert {(first, r.id): r["__r"] for r in got.collect()} == {k: v for k, v in want.items() if k[0] == first}
+    whole = sampling.global_rank(sampling.with_hash(df, "id", 9), "__h", held).collect()
+    assert {r.id: r["rank"] for r in whole} == {r[1]: n for n, r in enumerate(sorted(rows, key=lambda r: key(r[1])), 1)}
+
+
+def test_no_task_numbers_a_group(spark):
+    """A group of 20,000 rows is numbered in buckets of some hundred."""
+    df = sampling.with_hash(spark.range(20_000).withColumn("k", F.lit("hot")), "id", 1)
+    leaves = sampling.tree_rank(df, ["k"], ["__h", "id"], 500).withColumn("b", F.substring("__h", 1, 2))
+    assert leaves.groupBy("b").count().agg(F.max("count")).first()[0] < 500
+    assert leaves.agg(F.max("__r"), F.count_distinct("__r")).first()[:] == (20_000, 20_000)
+
+
 def test_text_edges(spark):
     rows = [(None,), ("",), ("  \n",), ("\n".join(map(str, range(40))),), ("\n".join(map(str, range(41))),), ("a\r\nb",)]
     out = spark.createDataFrame(rows, "t string").select(tx.emptiness("t"), tx.nonblank_lines("t"), F.size(F.split(tx.truncate_lines("t"), "\n"))).collect()
