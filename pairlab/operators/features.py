@@ -1,4 +1,4 @@
-"""Separability of features between two arms, on active entries.
+"""Statistics of features on active entries; measures of separability are in separability.py.
 
 Long tables have one row for each entry that isn't zero: keys (layer, category, ...), arm ('unsafe' or 'safe'),
 sample_id, feature_id, value; `sizes` has keys, n_unsafe and n_safe. What is absent is zero, and its mass follows from
@@ -52,76 +52,6 @@ def activation_stats(
     return per.join(size, keys, "left"), ranked
 
 
-def feature_freq(long: DataFrame, sizes: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
-    """Share of samples above threshold and mean of those entries, in each arm."""
-    on = F.col("value") > threshold
-    sums = long.groupBy(*keys, "feature_id").agg(
-        F.count_if(on & in_arm("unsafe")).alias("u"),
-        F.count_if(on & in_arm("safe")).alias("s"),
-        F.avg(F.when(on & in_arm("unsafe"), F.col("value"))).alias("magnitude_unsafe"),
-        F.avg(F.when(on & in_arm("safe"), F.col("value"))).alias("magnitude_safe"),
-    )
-    return sums.join(F.broadcast(sizes), keys).select(
-        *keys,
-        "feature_id",
-        F.try_divide("u", "n_unsafe").alias("freq_unsafe"),
-        F.try_divide("s", "n_safe").alias("freq_safe"),
-        "magnitude_unsafe",
-        "magnitude_safe",
-    )
-
-
-def mean_diff(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    sums = long.groupBy(*keys, "feature_id").agg(
-        F.sum(F.when(in_arm("unsafe"), F.col("value")).otherwise(0.0)).alias("u"),
-        F.sum(F.when(in_arm("safe"), F.col("value")).otherwise(0.0)).alias("s"),
-    )
-    return sums.join(F.broadcast(sizes), keys).select(
-        *keys,
-        "feature_id",
-        F.abs(F.try_divide("u", "n_unsafe") - F.try_divide("s", "n_safe")).alias("delta_mu"),
-    )
-
-
-def hist_distance(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
-    """1 less the overlap of the arms' histograms over equal bins of the pooled range (last bin closed); 0 for ranges
-    below 1e-8. Zeros that aren't rows widen the range and fill their bin."""
-    by = [*keys, "feature_id"]
-    total = long.groupBy(*by).agg(
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.count_if(in_arm("unsafe")).alias("u"),
-        F.count_if(in_arm("safe")).alias("s"),
-    ).join(F.broadcast(sizes), keys)
-    absent = (F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))
-    total = total.withColumns(
-        {
-            "lo": F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")),
-            "hi": F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")),
-        },
-    )
-    place = lambda v: F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    wide = total.where("hi - lo >= 1e-8")
-    filled = long.join(wide.select(*by, "lo", "hi"), by).groupBy(*by, place(F.col("value")).alias("bin")).agg(
-        F.count_if(in_arm("unsafe")).alias("cu"),
-        F.count_if(in_arm("safe")).alias("cs"),
-    )
-    zeros = wide.where((F.col("u") + F.col("s")) < (F.col("n_unsafe") + F.col("n_safe"))).select(
-        *by,
-        place(F.lit(0.0)).alias("bin"),
-        (F.col("n_unsafe") - F.col("u")).alias("cu"),
-        (F.col("n_safe") - F.col("s")).alias("cs"),
-    )
-    counts = filled.unionByName(zeros).groupBy(*by, "bin").agg(
-        F.sum("cu").alias("cu"),
-        F.sum("cs").alias("cs"),
-    ).join(F.broadcast(sizes), keys)
-    overlap = counts.groupBy(*by).agg(
-        (1 - F.sum(F.least(F.try_divide("cu", "n_unsafe"), F.try_divide("cs", "n_safe")))).alias("d"),
-    )
-    return total.select(*by).join(overlap, by, "left").select(*by, F.coalesce("d", F.lit(0.0)).alias("hist_dist"))
-
-
 def weighted_values(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature_id, value, cu, cs): distinct values with their counts in each arm, zero being one of them."""
     by = [*keys, "feature_id"]
@@ -136,58 +66,6 @@ def weighted_values(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
     return counts.unionByName(zeros)
 
 
-def ks_stat(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """The largest difference of the arms' distribution functions, over distinct values."""
-    by = [*keys, "feature_id"]
-    w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = weighted_values(long, sizes, keys).withColumns(
-        {"fu": F.sum("cu").over(w), "fs": F.sum("cs").over(w)},
-    ).join(F.broadcast(sizes), keys)
-    return run.groupBy(*by).agg(
-        F.max(F.abs(F.try_divide("fu", "n_unsafe") - F.try_divide("fs", "n_safe"))).alias("ks_stat"),
-    )
-
-
-def auc(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """The chance that an unsafe sample has the higher value, ties counting half; null if an arm is empty."""
-    by = [*keys, "feature_id"]
-    w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    run = weighted_values(long, sizes, keys).withColumn("below", F.coalesce(F.sum("cs").over(w), F.lit(0)))
-    won = run.groupBy(*by).agg(F.sum(F.col("cu") * (F.col("below") + F.col("cs") / 2)).alias("w"))
-    return won.join(F.broadcast(sizes), keys).select(
-        *by,
-        F.try_divide("w", F.col("n_unsafe") * F.col("n_safe")).alias("auc"),
-    )
-
-
-def rank_features(
-    long: DataFrame,
-    sizes: DataFrame,
-    keys: list[str],
-    weights: tuple[float, float, float] = (0.4, 0.4, 0.2),
-    preselect: int = 500,
-    keep: int = 200,
-) -> DataFrame:
-    """The best features by a weighted sum of histogram distance, mean difference and KS, the last being found for the
-    best by the first two only."""
-    by = [*keys, "feature_id"]
-    partial = hist_distance(long, sizes, keys).join(mean_diff(long, sizes, keys), by).withColumn(
-        "partial",
-        weights[0] * F.col("hist_dist") + weights[1] * F.col("delta_mu"),
-    )
-    order = lambda c: Window.partitionBy(*keys).orderBy(F.desc(c), F.asc("feature_id"))
-    best = partial.withColumn(
-        "__r",
-        F.row_number().over(order("partial")),
-    ).where(F.col("__r") <= preselect).drop("__r")
-    ks = ks_stat(long.join(best.select(*by), by, "left_semi"), sizes, keys)
-    scored = best.join(ks, by, "left").withColumn(
-        "score",
-        F.col("partial") + weights[2] * F.coalesce("ks_stat", F.lit(0.0)),
-    )
-    return scored.withColumn("rank", F.row_number().over(order("score"))).where(F.col("rank") <= keep).drop("partial")
-
-
 def prune(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add reasons (the names of the rules that apply) and keep."""
     named = df.withColumn(
@@ -309,39 +187,6 @@ def build_groups(sem: DataFrame, keys: list[str], most: int = 5, least: float =
     return out.withColumn("group_id", F.concat_ws("-", *keys, "group_type"))
 
 
-def repair_proxy(long: DataFrame, sizes: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
-    """For each group (group_id, keys, feature_ids) the mean share of unsafe samples above the safe mean and deviation."""
-    by = [*keys, "feature_id"]
-    members = groups.select("group_id", *keys, F.explode("feature_ids").alias("feature_id"))
-    own = long.join(members.select(*by).distinct(), by, "left_semi")
-    v = F.col("value")
-    sums = own.groupBy(*by).agg(
-        F.sum(F.when(in_arm("safe"), v).otherwise(0.0)).alias("s1"),
-        F.sum(F.when(in_arm("safe"), v * v).otherwise(0.0)).alias("s2"),
-        F.count_if(in_arm("unsafe")).alias("u"),
-    ).join(F.broadcast(sizes), keys)
-    limit = sums.withColumn("m", F.col("s1") / F.col("n_safe")).withColumn(
-        "t",
-        F.col("m") + F.sqrt(
-            F.greatest(F.lit(0.0), (F.col("s2") - F.col("n_safe") * F.col("m") * F.col("m")) / (F.col("n_safe") - 1)),
-        ),
-    )
-    above = own.where(in_arm("unsafe")).join(limit.select(*by, "t"), by).groupBy(*by).agg(
-        F.count_if(v > F.col("t")).alias("k"),
-    )
-    share = limit.join(above, by, "left").select(
-        *by,
-        (
-            (
-                F.coalesce("k", F.lit(0)) + F.when(F.col("t") < 0, F.col("n_unsafe") - F.col("u")).otherwise(0)
-            ) / F.col("n_unsafe")
-        ).alias("share"),
-    )
-    return members.join(share, by, "left").groupBy("group_id").agg(
-        F.avg(F.coalesce("share", F.lit(0.0))).alias("repair_proxy"),
-    )
-
-
 def group_aucs(
     long: DataFrame,
     sizes: DataFrame,

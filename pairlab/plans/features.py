@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlab.operators import features as fx
+from pairlab.operators import separability as sp
 from pairlab.registry import query, table
 
 LONG = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS f FROM embeddings),
@@ -45,6 +46,23 @@ def sizes(spark, sf):
     )
 
 
+def entries(spark, sf):
+    """Entries above zero with the label of their sample."""
+    return table(spark, sf, "embeddings").select(
+        F.col("label").alias("category"),
+        F.posexplode("embedding").alias("feature_id", "value"),
+    ).where("value > 0").select("category", F.col("feature_id").cast("long").alias("feature_id"), "value")
+
+
+def label_sizes(spark, sf):
+    return table(spark, sf, "embeddings").groupBy(F.col("label").alias("category")).agg(F.count("*").alias("n"))
+
+
+def measured(spark, sf, *measures):
+    """Measures of every feature for each label against the rest."""
+    return sp.separability(entries(spark, sf), label_sizes(spark, sf), [], "category", measures)
+
+
 def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 8) for c in cols})
 
@@ -82,10 +100,10 @@ def x1_top(spark, sf):
 )
 def x2(spark, sf):
     return rounded(
-        fx.feature_freq(long(spark, sf), sizes(spark, sf), KEYS, 0.05),
+        sp.feature_freq(entries(spark, sf), label_sizes(spark, sf), [], "category", 0.05),
         "magnitude_unsafe",
         "magnitude_safe",
-    )
+    ).drop("mean")
 
 
 HIST = """, r AS (SELECT category, feature_id, min(v) AS lo, max(v) AS hi FROM d GROUP BY ALL),
@@ -99,17 +117,17 @@ k AS (SELECT category, feature_id, max(abs(fu / nu - fs / ns)) AS ks_stat FROM (
 
 @query("x3_hist_distance", LONG + HIST + "SELECT category, feature_id, round(hist_dist, 8) AS hist_dist FROM h")
 def x3(spark, sf):
-    return rounded(fx.hist_distance(long(spark, sf), sizes(spark, sf), KEYS), "hist_dist")
+    return rounded(measured(spark, sf, "hist_dist"), "hist_dist")
 
 
 @query("x4_mean_diff", LONG + HIST + "SELECT category, feature_id, round(delta_mu, 8) AS delta_mu FROM mu")
 def x4(spark, sf):
-    return rounded(fx.mean_diff(long(spark, sf), sizes(spark, sf), KEYS), "delta_mu")
+    return rounded(measured(spark, sf, "delta_mu"), "delta_mu")
 
 
 @query("x5_ks_stat", LONG + HIST + "SELECT category, feature_id, round(ks_stat, 8) AS ks_stat FROM k")
 def x5(spark, sf):
-    return rounded(fx.ks_stat(long(spark, sf), sizes(spark, sf), KEYS), "ks_stat")
+    return rounded(measured(spark, sf, "ks_stat"), "ks_stat")
 
 
 RANKED = LONG + HIST + """, p AS (SELECT *, 0.4 * hist_dist + 0.4 * delta_mu AS partial FROM h JOIN mu USING (category, feature_id)), q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(partial, 10) DESC, feature_id) AS r FROM p) WHERE r <= 30),
@@ -117,7 +135,7 @@ s AS (SELECT q.category, q.feature_id, hist_dist, delta_mu, ks_stat, round(parti
 
 
 def ranked(spark, sf):
-    return fx.rank_features(long(spark, sf), sizes(spark, sf), KEYS, preselect=30, keep=15)
+    return sp.rank_features(measured(spark, sf, "hist_dist", "delta_mu", "ks_stat"), KEYS, preselect=30, keep=15)
 
 
 @query(
@@ -139,12 +157,8 @@ w AS (SELECT category, feature_id, {reasons_sql('fu > 0.5 AND fs > 0.5')} AS rea
 @query("x7_prune", PRUNED + "SELECT *, reasons_and = '' AS keep_and, reasons_or = '' AS keep_or FROM w")
 def x7(spark, sf):
     """Scores of every 13th feature are no numbers and magnitudes of every 17th are extreme, so that each rule has cases."""
-    l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
-    means = l.groupBy(*by).agg(F.sum("value").alias("total")).join(z, "category").select(
-        *by,
-        (F.col("total") / (F.col("n_unsafe") + F.col("n_safe"))).alias("mean"),
-    )
-    both = fx.feature_freq(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(means, by)
+    freq = sp.feature_freq(entries(spark, sf), label_sizes(spark, sf), [], "category")
+    both = freq.join(measured(spark, sf, "delta_mu"), ["category", "feature_id"])
     i = F.col("feature_id")
     both = both.withColumns(
         {
@@ -165,13 +179,8 @@ def x7(spark, sf):
 s AS (SELECT weight_id, category, feature_id, round(a * round(hist_dist, 8) + b * round(delta_mu, 8) + c * round(ks_stat, 8), 9) AS x FROM h JOIN mu USING (category, feature_id) JOIN k USING (category, feature_id), w)
 SELECT weight_id, category, feature_id, CAST(row_number() OVER (PARTITION BY weight_id, category ORDER BY x DESC, feature_id) AS INTEGER) AS rank FROM s""")
 def x8(spark, sf):
-    l, z, by = long(spark, sf), sizes(spark, sf), ["category", "feature_id"]
-    scores = rounded(
-        fx.hist_distance(l, z, KEYS).join(fx.mean_diff(l, z, KEYS), by).join(fx.ks_stat(l, z, KEYS), by),
-        "hist_dist",
-        "delta_mu",
-        "ks_stat",
-    )
+    wanted = ("hist_dist", "delta_mu", "ks_stat")
+    scores = rounded(measured(spark, sf, *wanted), *wanted)
     weights = spark.createDataFrame(
         [
             ("W1", 0.4, 0.4, 0.2),
@@ -190,7 +199,7 @@ AUC = LONG + HIST + ", au AS (SELECT category, feature_id, sum(cu * (coalesce(be
 
 @query("x9_auc", AUC + "SELECT category, feature_id, round(auc, 8) AS auc FROM au")
 def x9(spark, sf):
-    return rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc")
+    return rounded(measured(spark, sf, "auc"), "auc")
 
 
 @query("x10_mutual_info", LONG + """, a AS (SELECT category, feature_id, min(v) AS lo, max(v) AS hi FROM d WHERE v > 0 GROUP BY ALL),
@@ -206,7 +215,7 @@ sem AS (SELECT n.*, primary_category = validated AS category_match, CASE WHEN pr
 
 
 def semantics(spark, sf):
-    aucs = rounded(fx.auc(long(spark, sf), sizes(spark, sf), KEYS), "auc").select(
+    aucs = rounded(measured(spark, sf, "auc"), "auc").select(
         "feature_id",
         F.col("category").cast("string").alias("category"),
         "auc",
@@ -272,7 +281,7 @@ def groups(spark, sf):
 t AS (SELECT category, feature_id, avg(v) FILTER (NOT u) + stddev_samp(v) FILTER (NOT u) AS t FROM d GROUP BY ALL), s AS (SELECT d.category, d.feature_id, avg(CAST(v > t AS INT)) AS share FROM d JOIN t USING (category, feature_id) WHERE u GROUP BY ALL)
 SELECT group_id, round(avg(share), 8) AS repair_proxy FROM g JOIN s USING (category, feature_id) GROUP BY 1""")
 def x13(spark, sf):
-    return rounded(fx.repair_proxy(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)), "repair_proxy")
+    return rounded(sp.repair_proxy(entries(spark, sf), label_sizes(spark, sf), [], groups(spark, sf), "category"), "repair_proxy")
 
 
 @query("x14_group_stability", LONG + HIST + """, gr AS (SELECT category, category || '-' || k AS group_id, i AS pos, i * 3 + k * 20 AS feature_id FROM cat, (SELECT unnest([0, 1]) AS k), (SELECT unnest(range(5)) AS i)),
