@@ -20,24 +20,26 @@ HELD = 100_000
 LEVEL = 4
 
 
-def tree_rank(df: DataFrame, keys: list[str], order: list[str], held: int = HELD) -> DataFrame:
-    """Add __r, each row's place (from 1) in its group by the columns of order, of which the first is a hexadecimal hash.
+def tree_totals(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, held: int = HELD) -> DataFrame:
+    """Add __r, the running total of weight (or of rows) in the row's group by the columns of order, its own included; the
+    first column of order is a hexadecimal hash.
 
     A group is split by as many digits of the hash as it takes to have about `held` rows in a bucket, or fewer: none for a
-    small group. Buckets are numbered by themselves and moved by the rows before them, which are summed as a tree: those
-    of earlier buckets with the same first digits, and those of groups of buckets with lower first digits. So no task
-    sorts a group or sums up all its buckets. Rows that repeat a hash share a bucket.
+    small group. Buckets are summed by themselves and moved by what lies before them, which is summed as a tree: earlier
+    buckets with the same first digits, and groups of buckets with lower first digits. So no task sorts a group or sums up
+    all its buckets. Rows that repeat a hash share a bucket.
     """
-    h = order[0]
+    h, own_weight = order[0], F.col(weight) if weight else F.lit(1)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     digits = F.when(F.col("__n") <= held, F.lit(0)).otherwise(F.ceil(F.log(F.col("__n") / held) / math.log(16)).cast("int"))
     depth = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.least(digits, F.lit(2 * LEVEL)).alias("__d"))
     same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(depth[f"__{k}"]) for k in keys), F.lit(True))
     dealt = (df.join(depth, same) if keys else df.crossJoin(F.broadcast(depth))).drop(*(f"__{k}" for k in keys))
     dealt = dealt.withColumn("__b", F.substring(F.col(h), F.lit(1), F.col("__d"))).drop("__d")
-    # Counts of buckets, of their parents, and what lies before each.
-    leaves = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).withColumn("__p", F.substring("__b", 1, LEVEL))
-    before = lambda by, at: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Totals of buckets, of their parents, and what lies before each.
+    leaves = dealt.groupBy(*keys, "__b").agg(F.sum(own_weight).alias("__n")).withColumn("__p", F.substring("__b", 1, LEVEL))
+    earlier = (Window.unboundedPreceding, -1)
+    before = lambda by, at: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(*earlier)), F.lit(0))
     parents = leaves.groupBy(*keys, "__p").agg(F.sum("__n").alias("__n")).withColumn("__outer", before(keys, "__p"))
     leaves = leaves.withColumn("__inner", before([*keys, "__p"], "__b"))
     own = [leaves[k].eqNullSafe(parents[k]) for k in keys]
@@ -46,7 +48,8 @@ def tree_rank(df: DataFrame, keys: list[str], order: list[str], held: int = HELD
         leaves["__b"].alias("__c"),
         (F.col("__outer") + F.col("__inner")).alias("__before"),
     )
-    ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn("__i", F.sum(own_weight).over(inside))
     at = [ranked[k].eqNullSafe(tree[f"__{k}"]) for k in keys]
     moved = ranked.join(tree, [*at, ranked["__b"] == tree["__c"]])
     return moved.withColumn("__r", F.col("__before") + F.col("__i")).drop("__b", "__c", "__i", "__before", *(f"__{k}" for k in keys))
@@ -54,7 +57,7 @@ def tree_rank(df: DataFrame, keys: list[str], order: list[str], held: int = HELD
 
 def global_rank(df: DataFrame, order: str, held: int = HELD) -> DataFrame:
     """Add rank (from 1) by a column of hexadecimal hashes."""
-    return tree_rank(df, [], [order], held).withColumnRenamed("__r", "rank")
+    return tree_totals(df, [], [order], held=held).withColumnRenamed("__r", "rank")
 
 
 def with_hash(df: DataFrame, ident: str, seed: int) -> DataFrame:
@@ -82,10 +85,10 @@ def group_rank(df: DataFrame, keys: list[str], ident: str, seed: int, first: Col
     """Add __r, each row's place (from 1) in its group by hash; with first, rows for which it holds come before the others."""
     dealt = with_hash(df, ident, seed)
     if first is None:
-        return tree_rank(dealt, keys, ["__h", ident], held).drop("__h")
+        return tree_totals(dealt, keys, ["__h", ident], held=held).drop("__h")
     # Both parts are ranked by themselves, and the second is moved by the size of the first.
     marked = dealt.withColumn("__f", ~F.coalesce(first, F.lit(False)))
-    ranked = tree_rank(marked, [*keys, "__f"], ["__h", ident], held).drop("__h")
+    ranked = tree_totals(marked, [*keys, "__f"], ["__h", ident], held=held).drop("__h")
     leading = marked.groupBy(*keys).agg(F.count_if(~F.col("__f")).alias("__lead")).withColumnsRenamed({k: f"__{k}" for k in keys})
     same = [ranked[k].eqNullSafe(leading[f"__{k}"]) for k in keys]
     joined = ranked.join(leading, same) if keys else ranked.crossJoin(F.broadcast(leading))

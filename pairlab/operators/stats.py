@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.text import column
+from pairlab.operators.sampling import tree_totals
 
 Z = 1.959963984540054
 
@@ -25,7 +26,7 @@ def mcnemar_exact(b: Column | str, c: Column | str) -> Column:
     """The exact two-sided p of b against c discordant pairs: 1 if there are none."""
     low, n = F.least(column(b), column(c)).cast("int"), (column(b) + column(c)).cast("int")
     # log C(n, i) grows from i to i + 1 by log((n - i) / (i + 1)); terms are summed at 2**-n.
-    start = F.struct((-n * F.lit(float(np.log(2)))).cast("double").alias("term"), F.lit(0.0).alias("total"))
+    start = F.struct((-n * F.lit(math.log(2))).cast("double").alias("term"), F.lit(0.0).alias("total"))
     step = lambda a, i: F.struct((a.term + F.log((n - i) / (i + 1))).alias("term"), (a.total + F.exp(a.term)).alias("total"))
     tail = F.aggregate(F.sequence(F.lit(0), low), start, step, lambda a: a.total)
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
@@ -72,52 +73,65 @@ def patterns(df: DataFrame, unit: list[str], values: list[Column]) -> DataFrame:
     return vector.groupBy("v").agg(F.count("*").alias("n"))
 
 
-def resampled_sums(table: DataFrame, replicates: int, seed: int, rows: int = 50_000, chunk: int = 500) -> DataFrame:
-    """(replicate, sums array<double>, n): sums of the pattern vectors over as many units drawn with replacement.
+#: Draws that share the coefficients of a polynomial, and the prime it is taken modulo (both fixed, so that SQL can follow).
+DRAWS = 1 << 16
+PRIME = (1 << 31) - 1
+#: Ranges of positions by which draws meet patterns.
+PLACES = 4096
+
+
+def drawn_positions(size: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, units, position): as many positions below units as there are units, for each replicate. size has one row.
+
+    Positions are values of cubic polynomials modulo a prime, whose coefficients are hashes of seed, replicate and block of
+    draws: any four draws of a block are independent, and each costs a few integer operations.
+    """
+    p = F.lit(PRIME)
+    blocks = F.sequence(F.lit(0), F.expr("(units - 1) DIV " + str(DRAWS)))
+    each = size.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(size)).where("units > 0")
+    each = each.select("replicate", "units", F.explode(blocks).alias("block"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("block").cast("string")))
+    parts = {f"c{k}": F.conv(F.substring(key, 8 * k + 1, 8), 16, 10).cast("long") % p for k in range(4)}
+    count = F.least(F.lit(DRAWS), F.col("units") - F.col("block") * DRAWS)
+    draws = each.select("replicate", "units", *(c.alias(n) for n, c in parts.items()), count.alias("m")).select(
+        "replicate",
+        "units",
+        *parts,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"),
+    )
+    value = F.lit(0).cast("long")
+    for c in parts:
+        value = (value * F.col("i") + F.col(c)) % p
+    return draws.select("replicate", "units", value.alias("h")).select("replicate", "units", F.expr(f"h * units DIV {PRIME}").alias("position"))
+
 
-    Patterns are dealt to buckets of about `rows`. For each replicate the draws of every bucket are one multinomial, and
-    those of a bucket's patterns another, which is one multinomial in all. Each task takes one bucket and one chunk of
-    replicates and draws from generators of its own, so results don't depend on how rows are dealt, and no task holds
-    all patterns.
+def resampled_sums(table: DataFrame, width: int, replicates: int, seed: int, held: int = 100_000) -> DataFrame:
+    """(replicate, sums array<double>, n): sums of the pattern vectors (of width values) over as many units drawn with
+    replacement as there are; fewer than 2**31.
+
+    Patterns lie one after another, in the order of a hash of their values, each as long as its number of units. A draw is
+    a hashed position, and a range join finds its pattern. Draws are made, met with patterns and summed where they are
+    made, so what is shuffled is a row for each replicate and task.
     """
-    buckets = max(1, -(-table.count() // rows))
-    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()  # one row for each bucket
-    totals = np.zeros(buckets, np.int64)
-    for r in sizes:
-        totals[r["bucket"]] = r["n"]
-    units, width = int(totals.sum()), chunk
-
-    def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        bucket, part = (int(k) for k in key)
-        vectors = np.array(own["v"].tolist(), float)
-        order = np.lexsort(vectors.T)
-        vectors, counts = vectors[order], own["n"].to_numpy(np.int64)[order]
-        ids = range(part * width, min(replicates, (part + 1) * width))
-        sums = []
-        for r in ids:
-            own_draws = np.random.default_rng([seed, r]).multinomial(units, totals / units)[bucket]
-            sums.append(
-                (
-                    np.random.default_rng([seed, r, bucket]).multinomial(own_draws, counts / counts.sum()) @ vectors
-                ).tolist(),
-            )
-        return pd.DataFrame({"replicate": list(ids), "sums": sums})
-
-    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-replicates // width) - 1)))).alias("part")
-    drawn = dealt.select("v", "n", "bucket", parts).groupBy("bucket", "part").applyInPandas(
-        draw,
-        "replicate long, sums array<double>",
+    text = F.concat_ws("|", F.transform("v", lambda x: x.cast("string")))
+    placed = tree_totals(table.withColumn("__h", F.md5(text)), [], ["__h"], "n", held).select(
+        "v",
+        (F.col("__r") - F.col("n")).alias("low"),
+        (F.col("__r") - 1).alias("high"),
+    )
+    size = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("units"))
+    step = lambda units: F.greatest(F.lit(1), F.expr(f"{units} DIV {PLACES}"))
+    # A pattern has a row in each range of positions that it reaches into.
+    ranges = placed.crossJoin(F.broadcast(size)).withColumn("step", step("units")).select(
+        *(F.col("v")[i].alias(f"x{i}") for i in range(width)),
+        "low",
+        "high",
+        F.explode(F.sequence(F.expr("low DIV step"), F.expr("high DIV step"))).alias("place"),
     )
-    if buckets > 1:
-        long = drawn.select(
-            "replicate",
-            F.posexplode("sums").alias("i", "x"),
-        ).groupBy("replicate", "i").agg(F.sum("x").alias("x"))
-        drawn = long.groupBy("replicate").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("sums"),
-        )
-    return drawn.withColumn("n", F.lit(units))
+    draws = drawn_positions(size, replicates, seed).withColumn("step", step("units")).withColumn("place", F.expr("position DIV step"))
+    met = draws.join(ranges, "place").where("position BETWEEN low AND high")
+    sums = met.groupBy("replicate").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(width)), F.count("*").alias("n"))
+    return sums.select("replicate", F.array(*(f"x{i}" for i in range(width))).alias("sums"), "n")
 
 
 def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float = 0.95) -> DataFrame:
@@ -136,7 +150,7 @@ def interval(replicates: DataFrame, contrasts: dict[str, Column], level: float =
 
 def paired_bootstrap(df: DataFrame, a: Column, b: Column, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Interval of the difference of two success rates over the same units."""
-    sums = resampled_sums(patterns(df, [], [a, b]), replicates, seed)
+    sums = resampled_sums(patterns(df, [], [a, b]), 2, replicates, seed)
     return interval(sums, {"difference": (F.col("sums")[0] - F.col("sums")[1]) / F.col("n")})
 
 
@@ -154,7 +168,8 @@ def ratio_bootstrap(
     its second ones (which may be none). Replicates in which a denominator is 0 have no value.
     """
     at = {name: 2 * i for i, (name, _, _) in enumerate(conditions)}
-    sums = resampled_sums(patterns(df, unit, [x for _, n, d in conditions for x in (n, d)]), replicates, seed)
+    values = [x for _, n, d in conditions for x in (n, d)]
+    sums = resampled_sums(patterns(df, unit, values), len(values), replicates, seed)
     ratio = lambda name: F.try_divide(F.col("sums")[at[name]], F.col("sums")[at[name] + 1])
     mean = lambda names: sum((ratio(n) for n in names), F.lit(0.0)) / len(names) if names else F.lit(0.0)
     return interval(sums, {k: mean(x) - mean(y) for k, (x, y) in contrasts.items()})

@@ -421,12 +421,37 @@ def q4(spark, sf):
     return bounds.withColumns({c: F.round(c, 8) for c in wanted})
 
 
-@query("q5_paired_bootstrap")
+def drawn_sql(units: str, values: list[str], replicates: int) -> str:
+    """CTEs from u, which has the values of each unit, to b: sums over the units that each of the replicates draws."""
+    text = " || '|' || ".join(f"CAST(CAST({v} AS DOUBLE) AS VARCHAR)" for v in values)
+    coefficients = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT % {stats.PRIME} AS c{k}" for k in range(4))
+    value = "0"
+    for k in range(4):
+        value = f"(({value}) * i + c{k}) % {stats.PRIME}"
+    return f"""u AS ({units}),
+nu AS (SELECT count(*) AS n FROM u),
+pu AS (SELECT *, row_number() OVER (ORDER BY md5({text})) - 1 AS k FROM u),
+bl AS (SELECT r.range AS replicate, o.range AS block, n, md5('42|' || r.range || '|' || o.range) AS h FROM range({replicates}) r, nu, range((SELECT (n - 1) // {stats.DRAWS} + 1 FROM nu)) o),
+co AS (SELECT replicate, n, least({stats.DRAWS}, n - block * {stats.DRAWS}) AS m, {coefficients} FROM bl),
+dr AS (SELECT replicate, n, c0, c1, c2, c3, unnest(range(m)) AS i FROM co),
+po AS (SELECT replicate, ({value}) * n // {stats.PRIME} AS k FROM dr),
+b AS (SELECT replicate, count(*) AS n, {", ".join(f"sum({v}) AS {v}" for v in values)} FROM po JOIN pu USING (k) GROUP BY 1)
+"""
+
+
+def bounds(df):
+    return df.withColumns({c: F.round(c, 9) for c in ("low", "high")})
+
+
+@query("q5_paired_bootstrap", PAIRED + ", " + drawn_sql("SELECT CAST(b0_vulnerable AS INT) AS x, CAST(is_vulnerable AS INT) AS y FROM paired WHERE method = 2", ["x", "y"], 10_000)
+       + "SELECT 'difference' AS contrast, round(quantile_cont((x - y) / n, 0.025), 9) AS low, round(quantile_cont((x - y) / n, 0.975), 9) AS high, count(*) AS n FROM b")
 def q5(spark, sf):
-    return stats.paired_bootstrap(
-        paired(spark, sf).where("method = 2"),
-        F.col("b0_vulnerable").cast("int"),
-        F.col("is_vulnerable").cast("int"),
+    return bounds(
+        stats.paired_bootstrap(
+            paired(spark, sf).where("method = 2"),
+            F.col("b0_vulnerable").cast("int"),
+            F.col("is_vulnerable").cast("int"),
+        ),
     )
 
 
@@ -441,28 +466,45 @@ def q5_hashed(spark, sf):
     return stats.hashed_bootstrap(groups, "k", 97, ["a", "b"], 200, 42)
 
 
-@query("q6_ratio_bootstrap")
+def bounds_sql(contrasts: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS contrast, round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high, count({x}) AS n FROM b" for n, x in contrasts.items()
+    )
+
+
+RATIO_UNITS = "SELECT " + ", ".join(f"CAST(count(*) FILTER (repaired AND method = {m}) AS INT) AS r{m}, CAST(count(*) FILTER (b0_vulnerable AND method = {m}) AS INT) AS v{m}" for m in (2, 3, 4)) + " FROM f GROUP BY prompt_id"
+X2, X3, X4 = (f"r{m} / nullif(v{m}, 0)" for m in (2, 3, 4))
+
+
+@query("q6_ratio_bootstrap", PAIRED + ", " + drawn_sql(RATIO_UNITS, ["r2", "v2", "r3", "v3", "r4", "v4"], 2000) + bounds_sql({"m2": X2, "m2 - m3 and m4": f"{X2} - ({X3} + {X4}) / 2"}))
 def q6(spark, sf):
     df = oc.flags(paired(spark, sf))
     at = lambda m: (f"m{m}", F.when(F.col("method") == m, F.col("repaired").cast("int")).otherwise(0), F.when(F.col("method") == m, F.col("b0_vulnerable").cast("int")).otherwise(0))
-    return stats.ratio_bootstrap(
-        df,
-        ["prompt_id"],
-        [at(m) for m in (2, 3, 4)],
-        {"m2": (["m2"], []), "m2 - m3 and m4": (["m2"], ["m3", "m4"])},
-        2000,
+    return bounds(
+        stats.ratio_bootstrap(
+            df,
+            ["prompt_id"],
+            [at(m) for m in (2, 3, 4)],
+            {"m2": (["m2"], []), "m2 - m3 and m4": (["m2"], ["m3", "m4"])},
+            2000,
+        ),
     )
 
 
-@query("q7_cluster_bootstrap")
+CLUSTER_UNITS = "SELECT CAST(count(*) FILTER (repaired) AS INT) AS r, CAST(count(*) FILTER (b0_vulnerable) AS INT) AS v FROM f GROUP BY prompt_id % 97"
+
+
+@query("q7_cluster_bootstrap", PAIRED + ", " + drawn_sql(CLUSTER_UNITS, ["r", "v"], 2000) + bounds_sql({"ratio": "r / nullif(v, 0)"}))
 def q7(spark, sf):
     df = oc.flags(paired(spark, sf)).withColumn("cluster", F.col("prompt_id") % 97)
-    return stats.cluster_bootstrap(
-        df,
-        ["cluster"],
-        F.col("repaired").cast("int"),
-        F.col("b0_vulnerable").cast("int"),
-        2000,
+    return bounds(
+        stats.cluster_bootstrap(
+            df,
+            ["cluster"],
+            F.col("repaired").cast("int"),
+            F.col("b0_vulnerable").cast("int"),
+            2000,
+        ),
     )
 
 
@@ -473,12 +515,6 @@ b AS (SELECT replicate, """ + ", ".join(f"sum(r{m}) / nullif(sum(v{m}), 0) AS x{
 """
 
 
-def bounds_sql(contrasts: dict[str, str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{n}' AS contrast, round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high, count({x}) AS n FROM b" for n, x in contrasts.items()
-    )
-
-
 def cluster_draws(spark, sf):
     df = oc.flags(paired(spark, sf))
     counts = [

@@ -130,11 +130,27 @@ def test_tree_ranks(spark, held):
 def test_no_task_numbers_a_group(spark):
     """A group of 20,000 rows is numbered in buckets of some hundred."""
     df = sampling.with_hash(spark.range(20_000).withColumn("k", F.lit("hot")), "id", 1)
-    leaves = sampling.tree_rank(df, ["k"], ["__h", "id"], 500).withColumn("b", F.substring("__h", 1, 2))
+    leaves = sampling.tree_totals(df, ["k"], ["__h", "id"], held=500).withColumn("b", F.substring("__h", 1, 2))
     assert leaves.groupBy("b").count().agg(F.max("count")).first()[0] < 500
     assert leaves.agg(F.max("__r"), F.count_distinct("__r")).first()[:] == (20_000, 20_000)
 
 
+def test_draws_follow_the_patterns(spark):
+    """Sums over drawn units have the mean and spread of draws with replacement, and each replicate draws all units once."""
+    rows = [(float(i % 3), 1.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    table = stats.patterns(df, [], [F.col("a"), F.col("b")])
+    got = stats.resampled_sums(table, 2, 3000, 42).collect()
+    assert len(got) == 3000 and all(r.sums[1] == r.n == 1000 for r in got)
+    mean, spread = 999 / 1000, math.sqrt((1000 * 2 / 3) + 0)
+    values = [r.sums[0] / 1000 for r in got]
+    assert abs(sum(values) / 3000 - mean) < 4 * spread / 1000 / math.sqrt(3000)
+    sd = math.sqrt(sum((v - mean) ** 2 for v in values) / 2999) * 1000
+    assert abs(sd / spread - 1) < 0.06
+    held = stats.resampled_sums(table, 2, 3000, 42, held=1).collect()
+    assert sorted(map(str, held)) == sorted(map(str, got))
+
+
 def test_text_edges(spark):
     rows = [(None,), ("",), ("  \n",), ("\n".join(map(str, range(40))),), ("\n".join(map(str, range(41))),), ("a\r\nb",)]
     out = spark.createDataFrame(rows, "t string").select(tx.emptiness("t"), tx.nonblank_lines("t"), F.size(F.split(tx.truncate_lines("t"), "\n"))).collect()
