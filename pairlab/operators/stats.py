@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.text import column
 from pairlab.operators.sampling import tree_totals
+from pairlab.sources.io import cut
 
 Z = 1.959963984540054
 
@@ -78,6 +79,8 @@ DRAWS = 1 << 16
 PRIME = (1 << 31) - 1
 #: Ranges of positions by which draws meet patterns.
 PLACES = 4096
+#: Numbers in the patterns' table up to which it is sent to all tasks (16 MB).
+FEW_VALUES = 2_000_000
 
 
 def drawn_positions(size: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -113,6 +116,7 @@ def resampled_sums(table: DataFrame, width: int, replicates: int, seed: int, hel
     a hashed position, and a range join finds its pattern. Draws are made, met with patterns and summed where they are
     made, so what is shuffled is a row for each replicate and task.
     """
+    table = cut(table, "patterns")
     text = F.concat_ws("|", F.transform("v", lambda x: x.cast("string")))
     placed = tree_totals(table.withColumn("__h", F.md5(text)), [], ["__h"], "n", held).select(
         "v",
@@ -129,7 +133,9 @@ def resampled_sums(table: DataFrame, width: int, replicates: int, seed: int, hel
         F.explode(F.sequence(F.expr("low DIV step"), F.expr("high DIV step"))).alias("place"),
     )
     draws = drawn_positions(size, replicates, seed).withColumn("step", step("units")).withColumn("place", F.expr("position DIV step"))
-    met = draws.join(ranges, "place").where("position BETWEEN low AND high")
+    # Spark can't tell how many rows draws are, so it is told: patterns go to all tasks if they are few, else both meet by place.
+    few = (table.count() + PLACES) * (width + 4) <= FEW_VALUES
+    met = draws.join(F.broadcast(ranges) if few else ranges.hint("merge"), "place").where("position BETWEEN low AND high")
     sums = met.groupBy("replicate").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(width)), F.count("*").alias("n"))
     return sums.select("replicate", F.array(*(f"x{i}" for i in range(width))).alias("sums"), "n")
 
