@@ -54,17 +54,34 @@ def overhead(df: DataFrame, key: str, value: str, base: str) -> DataFrame:
     ).drop("__base")
 
 
-def stage_cost(df: DataFrame, record: list[str], stages: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """Rows, calls, tokens, seconds and incomplete rows by stage; and the number of records that don't have all stages
-    complete and in order. df has record, stage, the order column, calls, tokens, seconds, complete."""
-    by = df.groupBy("stage").agg(
-        F.count("*").alias("n_rows"),
-        F.sum("calls").alias("calls"),
+def stage_cost(
+    df: DataFrame,
+    record: list[str],
+    stages: list[str],
+    order: str,
+    complete: str = "COMPLETED",
+) -> tuple[DataFrame, DataFrame]:
+    """Rows, calls, tokens, seconds and a map of row counts by status, for each stage and all of them (ALL); and the number
+    of records that don't have all stages complete and in order. df has record, stage, the order column, call (null where
+    none was made), tokens, seconds, status."""
+    sets = [[F.col("stage"), F.col("status")], [F.col("status")]]
+    parts = df.groupingSets(sets, F.col("stage"), F.col("status")).agg(
+        F.grouping("stage").alias("__g"),
+        F.count("*").alias("n"),
+        F.count("call").alias("calls"),
         F.sum("tokens").alias("tokens"),
         F.sum("seconds").alias("seconds"),
-        F.count_if(~F.col("complete")).alias("n_incomplete"),
     )
-    seen = df.where("complete").groupBy(*record).agg(
+    status = F.coalesce("status", F.lit("NOT_RECORDED"))
+    by = parts.groupBy("__g", "stage").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("calls").alias("calls"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("seconds").alias("seconds"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(status.alias("status"), "n")))).alias("statuses"),
+        F.sum(F.when(status != complete, F.col("n")).otherwise(0)).alias("n_incomplete"),
+    ).withColumn("stage", F.when(F.col("__g") == 1, "ALL").otherwise(F.col("stage"))).drop("__g")
+    seen = df.where(F.col("status") == complete).groupBy(*record).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(order, "stage"))), lambda x: x.stage).alias("seen"),
     )
     every = df.select(*record).distinct().join(seen, record, "left")

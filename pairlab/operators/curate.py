@@ -163,12 +163,13 @@ def cross_split_leakage(df: DataFrame, split: str, key: Column) -> DataFrame:
 def build_worklist(
     population: DataFrame,
     routes: DataFrame,
-    seeds: DataFrame,
+    seeds: list[int],
     category: str,
     ident: str,
 ) -> DataFrame:
     """Each record of the population with its category's route and every seed, under a record id."""
-    routed = population.join(routes, category).crossJoin(seeds)
+    every = F.explode(F.array(*(F.lit(x) for x in seeds)))
+    routed = population.join(routes, category).withColumn("seed", every)
     return routed.withColumn(
         "record_id",
         F.concat_ws(":", F.col(category), F.col("seed").cast("string"), F.col(ident).cast("string")),

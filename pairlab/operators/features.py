@@ -8,6 +8,7 @@ the sizes, so zeros are never made into rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -259,11 +260,16 @@ def group_stability(
     jaccard: float = 0.5,
     rank_corr: float = 0.5,
     compared: int = 20,
+    least_repair: float = 0.0,
+    most_corruption: float = 0.2,
+    least_auc: float = 0.6,
 ) -> DataFrame:
     """For each group (group_id, keys, feature_ids; few features): AUCs over resamples of its unsafe samples, and over all
     pairs of the first `compared` resamples the mean overlap of their top features (share of the group, one at least; of
-    equal ones the last) and the mean rank correlation (0.5 where it is never defined), and whether both are high enough.
-    With fewer than two unsafe samples both are 0.5."""
+    equal ones the last) and the mean rank correlation (0.5 where it is never defined). With fewer than two unsafe samples both are 0.5. groups also has repair_rate,
+    corruption_rate, auc (over all samples) and exempt (whether the AUC doesn't count, null as false); a group is deployable
+    if it repairs more than least_repair, corrupts at most most_corruption, tells samples apart and is stable in both
+    respects; a rate that is missing is no reason to deploy it."""
     aucs = group_aucs(long, sizes, keys, groups, replicates, share, seed)
     n = F.size("aucs")
     by_auc = F.reverse(F.array_sort(F.transform("aucs", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
@@ -294,7 +300,17 @@ def group_stability(
         mean(F.transform("p", lambda x: x.j)).alias("jaccard"),
         mean(F.array_compact(F.transform("p", lambda x: x.c))).alias("rank_corr"),
     )
-    return out.withColumn("deployable", (F.round("jaccard", 9) >= jaccard) & (F.round("rank_corr", 9) >= rank_corr))
+    judged = out.join(groups.select("group_id", "repair_rate", "corruption_rate", "auc", "exempt"), "group_id")
+    auc_ok = (F.round("auc", 9) >= least_auc) | F.coalesce("exempt", F.lit(False))
+    gates = [
+        F.col("repair_rate") > least_repair,
+        F.col("corruption_rate") <= most_corruption,
+        auc_ok,
+        F.round("jaccard", 9) >= jaccard,
+        F.round("rank_corr", 9) >= rank_corr,
+    ]
+    ok = reduce(lambda a, b: a & b, gates)
+    return judged.withColumns({"auc_ok": F.coalesce(auc_ok, F.lit(False)), "deployable": F.coalesce(ok, F.lit(False))}).drop("exempt")
 
 
 def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: str) -> DataFrame:

@@ -43,40 +43,60 @@ def split_report(
     unit: str,
     category: str,
     heldout: list[str],
-    least: int,
-    ratio: float,
+    minimums: dict[str, int],
+    ratio: float = 3.0,
+    augmented: Column | None = None,
+    most_augmented: float = 0.5,
+    secure: Column | None = None,
+    total: int = 500,
 ) -> DataFrame:
-    """(check, status, observed, limit) on a split table."""
+    """(check, category, status, observed, limit) on a split table; category is null for checks of the whole.
+
+    Units in several splits (held-out rows in test don't count); held-out rows in each other split; rows of each derivation
+    category, of which minimums has the least number (one without rows fails); the largest of those categories that have
+    rows against the smallest; the augmented part of every category; the part of every category that is secure, which
+    only warns; all rows.
+    """
     held = F.col(category).isin(heldout)
-    units = df.where(~held).groupBy(unit).agg(F.count_distinct(split).alias("n")).agg(
+    known = lambda c: F.coalesce(c, F.lit(False)).cast("double") if c is not None else F.lit(None).cast("double")
+    units = df.where(~(held & (F.col(split) == "test"))).groupBy(unit).agg(F.count_distinct(split).alias("n")).agg(
         F.count_if(F.col("n") > 1).alias("overlap"),
     )
-    sizes = df.groupBy(category).agg(
+    # A row for each category of the table or of minimums.
+    counted = df.groupBy(F.col(category).alias("c")).agg(
         F.count("*").alias("n"),
         F.count_if(held & (F.col(split) != "test")).alias("outside"),
+        F.avg(known(augmented)).alias("augmented"),
+        F.avg(known(secure)).alias("secure"),
     )
-    whole = sizes.agg(
+    least = df.sparkSession.createDataFrame(list(minimums.items()), "c string, least long")
+    counts = counted.join(least, "c", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    derived = F.when(F.col("least").isNotNull() & (F.col("n") > 0), F.col("n"))
+    whole = counts.agg(
         F.sum("outside").alias("outside"),
-        F.min("n").alias("fewest"),
-        (F.max("n") / F.min("n")).alias("spread"),
+        F.try_divide(F.max(derived), F.min(derived)).alias("spread"),
         F.sum("n").alias("total"),
     )
 
-    def check(name: str, value: str, limit: float, most: bool) -> Column:
-        observed = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-        ok = observed <= limit if most else observed >= limit
-        return F.struct(
-            F.lit(name).alias("check"),
-            F.when(ok, "PASS").otherwise("FAIL").alias("status"),
-            observed.alias("observed"),
-            F.lit(limit).alias("limit"),
-        )
-
-    checks = [
-        check("unit_overlap", "overlap", 0.0, True), check("heldout_outside_test", "outside", 0.0, True), check("category_minimum", "fewest", float(least), False),
-        check("category_ratio", "spread", ratio, True), check("total", "total", 1.0, False),
+    def check(name: str, ok: Column, observed: Column, limit: Column, failed: str = "FAIL") -> Column:
+        status = F.when(F.coalesce(ok, F.lit(True)), "PASS").otherwise(failed)
+        return F.struct(F.lit(name).alias("check"), status.alias("status"), observed.cast("double").alias("observed"), limit.cast("double").alias("limit"))
+
+    n = F.col
+    for_all = [
+        check("unit_overlap", n("overlap") <= 0, n("overlap"), F.lit(0)),
+        check("heldout_outside_test", n("outside") <= 0, F.coalesce("outside", F.lit(0)), F.lit(0)),
+        check("category_ratio", n("spread") <= ratio, n("spread"), F.lit(ratio)),
+        check("total", F.coalesce("total", F.lit(0)) >= total, F.coalesce("total", F.lit(0)), F.lit(total)),
+    ]
+    for_each = [
+        F.when(n("least").isNotNull(), check("category_minimum", n("n") >= n("least"), n("n"), n("least"))),
+        F.when(n("augmented").isNotNull(), check("augmented_fraction", n("augmented") <= most_augmented, n("augmented"), F.lit(most_augmented))),
+        F.when(n("secure").isNotNull(), check("secure_fraction", n("secure") >= 1, n("secure"), F.lit(1), "WARN")),
     ]
-    return units.crossJoin(whole).select(F.explode(F.array(*checks)).alias("c")).select("c.*")  # one row each
+    first = units.crossJoin(whole).select(F.lit(None).cast("string").alias("category"), F.explode(F.array(*for_all)).alias("k"))  # one row each
+    each = counts.select(F.col("c").alias("category"), F.explode(F.array_compact(F.array(*for_each))).alias("k"))
+    return first.unionByName(each).select("k.check", "category", "k.status", "k.observed", "k.limit")
 
 
 def set_checks(

@@ -45,8 +45,11 @@ def regret(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def action_distribution(df: DataFrame) -> DataFrame:
-    """Rewards and regrets by action, the share of rows in which it is best, and whether it dominates (over 85 %)."""
+def action_distribution(df: DataFrame, most: float = 0.85) -> DataFrame:
+    """Rewards and regrets by action, the share of all prompts for which it is best, and whether that share is above most.
+
+    An action counts as best once for each prompt, however often it was tried there."""
+    prompts = df.agg(F.count_distinct("prompt_id").alias("n_prompts_all"))
     out = df.groupBy("action_id").agg(
         F.count("*").alias("n"),
         F.avg("reward").alias("reward_mean"),
@@ -54,10 +57,31 @@ def action_distribution(df: DataFrame) -> DataFrame:
         F.min("reward").alias("reward_min"),
         F.max("reward").alias("reward_max"),
         F.avg("regret").alias("regret_mean"),
-        F.count_if("is_best").alias("n_best"),
+        F.stddev_pop("regret").alias("regret_sd"),
+        F.min("regret").alias("regret_min"),
+        F.max("regret").alias("regret_max"),
+        F.count_distinct(F.when(F.col("is_best"), F.col("prompt_id"))).alias("n_best"),
         F.count_distinct("prompt_id").alias("n_prompts"),
     )
-    return out.withColumn("dominant", F.col("n_best") > 0.85 * F.col("n"))
+    shared = out.crossJoin(F.broadcast(prompts)).withColumn("best_share", F.try_divide("n_best", "n_prompts_all"))
+    return shared.withColumn("dominant", F.col("best_share") > most).drop("n_prompts_all")
+
+
+def reward_coverage(df: DataFrame, most: float = 0.85, least: float = 0.9) -> DataFrame:
+    """One row: prompts, those with an action besides the no-op and their share, whether that is enough, mean rewards of
+    no-ops and of other actions, and whether any action is best for more than `most` of the prompts."""
+    whole = df.agg(
+        F.count_distinct("prompt_id").alias("n_prompts"),
+        F.count("*").alias("n_pairs"),
+        F.count_distinct(F.when(~F.col("is_noop"), F.col("prompt_id"))).alias("n_with_action"),
+        F.avg(F.when(F.col("is_noop"), F.col("reward"))).alias("noop_reward"),
+        F.avg(F.when(~F.col("is_noop"), F.col("reward"))).alias("action_reward"),
+    )
+    best = action_distribution(df, most).agg(F.coalesce(F.bool_or("dominant"), F.lit(False)).alias("dominance_warning"))
+    return whole.crossJoin(F.broadcast(best)).withColumn("coverage", F.try_divide("n_with_action", "n_prompts")).withColumn(
+        "covered",
+        F.col("coverage") >= least,
+    )
 
 
 def offline_dataset(rollouts: DataFrame, states: DataFrame, actions: DataFrame) -> DataFrame:
@@ -188,7 +212,7 @@ def candidate_actions(prompts: DataFrame, actions: DataFrame, active: list[str],
     """(prompt_id, action_id, why) of prompts (prompt_id, category): the no-op; the first two actions, by name of
     strength, of the prompt's category's group of highest repair rate or, where the category has no action, the first Low
     action of each active category; and, where that makes fewer than most, the first Low action of another category that
-    has none yet as off-target control. Only unmasked actions count. The table of actions is small: one row for each
+    has none yet as off-target control. A null category is an unknown one. Only unmasked actions count. The table of actions is small: one row for each
     category is joined, and one row with each category's Low action goes to all prompts."""
     open_ = actions.where("action_id > 0 AND NOT masked")
     ranking = Window.partitionBy("category").orderBy(
@@ -222,7 +246,7 @@ def candidate_actions(prompts: DataFrame, actions: DataFrame, active: list[str],
     joined = prompts.join(own, "category", "left").crossJoin(F.broadcast(all_lows))
     matched = F.col("own").isNotNull()
     taken = F.when(matched, F.col("own")).otherwise(fallback)
-    others = F.filter("lows", lambda x: (x.category != F.col("category")) & (matched | ~x.category.isin(active)))
+    others = F.filter("lows", lambda x: (x.category != F.coalesce(F.col("category"), F.lit("unknown"))) & (matched | ~x.category.isin(active)))
     control = F.when(
         (F.size(taken) + 1 < most) & (F.size(others) > 0),
         F.array(F.get(F.transform(others, lambda x: x.action_id), F.lit(0))),

@@ -149,6 +149,18 @@ def split_rows(df: DataFrame, ident: str, share: float, seed: int) -> DataFrame:
     ).drop("__h", "rank", "__k")
 
 
+def split_counts(df: DataFrame, split: str, category: str) -> DataFrame:
+    """(split, category, n, share): rows of each category in each split, and of each split as a whole (category ALL), with
+    their share of the split."""
+    counts = df.groupingSets([[F.col(split), F.col(category)], [F.col(split)]], F.col(split), F.col(category)).agg(
+        F.grouping(category).alias("__g"),
+        F.count("*").alias("n"),
+    )
+    whole = F.max(F.when(F.col("__g") == 1, F.col("n"))).over(Window.partitionBy(split))
+    name = F.when(F.col("__g") == 1, "ALL").otherwise(F.col(category).cast("string"))
+    return counts.select(F.col(split).alias("split"), name.alias("category"), "n", (F.col("n") / whole).alias("share"))
+
+
 def hamilton(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
     """Add quota: target seats dealt in proportion to size, remainders largest first, ties by key. One row per stratum."""
     total = Window.partitionBy()

@@ -49,7 +49,7 @@ def percentile7(col: Column | str, p: float) -> Column:
 
 def utility_deltas(df: DataFrame, keys: list[str], base: str, thresholds: DataFrame) -> DataFrame:
     """Each condition against the base condition on the same tasks: rates, their difference, improved and regressed
-    tasks, and whether the drop is within the threshold. df has keys, condition, task_id, passed."""
+    tasks, and whether the drop is below the threshold. df has keys, condition, task_id, passed."""
     other = df.where(F.col("condition") == base).select(*keys, "task_id", F.col("passed").alias("base_passed"))
     both = df.where(F.col("condition") != base).join(other, [*keys, "task_id"])
     counted = both.groupBy(*keys, "condition").agg(
@@ -62,7 +62,7 @@ def utility_deltas(df: DataFrame, keys: list[str], base: str, thresholds: DataFr
     limit = counted.join(thresholds, keys, "left").withColumn("delta", F.col("rate") - F.col("base_rate"))
     return limit.withColumn(
         "status",
-        F.when(-F.col("delta") > F.col("threshold"), "DROP_EXCEEDS_THRESHOLD").otherwise("WITHIN_THRESHOLD"),
+        F.when(-F.col("delta") >= F.col("threshold"), "DROP_EXCEEDS_THRESHOLD").otherwise("WITHIN_THRESHOLD"),
     )
 
 

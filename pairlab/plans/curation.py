@@ -158,11 +158,10 @@ def j8(spark, sf):
 )
 def j9(spark, sf):
     routes = spark.createDataFrame([("BUILDING", 3), ("MACHINERY", 7)], "c_mktsegment string, layer int")
-    seeds = spark.createDataFrame([(42,), (43,)], "seed int")
     return cu.build_worklist(
         table(spark, sf, "customer"),
         routes,
-        seeds,
+        [42, 43],
         "c_mktsegment",
         "c_custkey",
     ).select("record_id", "layer", "seed")

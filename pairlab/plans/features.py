@@ -292,14 +292,31 @@ au2 AS (SELECT group_id, r, pos, sum(s) / (2 * max(ns) * count(*)) AS auc FROM d
 ar AS (SELECT group_id, r, list_transform(list_sort(list((-auc, -pos)))[:4], lambda t: -t[2]) AS top, avg(auc) AS m FROM au2 GROUP BY ALL),
 rk AS (SELECT x.group_id, x.r, x.pos, count(*) FILTER (y.auc < x.auc) + (count(*) FILTER (y.auc = x.auc) + 1) / 2 - 3 AS q FROM au2 x JOIN au2 y ON x.group_id = y.group_id AND x.r = y.r GROUP BY ALL),
 pj AS (SELECT x.group_id, avg(len(list_intersect(x.top, y.top)) / len(list_distinct(list_concat(x.top, y.top)))) AS j FROM ar x JOIN ar y ON x.group_id = y.group_id AND x.r < y.r AND y.r < 20 GROUP BY 1),
-pc AS (SELECT group_id, avg(c) AS c FROM (SELECT x.group_id, x.r, y.r AS r2, sum(x.q * y.q) / nullif(sqrt(sum(x.q * x.q) * sum(y.q * y.q)), 0) AS c FROM rk x JOIN rk y ON x.group_id = y.group_id AND x.pos = y.pos AND x.r < y.r AND y.r < 20 GROUP BY ALL) GROUP BY 1)
-SELECT group_id, round((SELECT avg(m) FROM ar WHERE ar.group_id = pj.group_id), 8) AS auc_mean, round(j, 8) AS jaccard, round(coalesce(c, 0.5), 8) AS rank_corr, round(j, 9) >= 0.5 AND round(coalesce(c, 0.5), 9) >= 0.5 AS deployable FROM pj JOIN pc USING (group_id)""")
+pc AS (SELECT group_id, avg(c) AS c FROM (SELECT x.group_id, x.r, y.r AS r2, sum(x.q * y.q) / nullif(sqrt(sum(x.q * x.q) * sum(y.q * y.q)), 0) AS c FROM rk x JOIN rk y ON x.group_id = y.group_id AND x.pos = y.pos AND x.r < y.r AND y.r < 20 GROUP BY ALL) GROUP BY 1),
+fa AS (SELECT group_id, avg(a.auc) AS auc FROM gr JOIN (SELECT category, feature_id, sum(cu * (coalesce(below, 0) + cs / 2)) / max(nu * ns) AS auc FROM (SELECT *, sum(cs) OVER (PARTITION BY category, feature_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM c) JOIN z USING (category) GROUP BY ALL) a USING (category, feature_id) GROUP BY 1),
+ra2 AS (SELECT DISTINCT group_id, (category * 7 + 3) % 10 / 10 AS repair_rate, (category * 3) % 10 / 25 AS corruption_rate, category % 4 = 1 AS exempt FROM gr)
+SELECT group_id, round((SELECT avg(m) FROM ar WHERE ar.group_id = pj.group_id), 8) AS auc_mean, round(j, 8) AS jaccard, round(coalesce(c, 0.5), 8) AS rank_corr, repair_rate, corruption_rate, round(auc, 8) AS auc, round(auc, 9) >= 0.52 OR exempt AS auc_ok,
+  repair_rate > 0.1 AND corruption_rate <= 0.2 AND (round(auc, 9) >= 0.52 OR exempt) AND round(j, 9) >= 0.5 AND round(coalesce(c, 0.5), 9) >= 0.5 AS deployable FROM pj JOIN pc USING (group_id) JOIN fa USING (group_id) JOIN ra2 USING (group_id)""")
 def x14(spark, sf):
+    made = groups(spark, sf)
+    scored = made.select("group_id", "category", F.explode("feature_ids").alias("feature_id")).join(
+        measured(spark, sf, "auc"),
+        ["category", "feature_id"],
+        "left",
+    ).groupBy("group_id").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"))
+    rated = made.join(scored, "group_id").withColumns(
+        {
+            "repair_rate": (F.col("category") * 7 + 3) % 10 / 10,
+            "corruption_rate": (F.col("category") * 3) % 10 / 25,
+            "exempt": F.col("category") % 4 == 1,
+        },
+    )
     return rounded(
-        fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, groups(spark, sf)),
+        fx.group_stability(long(spark, sf), sizes(spark, sf), KEYS, rated, least_repair=0.1, least_auc=0.52),
         "auc_mean",
         "jaccard",
         "rank_corr",
+        "auc",
     )
 
 

@@ -546,7 +546,7 @@ def q7_hashed(spark, sf):
 
 @query("q8_utility_deltas", PAIRED + """, j AS (SELECT m.category, m.method AS condition, count(*) AS n, avg(CAST(NOT b.is_vulnerable AS INT)) AS base_rate, avg(CAST(NOT m.is_vulnerable AS INT)) AS rate, count(*) FILTER (NOT m.is_vulnerable AND b.is_vulnerable) AS improved, count(*) FILTER (m.is_vulnerable AND NOT b.is_vulnerable) AS regressed
 FROM paired m JOIN paired b ON m.prompt_id = b.prompt_id AND b.method = 2 WHERE m.method > 2 GROUP BY ALL)
-SELECT category, CAST(condition AS VARCHAR) AS condition, n, base_rate, rate, improved, regressed, 0.005 AS threshold, rate - base_rate AS delta, CASE WHEN base_rate - rate > 0.005 THEN 'DROP_EXCEEDS_THRESHOLD' ELSE 'WITHIN_THRESHOLD' END AS status FROM j""")
+SELECT category, CAST(condition AS VARCHAR) AS condition, n, base_rate, rate, improved, regressed, 0.005 AS threshold, rate - base_rate AS delta, CASE WHEN base_rate - rate < 0.005 THEN 'WITHIN_THRESHOLD' ELSE 'DROP_EXCEEDS_THRESHOLD' END AS status FROM j""")
 def q8(spark, sf):
     df = paired(spark, sf).select(
         "category",

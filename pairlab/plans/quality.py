@@ -43,19 +43,34 @@ def i2(spark, sf):
 
 
 @query("i3_split_report", """
-WITH s AS (SELECT o_orderpriority AS c, o_custkey AS u, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 100 <> 0 THEN 'test' WHEN md5('42|' || o_custkey) < '9' THEN 'train' ELSE 'test' END AS split FROM orders), z AS (SELECT c, count(*) AS n FROM s GROUP BY 1)
-SELECT 'unit_overlap' AS "check", CASE WHEN x <= 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(x AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS "limit" FROM (SELECT count(*) AS x FROM (SELECT u FROM s WHERE c <> '5-LOW' GROUP BY u HAVING count(DISTINCT split) > 1))
-UNION ALL SELECT 'heldout_outside_test', CASE WHEN x <= 0 THEN 'PASS' ELSE 'FAIL' END, x, 0 FROM (SELECT count(*) AS x FROM s WHERE c = '5-LOW' AND split <> 'test')
-UNION ALL SELECT 'category_minimum', CASE WHEN x >= 100 THEN 'PASS' ELSE 'FAIL' END, x, 100 FROM (SELECT min(n) AS x FROM z)
-UNION ALL SELECT 'category_ratio', CASE WHEN x <= 3 THEN 'PASS' ELSE 'FAIL' END, x, 3 FROM (SELECT max(n) / min(n) AS x FROM z)
-UNION ALL SELECT 'total', 'PASS', count(*), 1 FROM s""")
+WITH s AS (SELECT o_orderpriority AS c, o_custkey AS u, o_orderstatus = 'P' AS a, o_totalprice > 1000 AS sec, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 100 <> 0 THEN 'test' WHEN md5('42|' || o_custkey) < '9' THEN 'train' ELSE 'test' END AS split FROM orders),
+m AS (SELECT * FROM (VALUES ('1-URGENT', 20), ('2-HIGH', 1000000), ('3-MEDIUM', 50), ('0-ABSENT', 1)) v(c, least)),
+z AS (SELECT c, count(*) AS n, avg(CAST(a AS INT)) AS aug, avg(CAST(sec AS INT)) AS sec FROM s GROUP BY 1),
+d AS (SELECT m.c, least, coalesce(n, 0) AS n FROM m LEFT JOIN z USING (c))
+SELECT 'unit_overlap' AS "check", NULL AS category, CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(x AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS "limit" FROM (SELECT count(*) AS x FROM (SELECT u FROM s WHERE c <> '5-LOW' OR split <> 'test' GROUP BY u HAVING count(DISTINCT split) > 1))
+UNION ALL SELECT 'heldout_outside_test', NULL, CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END, x, 0 FROM (SELECT count(*) AS x FROM s WHERE c = '5-LOW' AND split <> 'test')
+UNION ALL SELECT 'category_ratio', NULL, CASE WHEN x > 3 THEN 'FAIL' ELSE 'PASS' END, x, 3 FROM (SELECT max(n) / min(n) AS x FROM d WHERE n > 0)
+UNION ALL SELECT 'total', NULL, CASE WHEN count(*) < 500 THEN 'FAIL' ELSE 'PASS' END, count(*), 500 FROM s
+UNION ALL SELECT 'category_minimum', c, CASE WHEN n < least THEN 'FAIL' ELSE 'PASS' END, n, least FROM d
+UNION ALL SELECT 'augmented_fraction', c, CASE WHEN aug > 0.025 THEN 'FAIL' ELSE 'PASS' END, aug, 0.025 FROM z
+UNION ALL SELECT 'secure_fraction', c, CASE WHEN sec < 1 THEN 'WARN' ELSE 'PASS' END, sec, 1 FROM z""")
 def i3(spark, sf):
     held = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 100 != 0)
     df = table(spark, sf, "orders").withColumn(
         "split",
         F.when(held, "test").when(sm.hash_order(42, "o_custkey") < "9", "train").otherwise("test"),
     )
-    return qa.split_report(df, "split", "o_custkey", "o_orderpriority", ["5-LOW"], 100, 3.0)
+    return qa.split_report(
+        df,
+        "split",
+        "o_custkey",
+        "o_orderpriority",
+        ["5-LOW"],
+        {"1-URGENT": 20, "2-HIGH": 1_000_000, "3-MEDIUM": 50, "0-ABSENT": 1},
+        augmented=F.col("o_orderstatus") == "P",
+        most_augmented=0.025,
+        secure=F.col("o_totalprice") > 1000,
+    )
 
 
 @query(

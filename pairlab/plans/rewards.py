@@ -63,19 +63,27 @@ def b2(spark, sf):
     )
 
 
+SPREAD = ", ".join(f"round({f}({c}), 8) AS {c}_{n}" for c in ("reward", "regret") for n, f in (("mean", "avg"), ("sd", "stddev_pop"), ("min", "min"), ("max", "max")))
+BEST = "count(DISTINCT prompt_id) FILTER (is_best)"
+PROMPTS = "(SELECT count(DISTINCT prompt_id) FROM ju)"
+
+
 @query(
     "b3_action_distribution",
-    ROLL + "SELECT action_id, count(*) AS n, round(avg(reward), 8) AS reward_mean, round(stddev_pop(reward), 8) AS reward_sd, round(min(reward), 8) AS reward_min, round(max(reward), 8) AS reward_max, round(avg(regret), 8) AS regret_mean, count(*) FILTER (is_best) AS n_best, count(DISTINCT prompt_id) AS n_prompts, count(*) FILTER (is_best) > 0.85 * count(*) AS dominant FROM ju GROUP BY 1",
+    ROLL + f"SELECT action_id, count(*) AS n, {SPREAD}, {BEST} AS n_best, count(DISTINCT prompt_id) AS n_prompts, {BEST} / {PROMPTS} AS best_share, {BEST} / {PROMPTS} > 0.85 AS dominant FROM ju GROUP BY 1",
 )
 def b3(spark, sf):
-    return near(
-        rw.action_distribution(judged(spark, sf)),
-        "reward_mean",
-        "reward_sd",
-        "reward_min",
-        "reward_max",
-        "regret_mean",
-    )
+    spread = [f"{c}_{n}" for c in ("reward", "regret") for n in ("mean", "sd", "min", "max")]
+    return near(rw.action_distribution(judged(spark, sf)), *spread)
+
+
+@query(
+    "b3_reward_coverage",
+    ROLL + f"""SELECT count(DISTINCT prompt_id) AS n_prompts, count(*) AS n_pairs, count(DISTINCT prompt_id) FILTER (NOT is_noop) AS n_with_action, round(avg(reward) FILTER (is_noop), 8) AS noop_reward, round(avg(reward) FILTER (NOT is_noop), 8) AS action_reward,
+  (SELECT bool_or(b / {PROMPTS} > 0.3) FROM (SELECT {BEST} AS b FROM ju GROUP BY action_id)) AS dominance_warning, count(DISTINCT prompt_id) FILTER (NOT is_noop) / count(DISTINCT prompt_id) AS coverage, count(DISTINCT prompt_id) FILTER (NOT is_noop) / count(DISTINCT prompt_id) >= 0.9 AS covered FROM ju""",
+)
+def b3_coverage(spark, sf):
+    return near(rw.reward_coverage(judged(spark, sf), most=0.3), "noop_reward", "action_reward")
 
 
 @query(
@@ -190,18 +198,18 @@ def j10_table(spark, sf):
     return actions(spark, sf)
 
 
-@query("j10_candidate_actions", f"""WITH {ACTIONS}, p AS (SELECT c_custkey AS prompt_id, CAST(c_custkey % 9 AS VARCHAR) AS category FROM customer), a AS (SELECT * FROM acts WHERE action_id > 0 AND NOT masked),
+@query("j10_candidate_actions", f"""WITH {ACTIONS}, p AS (SELECT c_custkey AS prompt_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_custkey % 9 AS VARCHAR) END AS category FROM customer), a AS (SELECT * FROM acts WHERE action_id > 0 AND NOT masked),
 r AS (SELECT *, first_value(group_id) OVER w AS top, row_number() OVER w AS r FROM a WINDOW w AS (PARTITION BY category ORDER BY repair_rate DESC, strength, action_id)),
 o AS (SELECT category, action_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY r) AS k FROM r WHERE group_id = top) WHERE k <= 2),
-l AS (SELECT category, min(action_id) AS action_id FROM a WHERE strength = 'Low' GROUP BY 1), q AS (SELECT *, category IN (SELECT category FROM a) AS matched FROM p),
+l AS (SELECT category, min(action_id) AS action_id FROM a WHERE strength = 'Low' GROUP BY 1), q AS (SELECT *, coalesce(category, 'unknown') IN (SELECT category FROM a) AS matched FROM p),
 t AS (SELECT prompt_id, o.action_id, 'matched' AS why FROM q JOIN o USING (category) UNION ALL SELECT prompt_id, l.action_id, 'active' FROM q, l WHERE NOT matched AND l.category IN ('4', '1', '3')),
 n AS (SELECT q.*, (SELECT count(*) FROM t WHERE t.prompt_id = q.prompt_id) AS k FROM q),
-x AS (SELECT prompt_id, min(l.action_id) AS action_id FROM n JOIN l ON l.category <> n.category AND (matched OR l.category NOT IN ('4', '1', '3')) WHERE k + 1 < 5 GROUP BY 1)
+x AS (SELECT prompt_id, min(l.action_id) AS action_id FROM n JOIN l ON l.category <> coalesce(n.category, 'unknown') AND (matched OR l.category NOT IN ('4', '1', '3')) WHERE k + 1 < 5 GROUP BY 1)
 SELECT prompt_id, 0 AS action_id, 'noop' AS why FROM p UNION ALL SELECT * FROM t UNION ALL SELECT prompt_id, action_id, 'control' FROM x""")
 def j10(spark, sf):
     prompts = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("prompt_id"),
-        (F.col("c_custkey") % 9).cast("string").alias("category"),
+        F.when(F.col("c_custkey") % 11 != 0, (F.col("c_custkey") % 9).cast("string")).alias("category"),
     )
     return rw.candidate_actions(prompts, actions(spark, sf), ACTIVE)
 
@@ -269,7 +277,7 @@ def a15_overhead(spark, sf):
     )
 
 
-STAGED = "WITH l AS (SELECT l_orderkey, l_linenumber, ['draft', 'critique', 'repair', 'extra', 'extra', 'extra', 'extra'][l_linenumber] AS stage, l_quantity > 2 AS complete, l_tax, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+STAGED = "WITH l AS (SELECT l_orderkey, l_linenumber, ['draft', 'critique', 'repair', 'extra', 'extra', 'extra', 'extra'][l_linenumber] AS stage, CASE WHEN l_quantity > 2 THEN 'completed' WHEN l_quantity > 1 THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN l_quantity > 1 THEN l_linenumber END AS call, l_tax, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
 
 
 def staged(spark, sf):
@@ -278,25 +286,29 @@ def staged(spark, sf):
         "l_orderkey",
         "l_linenumber",
         F.element_at(names, F.col("l_linenumber")).alias("stage"),
-        (F.col("l_quantity") > 2).alias("complete"),
-        F.lit(1).cast("long").alias("calls"),
+        F.when(F.col("l_quantity") > 2, "completed").when(F.col("l_quantity") > 1, "failed").otherwise("skipped").alias("status"),
+        F.when(F.col("l_quantity") > 1, F.col("l_linenumber")).alias("call"),
         F.col("l_quantity").cast("long").alias("tokens"),
         F.col("l_tax").alias("seconds"),
     )
-    return cost.stage_cost(df, ["l_orderkey"], ["draft", "critique", "repair"], "l_linenumber")
+    return cost.stage_cost(df, ["l_orderkey"], ["draft", "critique", "repair"], "l_linenumber", "completed")
 
 
 @query(
     "a16_stage_cost",
-    STAGED + " SELECT stage, count(*) AS n_rows, count(*) AS calls, CAST(sum(q) AS BIGINT) AS tokens, round(sum(l_tax), 6) AS seconds, count(*) FILTER (NOT complete) AS n_incomplete FROM l GROUP BY 1",
+    STAGED + """, c AS (SELECT coalesce(stage, 'ALL') AS stage, count(*) AS n_rows, count(call) AS calls, CAST(sum(q) AS BIGINT) AS tokens, round(sum(l_tax), 6) AS seconds FROM l GROUP BY GROUPING SETS ((stage), ())),
+s AS (SELECT coalesce(stage, 'ALL') AS stage, status, count(*) AS n FROM l GROUP BY GROUPING SETS ((stage, status), (status)))
+SELECT c.*, (SELECT string_agg(status || ':' || n, ';' ORDER BY status) FROM s WHERE s.stage = c.stage) AS statuses, coalesce((SELECT sum(n)::BIGINT FROM s WHERE s.stage = c.stage AND status <> 'completed'), 0) AS n_incomplete FROM c""",
 )
 def a16(spark, sf):
-    return staged(spark, sf)[0].withColumn("seconds", F.round("seconds", 6))
+    entries = F.array_sort(F.map_entries("statuses"))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e.key, e.value.cast("string"))), ";")
+    return staged(spark, sf)[0].withColumns({"seconds": F.round("seconds", 6), "statuses": text})
 
 
 @query(
     "a16_structural_failures",
-    STAGED + ", r AS (SELECT l_orderkey, string_agg(stage, ',' ORDER BY l_linenumber, stage) FILTER (complete) AS s FROM l GROUP BY 1) SELECT count(*) AS n_records, count(*) FILTER (s IS NULL OR s <> 'draft,critique,repair') AS n_structural_failures FROM r",
+    STAGED + ", r AS (SELECT l_orderkey, string_agg(stage, ',' ORDER BY l_linenumber, stage) FILTER (status = 'completed') AS s FROM l GROUP BY 1) SELECT count(*) AS n_records, count(*) FILTER (s IS NULL OR s <> 'draft,critique,repair') AS n_structural_failures FROM r",
 )
 def a16_failures(spark, sf):
     return staged(spark, sf)[1]

@@ -86,6 +86,15 @@ def m4(spark, sf):
     return sm.split_rows(orders(spark, sf), "o_orderkey", 0.7, 42).select("o_orderkey", "split")
 
 
+@query(
+    "m4_split_counts",
+    f"WITH {O}, s AS (SELECT o_orderpriority AS c, CASE WHEN row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.7) THEN 'dev' ELSE 'test' END AS split FROM o), g AS (SELECT split, CASE WHEN grouping(c) = 1 THEN 'ALL' ELSE c END AS category, count(*) AS n FROM s GROUP BY GROUPING SETS ((split, c), (split))) SELECT *, n / max(n) OVER (PARTITION BY split) AS share FROM g",
+)
+def m4_counts(spark, sf):
+    split = sm.split_rows(orders(spark, sf), "o_orderkey", 0.7, 42)
+    return sm.split_counts(split, "split", "o_orderpriority")
+
+
 @query(
     "m5_hamilton",
     "WITH g AS (SELECT o_custkey % 13 AS stratum, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS s FROM g), f AS (SELECT *, (n * 101) // s AS base, row_number() OVER (ORDER BY (n * 101) % s DESC, stratum) AS r FROM t) SELECT stratum, n, CAST(base + CASE WHEN r <= 101 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f",

@@ -30,7 +30,8 @@ def test_group_stability_against_dense_arms(spark):
     rows += [(3, "unsafe", i, 0, 1.0) for i in range(5)]  # five active unsafe samples against silent safe ones
     long = spark.createDataFrame(rows, "category long, arm string, sample_id long, feature_id long, value double")
     sizes = spark.createDataFrame([(1, 60, 180), (2, 5, 7), (3, 5, 9), (4, 1, 9)], "category long, n_unsafe long, n_safe long")
-    groups = spark.createDataFrame([("a", 1, [0, 1, 2]), ("none", 2, [0, 1]), ("sure", 3, [0]), ("one", 4, [0])], "group_id string, category long, feature_ids array<long>")
+    rows = [("a", 1, [0, 1, 2], 0.5, 0.1, 0.7, None), ("none", 2, [0, 1], 0.5, 0.1, 0.9, False), ("sure", 3, [0], None, 0.1, 0.9, False), ("one", 4, [0], 0.5, 0.1, 0.9, False)]
+    groups = spark.createDataFrame(rows, "group_id string, category long, feature_ids array<long>, repair_rate double, corruption_rate double, auc double, exempt boolean")
     got = {r.group_id: r for r in fx.group_stability(long, sizes, ["category"], groups, replicates=30).collect()}
     active = sorted((i for i in range(60) if x[i].any()), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
     aucs = by_hand(x[unsafe], x[~unsafe], active + [i for i in range(60) if not x[i].any()], 30, 0.8, 42)
@@ -41,5 +42,16 @@ def test_group_stability_against_dense_arms(spark):
     assert abs(got["a"].jaccard - np.mean([len(top[i] & top[j]) / len(top[i] | top[j]) for i, j in pairs])) < 1e-9
     assert abs(got["a"].rank_corr - np.nanmean(corr)) < 1e-9
     assert got["none"].auc_mean == 0.5 and got["none"].jaccard == 1.0 and got["none"].rank_corr == 0.5
-    assert got["sure"].auc_mean == 1.0
+    assert got["sure"].auc_mean == 1.0 and not got["sure"].deployable  # no repair rate
+    assert got["none"].deployable and got["a"].deployable == (got["a"].jaccard >= 0.5 and got["a"].rank_corr >= 0.5)
     assert (got["one"].jaccard, got["one"].rank_corr, got["one"].auc_mean) == (0.5, 0.5, 0.5)
+
+
+def test_deployable_needs_every_gate(spark):
+    """Stable groups that fail one gate each: repair must be above 0, corruption at most 0.2, AUC at least 0.6 unless exempt."""
+    long = spark.createDataFrame([(1, "unsafe", i, 0, 1.0) for i in range(5)], "category long, arm string, sample_id long, feature_id long, value double")
+    sizes = spark.createDataFrame([(1, 5, 9)], "category long, n_unsafe long, n_safe long")
+    cases = {"ok": (0.1, 0.2, 0.6, False), "repair": (0.0, 0.2, 0.6, False), "corrupt": (0.1, 0.21, 0.6, False), "auc": (0.1, 0.2, 0.59, False), "exempt": (0.1, 0.2, 0.1, True), "unknown": (0.1, None, 0.6, False)}
+    groups = spark.createDataFrame([(k, 1, [0], *v) for k, v in cases.items()], "group_id string, category long, feature_ids array<long>, repair_rate double, corruption_rate double, auc double, exempt boolean")
+    got = {r.group_id: r.deployable for r in fx.group_stability(long, sizes, ["category"], groups, replicates=5).collect()}
+    assert got == {"ok": True, "repair": False, "corrupt": False, "auc": False, "exempt": True, "unknown": False}

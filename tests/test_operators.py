@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as tx
-from pairlab.operators import curate, features, outcomes, quality, rewards, sampling, scan, stats
+from pairlab.operators import cost, curate, features, outcomes, quality, rewards, sampling, scan, stats
 from pairlab.sources import io
 from pairlab.streaming.scan_stream import scan_stream
 
@@ -231,12 +231,13 @@ def test_rewards(spark):
 def test_candidate_actions(spark):
     groups = spark.createDataFrame([("g1", "a", 3, 0.2), ("g2", "a", 2, 0.9), ("g3", "b", 3, 0.5), ("g4", "c", 3, 0.1)], "group_id string, category string, high int, repair_rate double")
     acts = rewards.action_table(groups, [("Low", 1), ("Med", 2), ("High", 3)])  # 1-3 g1, 4-6 g2 (6 masked), 7-9 g3, 10-12 g4
-    prompts = spark.createDataFrame([(1, "a"), (2, "c"), (3, "zz")], "prompt_id int, category string")
+    prompts = spark.createDataFrame([(1, "a"), (2, "c"), (3, "zz"), (4, None)], "prompt_id int, category string")
     out = rewards.candidate_actions(prompts, acts, ["c", "a"]).collect()
-    got = {p: sorted((r.why, r.action_id) for r in out if r.prompt_id == p) for p in (1, 2, 3)}
+    got = {p: sorted((r.why, r.action_id) for r in out if r.prompt_id == p) for p in (1, 2, 3, 4)}
     assert got[1] == [("control", 7), ("matched", 4), ("matched", 5), ("noop", 0)]  # the better group only, no fallback
     assert got[2] == [("control", 1), ("matched", 10), ("matched", 12), ("noop", 0)]  # by name of strength: High before Low
     assert got[3] == [("active", 1), ("active", 10), ("control", 7), ("noop", 0)]
+    assert got[4] == got[3]  # no category is an unknown one, and has a control
     few = rewards.candidate_actions(prompts.where("prompt_id = 3"), acts, ["c", "a"], most=3).collect()
     assert sorted(r.why for r in few) == ["active", "active", "noop"]
 
@@ -320,3 +321,55 @@ def test_checks(spark):
     old = spark.createDataFrame([(1, "x"), (9, "y")], "id int, sha256 string")
     assert {tuple(r) for r in quality.drift(df, old, "id", F.col("secret")).collect()} == {(1, "changed"), (2, "new"), (3, "new"), (9, "missing")}
     assert quality.duplicates(df.unionByName(df.where("id = 1")), ["id"]).collect()[0].n == 2
+
+
+def test_dominance_is_over_all_prompts(spark):
+    """An action tried once and best there doesn't dominate 100 prompts; one that is best for 86 of them does."""
+    rows = [(p, 0, True, 0.0) for p in range(100)] + [(p, 1, False, 1.0) for p in range(86)] + [(99, 2, False, 1.0)]
+    df = rewards.regret(spark.createDataFrame(rows, "prompt_id int, action_id int, is_noop boolean, reward double"), ["prompt_id"])
+    got = {r.action_id: r for r in rewards.action_distribution(df).collect()}
+    assert {a: (r.n_best, r.best_share, r.dominant) for a, r in got.items()} == {0: (13, 0.13, False), 1: (86, 0.86, True), 2: (1, 0.01, False)}
+    assert (got[0].regret_min, got[0].regret_max, round(got[0].regret_mean, 6)) == (-1.0, 0.0, -0.87) and abs(got[0].regret_sd - math.sqrt(0.87 * 0.13)) < 1e-12
+    out = rewards.reward_coverage(df).first()
+    assert (out.n_prompts, out.n_with_action, out.coverage, out.covered, out.dominance_warning, out.noop_reward, out.action_reward) == (100, 87, 0.87, False, True, 0.0, 1.0)
+
+
+def test_split_report(spark):
+    """Only derivation categories have a minimum and a ratio, each its own; one without rows fails; a held-out row is no matter."""
+    rows = [("a", f"a{i}", "train", i < 10, True) for i in range(30)] + [("b", f"b{i}", "test", i < 7, i > 0) for i in range(12)] + [("held", "h", "test", True, True), ("held", "a1", "test", False, True)]
+    df = spark.createDataFrame(rows, "c string, u string, split string, aug boolean, sec boolean")
+    report = lambda d: {(r.check, r.category): (r.status, r.observed) for r in quality.split_report(d, "split", "u", "c", ["held"], {"a": 20, "b": 13, "gone": 1}, augmented=F.col("aug"), secure=F.col("sec"), total=40).collect()}
+    got = report(df)
+    assert got["category_minimum", "a"] == ("PASS", 30.0) and got["category_minimum", "b"] == ("FAIL", 12.0) and got["category_minimum", "gone"] == ("FAIL", 0.0)
+    assert ("category_minimum", "held") not in got and got["category_ratio", None] == ("PASS", 2.5)
+    assert got["augmented_fraction", "b"] == ("FAIL", 7 / 12) and got["augmented_fraction", "held"] == ("PASS", 0.5)
+    assert got["secure_fraction", "b"][0] == "WARN" and got["secure_fraction", "a"] == ("PASS", 1.0)
+    assert got["unit_overlap", None] == ("PASS", 0.0) and got["total", None] == ("PASS", 44.0)
+    leak = report(df.unionByName(spark.createDataFrame([("held", "b1", "train", False, True)], df.schema)))
+    assert leak["heldout_outside_test", None] == ("FAIL", 1.0) and leak["unit_overlap", None] == ("FAIL", 1.0)
+    assert report(df.limit(0))["category_minimum", "a"] == ("FAIL", 0.0)
+
+
+def test_a_drop_at_the_threshold_exceeds_it(spark):
+    rows = [(b, c, t, (t < 4) if c == "base" else (t < 4 - k)) for b, k in (("x", 1), ("y", 0)) for c in ("base", "m") for t in range(4)]
+    df = spark.createDataFrame(rows, "bench string, condition string, task_id int, passed boolean")
+    limits = spark.createDataFrame([("x", 0.25), ("y", 0.25)], "bench string, threshold double")
+    got = {r.bench: (r.delta, r.regressed, r.status) for r in stats.utility_deltas(df, ["bench"], "base", limits).collect()}
+    assert got == {"x": (-0.25, 1, "DROP_EXCEEDS_THRESHOLD"), "y": (0.0, 0, "WITHIN_THRESHOLD")}
+
+
+def test_stage_cost_counts_statuses(spark):
+    rows = [(1, "draft", 0, 1, 5, 1.0, "COMPLETED"), (1, "repair", 1, None, 0, 0.5, "SKIPPED"), (2, "draft", 0, 1, 5, 1.0, "COMPLETED"), (2, "repair", 1, 2, 7, 2.0, "COMPLETED"), (3, "draft", 0, 1, 1, 1.0, None)]
+    df = spark.createDataFrame(rows, "rec int, stage string, pos int, call int, tokens long, seconds double, status string")
+    by, bad = cost.stage_cost(df, ["rec"], ["draft", "repair"], "pos")
+    got = {r.stage: r for r in by.collect()}
+    assert got["draft"].statuses == {"COMPLETED": 2, "NOT_RECORDED": 1} and got["repair"].statuses == {"COMPLETED": 1, "SKIPPED": 1}
+    assert got["ALL"].statuses == {"COMPLETED": 3, "NOT_RECORDED": 1, "SKIPPED": 1}
+    assert (got["ALL"].n_rows, got["ALL"].calls, got["ALL"].tokens, got["ALL"].seconds, got["ALL"].n_incomplete) == (5, 4, 18, 5.5, 2)
+    assert bad.first()[:] == (3, 2)
+
+
+def test_split_counts(spark):
+    df = spark.createDataFrame([("dev", "a")] * 3 + [("dev", "b")] + [("test", "a")], "split string, c string")
+    got = {(r.split, r.category): (r.n, r.share) for r in sampling.split_counts(df, "split", "c").collect()}
+    assert got == {("dev", "a"): (3, 0.75), ("dev", "b"): (1, 0.25), ("dev", "ALL"): (4, 1.0), ("test", "a"): (1, 1.0), ("test", "ALL"): (1, 1.0)}
