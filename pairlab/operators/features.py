@@ -7,11 +7,8 @@ the sizes, so zeros are never made into rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,50 +327,50 @@ def direction_vectors(samples: DataFrame, keys: list[str], layer: str, vector: s
 
 
 def build_states(
-    latents: DataFrame,
+    prompts: DataFrame,
+    entries: DataFrame,
     ident: str,
-    vector: str,
     category: str,
     categories: list[str],
-    groups: list[list[int]],
+    heldout: list[str],
+    groups: list[tuple[int, list[int]]],
+    layer: int,
     size: int = 64,
     seed: int = 42,
 ) -> DataFrame:
-    """State vectors: a fixed random projection of the latents (columns of unit length, then the row), the category as
-    one-hot, and for each group of features their max, mean and active share."""
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = None
-        for batch in batches:
-            x = np.array(batch["__v"].tolist(), float)
-            if not len(x):
-                continue
-            if matrix is None:
-                matrix = np.random.default_rng(seed).standard_normal((x.shape[1], size))
-                matrix /= np.linalg.norm(matrix, axis=0)
-            z = x @ matrix
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"__i": batch["__i"], "__c": batch["__c"], "__v": batch["__v"], "z": z.tolist()})
-
-    kind = latents.schema[ident].dataType.simpleString()
-    base = latents.select(
-        F.col(ident).alias("__i"),
-        F.col(category).cast("string").alias("__c"),
-        F.col(vector).cast("array<double>").alias("__v"),
-    )
-    projected = base.mapInPandas(project, f"__i {kind}, __c string, __v array<double>, z array<double>")
-    onehot = F.transform(F.array(*(F.lit(c) for c in categories)), lambda c: (c == F.col("__c")).cast("double"))
+    """(ident, known, state): for each prompt (ident, category) the projection of its entries in a layer, its category, and
+    what groups of features do.
+
+    entries has ident, layer, feature_id and value, a row for each that isn't zero. The projection has a sign for each
+    feature and column, a bit of a hash of seed and feature, so features need no dense row and no table of signs; it is
+    scaled to unit length, as its columns all are alike. The category is one-hot over categories, then a mark of held-out
+    ones and one of all others (null too). A group (layer, features) gives the greatest and mean value of its features and
+    the part above zero. What is absent is zero: a prompt without entries in the layer has a zero projection, and known
+    says that it has some. One aggregate finds everything.
+    """
+    words = -(-size // 32)  # of 32 bits, four to a hash
+    key = lambda w: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("feature_id").cast("string"), F.lit(str(w // 4))))
+    bits = {f"__w{w}": F.conv(F.substring(key(w), 8 * (w % 4) + 1, 8), 16, 10).cast("long") for w in range(words)}
+    marked = entries.where("value != 0").withColumns(bits)
+    v, here = F.col("value").cast("double"), F.col("layer") == layer
+    sign = lambda j: 1 - 2 * F.getbit(F.col(f"__w{j // 32}"), F.lit(j % 32)).cast("double")
+    sums = [F.sum(F.when(here, v * sign(j)).otherwise(0.0)).alias(f"__z{j}") for j in range(size)]
+    for g, (own_layer, ids) in enumerate(groups):
+        own = (F.col("layer") == own_layer) & F.col("feature_id").isin(ids)
+        sums += [F.max(F.when(own, v)).alias(f"__m{g}"), F.sum(F.when(own, v)).alias(f"__s{g}"), F.count_if(own).alias(f"__n{g}"), F.count_if(own & (v > 0)).alias(f"__p{g}")]
+    found = marked.groupBy(ident).agg(F.bool_or(here).alias("__known"), *sums)
+    z = [F.coalesce(f"__z{j}", F.lit(0.0)) for j in range(size)]
+    named = prompts.select(ident, F.col(category).cast("string").alias("__c")).join(found, ident, "left").withColumn("__z", F.array(*z))
+    norm = F.sqrt(F.aggregate("__z", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("__z", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    c = F.coalesce("__c", F.lit(""))
+    marks = [c == k for k in categories] + [c.isin(heldout), ~c.isin([*categories, *heldout])]
     parts = []
-    for g in groups:
-        own = F.transform(F.array(*(F.lit(i) for i in g)), lambda i: F.coalesce(F.get(F.col("__v"), i), F.lit(0.0)))
-        parts.append(
-            F.array(
-                F.array_max(own),
-                F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / len(g),
-                F.aggregate(own, F.lit(0.0), lambda a, x: a + (x > 0).cast("double")) / len(g),
-            ),
-        )
-    return projected.select(F.col("__i").alias(ident), F.concat("z", onehot, *parts).alias("state"))
+    for g, (_, ids) in enumerate(groups):
+        most = F.when(F.col(f"__n{g}") < len(set(ids)), F.greatest(F.col(f"__m{g}"), F.lit(0.0))).otherwise(F.col(f"__m{g}"))
+        parts += [F.coalesce(most, F.lit(0.0)), F.coalesce(f"__s{g}", F.lit(0.0)) / len(ids), F.coalesce(f"__p{g}", F.lit(0)) / len(ids)]
+    state = F.concat(unit, F.array(*(m.cast("double") for m in marks)), *([F.array(*parts)] if parts else []))
+    return named.select(ident, F.coalesce("__known", F.lit(False)).alias("known"), state.alias("state"))
 
 
 def reconstruction_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -407,22 +404,62 @@ def reconstruction_summary(df: DataFrame, keys: list[str], most: float) -> DataF
     return joined.withColumn("viable", F.col("mean") <= most)
 
 
-def fidelity_global(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Explained variance from sums that merge: squared error, and squares around each dimension's mean."""
-    long = df.select(
+def fidelity_state(df: DataFrame, keys: list[str], x: str, y: str, f: str) -> DataFrame:
+    """Sums from which fidelity follows, as a table that can be stored and merged: for each key a row of scalars (dim -1)
+    and one with the sum and squares of each dimension of the input.
+
+    A row of df is a token: input x, its reconstruction y and the features f; tokens with a null among them don't count.
+    """
+    rows = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (x, y, f)))).select(
         *keys,
-        F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("dim", "p"),
-    ).select(*keys, "dim", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    per = long.groupBy(*keys, "dim").agg(
-        F.sum((F.col("x") - F.col("y")) ** 2).alias("sse"),
-        F.sum("x").alias("s1"),
-        F.sum(F.col("x") * F.col("x")).alias("s2"),
-        F.count("*").alias("n"),
-        F.count_if(F.col("y") != 0).alias("active"),
+        F.transform(x, lambda v: v.cast("double")).alias("x"),
+        F.transform(y, lambda v: v.cast("double")).alias("y"),
+        F.size(F.filter(f, lambda v: v != 0)).alias("active"),
     )
-    return per.groupBy(*keys).agg(
-        F.sum("sse").alias("sse"),
-        F.sum("s2").alias("sum_squares"),
-        F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("centred"),
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    mean = total(F.col("x")) / F.size("x")
+    scalars = rows.groupBy(*keys).agg(
+        F.count("*").alias("tokens"),
+        F.sum(F.size("x")).alias("elements"),
+        F.sum(total(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)))).alias("sse"),
+        F.sum(total(F.transform("x", lambda v: (v - mean) * (v - mean)))).alias("token_centred"),
         F.sum("active").alias("active"),
-    ).withColumn("explained_variance", 1 - F.try_divide("sse", "centred"))
+    ).withColumns({"dim": F.lit(-1), "s1": F.lit(0.0), "s2": F.lit(0.0)})
+    by_dim = rows.select(*keys, F.posexplode("x").alias("dim", "v")).groupBy(*keys, "dim").agg(
+        F.sum("v").alias("s1"),
+        F.sum(F.col("v") * F.col("v")).alias("s2"),
+    )
+    return scalars.unionByName(by_dim, allowMissingColumns=True).select(*keys, "dim", *FIDELITY)
+
+
+#: What a fidelity state sums.
+FIDELITY = ("tokens", "elements", "sse", "token_centred", "active", "s1", "s2")
+
+
+def merge_fidelity(*states: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of all tokens that any of the states has seen."""
+    every = reduce(lambda a, b: a.unionByName(b), states)
+    return every.groupBy(*keys, "dim").agg(*(F.sum(c).alias(c) for c in FIDELITY))
+
+
+def fidelity_metrics(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Errors and explained variances of a state, around each token's mean and around each dimension's."""
+    n = F.max("tokens").over(Window.partitionBy(*keys))
+    spread = F.when(F.col("dim") >= 0, F.col("s2") - F.col("s1") * F.col("s1") / n)
+    whole = state.withColumn("__spread", spread).groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in FIDELITY if c not in ("s1", "s2")),
+        F.sum(F.when(F.col("dim") >= 0, F.col("s2"))).alias("squares"),
+        F.sum("__spread").alias("centred"),
+    )
+    return whole.select(
+        *keys,
+        F.col("tokens").alias("token_count"),
+        F.col("elements").alias("element_count"),
+        F.try_divide("sse", "elements").alias("mse"),
+        F.sqrt(F.try_divide("sse", "squares")).alias("relative_l2"),
+        F.try_divide("sse", "token_centred").alias("normalized_mse"),
+        (1 - F.try_divide("sse", "token_centred")).alias("explained_variance"),
+        F.try_divide("sse", "centred").alias("featurewise_normalized_mse"),
+        (1 - F.try_divide("sse", "centred")).alias("featurewise_explained_variance"),
+        F.try_divide("active", "tokens").alias("mean_l0"),
+    )

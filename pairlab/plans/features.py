@@ -336,17 +336,37 @@ def x15(spark, sf):
     ).drop("layer")
 
 
-@query("x16_build_states")
+STATES = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS f, md5('42|' || unnest(range(64)) || '|0') AS h FROM embeddings WHERE vec_id % 7 <> 3),
+a AS (SELECT * FROM e WHERE v > 0), j AS (SELECT range AS j FROM range(32)),
+p AS (SELECT vec_id, j, sum(v * (1 - 2 * ((('0x' || substr(h, 1, 8))::BIGINT >> j) & 1))) AS z FROM a, j GROUP BY ALL), n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM p GROUP BY 1),
+g AS (SELECT * FROM (VALUES (0, [0, 1, 2]), (1, [10, 20, 30, 40])) v(g, ids)),
+q AS (SELECT m.vec_id, g, [coalesce(max(v), 0), coalesce(sum(v), 0) / max(len(ids)), count(v) / max(len(ids))] AS s FROM embeddings m CROSS JOIN g LEFT JOIN a ON a.vec_id = m.vec_id AND list_contains(ids, f) GROUP BY ALL),
+s AS (SELECT m.vec_id, j AS pos, coalesce(z / n, 0) AS value FROM embeddings m CROSS JOIN j LEFT JOIN p USING (vec_id, j) LEFT JOIN n USING (vec_id)
+  UNION ALL SELECT vec_id, 32 + k.range, CASE WHEN k.range < 5 THEN label = k.range WHEN k.range = 5 THEN label IN (5, 6) ELSE label > 6 END::INT FROM embeddings, range(7) k
+  UNION ALL SELECT vec_id, 39 + 3 * g + k.range, s[k.range + 1] FROM q, range(3) k)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(value, 8) + 0 AS value, vec_id % 7 <> 3 AS known FROM s"""
+
+
+@query("x16_build_states", STATES)
 def x16(spark, sf):
-    return fx.build_states(
+    """Every seventh sample has no entries."""
+    active = table(spark, sf, "embeddings").where("vec_id % 7 != 3").select(
+        "vec_id",
+        F.lit(1).alias("layer"),
+        F.posexplode("embedding").alias("feature_id", "value"),
+    ).where("value > 0")
+    states = fx.build_states(
         table(spark, sf, "embeddings"),
+        active,
         "vec_id",
-        "embedding",
         "label",
-        [str(i) for i in range(10)],
-        [[0, 1, 2], [10, 20, 30, 40]],
+        [str(i) for i in range(5)],
+        ["5", "6"],
+        [(1, [0, 1, 2]), (1, [10, 20, 30, 40])],
+        1,
         32,
     )
+    return states.select("vec_id", "known", F.posexplode("state").alias("pos", "value")).withColumn("value", F.round("value", 8) + F.lit(0.0))
 
 
 RECON = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, list_transform(embedding, lambda v: CASE WHEN CAST(v AS DOUBLE) > 0.05 THEN round(CAST(v AS DOUBLE), 1) ELSE 0.0 END) AS y FROM embeddings), q AS (SELECT vec_id, label, x, y, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS er, list_sum(list_transform(x, lambda v: v * v)) AS xx, list_sum(list_transform(y, lambda v: v * v)) AS yy, list_sum(list_transform(list_zip(x, y), lambda p: p[1] * p[2])) AS xy, len(list_filter(y, lambda v: v <> 0)) AS l0 FROM e) "
@@ -392,11 +412,18 @@ def x17_summary(spark, sf):
     )
 
 
+NINE = ("mse", "relative_l2", "normalized_mse", "explained_variance", "featurewise_normalized_mse", "featurewise_explained_variance", "mean_l0")
+
+
 @query(
     "x18_fidelity_global",
-    RECON + ", l AS (SELECT label, unnest(x) AS a, unnest(y) AS b, unnest(range(64)) AS dim FROM e), p AS (SELECT label, dim, sum((a - b) * (a - b)) AS sse, sum(a) AS s1, sum(a * a) AS s2, count(*) AS n, count(*) FILTER (b <> 0) AS active FROM l GROUP BY ALL) SELECT label, round(sum(sse), 7) AS sse, round(sum(s2), 7) AS sum_squares, round(sum(s2 - s1 * s1 / n), 7) AS centred, CAST(sum(active) AS BIGINT) AS active, round(1 - sum(sse) / sum(s2 - s1 * s1 / n), 7) AS explained_variance FROM p GROUP BY 1",
+    RECON + """, t AS (SELECT label, x, er, list_sum(x) / 64 AS m, len(list_filter(x, lambda v: v > 0.1)) AS k FROM q),
+w AS (SELECT label, count(*) AS n, sum(er) AS sse, sum(k) AS active, sum(list_sum(list_transform(x, lambda v: (v - m) * (v - m)))) AS tc FROM t GROUP BY 1),
+d AS (SELECT label, sum(s2) AS squares, sum(s2 - s1 * s1 / n) AS centred FROM (SELECT label, dim, sum(a) AS s1, sum(a * a) AS s2, count(*) AS n FROM (SELECT label, unnest(x) AS a, unnest(range(64)) AS dim FROM e) GROUP BY ALL) GROUP BY 1)
+SELECT label, n AS token_count, CAST(n * 64 AS BIGINT) AS element_count, round(sse / (n * 64), 8) AS mse, round(sqrt(sse / squares), 8) AS relative_l2, round(sse / tc, 8) AS normalized_mse, round(1 - sse / tc, 8) AS explained_variance, round(sse / centred, 8) AS featurewise_normalized_mse, round(1 - sse / centred, 8) AS featurewise_explained_variance, round(active / n, 8) AS mean_l0 FROM w JOIN d USING (label)""",
 )
 def x18(spark, sf):
-    return fx.fidelity_global(recon(spark, sf), ["label"], "x", "y").withColumns(
-        {c: F.round(c, 7) for c in ("sse", "sum_squares", "centred", "explained_variance")},
-    )
+    """Two halves are summed by themselves and merged."""
+    df = recon(spark, sf).withColumn("f", F.transform("x", lambda v: F.when(v > 0.1, v).otherwise(0.0)))
+    halves = [fx.fidelity_state(df.where(F.col("vec_id") % 2 == k), ["label"], "x", "y", "f") for k in (0, 1)]
+    return rounded(fx.fidelity_metrics(fx.merge_fidelity(*halves, keys=["label"]), ["label"]), *NINE)

@@ -55,3 +55,34 @@ def test_deployable_needs_every_gate(spark):
     groups = spark.createDataFrame([(k, 1, [0], *v) for k, v in cases.items()], "group_id string, category long, feature_ids array<long>, repair_rate double, corruption_rate double, auc double, exempt boolean")
     got = {r.group_id: r.deployable for r in fx.group_stability(long, sizes, ["category"], groups, replicates=5).collect()}
     assert got == {"ok": True, "repair": False, "corrupt": False, "auc": False, "exempt": True, "unknown": False}
+
+
+def test_states_need_no_dense_row(spark):
+    """131,072 features, a prompt without entries, held-out and unknown categories, negative values in a group."""
+    rows = [(1, 19, 131_071, 2.0), (1, 19, 5, -1.5), (1, 16, 7, -3.0), (1, 16, 9, 4.0), (2, 16, 7, -3.0), (2, 16, 8, -1.0)]
+    entries = spark.createDataFrame(rows, "id int, layer int, feature_id long, value double")
+    prompts = spark.createDataFrame([(1, "b"), (2, "h"), (3, None)], "id int, c string")
+    groups = [(16, [7, 8]), (16, [7, 9, 11]), (19, [5])]
+    got = {r.id: r for r in fx.build_states(prompts, entries, "id", "c", ["a", "b"], ["h"], groups, 19, size=40, seed=3).collect()}
+    bit = lambda f, j: int(hashlib.md5(f"3|{f}|0".encode()).hexdigest()[8 * (j // 32) : 8 * (j // 32) + 8], 16) >> (j % 32) & 1
+    z = np.array([2.0 * (1 - 2 * bit(131_071, j)) - 1.5 * (1 - 2 * bit(5, j)) for j in range(40)])
+    assert np.allclose(got[1].state[:40], z / np.linalg.norm(z), atol=1e-12) and got[1].known
+    assert got[1].state[40:] == [0, 1, 0, 0, 0.0, -1.5, 0.0, 4.0, 1 / 3, 1 / 3, -1.5, -1.5, 0.0]
+    assert got[2].state[:40] == [0.0] * 40 and not got[2].known and got[2].state[40:44] == [0, 0, 1, 0]
+    assert got[2].state[44:47] == [-1.0, -2.0, 0.0]  # all of the group is active, and below zero
+    assert got[3].state == [0.0] * 43 + [1.0] + [0.0] * 9 and not got[3].known
+
+
+def test_fidelity_merges(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(2, 1, (30, 4))
+    y, f = x + rng.normal(0, 0.3, (30, 4)), np.where(rng.random((30, 9)) < 0.2, 1.0, 0.0)
+    rows = [("k", a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(x, y, f)] + [("k", None, [1.0] * 4, [0.0])]
+    df = spark.createDataFrame(rows, "k string, x array<double>, y array<double>, f array<double>").repartition(3)
+    parts = [fx.fidelity_state(df.where(c), ["k"], "x", "y", "f") for c in ("x[0] < 2", "x[0] >= 2", "x IS NULL")]
+    out = fx.fidelity_metrics(fx.merge_fidelity(*parts, keys=["k"]), ["k"]).collect()
+    whole = fx.fidelity_metrics(fx.fidelity_state(df, ["k"], "x", "y", "f"), ["k"]).first()
+    sse = ((x - y) ** 2).sum()
+    tokens, dims = ((x - x.mean(1, keepdims=True)) ** 2).sum(), ((x - x.mean(0)) ** 2).sum()
+    want = [30, 120, sse / 120, np.sqrt(sse / (x * x).sum()), sse / tokens, 1 - sse / tokens, sse / dims, 1 - sse / dims, f.sum() / 30]
+    assert len(out) == 1 and np.allclose(out[0][1:], want) and np.allclose(whole[1:], want)
