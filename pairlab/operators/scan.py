@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FINDINGS = "array<struct<category:string,rule_id:string>>"
 
@@ -22,25 +27,141 @@ def scan_rules(text: Column | str, rules: list[tuple[str, str, str]]) -> Column:
     return F.array_compact(F.array(*first)).cast(FINDINGS)
 
 
-def scan_rule_table(df: DataFrame, ident: str, text: str, rules: DataFrame, most: int = 10_000) -> DataFrame:
+def required_literal(pattern: str) -> str:
+    """The longest text that a regular expression can't match without, as far as it is plain to see; empty if there is none.
+
+    Only characters outside of groups, classes and repetitions that may be none count; a pattern with alternatives or
+    flags has no required literal.
+    """
+    best = now = ""
+    depth, i, n = 0, 0, len(pattern)
+
+    def end() -> None:
+        nonlocal best, now
+        best, now = max(best, now, key=len), ""
+
+    while i < n:
+        c = pattern[i]
+        if pattern.startswith("(?", i) and not pattern.startswith(("(?:", "(?=", "(?!", "(?<"), i) or (c == "|" and not depth):
+            return ""
+        if c == "\\":
+            two = pattern[i + 1 : i + 2]
+            if two.isalnum() and two:
+                if two in "QEpPxuckN0123456789":  # quoted, named and numbered characters aren't read
+                    return ""
+                end()
+            elif not depth:
+                now += two
+            i += 2
+            continue
+        if c == "[":
+            end()
+            i += 2 if pattern.startswith(("[^", "[]"), i) else 1
+            i += pattern.startswith("]", i)
+            inner = 1
+            while i < n and inner:
+                inner += (pattern[i] == "[") - (pattern[i] == "]")
+                i += 2 if pattern[i] == "\\" else 1
+            continue
+        if c in "(":
+            end()
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c in "?*{":
+            now = now[:-1]  # the character before may be missing
+            end()
+            i = pattern.find("}", i) if c == "{" else i
+            if i < 0:
+                return ""
+        elif c in "+.^$":
+            end()
+        elif not depth:
+            now += c
+        i += 1
+    end()
+    return best
+
+
+#: Rules from which on texts are looked through for literals first.
+MANY_RULES = 64
+
+
+def candidate_rules(df: DataFrame, text: str, literals: list[str]) -> DataFrame:
+    """Add __rules, the places (from 0) of those literals that a text contains, found in one pass over it."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__rules", T.ArrayType(T.IntegerType()))])
+    at = df.columns.index(text)
+    by: dict[str, list[int]] = {}
+    for i, literal in enumerate(literals):
+        by.setdefault(literal, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ahocorasick.Automaton()
+        for literal, places in by.items():
+            index.add_word(literal, places)
+        index.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, places in index.iter(t) for i in places}) if t else [] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def scan_rule_table(df: DataFrame, ident: str, text: str, rules: DataFrame, most: int = 100_000) -> DataFrame:
     """As scan_rules, for a table of rules (category, rule_order, rule_id, pattern): one row per record and category.
 
-    Rules are a parameter that a person writes; their table is read (more than `most` raise) and made into constants, so
-    that every pattern is compiled once and no join tries each record with each rule.
+    Rules are a parameter that people write; their table is read (more than `most` raise). A few are made constants of one
+    expression. Of many, only those meet a text whose required literal it contains: an automaton of all literals finds
+    them in one pass, so their cost follows the text and its hits, not the number of rules. Rules without a literal of
+    three characters stay in the expression.
     """
     rows = rules.orderBy("rule_order").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rules")
-    found = scan_rules(text, [(r["category"], r["rule_id"], r["pattern"]) for r in rows])
-    return df.select(ident, F.explode(found).alias("f")).select(ident, "f.category", "f.rule_id")
-
-
-def map_rules(findings: DataFrame, mapping: DataFrame) -> DataFrame:
+    triples = [(r["category"], r["rule_id"], r["pattern"]) for r in rows]
+    literals = [required_literal(p) for _, _, p in triples]
+    if len(rows) < MANY_RULES or max(map(len, literals)) < 3:
+        found = scan_rules(text, triples)
+        return df.select(ident, F.explode(found).alias("f")).select(ident, "f.category", "f.rule_id")
+    indexed = [i for i, x in enumerate(literals) if len(x) >= 3]
+    table = df.sparkSession.createDataFrame([(n, i, *triples[i]) for n, i in enumerate(indexed)], "n int, place int, category string, rule_id string, pattern string")
+    texts = df.select(F.col(ident).alias("__id"), F.col(text).alias("__text"))
+    hits = candidate_rules(texts, "__text", [literals[i] for i in indexed]).select("__id", "__text", F.explode("__rules").alias("n"))
+    # At most `most` rules of some hundred bytes.
+    one = hits.join(F.broadcast(table), "n").where(F.expr("__text RLIKE pattern")).select("__id", "category", "place", "rule_id")
+    rest = [i for i, x in enumerate(literals) if len(x) < 3]
+    if rest:
+        each = F.array_compact(F.array(*(F.when(F.col("__text").rlike(triples[i][2]), F.struct(F.lit(triples[i][0]).alias("category"), F.lit(i).alias("place"), F.lit(triples[i][1]).alias("rule_id"))) for i in rest)))
+        one = one.unionByName(texts.select("__id", F.explode(each).alias("f")).select("__id", "f.category", "f.place", "f.rule_id"))
+    first = one.groupBy("__id", "category").agg(F.min_by("rule_id", "place").alias("rule_id"))
+    return first.withColumnRenamed("__id", ident)
+
+
+def part_grams(text: Column, lengths: list[int]) -> Column:
+    """All different parts of a text that have one of a few lengths."""
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*map(of_length, lengths)))))
+
+
+def map_rules(findings: DataFrame, mapping: DataFrame, gram: int = 3) -> DataFrame:
     """Add the category of external rule ids: the one mapped exactly, else that of the first (by order) whose rule_id is
-    part of it; null if there is none. mapping has rule_id, category, order."""
-    rules = mapping.select(F.col("rule_id").alias("__r"), F.col("category").alias("__c"), F.col("order").alias("__o"))
-    known = findings.select("rule_id").distinct()
-    hit = known.join(rules, F.contains("rule_id", "__r"))  # distinct rule ids by mapped rules: both few
+    part of it; null if there is none. mapping has rule_id, category, order.
+
+    A mapped id can only be part of ids that have its first `gram` characters (or all, of a shorter one) somewhere, so
+    distinct ids meet mapped ones by these alone."""
+    rules = mapping.select(
+        F.col("rule_id").alias("__r"),
+        F.col("category").alias("__c"),
+        F.col("order").alias("__o"),
+        F.substring("rule_id", 1, gram).alias("__g"),
+    )
+    known = findings.select("rule_id").distinct().where("rule_id IS NOT NULL")
+    parts = known.withColumn("__g", F.explode(F.concat(F.array(F.lit("")), part_grams(F.col("rule_id"), list(range(1, gram + 1))))))
+    hit = parts.join(rules, "__g").where(F.contains("rule_id", "__r"))
     best = hit.groupBy("rule_id").agg(
         F.min_by("__c", F.struct((F.col("rule_id") != F.col("__r")).alias("part"), "__o")).alias("category"),
     )

@@ -9,6 +9,8 @@ before one of these, so its own values are enough. Two arms are two labels.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,77 @@ def separability(
     return out.select(*keys, label, "feature_id", *(values[m].alias(m) for m in measures))
 
 
+EULER = 0.5772156649015329
+#: The digamma function of 1 to 16.
+SMALL_DIGAMMA = [-EULER, *(x - EULER for x in accumulate(1 / i for i in range(1, 16)))]
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of a whole number from 1 on."""
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    return F.when(n > 16, series).otherwise(F.get(F.array(*map(F.lit, SMALL_DIGAMMA)), n.cast("int") - 1))
+
+
+def neighbour_information(entries: DataFrame, sizes: DataFrame, keys: list[str], label: str = "label", k: int = 3) -> DataFrame:
+    """(keys, label, feature_id, mi): mutual information, in nats and never below 0, of a feature's value and whether a
+    sample has the label, by nearest neighbours in one dimension.
+
+    For each sample the distance to its k-th nearest of the same side (of fewer, the farthest), and the samples of both
+    sides that are nearer than that, itself included; where the distance is 0, those of equal value, so zeros are ties.
+    Samples that are alone on their side don't count. Work is on distinct values with their counts: a value's neighbours
+    are among k values on each side of it, and how many samples lie within a distance is the difference of two running
+    totals, at positions that are sorted in among the values.
+    """
+    by, n = [*keys, "feature_id"], F.col("n")
+    counts = value_counts(entries, sizes, keys, label)
+    own = F.map_from_entries(F.collect_list(F.struct(label, "n")))  # labels are few
+    values = counts.groupBy(*by, "value").agg(own.alias("__own"), F.sum("n").alias("__all"))
+    labels = sizes.where("n > 0").groupBy(*keys).agg(F.collect_list(label).alias("__labels"))
+    both = (values.join(labels, keys) if keys else values.crossJoin(F.broadcast(labels))).withColumn(label, F.explode("__labels"))
+    mine = F.coalesce(F.col("__own")[F.col(label)], F.lit(0))
+    sides = F.array(F.struct(F.lit(True).alias("side"), mine.alias("n")), F.struct(F.lit(False).alias("side"), (F.col("__all") - mine).alias("n")))
+    by = [*by, label]
+    rows = both.select(*by, "value", "__all", F.explode(sides).alias("s")).select(*by, "value", "__all", "s.side", "s.n").where("n > 0")
+    w = Window.partitionBy(*by, "side")
+    at = w.orderBy("value")
+    pair = F.struct("value", "n")
+    near = F.array_compact(F.array(*(f(pair, i).over(at) for i in range(1, k + 1) for f in (F.lag, F.lead))))
+    ranked = rows.withColumn("__side", F.sum("n").over(w)).withColumn("__k", F.least(F.lit(k), F.col("__side") - 1)).withColumn("__near", near).where("__side > 1")
+    # The distance within which the k-th neighbour lies; equal values come first.
+    steps = F.array_sort(F.transform("__near", lambda x: F.struct(F.abs(x.value - F.col("value")).alias("d"), x.n.alias("n"))))
+    start = F.struct((n - 1).alias("seen"), F.when(n - 1 >= F.col("__k"), F.lit(0.0)).alias("d"))
+    found = F.aggregate(
+        steps,
+        start,
+        lambda a, x: F.struct((a.seen + x.n).alias("seen"), F.coalesce(a.d, F.when(a.seen + x.n >= F.col("__k"), x.d)).alias("d")),
+        lambda a: a.d,
+    )
+    v, r = F.col("value"), F.col("__r")
+    # The ends are values where a neighbour lies there, so that rounding moves none across.
+    border = F.transform(F.filter("__near", lambda x: F.abs(x.value - v) == r), lambda x: x.value)
+    low = F.coalesce(F.array_min(F.filter(border, lambda x: x < v)), v - r)
+    high = F.coalesce(F.array_max(F.filter(border, lambda x: x > v)), v + r)
+    spans = ranked.withColumn("__r", found).withColumns({"__low": low, "__high": high})
+    # Totals up to the lower end (included) and below the upper one, found by sorting ends in among the values.
+    query = F.array(
+        F.struct(F.col("__low").alias("p"), F.lit(1).alias("o"), F.lit(0).cast("long").alias("w"), F.lit(-1).alias("sign")),
+        F.struct(F.col("__high").alias("p"), F.lit(-1).alias("o"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("sign")),
+    )
+    ends = spans.where("__r > 0").select(*by, "side", "value", F.explode(query).alias("q")).select(*by, "side", "value", "q.*")
+    points = rows.select(*by, "side", "value", v.alias("p"), F.lit(0).alias("o"), n.cast("long").alias("w"), F.lit(0).alias("sign"))
+    order = Window.partitionBy(*by).orderBy(F.struct("p", "o")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = points.unionByName(ends).withColumn("__t", F.sum("w").over(order)).where("sign != 0").groupBy(*by, "side", "value").agg(
+        F.sum(F.col("__t") * F.col("sign")).alias("__m"),
+    )
+    counted = spans.join(within, [*by, "side", "value"], "left").withColumn("__m", F.coalesce("__m", "__all"))
+    mean = lambda c: F.sum(n * digamma(c)) / F.sum("n")
+    out = counted.groupBy(*by).agg(
+        (digamma(F.sum("n")) + mean(F.col("__k")) - mean(F.col("__side")) - mean(F.col("__m"))).alias("mi"),
+    )
+    return out.select(*keys, label, "feature_id", F.greatest(F.lit(0.0), "mi").alias("mi"))
+
+
 def feature_freq(entries: DataFrame, sizes: DataFrame, keys: list[str], label: str = "label", threshold: float = 0.0) -> DataFrame:
     """Share of samples above threshold and mean of those entries, for the label (unsafe) and for the rest (safe), and the
     mean over all samples."""

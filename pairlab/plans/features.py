@@ -209,6 +209,18 @@ def x10(spark, sf):
     return rounded(fx.mutual_info(long(spark, sf), sizes(spark, sf), KEYS), "mi")
 
 
+@query("x10_neighbour_info", LONG + """, p AS (SELECT category, feature_id, list(v) AS every, list(v) FILTER (u) AS mine, list(v) FILTER (NOT u) AS others FROM d GROUP BY ALL),
+q AS (SELECT category, feature_id, every, t.s AS s, least(3, len(t.s) - 1) AS k, unnest(t.s) AS v FROM p, (SELECT unnest([mine, others]) AS s) t WHERE len(t.s) > 1),
+r AS (SELECT *, list_sort(list_transform(s, lambda x: abs(x - v)))[k + 1] AS dist FROM q),
+m AS (SELECT category, feature_id, k, len(s) AS side, CASE WHEN dist > 0 THEN len(list_filter(every, lambda x: abs(x - v) < dist)) ELSE len(list_filter(every, lambda x: x = v)) END AS m FROM r),
+h AS (SELECT range + 1 AS i, coalesce(sum(1 / range) FILTER (range > 0) OVER (ORDER BY range), 0) - 0.5772156649015329 AS psi FROM range((SELECT count(*) + 1 FROM embeddings)))
+SELECT category, feature_id, round(greatest(0, max(hn.psi) + avg(hk.psi) - avg(hs.psi) - avg(hm.psi)), 8) + 0 AS mi FROM (SELECT *, count(*) OVER (PARTITION BY category, feature_id) AS n FROM m) JOIN h hn ON hn.i = n JOIN h hk ON hk.i = k JOIN h hs ON hs.i = side JOIN h hm ON hm.i = m GROUP BY ALL""")
+def x10_neighbours(spark, sf):
+    """By nearest neighbours, as against x10_mutual_info's bins."""
+    found = sp.neighbour_information(entries(spark, sf), label_sizes(spark, sf), [], "category")
+    return found.withColumn("mi", F.round("mi", 8) + F.lit(0.0))
+
+
 SEM = AUC + """, n AS (SELECT feature_id, CAST(feature_id % 3 AS VARCHAR) AS validated, arg_max(CAST(category AS VARCHAR), (auc, CAST(category AS VARCHAR))) AS primary_category, max(auc) AS primary_auc FROM (SELECT category, feature_id, round(auc, 8) AS auc FROM au) GROUP BY ALL),
 sem AS (SELECT n.*, primary_category = validated AS category_match, CASE WHEN primary_auc >= 0.55 THEN primary_category ELSE validated END AS assigned_category, (feature_id * 37 % 100) / 100 AS repair_rate, (feature_id * 13 % 40) / 100 AS corrupt_rate,
   coalesce((SELECT string_agg(CAST(category AS VARCHAR), ',' ORDER BY category) FROM au WHERE au.feature_id = n.feature_id AND round(auc, 8) >= 0.55 AND CAST(category AS VARCHAR) <> primary_category), '') AS cross_categories FROM n) """

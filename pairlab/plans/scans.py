@@ -61,6 +61,18 @@ def d1_table(spark, sf):
     return scan.scan_rule_table(table(spark, sf, "documents"), "doc_id", "text", rules)
 
 
+#: As many rules as need an index of their literals.
+MANY = [(f"c{i % 10}", f"mail-{i}-{k}", rf"@mail{i}\.example\.{k}") for i in range(40) for k in ("com", "org", "net", "info", "edu")]
+
+
+@query("d1_many_rules", f"""WITH r AS (SELECT 'c' || i % 10 AS category, 'mail-' || i || '-' || k AS rule_id, '@mail' || i || '\\.example\\.' || k AS pattern, i * 5 + p AS o FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(['com', 'org', 'net', 'info', 'edu']) AS k, unnest(range(5)) AS p)),
+d AS (SELECT doc_id, text FROM documents WHERE contains(text, '@mail'))
+SELECT doc_id, category, arg_min(rule_id, o) AS rule_id FROM d, r WHERE regexp_matches(text, pattern) GROUP BY ALL""")
+def d1_many(spark, sf):
+    rules = spark.createDataFrame([(c, i, r, p) for i, (c, r, p) in enumerate(MANY)], "category string, rule_order int, rule_id string, pattern string")
+    return scan.scan_rule_table(table(spark, sf, "documents"), "doc_id", "text", rules)
+
+
 @query("d2_map_rules", """
 WITH m AS (SELECT * FROM (VALUES ('BRASS', 'metal', 2), ('STEEL', 'metal', 1), ('ECONOMY', 'cheap', 3), ('PROMO', 'cheap', 0)) v(r, c, o)),
 t AS (SELECT DISTINCT p_type FROM part), b AS (SELECT p_type, arg_min(c, (CASE WHEN p_type = r THEN 0 ELSE 100 END) + o) AS category FROM t JOIN m ON contains(p_type, r) GROUP BY 1)

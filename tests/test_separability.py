@@ -62,3 +62,42 @@ def test_the_table_is_read_twice_at_most(spark):
     final = ran.toString().split("== Initial Plan ==")[0]
     assert 1 <= final.count("Scan parquet") <= 2
     assert "CartesianProduct" not in final and final.count("NestedLoop") <= 1  # that with one row of label sizes
+
+
+def psi(n):
+    return -0.5772156649015329 + sum(1 / i for i in range(1, n))
+
+
+def by_neighbours(x, own, k=3):
+    """Point by point: the k-th nearest of the same side, and all that are nearer."""
+    used, terms = [i for i in range(len(x)) if (own == own[i]).sum() > 1], []
+    for i in used:
+        same = (own == own[i]).sum()
+        kk = min(k, same - 1)
+        d = np.sort(np.abs(x[own == own[i]] - x[i]))[kk]
+        m = (np.abs(x - x[i]) < d).sum() if d > 0 else (x == x[i]).sum()
+        terms.append((psi(kk), psi(same), psi(m)))
+    a, b, c = np.mean(terms, axis=0)
+    return max(0.0, psi(len(used)) + a - b - c)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_information_by_neighbours(spark, seed):
+    rng = random.Random(seed)
+    labels = np.array(["a"] * 25 + ["b"] * 14 + ["c"] * 2 + ["d"])
+    rows, want = [], {}
+    for f in range(5):
+        kind = [lambda: rng.choice([0.0, 0.0, rng.random()]), lambda: float(rng.randrange(-2, 3)), rng.random, lambda: rng.choice([0.0, 1.0]), lambda: rng.gauss(0, 1)][f]
+        x = np.array([kind() + (2.0 if f == 4 and name == "b" else 0.0) for name in labels])
+        rows += [(name, f, float(v)) for name, v in zip(labels, x) if v]
+        want |= {(name, f): by_neighbours(x, labels == name) for name in "abcd"}
+    entries = spark.createDataFrame(rows, "label string, feature_id long, value double")
+    sizes = spark.createDataFrame([(n, int((labels == n).sum())) for n in "abcd"], "label string, n long")
+    got = {(r.label, r.feature_id): r.mi for r in sp.neighbour_information(entries, sizes, []).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert got["b", 4] > 0.2
+
+
+def test_digamma(spark):
+    got = spark.range(1, 60).select("id", sp.digamma(sp.F.col("id")).alias("d")).collect()
+    assert all(abs(r.d - psi(r.id)) < 1e-12 for r in got)
