@@ -1,8 +1,10 @@
 r"""Chat formatting from event logs, in built-in functions only.
 
-``fold_events`` rebuilds messages from a log: its rows are dealt by conversation (a long one by its turns, each of which
-is folded by itself) and ordered by sequence; a
-``message`` begins one, a ``delta`` adds to the last one begun, an ``edit`` or ``regenerate`` replaces its text so far.
+``fold_events`` rebuilds messages from a log: its rows are dealt by conversation and ordered by sequence; a ``message``
+begins one, a ``delta`` adds to one, an ``edit`` or ``regenerate`` replaces its text so far. These three change the last
+message begun before them, or the one whose sequence number ``target`` names, however late they come. Turns are what the
+fold finds; a log needs no turn numbers. A long conversation is folded in chunks of its sequence, each of which is
+numbered by itself and hands its open message on to the next.
 ``render`` turns messages into one text per conversation, with the spans that count for the loss; ``read_back`` takes
 such a text apart again.
 
@@ -13,8 +15,9 @@ inside and reading back restores every character.
 Turns are gathered in chunks of neighbouring turn numbers first and chunks in conversations then, so no task sorts more
 than a chunk's turns at once; a conversation's text itself is one value in the end. Defined cases: a null text or role
 is an empty one; rows of one conversation and turn number are ordered by role and text; repeated rows are turns of their
-own; rows with a null conversation form one of their own; a delta, edit or regeneration before any message of its turn
-begins one; an empty table gives an empty result; extra columns are ignored.
+own; rows with a null conversation form one of their own; events of one sequence number are ordered by role, kind and
+text, those without one come first; a null kind is a message; a delta, edit or regeneration before any message of its
+conversation begins one, and one whose target is no message changes the open one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,40 +26,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turn numbers that are gathered at a time.
+#: Turn numbers that are gathered at a time, and the least number of events of a chunk.
 CHUNK = 256
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, message_no, role, text) from events (conv_id, seq, turn, role, kind, text)."""
+    """(conv_id, turn, message_no, role, text) from events (conv_id, seq, role, kind, text and, maybe, target); turns are
+    numbered from 0."""
     filled = events.select(
         "conv_id",
-        "turn",
-        F.col("seq"),
+        "seq",
+        (F.col("target") if "target" in events.columns else F.lit(None).cast(events.schema["seq"].dataType)).alias("target"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id", "turn").orderBy("seq", "role", "kind", "text")
-    numbered = filled.withColumn("at", F.row_number().over(order)).withColumn(
-        "message_no",
-        F.sum(((F.col("kind") == "message") | (F.col("at") == 1)).cast("int")).over(
-            order.rowsBetween(Window.unboundedPreceding, 0),
-        ),
-    )
-    message = numbered.groupBy("conv_id", "turn", "message_no").agg(
-        F.min_by("role", "at").alias("role"), F.max(F.when(F.col("kind") != "delta", F.col("at"))).alias("reset"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts")
-    )
-    text = F.array_join(
-        F.transform(F.filter("parts", lambda p: p.at >= F.coalesce(F.col("reset"), F.lit(0))), lambda p: p.text),
-        "",
+    # Chunks are even parts of a conversation's span, as many as a root of its events, but not of fewer than CHUNK.
+    s = F.col("seq").cast("double")
+    spans = filled.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("n"), F.min(s).alias("lo"), F.max(s).alias("hi"))
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n")))
+    place = F.least(F.floor((s - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), parts - 1)
+    chunk = F.when((F.col("hi") > F.col("lo")) & F.col("seq").isNotNull(), place).otherwise(0).cast("long")
+    dealt = filled.join(spans, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("chunk", chunk).drop("c", "n", "lo", "hi")
+    order = Window.partitionBy("conv_id", "chunk").orderBy("seq", "role", "kind", "text")
+    placed = dealt.withColumn("at", F.row_number().over(order)).withColumn(
+        "begins",
+        ((F.col("kind") == "message") | ((F.col("chunk") == 0) & (F.col("at") == 1))).cast("int"),
+    ).withColumn("own", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = placed.groupBy(F.col("conv_id").alias("c"), F.col("chunk").alias("k")).agg(F.sum("begins").alias("n"))
+    earlier = Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = begun.select("c", "k", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = placed.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).withColumn(
+        "open",
+        F.col("before") + F.col("own"),
+    ).drop("c", "k", "before", "own")
+    first = numbered.where("kind = 'message'").groupBy(F.col("conv_id").alias("c"), F.col("seq").alias("s")).agg(F.min("open").alias("named"))
+    aimed = numbered.join(
+        first,
+        F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("target") == F.col("s")) & (F.col("kind") != "message"),
+        "left",
+    ).withColumns({"message_no": F.coalesce("named", "open"), "pos": F.struct("chunk", "at")})
+    message = aimed.groupBy("conv_id", "message_no").agg(
+        F.min_by("role", F.struct(F.col("begins") == 0, "pos")).alias("role"),
+        F.max(F.when(F.col("kind") != "delta", F.col("pos"))).alias("reset"),
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"),
     )
+    live = F.filter("parts", lambda p: F.col("reset").isNull() | (p.pos >= F.col("reset")))
     return message.select(
         "conv_id",
-        "turn",
-        F.col("message_no").cast("long").alias("message_no"),
+        (F.col("message_no") - 1).cast("long").alias("turn"),
+        F.lit(1).cast("long").alias("message_no"),
         "role",
-        text.alias("text"),
+        F.array_join(F.transform(live, lambda p: p.text), "").alias("text"),
     )
 
 

@@ -94,9 +94,9 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """A log from which folding gives the rows of turns (conv_id, turn, role, text) back: by the hash of a row, its text
-    comes as a message and deltas, as a draft that an edit replaces, or as an answer that is begun, regenerated and
-    streamed anew."""
+    """A log (conv_id, seq, target, role, kind, text) from which folding gives the rows of turns (conv_id, turn, role,
+    text) back: by the hash of a row, its text comes as a message and deltas, as a draft that an edit replaces, as an
+    answer that is begun, regenerated and streamed anew, or as a draft whose edit comes three turns later."""
     text, third = F.coalesce("text", F.lit("")), F.ceil(F.length("text") / 3).cast("int")
     a, b, c = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(
         text,
@@ -107,18 +107,24 @@ def turn_events(turns: DataFrame) -> DataFrame:
     streamed = log(("message", a), ("delta", b), ("delta", c))
     edited = log(("message", F.reverse(text)), ("delta", F.lit("<|draft|>")), ("edit", text))
     anew = log(("message", b), ("delta", c), ("regenerate", F.lit("")), ("delta", a), ("delta", b), ("delta", c))
-    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
-    # Rows of one turn number follow one another, by role and text, each with its own events.
+    late = log(("message", F.reverse(text)), ("late", text))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    # Rows of one turn number follow one another, by role and text, each with its own events; no turn number comes first.
     row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text))
     logs = turns.withColumns(
-        {"row": row, "events": F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)},
+        {"row": row, "events": F.when(way == 0, streamed).when(way == 1, edited).when(way == 2, anew).otherwise(late)},
     )
-    return logs.select("conv_id", "turn", "role", "row", F.posexplode("events").alias("at", "e")).select(
+    wide = lambda x: x.cast("decimal(20,0)")
+    turn = F.coalesce(wide(F.col("turn")), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    place = lambda t, at: (t * F.lit(1 << 40).cast("decimal(14,0)") + wide(F.col("row") * 8 + at)).cast("decimal(38,0)")
+    each = logs.select("conv_id", turn.alias("t"), "role", "row", F.posexplode("events").alias("at", "e"))
+    is_late = F.col("e.kind") == "late"
+    return each.select(
         "conv_id",
-        "turn",
+        F.when(is_late, place(F.col("t") + 3, F.lit(7))).otherwise(place(F.col("t"), F.col("at"))).alias("seq"),
+        F.when(is_late, place(F.col("t"), F.lit(0))).alias("target"),
         "role",
-        (F.col("row") * 8 + F.col("at")).alias("seq"),
-        "e.kind",
+        F.when(is_late, "edit").otherwise(F.col("e.kind")).alias("kind"),
         "e.text",
     )
 
