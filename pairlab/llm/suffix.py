@@ -19,8 +19,9 @@ Documents stay rows throughout; settled spans go back to their document by id an
 are 64-bit hashes, and a window is compared by two or more of them.
 
 Defined cases: a null text is an empty one; a row with a null id is left as it is and is no source; rows that repeat an
-id are one document for comparisons, each row losing its own bytes (all its spans are found, as rows are told apart by
-the hash of their text); texts shorter than ``width`` bytes are left as they are; extra columns are ignored. Bytes are removed
+id are one document for comparisons, each row losing its own bytes (an id may have 65,536 different texts; with more the
+operator raises ValueError); texts shorter than ``width`` bytes are left as they are; extra columns are carried only by
+name in ``keep``, whatever their names, and the operator's own columns win. Bytes are removed
 wherever a window ends, so a remaining text may break a character; ``kept_text`` replaces such bytes by U+FFFD, while
 ``kept_bytes`` has them as they are.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import cut
@@ -338,7 +339,7 @@ def _sort_contested(width: int):
     return run
 
 
-def _removed(width: int):
+def _removed(width: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
@@ -370,11 +371,32 @@ def _removed(width: int):
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans"]
-            yield pa.RecordBatch.from_arrays(arrays + list(batch.columns[4:]), names=names + batch.schema.names[4:])
+            yield pa.RecordBatch.from_arrays(arrays + list(batch.columns[4:]), names=names + keep)
 
     return run
 
 
+def with_marks(docs: DataFrame) -> DataFrame:
+    """Add __mark, which tells apart the different texts that rows of one doc_id have: their place by hash, 0 where an id
+    has one text. An id may have 2**16 texts.
+
+    Most tables repeat no id, and then their texts are not read for this."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    plain = F.lit(0).cast("long").alias("__mark")
+    if repeated.isEmpty():
+        return docs.select("*", plain)
+    names = docs.columns
+    key = [F.xxhash64("__text").alias("__h"), F.crc32(F.coalesce("__text", F.lit(b""))).alias("__c")]
+    texts = docs.join(repeated, "doc_id", "left_semi").select("doc_id", *key).distinct()
+    places = F.row_number().over(Window.partitionBy("doc_id").orderBy("__h", "__c")) - 1
+    several = texts.withColumn("__place", places.cast("long")).where("__place > 0")
+    most = several.agg(F.max("__place")).first()[0]
+    if most is not None and most >= 1 << 16:
+        raise ValueError("an id has more than 65536 different texts")
+    same = ["doc_id", "__h", "__c"]
+    return docs.select("*", *key).join(several, same, "left").select(*names, F.coalesce("__place", F.lit(0)).alias("__mark"))
+
+
 def remove_repeats(
     df: DataFrame,
     width: int = 50,
@@ -389,19 +411,22 @@ def remove_repeats(
     if width < 3 * GRAM or width - GRAM > 255:
         raise ValueError(f"width must be from {3 * GRAM} to {GRAM + 255}")
     taken = {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans", id_col, text_col}
-    keep = tuple(c for c in keep if c not in taken)
-    docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("binary").alias("__text"),
-        *(F.col(c).alias(f"__{c}") for c in keep),
+    keep = tuple(dict.fromkeys(c for c in keep if c not in taken))
+    carried = [f"__keep{i}" for i in range(len(keep))]  # numbered, so that no name clashes
+    docs = with_marks(
+        df.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            F.col(text_col).cast("binary").alias("__text"),
+            *(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)),
+        ),
     )
-    mark = F.pmod(F.xxhash64("__text"), F.lit(65536)).alias("__mark")
+    mark = F.col("__mark")
     named = docs.where("doc_id IS NOT NULL")
     settled = cut(
         named.select("doc_id", "__text", mark).mapInArrow(_all_runs(width), RUNS)
         .repartition("digit").sortWithinPartitions("digit", "content", "doc_id").mapInArrow(_settle, "digit long, doc_id long, place long"),
     )
-    mine = named.select("doc_id", "__text", *(f"__{c}" for c in keep)).repartition("doc_id")
+    mine = named.select("doc_id", "__text", "__mark", *carried).repartition("doc_id")
 
     def contested(runs: DataFrame) -> DataFrame:
         """The bytes of runs (digit, doc_id, place)."""
@@ -440,14 +465,15 @@ def remove_repeats(
         )
     whole = settled.where("digit IS NULL").select("doc_id", "place")
     spans = whole.unionByName(windows).groupBy("doc_id").agg(F.collect_list("place").alias("__items"))
-    result = docs.select("doc_id", F.col("__text"), *(f"__{c}" for c in keep)).where("doc_id IS NULL").withColumn(
+    result = docs.select("doc_id", "__text", "__mark", *carried).where("doc_id IS NULL").withColumn(
         "__items",
         F.lit(None).cast("array<long>"),
     )
     joined = mine.join(spans.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id",
         "__text",
-        *(f"__{c}" for c in keep),
+        "__mark",
+        *carried,
         "__items",
     ).unionByName(result)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, spans array<struct<start:long,end:long>>"
@@ -457,8 +483,8 @@ def remove_repeats(
         "__text",
         mark,
         "__items",
-        *(F.col(f"__{c}").alias(c) for c in keep),
-    ).mapInArrow(_removed(width), schema)
+        *carried,
+    ).mapInArrow(_removed(width, list(keep)), schema)
 
 
 def kept_text(df: DataFrame, out_col: str = "text") -> DataFrame:

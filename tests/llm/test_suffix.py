@@ -103,3 +103,30 @@ def test_cut_characters(spark):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns(spark, empty):
+    """Columns that are carried along may have any names, those of the operator's inside too."""
+    passage = "".join(map(str, range(40)))
+    names = ["text", "items", "__text", "__items", "__mark", "__keep0", "digit", "place", "content", "1"]
+    df = spark.createDataFrame([(1, passage, *names), (2, "x" + passage, *names), (None, passage, *names)], ["doc_id", "body", *names])
+    df = df.limit(0) if empty else df
+    out = suffix.remove_repeats(df, text_col="body", keep=(*names, "spans", "text"))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans", *names]
+    rows = out.collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in rows) == ([] if empty else [("1", 0), ("2", len(passage)), ("None", 0)])
+    assert all([r[n] for n in names] == names for r in rows)
+
+
+def test_many_texts_of_one_id(spark):
+    """Rows of one id lose their own bytes only, however alike their hashes are."""
+    rng = random.Random(9)
+    around = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = [around(70) for _ in range(5)]
+    rows = [(0, " ".join(shared))] + [(5, around(rng.randrange(40)) + rng.choice([*shared, "none"]) + around(20)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in suffix.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    marks = suffix.with_marks(df.withColumnRenamed("text", "__text")).where("doc_id = 5").select("__text", "__mark").distinct().collect()
+    assert len({r["__mark"] for r in marks}) == len(marks) and min(r["__mark"] for r in marks) == 0
