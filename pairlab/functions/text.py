@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import ast
 import difflib
+import hashlib
+import json
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Language aliases.
 LANGUAGES = {
@@ -248,6 +254,68 @@ def ordered_digest(df: DataFrame, keys: list[str], ident: str, order: str, per:
     )
 
 
+#: Ids that are written into one piece of a list's text.
+PIECE = 20_000
+
+
+def canonical_digest(df: DataFrame, keys: list[str], ident: str, order: str) -> DataFrame:
+    """(keys, n_ids, digest): the SHA-256 of each group's ids, in order (ties by id), as one JSON list without blanks.
+
+    A digest of this kind goes through its bytes one after another. Sorting and writing JSON are spread, by ranges of
+    group and order, and give pieces of PIECE ids; then one pass for each group takes its pieces in turn, of which it
+    holds one at a time. Null ids are null in the list.
+    """
+    by = [f"k{i}" for i in range(len(keys))]
+    fields = [T.StructField(b, df.schema[k].dataType) for b, k in zip(by, keys, strict=True)]
+    n = len(by)
+    chosen = df.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), F.col(order).alias("o"), F.col(ident).alias("i"))
+    ranged = chosen.repartitionByRange(*by, "o", "i").sortWithinPartitions(*by, "o", "i")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            group = list(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)) if n else [()] * batch.num_rows
+            ids = batch.column(n + 1).to_pylist()
+            at = 0
+            while at < len(ids):
+                end = at + 1
+                while end < len(ids) and end - at < PIECE and group[end] == group[at]:
+                    end += 1
+                text = json.dumps(ids[at:end], separators=(",", ":"), ensure_ascii=False)[1:-1]
+                row = [*group[at], (part << 40) + number, end - at, text]
+                yield pa.RecordBatch.from_pylist([dict(zip(piece_schema.names, row, strict=True))], schema=piece_arrow)
+                at, number = end, number + 1
+
+    piece_schema = T.StructType([*fields, T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), T.StructField("text", T.StringType())])
+    piece_arrow = to_arrow_schema(piece_schema)
+    out_schema = T.StructType([*fields, T.StructField("n_ids", T.LongType()), T.StructField("digest", T.StringType())])
+    out_arrow = to_arrow_schema(out_schema)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, count = None, None, 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if state is not None:
+                state.update(b"]")
+                row = [*now, count, state.hexdigest()]
+                yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, row, strict=True))], schema=out_arrow)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                group = tuple(row[b] for b in by)
+                if state is None or group != now:
+                    yield from ended()
+                    now, state, count = group, hashlib.sha256(b"["), 0
+                state.update((b"," if count else b"") + row["text"].encode())
+                count += row["n"]
+        yield from ended()
+
+    written = ranged.mapInArrow(pieces, piece_schema)
+    dealt = written.repartition(*by) if by else written.repartition(1)  # pieces only
+    found = dealt.sortWithinPartitions(*by, "place").mapInArrow(digests, out_schema)
+    return found.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), "n_ids", "digest")
+
+
 def augment_by_substitution(
     df: DataFrame,
     subs: DataFrame,

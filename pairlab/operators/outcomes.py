@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.text import column, emptiness
+from pairlab.operators.stats import mcnemar_exact, wilson
 
 
 def pair_conditions(
@@ -140,8 +141,18 @@ def seed_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 
 def scope_summary(paired: DataFrame) -> DataFrame:
-    """Repairs and corruptions overall, by category and by category and language, for each seed and for all."""
-    view = flags(paired).select("seed", "category", "language", "b0_vulnerable", "b0_safe", "repaired", "corrupted")
+    """Outcomes overall, by category and by category and language, for each seed and for all: repairs among vulnerable
+    baselines, corruptions among safe ones, and regressions (corruptions of valid outputs), each with its rate and Wilson
+    bounds; outputs of vulnerable baselines that are invalid; the exact McNemar p of repairs against regressions; changed
+    cases; and whether there was anything to repair."""
+    marked = flags(paired).withColumns(
+        {
+            "regressed": F.expr("corrupted AND valid"),
+            "unsafe_invalid": F.expr("b0_vulnerable AND NOT valid"),
+            "changed": F.expr("b0_vulnerable <> is_vulnerable"),
+        },
+    )
+    counted = ["b0_vulnerable", "repaired", "unsafe_invalid", "b0_safe", "corrupted", "regressed", "changed"]
     sets = [
         ["seed"],
         ["seed", "category"],
@@ -151,23 +162,32 @@ def scope_summary(paired: DataFrame) -> DataFrame:
         ["category", "language"],
     ]
     cols = [F.col("seed"), F.col("category"), F.col("language")]
-    grouped = view.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
-        F.grouping_id().alias("g"), F.count_if("b0_vulnerable").alias("n_vulnerable"), F.count_if("repaired").alias("n_repaired"), F.count_if("b0_safe").alias("n_safe"), F.count_if("corrupted").alias("n_corrupted"))
+    names = {"b0_vulnerable": "n_vulnerable", "b0_safe": "n_safe"}
+    grouped = marked.select("seed", "category", "language", *counted).groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
+        F.grouping_id().alias("g"),
+        F.count("*").alias("n"),
+        *(F.count_if(c).alias(names.get(c, f"n_{c}")) for c in counted),
+    )
     scope = F.when(F.col("g").bitwiseAND(3) == 3, "overall").when(
         F.col("g").bitwiseAND(3) == 1,
         "category",
     ).otherwise("category_language")
+    rates = []
+    for name, k, n in (("repair", "n_repaired", "n_vulnerable"), ("corruption", "n_corrupted", "n_safe"), ("regression", "n_regressed", "n_safe")):
+        low, high = wilson(k, n)
+        rates += [F.try_divide(k, n).alias(f"{name}_rate"), low.alias(f"{name}_low"), high.alias(f"{name}_high")]
     return grouped.select(
         "seed",
         "category",
         "language",
         scope.alias("scope"),
         F.when(F.col("g") >= 4, "ALL").otherwise("seed").alias("pooling"),
-        "n_vulnerable",
-        "n_repaired",
-        "n_safe",
-        "n_corrupted",
-        F.try_divide("n_repaired", "n_vulnerable").alias("rate"),
+        "n",
+        *(names.get(c, f"n_{c}") for c in counted),
+        *rates,
+        F.try_divide("n_unsafe_invalid", "n_vulnerable").alias("unsafe_invalid_rate"),
+        mcnemar_exact("n_repaired", "n_regressed").alias("mcnemar_p"),
+        F.when(F.col("n_vulnerable") > 0, "EVALUATED").otherwise("NO_VULNERABLE_BASELINE").alias("status"),
     )
 
 
@@ -250,6 +270,34 @@ def qualified_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+def sweep_steps(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    reference: object,
+    rates: list[str],
+    corruption: float = 0.05,
+    validity: float = 0.95,
+) -> DataFrame:
+    """Each step of a sweep: its corruption and validity, whether either crosses its limit, and for the other rates (of
+    empty and blank outputs, say) how far they are from those of the reference step, up or down."""
+    base = df.where(F.col(order) == F.lit(reference)).select(
+        *(F.col(k).alias(f"__{k}") for k in keys),
+        *(F.col(r).alias(f"__{r}") for r in rates),
+    )
+    joined = df.join(base, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left") if keys else df.join(base, how="left")
+    return joined.select(
+        *keys,
+        order,
+        "corruption_rate",
+        "validity_rate",
+        F.coalesce(F.col("corruption_rate") > corruption, F.lit(False)).alias("corruption_crossed"),
+        F.coalesce(F.col("validity_rate") < validity, F.lit(False)).alias("validity_crossed"),
+        *rates,
+        *(F.abs(F.col(r) - F.col(f"__{r}")).alias(f"{r}_difference") for r in rates),
+    )
+
+
 def first_boundary(
     df: DataFrame,
     keys: list[str],

@@ -138,11 +138,25 @@ def a8(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in ("corr_vrr_mean", "corr_vrr_sd")})
 
 
-@query("a9_scope_summary", PAIRED + """SELECT method AS seed, category, language, CASE WHEN grouping(category) = 1 THEN 'overall' WHEN grouping(language) = 1 THEN 'category' ELSE 'category_language' END AS scope, CASE WHEN grouping(method) = 1 THEN 'ALL' ELSE 'seed' END AS pooling,
-count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (b0_safe) AS n_safe, count(*) FILTER (corrupted) AS n_corrupted, count(*) FILTER (repaired) / nullif(count(*) FILTER (b0_vulnerable), 0) AS rate
-FROM f GROUP BY GROUPING SETS ((method), (method, category), (method, category, language), (), (category), (category, language))""")
+def wilson_sql(name: str, k: str, n: str) -> str:
+    z = stats.Z
+    half = f"{z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {z * z} / {n} / {n} / 4) / (1 + {z * z} / {n})"
+    middle = f"({k} / {n} + {z * z} / {n} / 2) / (1 + {z * z} / {n})"
+    return f"{k} / nullif({n}, 0) AS {name}_rate, CASE WHEN {n} > 0 THEN round({middle} - {half}, 8) END AS {name}_low, CASE WHEN {n} > 0 THEN round({middle} + {half}, 8) END AS {name}_high"
+
+
+#: The chance of at most the lesser of two counts among their sum, twice, by logarithms of factorials.
+SCOPE_P = "CASE WHEN n_repaired + n_regressed = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(least(n_repaired, n_regressed) + 1), lambda i: exp(lgamma(n_repaired + n_regressed + 1) - lgamma(i + 1) - lgamma(n_repaired + n_regressed - i + 1) - (n_repaired + n_regressed) * ln(2))))) END"
+
+
+@query("a9_scope_summary", PAIRED + f""", g AS (SELECT method AS seed, category, language, CASE WHEN grouping(category) = 1 THEN 'overall' WHEN grouping(language) = 1 THEN 'category' ELSE 'category_language' END AS scope, CASE WHEN grouping(method) = 1 THEN 'ALL' ELSE 'seed' END AS pooling, count(*) AS n,
+count(*) FILTER (b0_vulnerable) AS n_vulnerable, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (b0_vulnerable AND NOT valid) AS n_unsafe_invalid, count(*) FILTER (b0_safe) AS n_safe, count(*) FILTER (corrupted) AS n_corrupted, count(*) FILTER (corrupted AND valid) AS n_regressed, count(*) FILTER (b0_vulnerable <> is_vulnerable) AS n_changed
+FROM f GROUP BY GROUPING SETS ((method), (method, category), (method, category, language), (), (category), (category, language)))
+SELECT *, {wilson_sql("repair", "n_repaired", "n_vulnerable")}, {wilson_sql("corruption", "n_corrupted", "n_safe")}, {wilson_sql("regression", "n_regressed", "n_safe")}, n_unsafe_invalid / nullif(n_vulnerable, 0) AS unsafe_invalid_rate,
+round({SCOPE_P}, 8) AS mcnemar_p, CASE WHEN n_vulnerable > 0 THEN 'EVALUATED' ELSE 'NO_VULNERABLE_BASELINE' END AS status FROM g""")
 def a9(spark, sf):
-    return oc.scope_summary(seeded(spark, sf))
+    bounds = [f"{r}_{b}" for r in ("repair", "corruption", "regression") for b in ("low", "high")]
+    return oc.scope_summary(seeded(spark, sf)).withColumns({c: F.round(c, 8) for c in (*bounds, "mcnemar_p")})
 
 
 CELLS = PAIRED + """, s AS (SELECT category, method, prompt_id, CASE WHEN b0_vulnerable THEN 'unsafe' ELSE 'safe' END AS arm, valid, skipped, is_vulnerable AS target_present, is_vulnerable OR skipped AS any_finding FROM paired),
@@ -265,6 +279,16 @@ def w4(spark, sf):
     )
 
 
+@query("w4_sweep_steps", PAIRED + f""", c AS (SELECT category, method, {A5}, avg(CAST(qty < 3 AS INT)) AS empty_rate, avg(CAST(qty < 6 AS INT)) AS blank_rate FROM f GROUP BY ALL), r AS (SELECT *, {A5_RATES} FROM c)
+SELECT x.category, x.method, x.corruption_rate, x.validity_rate, coalesce(x.corruption_rate > 0.21, false) AS corruption_crossed, coalesce(x.validity_rate < 0.97, false) AS validity_crossed, x.empty_rate, x.blank_rate, abs(x.empty_rate - z.empty_rate) AS empty_rate_difference, abs(x.blank_rate - z.blank_rate) AS blank_rate_difference
+FROM r x LEFT JOIN r z ON z.category = x.category AND z.method = 4""")
+def w4_steps(spark, sf):
+    df, keys = paired(spark, sf), ["category", "method"]
+    other = df.groupBy(*keys).agg(F.avg((F.col("qty") < 3).cast("int")).alias("empty_rate"), F.avg((F.col("qty") < 6).cast("int")).alias("blank_rate"))
+    steps = oc.paired_metrics(df, keys).join(other, keys)
+    return oc.sweep_steps(steps, ["category"], "method", 4, ["empty_rate", "blank_rate"], 0.21, 0.97)
+
+
 @query("w8_seed_consistency", PAIRED + """, e AS (SELECT prompt_id, method, bool_or(repaired) AS r FROM f WHERE b0_vulnerable GROUP BY ALL),
 p AS (SELECT prompt_id, """ + ", ".join(f"bool_or(r) FILTER (method = {m}) AS seed_{m}" for m in range(2, 8)) + """, CAST(count(*) FILTER (r) AS INTEGER) AS n_repaired, CAST(count(*) AS INTEGER) AS n_eligible FROM e GROUP BY 1)
 SELECT *, CASE WHEN n_repaired = n_eligible THEN 'ALWAYS' WHEN n_repaired = 0 THEN 'NEVER' ELSE 'MIXED' END AS status FROM p""")

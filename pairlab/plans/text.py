@@ -202,6 +202,14 @@ def f4(spark, sf):
     return tx.ordered_digest(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderkey", "o_custkey")
 
 
+@query(
+    "f4_canonical_digest",
+    "SELECT o_orderpriority, count(*) AS n_ids, sha256('[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_custkey, o_orderkey) || ']') AS digest FROM orders GROUP BY 1",
+)
+def f4_canonical(spark, sf):
+    return tx.canonical_digest(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderkey", "o_custkey")
+
+
 @query("f5_augment_by_substitution", """
 WITH s AS (SELECT * FROM (VALUES ('en', 'the ', 'a safe '), ('en', 'of ', 'from '), ('de', 'der ', 'die ')) v(l, i, c)),
 h AS (SELECT * FROM documents JOIN s ON lang = l),

@@ -1,6 +1,7 @@
 """Hand-made cases: golden values, edge cases and properties that the tables don't show."""
 
 import hashlib
+import json
 import math
 import random
 
@@ -373,3 +374,30 @@ def test_split_counts(spark):
     df = spark.createDataFrame([("dev", "a")] * 3 + [("dev", "b")] + [("test", "a")], "split string, c string")
     got = {(r.split, r.category): (r.n, r.share) for r in sampling.split_counts(df, "split", "c").collect()}
     assert got == {("dev", "a"): (3, 0.75), ("dev", "b"): (1, 0.25), ("dev", "ALL"): (4, 1.0), ("test", "a"): (1, 1.0), ("test", "ALL"): (1, 1.0)}
+
+
+def test_canonical_digest(spark, monkeypatch):
+    monkeypatch.setattr(tx, "PIECE", 7)
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(20), rng.choice([f'id "{i}"\n', f"é{i}"])) for i in range(300)] + [("z", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o int, id string").repartition(5)
+    got = {r.g: (r.n_ids, r.digest) for r in tx.canonical_digest(df, ["g"], "id", "o").collect()}
+    digest = lambda ids: hashlib.sha256(json.dumps(ids, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    for g in ("a", "b", None, "z"):
+        ids = [i for _, i in sorted((o, i) for x, o, i in rows if x == g)]
+        assert got[g] == (len(ids), digest(ids))
+    whole = tx.canonical_digest(spark.range(1000).withColumn("o", F.col("id") * 7 % 1000), [], "id", "o").collect()
+    assert [r.digest for r in whole] == [digest(sorted(range(1000), key=lambda i: i * 7 % 1000))]
+    assert tx.canonical_digest(df.limit(0), ["g"], "id", "o").collect() == []
+
+
+def test_scope_summary_golden(spark):
+    """5 repairs of 13 and 1 regression of 37: Wilson bounds as published, and the exact p."""
+    rows = [(True, i >= 5, i != 12) for i in range(13)] + [(False, i < 2, i != 0) for i in range(37)]
+    df = spark.createDataFrame([(42, "c", "l", b, False, v, False, ok) for b, v, ok in rows], "seed int, category string, language string, b0_vulnerable boolean, b0_skipped boolean, is_vulnerable boolean, skipped boolean, valid boolean")
+    out = outcomes.scope_summary(df).where("scope = 'overall' AND pooling = 'ALL'").first()
+    assert [round(x, 6) for x in (out.repair_low, out.repair_high)] == [0.177097, 0.644771]
+    assert (out.n_repaired, out.n_corrupted, out.n_regressed, out.n_unsafe_invalid, out.n_changed, out.status) == (5, 2, 1, 1, 7, "EVALUATED")
+    assert abs(out.mcnemar_p - 2 * 7 / 64) < 1e-12
+    none = outcomes.scope_summary(df.where("NOT b0_vulnerable")).where("scope = 'overall' AND pooling = 'ALL'").first()
+    assert none.status == "NO_VULNERABLE_BASELINE" and none.repair_rate is None and none.repair_low is None
