@@ -171,7 +171,7 @@ def scan_eligible(language: Column | str, text: Column | str, supported: list[st
 
 def eligible_population(df: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose keys are allowed, and the number of rows in each stratum that isn't."""
-    chosen = F.broadcast(allowed.select(*keys).distinct())
+    chosen = allowed.select(*keys).distinct()
     return df.join(
         chosen,
         keys,

@@ -60,7 +60,12 @@ def weighted_values(long: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
     zeros = long.groupBy(*by).agg(
         F.count_if(in_arm("unsafe")).alias("u"),
         F.count_if(in_arm("safe")).alias("s"),
-    ).join(F.broadcast(sizes), keys).select(*by, F.lit(0.0).cast(long.schema["value"].dataType).alias("value"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs")).where("cu + cs > 0")
+    ).join(sizes, keys).select(
+        *by,
+        F.lit(0.0).cast(long.schema["value"].dataType).alias("value"),
+        (F.col("n_unsafe") - F.col("u")).alias("cu"),
+        (F.col("n_safe") - F.col("s")).alias("cs"),
+    ).where("cu + cs > 0")
     return counts.unionByName(zeros)
 
 
@@ -130,8 +135,13 @@ def mutual_info(long: DataFrame, sizes: DataFrame, keys: list[str], bins: int =
     zeros = long.groupBy(*by).agg(
         F.count_if(in_arm("unsafe")).alias("u"),
         F.count_if(in_arm("safe")).alias("s"),
-    ).join(F.broadcast(sizes), keys).select(*by, F.lit(-1).cast("long").alias("bin"), (F.col("n_unsafe") - F.col("u")).alias("cu"), (F.col("n_safe") - F.col("s")).alias("cs"))
-    counts = active.unionByName(zeros).join(F.broadcast(sizes), keys)
+    ).join(sizes, keys).select(
+        *by,
+        F.lit(-1).cast("long").alias("bin"),
+        (F.col("n_unsafe") - F.col("u")).alias("cu"),
+        (F.col("n_safe") - F.col("s")).alias("cs"),
+    )
+    counts = active.unionByName(zeros).join(sizes, keys)
     n = F.col("n_unsafe") + F.col("n_safe")
     part = lambda c, m: F.when(F.col(c) > 0, F.col(c) / n * F.log(F.col(c) * n / ((F.col("cu") + F.col("cs")) * F.col(m)))).otherwise(0.0)
     return counts.groupBy(*by).agg(F.sum(part("cu", "n_unsafe") + part("cs", "n_safe")).alias("mi"))
@@ -158,9 +168,7 @@ def assign_semantics(
         lambda e: e.key,
     )
     named = out.withColumns({"cross_categories": others, "is_cross": F.size(others) > 0})
-    known = F.broadcast(
-        tags.select(F.col("category").alias("assigned_category"), F.col("tags").alias("assigned_tags")),
-    )
+    known = tags.select(F.col("category").alias("assigned_category"), F.col("tags").alias("assigned_tags"))
     return named.join(known, "assigned_category", "left")
 
 

@@ -41,17 +41,21 @@ def scan_stream(
     )
 
     def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.groupBy(ident, "rules_hash", "part").agg(F.min("__text").alias("__text"))
+        batch = batch.persist()  # it is read twice, and once from its source
         try:
-            done = batch.sparkSession.read.parquet(sink).select(ident, "rules_hash", "part")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # nothing has been written yet
-                raise
-        else:
-            mine = [r["part"] for r in batch.select("part").distinct().collect()]  # at most PARTS
-            fresh = fresh.join(done.where(F.col("part").isin(mine)), [ident, "rules_hash", "part"], "left_anti")
-        scanned = fresh.select(ident, scan_rules("__text", rules).alias("findings"), "rules_hash", "part")
-        scanned.write.mode("append").partitionBy("rules_hash", "part").parquet(sink)
+            fresh = batch.groupBy(ident, "rules_hash", "part").agg(F.min("__text").alias("__text"))
+            try:
+                done = batch.sparkSession.read.parquet(sink).select(ident, "rules_hash", "part")
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":  # nothing has been written yet
+                    raise
+            else:
+                mine = [r["part"] for r in batch.select("part").distinct().collect()]  # at most PARTS
+                fresh = fresh.join(done.where(F.col("part").isin(mine)), [ident, "rules_hash", "part"], "left_anti")
+            scanned = fresh.select(ident, scan_rules("__text", rules).alias("findings"), "rules_hash", "part")
+            scanned.write.mode("append").partitionBy("rules_hash", "part").parquet(sink)
+        finally:
+            batch.unpersist()
 
     return marked.writeStream.foreachBatch(append).option(
         "checkpointLocation",
