@@ -25,55 +25,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turn numbers that are gathered at a time, and the least number of events of a chunk.
 CHUNK = 256
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def chunk_width(events: DataFrame) -> float | None:
+    """Sequence numbers of a chunk, so that the longest log has chunks of a root of its events, or of CHUNK if that is more."""
+    s = F.col("seq").cast("double")
+    logs = events.groupBy("conv_id").agg(F.count("*").alias("n"), (F.max(s) - F.min(s)).alias("span"))
+    longest = logs.agg(F.max(F.struct("n", "span")).alias("m")).select("m.*").first()
+    if longest.n is None or longest.n <= CHUNK or not longest.span:
+        return None
+    return longest.span * max(CHUNK, longest.n**0.5) / longest.n
+
+
+def fold_events(events: DataFrame, width: float | None = None) -> DataFrame:
     """(conv_id, turn, message_no, role, text) from events (conv_id, seq, role, kind, text and, maybe, target); turns are
-    numbered from 0."""
+    numbered from 0. width is the number of sequence numbers of a chunk; unless it is given it follows from the longest log.
+    """
+    width = width or chunk_width(events)
     filled = events.select(
-        "conv_id",
+        F.struct("conv_id").alias("key"),  # equal also where it is null
+        (F.floor(F.col("seq").cast("double") / width) if width else F.lit(0)).cast("long").alias("chunk"),
         "seq",
         (F.col("target") if "target" in events.columns else F.lit(None).cast(events.schema["seq"].dataType)).alias("target"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    # Chunks are even parts of a conversation's span, as many as a root of its events, but not of fewer than CHUNK.
-    s = F.col("seq").cast("double")
-    spans = filled.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("n"), F.min(s).alias("lo"), F.max(s).alias("hi"))
-    parts = F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n")))
-    place = F.least(F.floor((s - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), parts - 1)
-    chunk = F.when((F.col("hi") > F.col("lo")) & F.col("seq").isNotNull(), place).otherwise(0).cast("long")
-    dealt = filled.join(spans, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("chunk", chunk).drop("c", "n", "lo", "hi")
-    order = Window.partitionBy("conv_id", "chunk").orderBy("seq", "role", "kind", "text")
-    placed = dealt.withColumn("at", F.row_number().over(order)).withColumn(
-        "begins",
-        ((F.col("kind") == "message") | ((F.col("chunk") == 0) & (F.col("at") == 1))).cast("int"),
-    ).withColumn("own", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    begun = placed.groupBy(F.col("conv_id").alias("c"), F.col("chunk").alias("k")).agg(F.sum("begins").alias("n"))
-    earlier = Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    before = begun.select("c", "k", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = placed.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).withColumn(
-        "open",
-        F.col("before") + F.col("own"),
-    ).drop("c", "k", "before", "own")
-    first = numbered.where("kind = 'message'").groupBy(F.col("conv_id").alias("c"), F.col("seq").alias("s")).agg(F.min("open").alias("named"))
-    aimed = numbered.join(
-        first,
-        F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("target") == F.col("s")) & (F.col("kind") != "message"),
-        "left",
-    ).withColumns({"message_no": F.coalesce("named", "open"), "pos": F.struct("chunk", "at")})
-    message = aimed.groupBy("conv_id", "message_no").agg(
-        F.min_by("role", F.struct(F.col("begins") == 0, "pos")).alias("role"),
+    filled = filled.withColumn("chunk", F.coalesce("chunk", F.lit(-(1 << 63))))
+    order = Window.partitionBy("key", "chunk").orderBy("seq", "role", "kind", "text")
+    begins = (F.col("kind") == "message").cast("int")
+    # Written once, so that what is found out from numbers alone doesn't read the texts.
+    rows = cut(
+        filled.withColumns(
+            {"at": F.row_number().over(order), "own": F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0))},
+        ),
+    )
+    # Each chunk's messages begun before it; what comes before a conversation's first message is one, too.
+    chunks = rows.groupBy("key", "chunk").agg(F.max("own").alias("n"), F.min_by("kind", "at").alias("kind"))
+    over = Window.partitionBy("key").orderBy("chunk")
+    led = (F.first("kind").over(over) != "message").cast("long")
+    before = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + led
+    chunks = chunks.select("key", "chunk", before.alias("before"))
+    aimed = rows.where("target IS NOT NULL AND kind != 'message'").select("key", F.col("target").alias("seq"), "chunk", "at")
+    begun = rows.where("kind = 'message'").select("key", "seq", F.col("chunk").alias("in"), "own").join(
+        chunks.withColumnRenamed("chunk", "in"),
+        ["key", "in"],
+    ).groupBy("key", "seq").agg(F.min(F.col("before") + F.col("own")).alias("named"))
+    named = aimed.join(begun, ["key", "seq"]).groupBy("key", "chunk").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "named"))).alias("named"),
+    )
+    known = chunks.join(named, ["key", "chunk"], "left")
+    number = F.coalesce(F.col("named")[F.col("at")], F.col("before") + F.col("own"))
+    numbered = rows.join(known, ["key", "chunk"]).select("key", "role", "kind", "text", number.alias("message_no"), F.struct("chunk", "at").alias("pos"))
+    message = numbered.groupBy("key", "message_no").agg(
+        F.min_by("role", F.struct(F.col("kind") != "message", "pos")).alias("role"),
         F.max(F.when(F.col("kind") != "delta", F.col("pos"))).alias("reset"),
         F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"),
     )
     live = F.filter("parts", lambda p: F.col("reset").isNull() | (p.pos >= F.col("reset")))
     return message.select(
-        "conv_id",
+        "key.conv_id",
         (F.col("message_no") - 1).cast("long").alias("turn"),
         F.lit(1).cast("long").alias("message_no"),
         "role",

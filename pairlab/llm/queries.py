@@ -138,7 +138,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    rendered = chat.render(chat.fold_events(turn_events(own.unionByName(added))))
+    rendered = chat.render(chat.fold_events(turn_events(own.unionByName(added)), width=chat.CHUNK * 2.0**40))
     read = rendered.select(
         "conv_id",
         "formatted",
