@@ -41,6 +41,8 @@ from pairlab.llm.common import cut
 GRAM = 16
 #: Contested runs of one digit that a task sorts; the windows of digits with more are dealt one by one.
 MOST = 50_000
+#: Contested runs that a task sorts at once, if whole digits are no more, and those whose grams are hashed at once.
+SORTED, HASHED = 16_384, 4_096
 U = np.uint64
 RUNS = "digit long, content long, doc_id long, place long"
 
@@ -206,7 +208,7 @@ def _contested_bytes(width: int):
                             strict=True,
                         ):
                             column.append(value)
-                if len(rows[0]) > 200_000:
+                if len(rows[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
                         names=["digit", "doc_id", "place", "bytes"],
@@ -220,14 +222,9 @@ def _contested_bytes(width: int):
     return run
 
 
-def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> Iterator[
-    tuple[np.ndarray, np.ndarray, np.ndarray]
-]:
-    """For every place of the first digit in the window: rows that have such a window, its key and its place."""
-    reach = width - GRAM
+def _line_grams(held: list[bytes], left: np.ndarray, reach: int) -> np.ndarray:
+    """The hashes of the grams of each run, the first digits of all runs in one column."""
     lengths = np.fromiter(map(len, held), np.int64, len(held))
-    left, start, mark = place >> 8 & 255, place >> 16 & 0x7FFFFFFF, place >> 47
-    # One line of bytes for each run, all first digits in one column.
     lines = np.zeros((len(held), reach + GRAM + reach), np.uint8)
     flat = np.frombuffer(b"".join(held), np.uint8)
     row = np.repeat(np.arange(len(held)), lengths)
@@ -243,6 +240,19 @@ def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width:
             h[:, step:] ^ (h[:, step:] >> U(32))
         ) * U(0xA0761D6478BD642F)
         step *= 2
+    return h
+
+
+def _window_keys(digit: np.ndarray, place: np.ndarray, held: list[bytes], width: int) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray]
+]:
+    """For every place of the first digit in the window: rows that have such a window, its key and its place."""
+    reach = width - GRAM
+    lengths = np.fromiter(map(len, held), np.int64, len(held))
+    left, start, mark = place >> 8 & 255, place >> 16 & 0x7FFFFFFF, place >> 47
+    h = np.empty((len(held), 2 * reach + 1), U)
+    for low in range(0, len(held), HASHED):
+        h[low : low + HASHED] = _line_grams(held[low : low + HASHED], left[low : low + HASHED], reach)
     for i in range(reach + 1):
         at = np.flatnonzero((i <= left) & (left - i <= lengths - width))
         if not len(at):
@@ -325,7 +335,7 @@ def _sort_contested(width: int):
             digit, doc, place = (batch.column(i).to_numpy() for i in range(3))
             part = (digit, doc, place, batch.column(3).to_pylist())
             cut_at = 0
-            if rows > 100_000:  # up to the last change of digit
+            if rows >= SORTED:  # up to the last change of digit
                 change = np.flatnonzero(np.append(digit[0] != held[-1][0][-1], digit[1:] != digit[:-1]))
                 if len(change):
                     cut_at = int(change[-1])

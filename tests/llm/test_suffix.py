@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairlab.llm import suffix
@@ -130,3 +133,32 @@ def test_many_texts_of_one_id(spark):
     assert sorted(got, key=str) == brute(rows)
     marks = suffix.with_marks(df.withColumnRenamed("text", "__text")).where("doc_id = 5").select("__text", "__mark").distinct().collect()
     assert len({r["__mark"] for r in marks}) == len(marks) and min(r["__mark"] for r in marks) == 0
+
+
+def test_sorting_contested_runs_takes_little_memory():
+    """100,000 runs of 20,000 digits, each of five documents: what is found is whole, and few are held at once."""
+    rng = np.random.default_rng(3)
+    digits, each = 20_000, 5
+    digit = np.repeat(np.arange(digits), each)
+    doc = np.tile(np.arange(each), digits)
+    start = digit * 100
+    texts = [rng.bytes(60) for _ in range(digits)]
+    held = [texts[d][: 60 - d % 2] + bytes([k]) for d, k in zip(digit.tolist(), doc.tolist())]
+    left = np.full(len(doc), 20)
+    place = start << 16 | left << 8 | np.fromiter(map(len, held), np.int64) - 50
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x[i : i + 10_000]) for x in (digit, doc, place, held)], names=["digit", "doc_id", "place", "bytes"])
+        for i in range(0, len(doc), 10_000)
+    ]
+    tracemalloc.start()
+    found = Counter()
+    for out in suffix._sort_contested(50)(iter(batches)):
+        for d, p in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            found[d, p >> 16, p & 255] += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All windows but the last, which holds the last byte, are also the first document's.
+    want = Counter((d, s, n - 51) for d, s, n in zip(doc.tolist(), start.tolist(), map(len, held)) if d)
+    covered = lambda c: Counter({(d, s + i): 0 for d, s, n in c for i in range(n + 1)})
+    assert set(covered(found)) == set(covered(want)) and sum((n + 1) * k for (_, _, n), k in found.items()) == sum((n + 1) * k for (_, _, n), k in want.items())
+    assert peak < 100e6, peak
