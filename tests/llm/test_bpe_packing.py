@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import public_tokenizers
@@ -73,3 +74,29 @@ def test_best_fit():
         want[i] = min(fits) if fits else 64
         room.append(want[i] - lengths[i])
     assert all(64 - placed[i][1] == want[i] for i in want)
+
+
+def test_long_runs_are_found_as_the_pattern_finds_them():
+    rng = random.Random(4)
+    some = [" " * n + "x" * m + w * k + "y" for n in (0, 1, 398, 399, 400, 401) for m in (0, 1, 399, 400) for w in (" ", "\n", "\x1c", "\xa0", "1", "-", "​") for k in (0, 1, 398, 399, 400)]
+    some += ["".join(rng.choice(["a" * 200, " " * 200, "\t", "b ", "é" * 199, "7" * 200]) for _ in range(rng.randrange(6))) for _ in range(2000)]
+    found = [tokens.has_long_run(t) for t in some]
+    assert found == [tokens.LONG_RUN.search(t) is not None for t in some] and 100 < sum(found) < len(found) - 100
+
+
+def test_looking_for_long_runs_takes_little_time():
+    """The search for long runs once took longer than the encoding itself."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice(["th", "an", "re", "ou", "in"]) for _ in range(rng.randrange(1, 5))) for _ in range(100_000))
+    own = tokens.encoder(PATH)
+    assert not tokens.has_long_run(text)
+
+    def least(f):
+        seconds = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            seconds.append(time.process_time() - began)
+        return min(seconds)
+
+    assert least(lambda: own.encode(text)) < 1.6 * least(lambda: own.fast.encode_to_numpy(text, allowed_special="all"))
