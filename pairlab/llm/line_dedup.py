@@ -145,8 +145,10 @@ def may_match(tenths: int) -> Column:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:
-    """The classes x of pairs (x, y) whose sets are similar, from the lines themselves. Each x is given once."""
-    pairs = cut(pairs)
+    """The classes x of pairs (x, y) whose sets are similar, from the lines themselves. Each x is given once. The pairs and
+    the sets are emptied in the end, as they would lie beside what is shuffled next."""
+    pairs_at, full_at = new_place(pairs.sparkSession), new_place(pairs.sparkSession)
+    pairs = cut(pairs, pairs_at)
     wanted = classes.join(pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct(), "ord").select(
         "ord",
         "doc_id",
@@ -164,13 +166,17 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tenths: int
     )
     full = cut(
         held.select(F.explode(picked).alias("l")).select("l.ord", distinct_words(F.col("l.line")).alias("set")),
+        full_at,
     )
     both = pairs.join(full.select(F.col("ord").alias("x"), F.col("set").alias("sx")), "x").join(
         full.select(F.col("ord").alias("y"), F.col("set").alias("sy")),
         "y",
     )
     alike = (10 + tenths) * F.size(F.array_intersect("sx", "sy")) >= tenths * (F.size("sx") + F.size("sy"))
-    return cut(both.where(alike).select("x").distinct())
+    similar = cut(both.where(alike).select("x").distinct())
+    discard(full, full_at)
+    discard(pairs, pairs_at)
+    return similar
 
 
 def matched_classes(classes: DataFrame, texts: DataFrame, tenths: int) -> DataFrame:

@@ -1,7 +1,9 @@
+import os
 import random
 import re
 
 from pairlab.llm import line_dedup
+from pairlab.llm.common import shared_folder
 
 
 def brute(rows):
@@ -41,3 +43,14 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.text, r.lang) for r in line_dedup.dedup_lines(df, keep=("lang",)).collect()), key=str)
     assert len(got) == 5 and (None, "a b c", "k") in got and (2, "", "k") in got
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_sets_that_are_done_with_are_emptied(spark):
+    """The words of verified lines don't stay in the shared folder while more is shuffled."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = [(i, f"a b c d e f g h i {i % 9}\nthe x{i} y{i} z{i} u{i} v{i} w{i} " + " ".join(f"q{i // 2}{j}" for j in range(30))) for i in range(60)]
+    line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    tables = [spark.read.parquet(f"{folder}/{d}") for d in set(os.listdir(folder)) - before]
+    done_with = [t for t in tables if t.columns in (["ord", "set"], ["x", "y"])]
+    assert len(done_with) == 4 and all(t.isEmpty() for t in done_with)
