@@ -47,6 +47,24 @@ def test_a_match_holds_its_literal():
         assert not m or scan.required_literal(pattern) in m.group()
 
 
+def test_word_boundaries_are_ascii(spark):
+    """As in Python with re.ASCII, whatever the JVM takes for a letter."""
+    rng = random.Random(2)
+    pieces = [r"\b", r"\b", r"\B", "a", "k", "é", "_", "1", r"\d", r"\w", r"\W", "a?", r"\d{1,2}", "a{0,1}", r"\\\\", "[b_]", "[^]b]", "(?:a|1)", "|"]
+    texts = ["".join(rng.choice("aké_1 b\\中\u0301٣-") for _ in range(rng.randrange(1, 9))) for _ in range(150)]  # Python has no \B in an empty one
+    patterns = [r"tion\b", r"\b\d+", *("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(250))]
+    df = spark.createDataFrame([(t,) for t in [*texts, "tioné", "é12"]], "t string")
+    found = df.select("t", scan.scan_rules("t", [(str(i), "r", p) for i, p in enumerate(patterns)]).category.alias("c")).collect()
+    for t, c in found:
+        assert c == [str(i) for i, p in enumerate(patterns) if re.search(p, t, re.ASCII)], ascii(t)
+
+
+def test_what_is_no_word_boundary_stays():
+    for p in [r"\\\\b", r"\Qa\b\E", r"\b{g}", "[]b]", r"[\]b]", "", "\\"]:
+        assert scan.ascii_boundaries(p) == p
+    assert scan.ascii_boundaries(r"\Qa\b\E\bx") == r"\Qa\b\E(?<!\w)x"
+
+
 def rule_rows(n, rng):
     rows = [(f"c{i % 9}", i, f"r{i}", rng.choice([r"\bfn%d\(", "call%d[a-z]*;", "key%d=(a|b)"]) % i) for i in range(n)]
     return [*rows, ("short", n, "short", "q|z"), ("c1", n + 1, "late", r"\d{4}")]
