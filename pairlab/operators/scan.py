@@ -136,8 +136,8 @@ def scan_rule_table(df: DataFrame, ident: str, text: str, rules: DataFrame, most
     rows = rules.orderBy("rule_order").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rules")
-    triples = [(r["category"], r["rule_id"], r["pattern"]) for r in rows]
-    literals = [required_literal(p) for _, _, p in triples]
+    triples = [(r["category"], r["rule_id"], ascii_boundaries(r["pattern"])) for r in rows]
+    literals = [required_literal(r["pattern"]) for r in rows]
     if len(rows) < MANY_RULES or max(map(len, literals)) < 3:
         found = scan_rules(text, triples)
         return df.select(ident, F.explode(found).alias("f")).select(ident, "f.category", "f.rule_id")

@@ -21,6 +21,7 @@ def sf(spark, tmp_path_factory):
 
 QUERIES = [
     "d1_scan_rules",
+    "d1_scan_rule_table",
 ]
 
 

@@ -87,6 +87,13 @@ def test_many_rules_find_the_same(spark):
     assert got == sorted(want)
 
 
+def test_many_rules_have_ascii_boundaries(spark):
+    rules = [*((f"c{i}", i, f"r{i}", rf"fn{i}\b") for i in range(70)), ("short", 70, "short", r"\bx\b")]
+    df = spark.createDataFrame([(1, "fn7é"), (2, "éx"), (3, "fn77 xx fn_8")], "id int, t string")
+    table = spark.createDataFrame(rules, "category string, rule_order int, rule_id string, pattern string")
+    assert sorted(map(tuple, scan.scan_rule_table(df, "id", "t", table).collect())) == [(1, "c7", "r7"), (2, "short", "short")]
+
+
 def test_two_thousand_rules_cost_less_than_twice_twenty(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(2000)]
