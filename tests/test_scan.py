@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairlab.operators import scan
 
@@ -65,6 +66,13 @@ def test_what_is_no_word_boundary_stays():
     assert scan.ascii_boundaries(r"\Qa\b\E\bx") == r"\Qa\b\E(?<!\w)x"
 
 
+def test_records_scanned_by_other_boundaries_are_scanned_again(spark):
+    plain = lambda rules: F.sha2(F.lit("\n".join("\t".join(r) for r in rules)), 256).alias("rules_hash")  # noqa: E731  as it was
+    new = spark.createDataFrame([(1, "tioné")], "id int, t string")
+    for rules, n in (([("c", "r", r"tion\b")], 1), ([("c", "r", "tion")], 0)):
+        assert scan.scan_incremental(new, new.select("id", plain(rules)), "id", "t", rules).count() == n
+
+
 def rule_rows(n, rng):
     rows = [(f"c{i % 9}", i, f"r{i}", rng.choice([r"\bfn%d\(", "call%d[a-z]*;", "key%d=(a|b)"]) % i) for i in range(n)]
     return [*rows, ("short", n, "short", "q|z"), ("c1", n + 1, "late", r"\d{4}")]
