@@ -26,6 +26,7 @@ QUERIES = [
     "d4_derive_flags",
     "d5_scan_incremental",
     "d7_category_distribution",
+    "d8_co_occurrence",
 ]
 
 
