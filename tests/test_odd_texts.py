@@ -27,6 +27,7 @@ QUERIES = [
     "d5_scan_incremental",
     "d7_category_distribution",
     "d8_co_occurrence",
+    "d9_partition_ids",
 ]
 
 
