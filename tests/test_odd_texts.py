@@ -28,6 +28,7 @@ QUERIES = [
     "d7_category_distribution",
     "d8_co_occurrence",
     "d9_partition_ids",
+    "t1_scan_stream",
 ]
 
 
