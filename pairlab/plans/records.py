@@ -50,7 +50,7 @@ def s4(spark, sf):
         table(spark, sf, "documents").select(
             "doc_id",
             "text",
-            F.when(F.col("lang") == "en", " True").otherwise("false").alias("english"),
+            F.when(F.col("lang") == "en", " True").when(F.col("lang").isNotNull(), "false").alias("english"),
         ),
         path,
     )

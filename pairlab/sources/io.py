@@ -29,12 +29,18 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header, quoted line breaks, doubled quotes and, perhaps, a byte-order mark."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    """CSV with a header, quoted line breaks, doubled quotes and, perhaps, a byte-order mark. Nothing between commas is null;
+    two quotes are an empty text."""
+    null = uuid.uuid4().hex  # Spark's reader needs a text that stands for null: one that was drawn later than any in the file
+    # A quote is escaped by itself alone: unset, its escape is escaped by \0, which texts may hold.
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue=null, encoding="UTF-8")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    """CSV that read_csv reads back as it was: blanks around texts stay, null is nothing and an empty text two quotes. A
+    single column is followed by one without name and values, as a null alone would be a blank line, which is no row."""
+    whole = df if len(df.columns) > 1 else df.withColumn("", F.lit(None).cast("string"))
+    whole.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def text_boolean(col: Column | str) -> Column:
